@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from .tables import load
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    found = near_duplicates(load(spark, sf_dir, "documents").select("doc_id", "text"), percent=85, shingle=3)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import count_tokens, write_flat
 
@@ -20,6 +27,27 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import remove_repeats
+
+    found = remove_repeats(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "removed", "text")
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_substrings
+
+    found = remove_substrings(load(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import verdicts
+
+    found = verdicts(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shuffle_into_shards
 
@@ -39,6 +67,43 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import quality_scores
+
+    return quality_scores(load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "labels"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract
+
+    found = extract(load(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+places AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS k FROM d, unnest(range(1, len(w) - 6)) u(i)),
+again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM places) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM again, unnest(range(0, 8)) u(j) GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN covered c USING (doc_id)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 14 * n_words
+            OR 100 * n_dup_lines > 30 * n_lines) AS kept
+FROM b
+"""
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -65,12 +130,18 @@ FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN items i USING (doc_id)
 
 def queries() -> dict:
     return {
+        "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_token_counts": op2_token_counts,
         "op3_best_fit_packing": op3_best_fit_packing,
+        "op4_line_dedup": op4_line_dedup,
+        "op5_suffix_dedup": op5_suffix_dedup,
+        "op6_quality_rules": op6_quality_rules,
         "op7_sharding": op7_sharding,
         "op8_decontamination": op8_decontamination,
+        "op9_quality_classifier": op9_quality_classifier,
+        "op10_html_extraction": op10_html_extraction,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontamination": OP8_SQL}
+    return {"op6_quality_rules": OP6_SQL, "op8_decontamination": OP8_SQL}

@@ -1 +1,187 @@
+"""Documents into problems: sources, segmentation, answers, dedup and revisions."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import documents as D
+from ..sources.domain import Tables
+from .registry import query
+
+LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_number FROM documents"
+NOISE = r"(trim(text) = '' OR regexp_matches(trim(text), '^-?\s*\d{1,3}\s*-?$') OR regexp_matches(trim(text), '^(?:page|p\.)\s*\d+$'))"
+
+
+def numbered_lines(t: Tables):
+    """Problem stems of a subject as the numbered lines of one page, with text between."""
+    w = Window.partitionBy("subject").orderBy("problem_id")
+    p = t.problems.select("subject", "stem", "difficulty", (F.row_number().over(w) * 2).alias("line_number"))
+    n = F.expr("cast(line_number div 2 as string)")
+    text = F.when(F.col("difficulty") > 2, F.concat(n, F.lit(". "), F.col("stem"))).otherwise(F.concat(n, F.lit(".5 "), F.col("stem")))
+    return p.select("subject", F.lit(1).alias("page_number"), "line_number", text.alias("text"))
+
+
+NUMBERED = "SELECT subject, n * 2 AS line_number, CASE WHEN difficulty > 2 THEN concat(n, '. ', stem) ELSE concat(n, '.5 ', stem) END AS text, CASE WHEN difficulty > 2 AND n <= 50 THEN n END AS opens FROM (SELECT subject, stem, difficulty, row_number() OVER (PARTITION BY subject ORDER BY problem_id) AS n FROM problems)"
+
+
+@query("A4_json_pages_source", "SELECT doc_id, 1 AS page_number, CAST(1 AS INTEGER) AS line_number, substring(text, 1, 20) AS text FROM documents WHERE trim(substring(text, 1, 20), ' ') <> ''")
+def a4(t: Tables):
+    line = F.struct(F.substring("text", 1, 20).alias("text"), F.lit("text").alias("type"))
+    page = lambda n: F.struct(F.lit(n).alias("page"), F.array(line).alias("lines"))
+    packed = t.documents.select("doc_id", F.to_json(F.struct(F.array(page(0), page(1)).alias("pages"))).alias("json"))
+    return D.page_lines(packed, "doc_id", "json").select("doc_id", "page_number", "line_number", "text")
+
+
+@query("A5_polygon_to_bbox", "SELECT problem_id, CASE WHEN difficulty > 1 THEN CAST(least(difficulty, time_sec) AS DOUBLE) END AS x, CASE WHEN difficulty > 1 THEN CAST(abs(difficulty - time_sec) AS DOUBLE) END AS w, CASE WHEN difficulty > 1 THEN 5.0::DOUBLE END AS h FROM problems")
+def a5(t: Tables):
+    point = lambda x, y: F.array(F.col(x).cast("double"), F.lit(float(y)))
+    points = F.when(F.col("difficulty") > 1, F.array(point("difficulty", 3), point("time_sec", 8))).otherwise(F.array(point("difficulty", 3)))
+    return t.problems.select("problem_id", D.polygon_box(points).alias("b")).select("problem_id", "b.x", "b.w", "b.h")
+
+
+@query("A7_qti_round_trip", "SELECT problem_id, stem AS prompt, 4 AS n_choices, CAST(difficulty AS VARCHAR) AS answer FROM problems")
+def a7(t: Tables):
+    choices = F.array(F.col("subject"), F.col("stem"), F.lit("a < b"), F.lit('"c" & d'))
+    xml = D.as_assessment_item(F.col("problem_id").cast("string"), F.col("stem"), choices, F.col("difficulty").cast("string"))
+    items = t.problems.select(F.explode(D.assessment_items(F.concat(F.lit("<test>"), xml, F.lit("</test>")))).alias("i"))
+    return items.select(F.col("i.id").cast("long").alias("problem_id"), "i.prompt", F.size("i.choices").alias("n_choices"), "i.answer")
+
+
+@query("I1_noise_filter", f"SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT {NOISE}) AS kept FROM ({LINES}) GROUP BY doc_id")
+def i1(t: Tables):
+    lines = D.text_lines(t.documents)
+    return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(~D.is_noise(F.col("text"))).alias("kept"))
+
+
+SEGMENTED = f"SELECT *, CAST(sum(CASE WHEN opens IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY subject ORDER BY line_number) AS BIGINT) AS segment FROM ({NUMBERED})"
+
+
+@query("I2_exam_segmentation", f"SELECT subject, CAST(line_number AS INTEGER) AS line_number, segment, CAST(max(opens) OVER (PARTITION BY subject, segment) AS INTEGER) AS number FROM ({SEGMENTED})")
+def i2(t: Tables):
+    return D.segments(numbered_lines(t), "subject").select("subject", "line_number", "segment", "number")
+
+
+@query("I3_segment_assemble", f"SELECT subject, segment, CAST(max(opens) AS INTEGER) AS number, count(*) AS n_lines, string_agg(text, chr(10) ORDER BY line_number) AS text FROM ({SEGMENTED}) GROUP BY subject, segment")
+def i3(t: Tables):
+    return D.assembled(D.segments(numbered_lines(t), "subject"), "subject").select("subject", "segment", "number", "n_lines", "text")
+
+
+@query("I4_inline_choices", "SELECT problem_id, stem, 5 AS n_choices, CAST(difficulty AS VARCHAR) AS last_choice FROM problems")
+def i4(t: Tables):
+    text = F.concat(F.col("stem"), F.lit("\n① f(1)=0 ② b ③ c\r\n④ d ⑤ "), F.col("difficulty").cast("string"))
+    parsed = D.with_choices(t.problems.select("problem_id", text.alias("text")))
+    return parsed.select("problem_id", "stem", F.size("choices").alias("n_choices"), F.element_at("choices", -1).alias("last_choice"))
+
+
+@query("I5_textbook_segmentation")
+def i5(t: Tables):
+    w = Window.partitionBy("subject").orderBy("problem_id")
+    p = t.problems.select("subject", "stem", F.row_number().over(w).alias("line_number"))
+    text = F.when(F.col("line_number") % 10 == 1, F.concat(F.lpad(F.expr("line_number div 10 + 1").cast("string"), 2, "0"), F.lit(" "), F.col("stem"))).otherwise(F.concat(F.col("line_number").cast("string"), F.lit(". "), F.col("stem")))
+    return D.textbook_segments(p.select("subject", F.lit(1).alias("page_number"), "line_number", text.alias("text")), "subject")
+
+
+@query("I7_exam_header_parse", r"SELECT submission_id, CAST(year(submitted_at) AS INTEGER) AS year, CAST(month(submitted_at) AS INTEGER) AS month, status AS source FROM submissions")
+def i7(t: Tables):
+    header = F.concat_ws(" ", F.date_format("submitted_at", "yyyy'학년도 '"), F.date_format("submitted_at", "M'월 '"), "status")
+    made = t.submissions.select("submission_id", header.alias("h"))
+    return made.select("submission_id", F.regexp_extract("h", r"(\d{4})학년도", 1).cast("int").alias("year"), F.regexp_extract("h", r"(\d{1,2})월", 1).cast("int").alias("month"), F.regexp_extract("h", r"월\s+(\S+)$", 1).alias("source"))
+
+
+@query("I8_section_detection", f"""WITH l AS (SELECT doc_id, text, CAST((line_number - 1) // 3 AS BIGINT) + 1 AS page FROM ({LINES})), p AS (SELECT doc_id, page, count(*) FILTER (WHERE regexp_matches(text, '^[A-Z]')) AS starts FROM l GROUP BY 1, 2)
+  SELECT doc_id, min(page) FILTER (WHERE starts > 1) AS content_start, min(page) FILTER (WHERE page > 0.7 * last AND last - page >= 5) AS answer_start FROM (SELECT *, max(page) OVER (PARTITION BY doc_id) AS last FROM p) GROUP BY doc_id""")
+def i8(t: Tables):
+    lines = D.text_lines(t.documents).withColumn("page", F.expr("(line_number - 1) div 3 + 1"))
+    page = lines.groupBy("doc_id", "page").agg(F.count_if(F.col("text").rlike("^[A-Z]")).alias("starts"))
+    last = F.max("page").over(Window.partitionBy("doc_id"))
+    late = (F.col("page") > 0.7 * F.col("last")) & (F.col("last") - F.col("page") >= 5)
+    return page.withColumn("last", last).groupBy("doc_id").agg(F.min(F.when(F.col("starts") > 1, F.col("page"))).alias("content_start"), F.min(F.when(late, F.col("page"))).alias("answer_start"))
+
+
+@query("I10_quick_answers", "SELECT class_id, 2 AS n, '3' AS first, CAST(1 + class_id % 5 AS VARCHAR) AS second FROM classes")
+def i10(t: Tables):
+    digit = F.translate((1 + F.col("class_id") % 5).cast("string"), "12345", D.CIRCLED)
+    answers = D.quick_answers(F.concat(F.lit("0001① 0002② 0001③ 2 "), digit))
+    return t.classes.select("class_id", answers.alias("m")).select("class_id", F.size("m").alias("n"), F.col("m")[1].alias("first"), F.col("m")[2].alias("second"))
+
+
+@query("I11_answer_blocks", f"SELECT subject, CAST(max(opens) AS INTEGER) AS number, sha256(string_agg(text, chr(10) ORDER BY line_number)) AS block FROM ({SEGMENTED}) GROUP BY subject, segment HAVING max(opens) IS NOT NULL")
+def i11(t: Tables):
+    blocks = D.assembled(D.segments(numbered_lines(t), "subject"), "subject").where("number is not null")
+    return blocks.select("subject", "number", F.sha2("text", 256).alias("block"))
+
+
+@query("I12_answer_tables")
+def i12(t: Tables):
+    two = F.lpad((F.col("class_id") + 1).cast("string"), 2, "0")
+    text = F.array(F.concat(two, F.lit(" 지수와 로그")), F.lit("유제"), F.lit("1 ① 2 ③ 3 125"), F.lit("Level 1 기초 연습"), F.lit("1 ⑤ 2 ④"))
+    lines = t.classes.select("organization_id", "class_id", F.posexplode(text).alias("i", "text"))
+    return D.answer_table(lines.select("organization_id", F.col("class_id").alias("page_number"), F.col("i").alias("line_number"), "text"), "organization_id")
+
+
+@query("I14_answer_match", "SELECT problem_id, CASE WHEN problem_id % 4 = 0 THEN 'inline' WHEN problem_id % 4 = 1 AND difficulty <= 3 THEN 'quick' WHEN unit = 'PROMO' THEN 'solution' WHEN difficulty = 6 THEN 'number' END AS source, CASE WHEN problem_id % 4 = 0 THEN 1.0 WHEN problem_id % 4 = 1 AND difficulty <= 3 THEN 0.95 WHEN unit = 'PROMO' THEN 0.9 WHEN difficulty = 6 THEN 0.7 END::DOUBLE AS confidence FROM problems")
+def i14(t: Tables):
+    problems = t.problems.select("problem_id", F.coalesce("unit", F.lit("none")).alias("chapter"), (F.col("problem_id") % 4).cast("string").alias("section"), F.col("difficulty").alias("number"), F.when(F.col("problem_id") % 4 == 0, "1").alias("inline_answer"))
+    keys = problems.select("chapter", "section", "number").distinct()
+    quick = keys.where("section = '1' and number <= 3").withColumn("answer", F.lit("2"))
+    solutions = keys.where("chapter = 'PROMO'").withColumn("answer", F.lit("3"))
+    numbers = keys.where("number = 6").select("number").distinct().withColumn("answer", F.lit("4"))
+    return D.match_answers(problems, quick, solutions, numbers).select("problem_id", "source", "confidence")
+
+
+@query("I15_figure_filter", "SELECT problem_id, time_sec * difficulty * 10 AS area FROM problems WHERE time_sec * difficulty * 10 >= 5000")
+def i15(t: Tables):
+    return t.problems.select("problem_id", (F.col("time_sec") * F.col("difficulty") * 10).alias("area")).where("area >= 5000")
+
+
+@query("I17_fingerprint_dedup", "SELECT min(doc_id) AS doc_id FROM documents WHERE lang = 'en' AND trim(text) NOT IN (SELECT trim(text) FROM documents WHERE source = 'src3') GROUP BY trim(text)")
+def i17(t: Tables):
+    docs = t.documents.select("doc_id", "text", "lang", "source")
+    return D.new_only(docs.where("lang = 'en'"), docs.where("source = 'src3'"), ["text"], ["doc_id"]).select("doc_id")
+
+
+@query("I18_layout_merge", "SELECT problem_id, CASE WHEN difficulty > 3 THEN subject ELSE coalesce(unit, subject) END AS layout, difficulty <= 3 AND unit IS NOT NULL AS replaced FROM problems")
+def i18(t: Tables):
+    structured = F.col("difficulty") > 3
+    replaced = ~structured & F.col("unit").isNotNull()
+    return t.problems.select("problem_id", F.when(replaced, F.col("unit")).otherwise(F.col("subject")).alias("layout"), replaced.alias("replaced"))
+
+
+@query("I19_page_image_lookup", "SELECT p.problem_id, n.label AS image FROM problems p LEFT JOIN nodes n ON n.node_id = concat('n', p.difficulty * 5)")
+def i19(t: Tables):
+    images = t.nodes.select(F.col("node_id").alias("key"), F.col("label").alias("image"))
+    return t.problems.select("problem_id", F.concat(F.lit("n"), (F.col("difficulty") * 5).cast("string")).alias("key")).join(images, "key", "left").drop("key")
+
+
+@query("I21_result_whitelist", "SELECT problem_id, CASE WHEN subject IN ('Brand#1', 'Brand#2', 'Brand#3') THEN subject END AS subject, greatest(1, least(6, time_sec // 50)) AS difficulty, array_to_string(list_filter(string_split(stem, ' '), lambda w: w IN ('red', 'small', 'ring')), ',') AS tags FROM problems")
+def i21(t: Tables):
+    tags = F.filter(F.split("stem", " "), lambda w: w.isin("red", "small", "ring"))
+    level = F.greatest(F.lit(1), F.least(F.lit(6), F.expr("cast(time_sec div 50 as int)")))
+    return t.problems.select("problem_id", F.when(F.col("subject").isin("Brand#1", "Brand#2", "Brand#3"), F.col("subject")).alias("subject"), level.alias("difficulty"), F.array_join(tags, ",").alias("tags"))
+
+
+@query("I22_partial_merge", "SELECT problem_id, CASE WHEN problem_id % 2 = 0 THEN 'new' ELSE unit END AS unit, CASE WHEN problem_id % 3 = 0 THEN 'x' ELSE stem END AS stem FROM problems")
+def i22(t: Tables):
+    old = t.problems.select("problem_id", "unit", "stem")
+    new = old.select("problem_id", F.when(F.col("problem_id") % 2 == 0, "new").alias("unit"), F.when(F.col("problem_id") % 3 == 0, "x").alias("stem"))
+    return D.merge_partial(old, new, "problem_id", ["unit", "stem"])
+
+
+@query("I23_apply_exam_rules", "SELECT problem_id, CASE WHEN problem_type = 'essay' THEN NULL WHEN n <= 30 THEN CASE WHEN n <= 3 THEN 2 WHEN n <= 14 THEN 3 ELSE 4 END ELSE CASE WHEN difficulty <= 2 THEN 2 WHEN difficulty <= 4 THEN 3 ELSE 4 END END AS points FROM (SELECT *, problem_id % 40 + 1 AS n FROM problems)")
+def i23(t: Tables):
+    rules = t.spark.range(1, 31).select(F.col("id").alias("n"), F.when(F.col("id") <= 3, 2).when(F.col("id") <= 14, 3).otherwise(4).alias("rule"))
+    fallback = F.when(F.col("difficulty") <= 2, 2).when(F.col("difficulty") <= 4, 3).otherwise(4)
+    joined = t.problems.withColumn("n", F.col("problem_id") % 40 + 1).join(F.broadcast(rules), "n", "left")  # thirty rows
+    return joined.select("problem_id", F.when(F.col("problem_type") != "essay", F.coalesce("rule", fallback)).alias("points"))
+
+
+@query("I24_refined_result", "SELECT problem_id, CASE WHEN unit IS NULL THEN 'Brand#1' ELSE subject END AS subject, greatest(1, least(5, difficulty)) AS difficulty FROM problems")
+def i24(t: Tables):
+    return t.problems.select("problem_id", F.when(F.col("unit").isNull(), "Brand#1").otherwise(F.col("subject")).alias("subject"), F.greatest(F.lit(1), F.least(F.lit(5), F.col("difficulty"))).alias("difficulty"))
+
+
+@query("K8_revision_log", "SELECT problem_id, CAST(row_number() OVER (PARTITION BY problem_id ORDER BY submission_id, answer_no) AS INTEGER) AS revision, CASE WHEN lag(seconds) OVER w IS DISTINCT FROM seconds AND row_number() OVER w > 1 THEN 'seconds' ELSE '' END AS changed FROM numbered_answers WINDOW w AS (PARTITION BY problem_id ORDER BY submission_id, answer_no)")
+def k8(t: Tables):
+    log = D.revision_log(t.numbered_answers, "problem_id", ["submission_id", "answer_no"], ["seconds"])
+    return log.select("problem_id", "revision", "changed")

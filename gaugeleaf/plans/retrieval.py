@@ -1 +1,196 @@
+"""Search, similarity, review scores, recommendations and composition."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import numerics as N
+from ..operators import retrieval as J
+from ..operators import tables as O
+from ..sources.domain import Tables
+from .registry import query
+
+TOKENS = r"list_filter(regexp_split_to_array(lower(stem), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
+
+
+@query("J1_token_build", f"SELECT problem_id, array_to_string(list_sort(list_distinct({TOKENS})), ' ') AS tokens FROM problems")
+def j1(t: Tables):
+    return t.problems.select("problem_id", F.array_join(F.array_sort(J.tokens(F.col("stem"))), " ").alias("tokens"))
+
+
+@query("J2_keyword_match", f"SELECT problem_id FROM problems WHERE list_contains({TOKENS}, 'red') AND list_contains({TOKENS}, 'ring')")
+def j2(t: Tables):
+    return J.keyword_matches(t.problems, "stem", ["red", "ring"]).select("problem_id")
+
+
+@query("J3_keyword_rank", f"""WITH w AS (SELECT problem_id, {TOKENS} AS ws FROM problems), c AS (SELECT problem_id, len(ws) AS l, len(list_filter(ws, lambda x: x = 'red')) AS a, len(list_filter(ws, lambda x: x = 'small')) AS b FROM w),
+  s AS (SELECT count(*) AS n, avg(l) AS m, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db FROM c)
+  SELECT * FROM (SELECT problem_id, floor((ln(1 + (n - da + 0.5::DOUBLE) / (da + 0.5::DOUBLE)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * l / m)) + ln(1 + (n - db + 0.5::DOUBLE) / (db + 0.5::DOUBLE)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * l / m))) * 1000000 + 0.5) / 1000000 AS score FROM c, s) WHERE score > 0""")
+def j3(t: Tables):
+    return J.bm25(t.problems, "problem_id", "stem", ["red", "small"]).withColumn("score", N.js_round_n(F.col("score"), 6))
+
+
+QUERY_VECTOR = "SELECT embedding FROM embeddings WHERE vec_id = 7"
+
+
+@query("J4_cosine_similarity", f"SELECT vec_id, floor(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(({QUERY_VECTOR}) AS DOUBLE[])) * 10000 + 0.5) / 10000 AS score FROM embeddings")
+def j4(t: Tables):
+    q = t.embeddings.where("vec_id = 7").select(F.col("embedding").alias("q"))
+    return t.embeddings.crossJoin(F.broadcast(q)).select("vec_id", N.js_round_n(N.cosine(F.col("embedding"), F.col("q")), 4).alias("score"))
+
+
+@query("J5_semantic_search", f"SELECT vec_id FROM embeddings WHERE label < 5 ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(({QUERY_VECTOR}) AS DOUBLE[])) DESC, vec_id LIMIT 20")
+def j5(t: Tables):
+    q = t.embeddings.where("vec_id = 7").select(F.col("embedding").alias("q"))
+    scored = t.embeddings.where("label < 5").crossJoin(F.broadcast(q)).select("vec_id", N.cosine(F.col("embedding"), F.col("q")).alias("score"))
+    return scored.orderBy(F.desc("score"), "vec_id").limit(20).select("vec_id")
+
+
+@query("J6_knn_all_pairs", """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT a.vec_id, b.vec_id AS neighbour, list_cosine_similarity(a.v, b.v) AS c FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+  r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(c, 12) DESC, neighbour) AS rank FROM s) SELECT vec_id, neighbour, floor(c * 10000 + 0.5) / 10000 AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10 AND c >= 0.2""")
+def j6(t: Tables):
+    return J.knn_all_pairs(t.embeddings, "vec_id", "embedding", least=0.2)
+
+
+@query("J7_hybrid_search_rrf", f"""WITH kw AS (SELECT problem_id AS id, row_number() OVER (ORDER BY len({TOKENS}), problem_id) AS rank FROM problems WHERE list_contains({TOKENS}, 'red')),
+  sem AS (SELECT vec_id AS id, row_number() OVER (ORDER BY round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(({QUERY_VECTOR}) AS DOUBLE[])), 12) DESC, vec_id) AS rank FROM embeddings)
+  SELECT id, floor((coalesce(1.0 / (60 + kw.rank), 0) + coalesce(1.0 / (60 + sem.rank), 0)) * 1000000000 + 0.5) / 1000000000 AS score, count(*) OVER () AS total FROM kw FULL JOIN sem USING (id) ORDER BY coalesce(1.0 / (60 + kw.rank), 0) + coalesce(1.0 / (60 + sem.rank), 0) DESC, id LIMIT 20""")
+def j7(t: Tables):
+    hits = J.keyword_matches(t.problems, "stem", ["red"]).select(F.col("problem_id").alias("id"), F.size(J.tokens(F.col("stem"))).alias("n"))
+    keyword = hits.select("id", F.row_number().over(Window.orderBy("n", "id")).alias("rank"))
+    q = t.embeddings.where("vec_id = 7").select(F.col("embedding").alias("q"))
+    scored = t.embeddings.crossJoin(F.broadcast(q)).select(F.col("vec_id").alias("id"), F.round(N.cosine(F.col("embedding"), F.col("q")), 12).alias("c"))
+    semantic = scored.select("id", F.row_number().over(Window.orderBy(F.desc("c"), "id")).alias("rank"))
+    fused = J.reciprocal_rank_fusion([keyword, semantic], "id")
+    total = fused.agg(F.count("*").alias("total"))
+    top = fused.orderBy(F.desc("score"), "id").limit(20)
+    return top.crossJoin(F.broadcast(total)).select("id", N.js_round_n(F.col("score"), 9).alias("score"), "total")
+
+
+@query("J8_similar_agreement", """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT a.vec_id, a.label AS own, b.label AS theirs, b.vec_id AS neighbour, list_cosine_similarity(a.v, b.v) AS c FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+  r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(c, 12) DESC, neighbour) AS rank FROM s), n AS (SELECT vec_id, sum(CASE WHEN own = theirs THEN floor(c * 10000 + 0.5) / 10000 ELSE 0 END) / sum(floor(c * 10000 + 0.5) / 10000) AS agreement FROM r WHERE rank <= 5 AND c >= 0.2 GROUP BY 1)
+  SELECT vec_id, floor(coalesce(agreement, 0.5) * 1000 + 0.5) / 1000 AS agreement FROM e LEFT JOIN n USING (vec_id)""")
+def j8(t: Tables):
+    near = J.knn_all_pairs(t.embeddings, "vec_id", "embedding", least=0.2)
+    out = J.similar_agreement(near, t.embeddings.select("vec_id", F.col("label").alias("subject")), "vec_id")
+    return out.withColumn("agreement", N.js_round_n(F.col("agreement"), 3))
+
+
+@query("J9_subject_consistency", "SELECT problem_id, (CASE WHEN unit IS NULL THEN 0.5 WHEN n.label IS NOT NULL THEN 1.0 ELSE 0.0 END + CASE WHEN contains(stem, 'red') THEN 1.0 ELSE 0.5 END)::DOUBLE / 2 AS consistency FROM problems p LEFT JOIN nodes n ON n.node_id = concat('n', p.node_id) AND n.level = 2")
+def j9(t: Tables):
+    topics = t.nodes.where("level = 2").select(F.col("node_id").alias("key"), "label")
+    joined = t.problems.withColumn("key", F.concat(F.lit("n"), F.col("node_id").cast("string"))).join(topics, "key", "left")
+    curriculum = F.when(F.col("unit").isNull(), 0.5).when(F.col("label").isNotNull(), 1.0).otherwise(0.0)
+    return joined.select("problem_id", ((curriculum + F.when(F.contains("stem", F.lit("red")), 1.0).otherwise(0.5)) / 2).alias("consistency"))
+
+
+@query("J10_ai_confidence", "SELECT problem_id, floor(CASE WHEN difficulty = 1 THEN b WHEN difficulty = 2 THEN a ELSE (a + b) / 2 END * 1e6 + 0.5) / 1e6 AS confidence FROM (SELECT problem_id, difficulty, greatest(0, least(1, time_sec / 400.0::DOUBLE)) AS a, greatest(0, least(1, (weight - 900) / 100)) AS b FROM problems)")
+def j10(t: Tables):
+    a = F.when(F.col("difficulty") != 1, F.col("time_sec") / 400)
+    b = F.when(F.col("difficulty") != 2, (F.col("weight") - 900) / 100)
+    return t.problems.select("problem_id", N.js_round_n(J.ai_confidence(a, b), 6).alias("confidence"))
+
+
+@query("J11_auto_review", "SELECT problem_id, floor(s * 1e6 + 0.5) / 1e6 AS score, s >= k AS passes FROM (SELECT problem_id, CASE WHEN problem_type = 'essay' THEN 0.3 * a + 0.3 * b + 0.2 * c + 0.2 * 0.5 ELSE 0.4 * a + 0.3 * b + 0.2 * c + 0.1 * 0.5 END::DOUBLE AS s, CASE WHEN problem_type = 'essay' THEN 0.8 ELSE 0.85 END::DOUBLE AS k FROM (SELECT problem_id, problem_type, least(1, time_sec / 400.0::DOUBLE) AS a, CASE WHEN unit IS NULL THEN 0.5 ELSE 1 END::DOUBLE AS b, difficulty / 6.0::DOUBLE AS c FROM problems))")
+def j11(t: Tables):
+    kind = F.when(F.col("problem_type") == "essay", "textbook").otherwise("exam")
+    score, passes = J.composite_review(kind, F.least(F.lit(1.0), F.col("time_sec") / 400), F.when(F.col("unit").isNull(), 0.5).otherwise(1.0), F.col("difficulty") / 6, F.lit(None).cast("double"))
+    return t.problems.select("problem_id", N.js_round_n(score, 6).alias("score"), passes.alias("passes"))
+
+
+WRONG = "SELECT s.student_id, a.problem_id, a.answered_at, p.node_id FROM answers a JOIN submissions s USING (submission_id) JOIN problems p USING (problem_id) WHERE a.is_correct = false"
+
+
+@query("J12_weak_areas", f"""WITH w AS (SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY answered_at DESC, problem_id) AS n FROM ({WRONG})), g AS (SELECT student_id, node_id, count(*) AS weight, min(n) AS newest FROM w WHERE n <= 20 GROUP BY 1, 2)
+  SELECT student_id, node_id, weight FROM (SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY weight DESC, newest) AS k FROM g) WHERE k <= 3""")
+def j12(t: Tables):
+    return weak_areas(t)
+
+
+def weak_areas(t: Tables):
+    wrong = t.answers.where("is_correct = false").join(t.submissions.select("submission_id", "student_id"), "submission_id").join(t.problems.select("problem_id", "node_id"), "problem_id")
+    newest = Window.partitionBy("student_id").orderBy(F.desc("answered_at"), "problem_id")
+    last = wrong.withColumn("n", F.row_number().over(newest)).where("n <= 20")
+    grouped = last.groupBy("student_id", "node_id").agg(F.count("*").alias("weight"), F.min("n").alias("newest"))
+    k = F.row_number().over(Window.partitionBy("student_id").orderBy(F.desc("weight"), "newest"))
+    return grouped.withColumn("k", k).where("k <= 3").select("student_id", "node_id", "weight")
+
+
+@query("J13_remediation_select")
+def j13(t: Tables):
+    areas = weak_areas(t)
+    pool = t.problems.where("review_status = 'approved'").select("problem_id", "node_id", "difficulty")
+    candidates = areas.where("student_id < 500").join(pool, "node_id")
+    return J.greedy_selection(candidates, "student_id", "node_id", "problem_id", "difficulty", each=3, total=5)
+
+
+@query("J14_recommendations", f"""WITH u AS (SELECT DISTINCT student_id, problem_id, 1 AS priority FROM ({WRONG}) WHERE answered_at >= TIMESTAMP '2000-06-01' UNION ALL SELECT DISTINCT s.student_id, a.problem_id, 3 FROM answers a JOIN submissions s USING (submission_id) WHERE is_correct IS NULL)
+  SELECT student_id, problem_id, priority FROM (SELECT student_id, problem_id, min(priority) AS priority, row_number() OVER (PARTITION BY student_id ORDER BY min(priority), problem_id) AS n FROM u GROUP BY 1, 2) WHERE n <= 10""")
+def j14(t: Tables):
+    joined = t.answers.join(t.submissions.select("submission_id", "student_id"), "submission_id")
+    source = lambda c, k: joined.where(c).select("student_id", "problem_id", F.lit(k).alias("priority"))
+    sources = [source("is_correct = false and answered_at >= timestamp'2000-06-01'", 1), source("is_correct is null", 3)]
+    return O.priority_union(sources, ["student_id", "problem_id"], "priority", 10, "student_id", "problem_id")
+
+
+@query("J15_exam_composition")
+def j15(t: Tables):
+    from ..operators.compose import compose_exam
+
+    slots = t.problems.where("unit is not null").groupBy("subject", "unit").agg(F.count("*").alias("percentage"))
+    return compose_exam(slots, t.problems.where("review_status in ('approved', 'auto_approved')"), 10)
+
+
+@query("J16_composition_preview", "SELECT c.class_id, count(p.problem_id) AS available, CASE WHEN count(p.problem_id) = 0 THEN 'impossible' WHEN count(p.problem_id) < 5 THEN 'tight' ELSE 'ok' END AS feasibility FROM classes c LEFT JOIN problems p ON p.node_id = c.class_id AND p.difficulty BETWEEN 1 + c.class_id % 3 AND 3 + c.class_id % 3 AND p.review_status = 'approved' GROUP BY 1")
+def j16(t: Tables):
+    p = t.problems.where("review_status = 'approved'").select("problem_id", "node_id", "difficulty")
+    low = 1 + F.col("class_id") % 3
+    joined = t.classes.join(p, (F.col("node_id") == F.col("class_id")) & F.col("difficulty").between(low, low + 2), "left").groupBy("class_id")
+    counted = joined.agg(F.count("problem_id").alias("available"))
+    return counted.withColumn("feasibility", F.when(F.col("available") == 0, "impossible").when(F.col("available") < 5, "tight").otherwise("ok"))
+
+
+@query("J17_usage_exclusion", "SELECT problem_id FROM problems WHERE problem_id NOT IN (SELECT a.problem_id FROM answers a JOIN submissions s USING (submission_id) WHERE s.class_id = 3 AND a.answered_at >= TIMESTAMP '2000-01-01') AND problem_id > 10")
+def j17(t: Tables):
+    used = t.answers.where("answered_at >= timestamp'2000-01-01'").join(t.submissions.where("class_id = 3"), "submission_id", "left_semi")
+    return O.excluding(t.problems.where("problem_id > 10").select("problem_id"), used, ["problem_id"])
+
+
+@query("J18_class_monitor", "SELECT u.student_id, u.class_id, count(s.submission_id) AS n, CASE WHEN count(s.submission_id) = 0 THEN 'inactive' WHEN max(s.submitted_at) < TIMESTAMP '1998-01-01' THEN 'stuck' WHEN min(s.score) < 20 THEN 'struggling' ELSE 'fine' END AS alert FROM students u LEFT JOIN submissions s USING (student_id) GROUP BY 1, 2")
+def j18(t: Tables):
+    done = t.submissions.groupBy("student_id").agg(F.count("*").alias("n"), F.max("submitted_at").alias("last"), F.min("score").alias("low"))
+    joined = t.students.select("student_id", "class_id").join(done, "student_id", "left").na.fill(0, ["n"])
+    alert = F.when(F.col("n") == 0, "inactive").when(F.col("last") < F.lit("1998-01-01").cast("timestamp"), "stuck").when(F.col("low") < 20, "struggling").otherwise("fine")
+    return joined.select("student_id", "class_id", "n", alert.alias("alert"))
+
+
+@query("J19_achievements", "WITH m AS (SELECT student_id, count(*) AS n, count(*) FILTER (WHERE score >= 90) AS top FROM submissions GROUP BY 1) SELECT student_id, unnest(list_filter([CASE WHEN n >= 5 THEN 'busy' END, CASE WHEN n >= 15 THEN 'tireless' END, CASE WHEN top >= 1 THEN 'excellent' END], lambda x: x IS NOT NULL)) AS achievement FROM m WHERE student_id % 10 <> 3")
+def j19(t: Tables):
+    m = t.submissions.groupBy("student_id").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= 90).alias("top"))
+    rules = F.array(F.when(F.col("n") >= 5, "busy"), F.when(F.col("n") >= 15, "tireless"), F.when(F.col("top") >= 1, "excellent"))
+    earned = t.students.where("student_id % 10 = 3")
+    return m.select("student_id", F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("achievement")).join(earned, "student_id", "left_anti")
+
+
+@query("J20_due_reviews", f"SELECT w.student_id, w.problem_id, p.subject FROM (SELECT student_id, problem_id, max(answered_at) AS last FROM ({WRONG}) GROUP BY 1, 2) w LEFT JOIN problems p USING (problem_id) WHERE w.last + INTERVAL 6 DAY <= TIMESTAMP '1998-01-01' ORDER BY w.last, w.student_id, w.problem_id LIMIT 100")
+def j20(t: Tables):
+    wrong = t.answers.where("is_correct = false").join(t.submissions.select("submission_id", "student_id"), "submission_id")
+    last = wrong.groupBy("student_id", "problem_id").agg(F.max("answered_at").alias("last"))
+    due = last.where(F.col("last") + F.expr("interval 6 days") <= F.lit("1998-01-01").cast("timestamp"))
+    first = due.orderBy("last", "student_id", "problem_id").limit(100)
+    return first.join(t.problems.select("problem_id", "subject"), "problem_id", "left").select("student_id", "problem_id", "subject")
+
+
+@query("J21_wrong_answer_page", f"SELECT student_id, problem_id, subject, difficulty FROM (SELECT student_id, problem_id, max(answered_at) AS last FROM ({WRONG}) GROUP BY 1, 2) JOIN problems USING (problem_id) ORDER BY last DESC, student_id, problem_id LIMIT 20 OFFSET 20")
+def j21(t: Tables):
+    wrong = t.answers.where("is_correct = false").join(t.submissions.select("submission_id", "student_id"), "submission_id")
+    last = wrong.groupBy("student_id", "problem_id").agg(F.max("answered_at").alias("last")).join(t.problems.select("problem_id", "subject", "difficulty"), "problem_id")
+    return O.page(last, [F.desc("last"), F.col("student_id"), F.col("problem_id")], 2, 20).select("student_id", "problem_id", "subject", "difficulty")
+
+
+@query("J22_assignment_resolution", "SELECT class_id, coalesce(min_by(assignment_id, (due_at, assignment_id)) FILTER (WHERE due_at >= TIMESTAMP '1998-07-30'), max_by(assignment_id, (created_at, assignment_id))) AS assignment_id FROM assignments GROUP BY class_id")
+def j22(t: Tables):
+    future = F.col("due_at") >= F.lit("1998-07-30").cast("timestamp")
+    nearest = F.min_by(F.when(future, F.col("assignment_id")), F.when(future, F.struct("due_at", "assignment_id")))
+    return t.assignments.groupBy("class_id").agg(F.coalesce(nearest, F.max_by("assignment_id", F.struct("created_at", "assignment_id"))).alias("assignment_id"))

@@ -126,7 +126,7 @@ def weekly_report(submissions: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 # Least score of the grades one to nine.
-GRADE_CUTS = (96, 89, 77, 60, 40, 23, 11, 4, 0)
+GRADE_CUTS = (92, 85, 76, 64, 50, 36, 24, 12, 0)
 
 
 def grade_prediction(submissions: DataFrame, answers: DataFrame, problems: DataFrame, recent: int = 50) -> DataFrame:
@@ -149,16 +149,21 @@ def longest_run(answers: DataFrame, key: str, order: str) -> DataFrame:
     return runs.groupBy(key).agg(F.max("run").alias("longest"))
 
 
+# Weight of the difficulties one to six.
+DIFFICULTY_WEIGHTS = (0.6, 0.8, 1.0, 1.3, 1.6, 1.8)
+
+
 def smart_scores(answers: DataFrame, problems: DataFrame) -> DataFrame:
     """Accuracy weighted by difficulty, with bonuses for even topics and for a long run; 0 to 100, one decimal."""
     joined = answers.where("is_correct is not null").join(problems.select("problem_id", "unit", "difficulty"), "problem_id")
-    base = joined.groupBy("submission_id").agg(F.count("*").alias("n"), F.count_if("is_correct").alias("c"), F.avg("difficulty").alias("d"))
-    topics = joined.where("unit is not null").groupBy("submission_id", "unit").agg((F.count_if("is_correct") / F.count("*")).alias("acc"))
+    weight = F.get(F.array(*map(F.lit, DIFFICULTY_WEIGHTS)), F.col("difficulty") - 1)
+    base = joined.groupBy("submission_id").agg(F.count("*").alias("n"), F.count_if("is_correct").alias("c"), F.coalesce(F.avg(weight), F.lit(1.0)).alias("d"))
+    topics = joined.groupBy("submission_id", F.coalesce("unit", F.lit(UNCLASSIFIED)).alias("unit")).agg((F.count_if("is_correct") / F.count("*")).alias("acc"))
     spread = topics.groupBy("submission_id").agg(F.count("*").alias("k"), (F.max("acc") - F.min("acc")).alias("spread"))
     runs = longest_run(joined, "submission_id", "answer_no")
     bonus = 1 + F.when((F.col("k") >= 2) & (F.col("spread") < 0.15), 0.05).otherwise(0) + F.least(F.lit(0.1), 0.005 * F.coalesce("longest", F.lit(0)))
-    score = N.clamp(100 * F.col("c") / F.col("n") * (0.7 + F.col("d") / 10) * bonus, 0.0, 100.0)
-    return base.join(spread, "submission_id", "left").join(runs, "submission_id", "left").select("submission_id", N.js_round_n(score, 1).alias("smart_score"))
+    score = N.clamp(100 * F.col("c") / F.col("n") * F.col("d") * bonus, 0.0, 100.0)
+    return base.join(spread, "submission_id", "left").join(runs, "submission_id", "left").select("submission_id", N.js_round_n(F.round(score, 9), 1).alias("smart_score"))
 
 
 def auto_grade(answers: DataFrame, keys: DataFrame, max_score: float) -> DataFrame:

@@ -56,9 +56,9 @@ def irt(answers: DataFrame, key: str, order: list[str]) -> DataFrame:
         right = F.when(a["is_correct"], 1.0).otherwise(0.0)
         move = F.when(info < 0.001, F.when(a["is_correct"], 0.5).otherwise(-0.5)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (right - p) / info)))
         theta = F.greatest(F.lit(-3.0), F.least(F.lit(3.0), s["theta"] + move))
-        q = N.logistic(theta - b)
         n = s["n"] + 1
-        return F.struct(theta.alias("theta"), (1 / F.sqrt(n * F.greatest(q * (1 - q), F.lit(0.01)))).alias("se"), n.alias("n"))
+        se = F.when(info < 0.001, s["se"]).otherwise(1 / F.sqrt(n * F.greatest(info, F.lit(0.01))))
+        return F.struct(theta.alias("theta"), se.alias("se"), n.alias("n"))
 
     rows = F.transform(F.array_sort(F.collect_list(F.struct(*order, "difficulty", "is_correct"))), lambda r: F.struct(r["difficulty"].alias("difficulty"), r["is_correct"].alias("is_correct")))
     start = F.struct(F.lit(0.0).alias("theta"), F.lit(1.0).alias("se"), F.lit(0).alias("n"))
@@ -66,6 +66,15 @@ def irt(answers: DataFrame, key: str, order: list[str]) -> DataFrame:
     return folded.select(key, "s.theta", "s.se", F.col("s.n").alias("responses"))
 
 
+def ability_profile(abilities: DataFrame) -> DataFrame:
+    """Adds a 0-100 score, its level from 1 (lowest) to 5, and the difficulty band of the next item."""
+    score = N.js_round(N.clamp((F.col("theta") + 3) / 6 * 100, 0.0, 100.0))
+    aim = N.clamp(F.col("theta") + 3.5, 1.0, 6.0)
+    return abilities.withColumns(
+        {"score": score, "level": F.least(F.lit(5).cast("long"), F.floor(score / 20) + 1), "next_low": F.greatest(F.lit(1).cast("long"), F.floor(aim - 0.5)), "next_high": F.least(F.lit(6).cast("long"), F.ceil(aim + 0.5))}
+    )
+
+
 def daily_streaks(active_days: DataFrame, key: str, day: str) -> DataFrame:
     """current (the run that ends on the last active day) and longest run of days for each key."""
     days = active_days.select(key, day).distinct()

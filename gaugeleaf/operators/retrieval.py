@@ -107,21 +107,36 @@ def ai_confidence(*parts: Column) -> Column:
     return F.when(F.size(given) > 0, F.aggregate(given, F.lit(0.0), lambda s, x: s + x) / F.size(given))
 
 
-# Weights (answer or chapter, subject, time, similar) and threshold of the automatic review.
-REVIEW_WEIGHTS = {"exam": ((0.4, 0.3, 0.2, 0.1), 0.85), "textbook": ((0.3, 0.3, 0.2, 0.2), 0.80)}
-
-
-def composite_review(kind: Column, ai: Column, subject: Column, seconds: Column, similar: Column) -> tuple[Column, Column]:
-    """Weighted score and whether it passes its kind's threshold."""
-
-    def weighted(weights: tuple) -> Column:
-        return sum(w * F.coalesce(c, F.lit(0.5)) for w, c in zip(weights, (ai, subject, seconds, similar), strict=True))
-
-    score, passes = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for name, (weights, threshold) in REVIEW_WEIGHTS.items():
-        score = F.when(kind == name, weighted(weights)).otherwise(score)
-        passes = F.when(kind == name, F.lit(threshold)).otherwise(passes)
-    return score, score >= passes
+# Weights of ai, subject, time, similar, chapter and answer, and the threshold, of each kind of review.
+REVIEWS = {
+    "exam": ((0.30, 0.25, 0.20, 0.25, 0.0, 0.0), 0.85),
+    "textbook_with_key": ((0.15, 0.15, 0.10, 0.15, 0.20, 0.25), 0.80),
+    "textbook": ((0.25, 0.20, 0.10, 0.15, 0.30, 0.0), 0.85),
+}
+# Expected seconds of the difficulties one to six.
+EXPECTED_SECONDS = ((30, 120), (60, 180), (90, 300), (150, 420), (240, 600), (360, 900))
+
+
+def time_score(difficulty: Column, seconds: Column) -> Column:
+    """1 inside the expected range of the rounded difficulty, falling in proportion outside; 0.5 without data."""
+    level = N.clamp(N.py_round(difficulty.cast("double")), 1.0, 6.0).cast("int") - 1
+    low = F.get(F.array(*(F.lit(a) for a, _ in EXPECTED_SECONDS)), level)
+    high = F.get(F.array(*(F.lit(b) for _, b in EXPECTED_SECONDS)), level)
+    under = 1.0 - (low - seconds) / F.greatest(low, F.lit(60))
+    over = 1.0 - (seconds - high) / F.greatest(high, F.lit(120))
+    score = F.when(seconds < low, under).when(seconds > high, over).otherwise(1.0)
+    return F.when(difficulty.isNull() | seconds.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), score))
+
+
+def composite_review(kind: Column, *factors: Column) -> tuple[Column, Column]:
+    """Weighted sum of the factors (in the order of REVIEWS) and whether it reaches its kind's threshold."""
+    score = F.lit(None).cast("double")
+    passes = F.lit(None).cast("boolean")
+    for name, (weights, threshold) in REVIEWS.items():
+        own = sum((w * F.coalesce(f, F.lit(0.5)) for w, f in zip(weights, factors, strict=False)), F.lit(0.0))
+        score = F.when(kind == name, own).otherwise(score)
+        passes = F.when(kind == name, F.round(own, 9) >= threshold).otherwise(passes)
+    return score, passes
 
 
 def greedy_selection(candidates: DataFrame, key: str, areas: str, item: str, order: str, each: int, total: int) -> DataFrame:

@@ -226,16 +226,16 @@ def d30(t: Tables):
 
 @query("D31_grade_prediction", """WITH recent AS (SELECT student_id, submission_id, row_number() OVER (PARTITION BY student_id ORDER BY submitted_at DESC, submission_id DESC) AS n FROM submissions WHERE status = 'graded'),
   w AS (SELECT r.student_id, count(*) AS n, CAST(sum(CASE WHEN is_correct THEN difficulty ELSE 0 END) AS DOUBLE) / sum(difficulty) AS acc FROM recent r JOIN answers a USING (submission_id) JOIN problems p USING (problem_id) WHERE r.n <= 50 AND is_correct IS NOT NULL GROUP BY 1)
-  SELECT student_id, CAST(floor(acc * 100 + 0.5) AS BIGINT) AS predicted_score, CASE WHEN acc * 100 >= 95.5 THEN 1 WHEN acc * 100 >= 88.5 THEN 2 WHEN acc * 100 >= 76.5 THEN 3 WHEN acc * 100 >= 59.5 THEN 4 WHEN acc * 100 >= 39.5 THEN 5 WHEN acc * 100 >= 22.5 THEN 6 WHEN acc * 100 >= 10.5 THEN 7 WHEN acc * 100 >= 3.5 THEN 8 ELSE 9 END AS grade, least(1.0, n / 50.0)::DOUBLE AS confidence FROM w""")
+  SELECT student_id, CAST(floor(acc * 100 + 0.5) AS BIGINT) AS predicted_score, CASE WHEN acc * 100 >= 91.5 THEN 1 WHEN acc * 100 >= 84.5 THEN 2 WHEN acc * 100 >= 75.5 THEN 3 WHEN acc * 100 >= 63.5 THEN 4 WHEN acc * 100 >= 49.5 THEN 5 WHEN acc * 100 >= 35.5 THEN 6 WHEN acc * 100 >= 23.5 THEN 7 WHEN acc * 100 >= 11.5 THEN 8 ELSE 9 END AS grade, least(1.0, n / 50.0)::DOUBLE AS confidence FROM w""")
 def d31(t: Tables):
     return A.grade_prediction(t.submissions, t.answers, t.problems)
 
 
 @query("D32_smart_score", """WITH a AS (SELECT n.submission_id, n.answer_no, n.is_correct, p.unit, p.difficulty FROM numbered_answers n JOIN problems p USING (problem_id) WHERE n.is_correct IS NOT NULL),
-  base AS (SELECT submission_id, count(*) AS n, count(*) FILTER (WHERE is_correct) AS c, CAST(sum(difficulty) AS DOUBLE) / count(*) AS d FROM a GROUP BY 1),
-  topics AS (SELECT submission_id, count(*) AS k, max(acc) - min(acc) AS spread FROM (SELECT submission_id, unit, CAST(count(*) FILTER (WHERE is_correct) AS DOUBLE) / count(*) AS acc FROM a WHERE unit IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+  base AS (SELECT submission_id, count(*) AS n, count(*) FILTER (WHERE is_correct) AS c, avg([0.6, 0.8, 1.0, 1.3, 1.6, 1.8][difficulty]::DOUBLE) AS d FROM a GROUP BY 1),
+  topics AS (SELECT submission_id, count(*) AS k, max(acc) - min(acc) AS spread FROM (SELECT submission_id, coalesce(unit, '?') AS unit, CAST(count(*) FILTER (WHERE is_correct) AS DOUBLE) / count(*) AS acc FROM a GROUP BY 1, 2) GROUP BY 1),
   runs AS (SELECT submission_id, max(len) AS longest FROM (SELECT submission_id, g, count(*) AS len FROM (SELECT submission_id, is_correct, sum(CASE WHEN is_correct THEN 0 ELSE 1 END) OVER (PARTITION BY submission_id ORDER BY answer_no) AS g FROM a) WHERE is_correct GROUP BY 1, 2) GROUP BY 1)
-  SELECT submission_id, floor(greatest(0, least(100, 100.0 * c / n * (0.7 + d / 10) * (1 + CASE WHEN k >= 2 AND spread < 0.15 THEN 0.05 ELSE 0 END + least(0.1, 0.005 * coalesce(longest, 0))))) * 10 + 0.5) / 10 AS smart_score FROM base LEFT JOIN topics USING (submission_id) LEFT JOIN runs USING (submission_id)""")
+  SELECT submission_id, floor(round(greatest(0, least(100, 100.0::DOUBLE * c / n * d * (1 + CASE WHEN k >= 2 AND spread < 0.15 THEN 0.05 ELSE 0 END + least(0.1, 0.005::DOUBLE * coalesce(longest, 0))))), 9) * 10 + 0.5) / 10 AS smart_score FROM base LEFT JOIN topics USING (submission_id) LEFT JOIN runs USING (submission_id)""")
 def d32(t: Tables):
     return A.smart_scores(t.numbered_answers, t.problems)
 

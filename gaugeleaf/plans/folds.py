@@ -35,8 +35,8 @@ def k2(t: Tables):
 
 @query("K3_irt", """WITH RECURSIVE r AS (SELECT submission_id, CAST(row_number() OVER (PARTITION BY submission_id ORDER BY answer_no) AS BIGINT) AS z, is_correct, difficulty - 3.5::DOUBLE AS b FROM numbered_answers JOIN problems USING (problem_id) WHERE is_correct IS NOT NULL AND submission_id < 800),
   f AS (SELECT submission_id, CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS theta, CAST(1 AS DOUBLE) AS se FROM (SELECT DISTINCT submission_id FROM r)
-    UNION ALL SELECT submission_id, n, theta, 1 / sqrt(n * greatest(1 / (1 + exp(b - theta)) * (1 - 1 / (1 + exp(b - theta))), 0.01::DOUBLE)) FROM (
-      SELECT f.submission_id, f.n + 1 AS n, r.b, greatest(-3::DOUBLE, least(3::DOUBLE, f.theta + greatest(-1::DOUBLE, least(1::DOUBLE, (CASE WHEN r.is_correct THEN 1 ELSE 0 END - 1 / (1 + exp(r.b - f.theta))) / (1 / (1 + exp(r.b - f.theta)) * (1 - 1 / (1 + exp(r.b - f.theta)))))))) AS theta
+    UNION ALL SELECT submission_id, n, theta, 1 / sqrt(n * greatest(1 / (1 + exp(b - was)) * (1 - 1 / (1 + exp(b - was))), 0.01::DOUBLE)) FROM (
+      SELECT f.submission_id, f.n + 1 AS n, r.b, f.theta AS was, greatest(-3::DOUBLE, least(3::DOUBLE, f.theta + greatest(-1::DOUBLE, least(1::DOUBLE, (CASE WHEN r.is_correct THEN 1 ELSE 0 END - 1 / (1 + exp(r.b - f.theta))) / (1 / (1 + exp(r.b - f.theta)) * (1 - 1 / (1 + exp(r.b - f.theta)))))))) AS theta
       FROM f JOIN r ON r.submission_id = f.submission_id AND r.z = f.n + 1))
   SELECT submission_id, floor(theta * 1000000 + 0.5) / 1000000 AS theta, floor(se * 1000000 + 0.5) / 1000000 AS se, CAST(n AS INTEGER) AS responses FROM (SELECT *, row_number() OVER (PARTITION BY submission_id ORDER BY n DESC) AS y FROM f) WHERE y = 1""")
 def k3(t: Tables):
@@ -45,12 +45,13 @@ def k3(t: Tables):
     return out.withColumns({c: N.js_round_n(F.col(c), 6) for c in ("theta", "se")})
 
 
-@query("K4_next_item_difficulty", "SELECT student_id, CASE WHEN n >= 25 THEN 'stop' WHEN theta < -1 THEN 'easy' WHEN theta <= 1 THEN 'medium' ELSE 'hard' END AS band FROM (SELECT student_id, count(*) AS n, 6.0 * count(*) FILTER (WHERE is_correct) / count(*) - 3 AS theta FROM answers JOIN submissions USING (submission_id) WHERE is_correct IS NOT NULL GROUP BY 1)")
+@query("K4_ability_profile", """SELECT student_id, CAST(floor((theta + 3) / 6 * 100 + 0.5) AS BIGINT) AS score, CAST(least(5, floor(floor((theta + 3) / 6 * 100 + 0.5) / 20) + 1) AS BIGINT) AS level,
+  CAST(greatest(1, floor(greatest(1, least(6, theta + 3.5)) - 0.5)) AS BIGINT) AS next_low, CAST(least(6, ceil(greatest(1, least(6, theta + 3.5)) + 0.5)) AS BIGINT) AS next_high, n >= 25 AS done
+  FROM (SELECT student_id, count(*) AS n, 6.0::DOUBLE * count(*) FILTER (WHERE is_correct) / count(*) - 3 AS theta FROM answers JOIN submissions USING (submission_id) WHERE is_correct IS NOT NULL GROUP BY 1)""")
 def k4(t: Tables):
     theta = 6 * F.count_if("is_correct") / F.count("*") - 3
     each = ordered_answers(t).groupBy("student_id").agg(F.count("*").alias("n"), theta.alias("theta"))
-    band = F.when(F.col("n") >= 25, "stop").when(F.col("theta") < -1, "easy").when(F.col("theta") <= 1, "medium").otherwise("hard")
-    return each.select("student_id", band.alias("band"))
+    return K.ability_profile(each).select("student_id", "score", "level", "next_low", "next_high", (F.col("n") >= 25).alias("done"))
 
 
 @query("K5_daily_streak", """WITH d AS (SELECT DISTINCT student_id, CAST(client_ts AS DATE) AS day FROM learning_events), g AS (SELECT *, day - CAST(row_number() OVER (PARTITION BY student_id ORDER BY day) AS INTEGER) AS island FROM d),

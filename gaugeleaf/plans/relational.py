@@ -221,10 +221,10 @@ def c8(t: Tables):
 
 
 # Nine grade bands, as (grade, least score).
-BANDS = [(1, 96), (2, 89), (3, 77), (4, 60), (5, 40), (6, 23), (7, 11), (8, 4), (9, 0)]
+BANDS = [(1, 92), (2, 85), (3, 76), (4, 64), (5, 50), (6, 36), (7, 24), (8, 12), (9, 0)]
 
 
-@query("C9_range_join", """WITH bands AS (SELECT * FROM (VALUES (1, 96, 101), (2, 89, 96), (3, 77, 89), (4, 60, 77), (5, 40, 60), (6, 23, 40), (7, 11, 23), (8, 4, 11), (9, 0, 4)) b(grade, low, high))
+@query("C9_range_join", """WITH bands AS (SELECT * FROM (VALUES (1, 92, 101), (2, 85, 92), (3, 76, 85), (4, 64, 76), (5, 50, 64), (6, 36, 50), (7, 24, 36), (8, 12, 24), (9, 0, 12)) b(grade, low, high))
   SELECT submission_id, grade FROM submissions JOIN bands ON score >= low AND score < high""")
 def c9(t: Tables):
     uppers = [101, *(low for _, low in BANDS[:-1])]

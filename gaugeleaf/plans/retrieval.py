@@ -92,10 +92,15 @@ def j10(t: Tables):
     return t.problems.select("problem_id", N.js_round_n(J.ai_confidence(a, b), 6).alias("confidence"))
 
 
-@query("J11_auto_review", "SELECT problem_id, floor(s * 1e6 + 0.5) / 1e6 AS score, s >= k AS passes FROM (SELECT problem_id, CASE WHEN problem_type = 'essay' THEN 0.3 * a + 0.3 * b + 0.2 * c + 0.2 * 0.5 ELSE 0.4 * a + 0.3 * b + 0.2 * c + 0.1 * 0.5 END::DOUBLE AS s, CASE WHEN problem_type = 'essay' THEN 0.8 ELSE 0.85 END::DOUBLE AS k FROM (SELECT problem_id, problem_type, least(1, time_sec / 400.0::DOUBLE) AS a, CASE WHEN unit IS NULL THEN 0.5 ELSE 1 END::DOUBLE AS b, difficulty / 6.0::DOUBLE AS c FROM problems))")
+@query("J11_auto_review", """SELECT problem_id, floor(s * 1e6 + 0.5) / 1e6 AS score, round(s, 9) >= k AS passes FROM (SELECT problem_id,
+  CASE WHEN problem_type = 'essay' THEN 0.25 * a + 0.2 * b + 0.1 * c + 0.15 * 0.5 + 0.3 * d ELSE 0.3 * a + 0.25 * b + 0.2 * c + 0.25 * 0.5 END::DOUBLE AS s, 0.85::DOUBLE AS k
+  FROM (SELECT problem_id, problem_type, least(1, time_sec / 400.0::DOUBLE) AS a, CASE WHEN unit IS NULL THEN 0.5 ELSE 1 END::DOUBLE AS b,
+    CASE WHEN time_sec < [30, 60, 90, 150, 240, 360][difficulty] THEN greatest(0, 1.0::DOUBLE - ([30, 60, 90, 150, 240, 360][difficulty] - time_sec) / greatest(60, [30, 60, 90, 150, 240, 360][difficulty])::DOUBLE)
+      WHEN time_sec > [120, 180, 300, 420, 600, 900][difficulty] THEN greatest(0, 1.0::DOUBLE - (time_sec - [120, 180, 300, 420, 600, 900][difficulty]) / greatest(120, [120, 180, 300, 420, 600, 900][difficulty])::DOUBLE) ELSE 1 END AS c, difficulty / 6.0::DOUBLE AS d FROM problems))""")
 def j11(t: Tables):
     kind = F.when(F.col("problem_type") == "essay", "textbook").otherwise("exam")
-    score, passes = J.composite_review(kind, F.least(F.lit(1.0), F.col("time_sec") / 400), F.when(F.col("unit").isNull(), 0.5).otherwise(1.0), F.col("difficulty") / 6, F.lit(None).cast("double"))
+    factors = (F.least(F.lit(1.0), F.col("time_sec") / 400), F.when(F.col("unit").isNull(), 0.5).otherwise(1.0), J.time_score(F.col("difficulty"), F.col("time_sec")), F.lit(None).cast("double"), F.col("difficulty") / 6)
+    score, passes = J.composite_review(kind, *factors)
     return t.problems.select("problem_id", N.js_round_n(score, 6).alias("score"), passes.alias("passes"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numerics as N
 from ..operators import aggregates as A
 from ..operators import graph as G
+from ..operators import retrieval as J
 from ..sources.domain import Tables
 from .registry import query
 
@@ -97,11 +98,10 @@ def h5(t: Tables):
     return t.problems.select("problem_id", N.clamp(d, 2, 5).cast("int").alias("clamped"), N.js_round_n(N.logistic(d - 3.5), 9).alias("logistic"), (F.floor(w / 100) + 1).alias("level"), F.ceil(w / 100).alias("up"))
 
 
-@query("H9_linear_decay", "SELECT problem_id, CASE WHEN time_sec IS NULL THEN 0.5 WHEN time_sec <= difficulty * 60 THEN 1.0 ELSE greatest(0.0, 1.0 - (time_sec - difficulty * 60) / (difficulty * 120.0)) END::DOUBLE AS time_score FROM problems")
+@query("H9_linear_decay", """SELECT problem_id, CASE WHEN time_sec IS NULL THEN 0.5 WHEN time_sec < lo THEN greatest(0, 1.0 - (lo - time_sec) / greatest(lo, 60)::DOUBLE) WHEN time_sec > hi THEN greatest(0, 1.0 - (time_sec - hi) / greatest(hi, 120)::DOUBLE) ELSE 1.0 END::DOUBLE AS time_score
+  FROM (SELECT problem_id, time_sec, [30, 60, 90, 150, 240, 360][difficulty] AS lo, [120, 180, 300, 420, 600, 900][difficulty] AS hi FROM problems)""")
 def h9(t: Tables):
-    limit = F.col("difficulty") * 60
-    decay = F.greatest(F.lit(0.0), 1.0 - (F.col("time_sec") - limit) / (limit * 2))
-    return t.problems.select("problem_id", F.when(F.col("time_sec").isNull(), 0.5).when(F.col("time_sec") <= limit, 1.0).otherwise(decay).alias("time_score"))
+    return t.problems.select("problem_id", J.time_score(F.col("difficulty"), F.col("time_sec")).alias("time_score"))
 
 
 @query("H10_calendar", """SELECT event_id, CAST(client_ts AS DATE) AS day, CAST(date_trunc('week', client_ts) AS DATE) AS monday, CAST(date_trunc('week', client_ts) AS DATE) + 6 AS sunday, CAST(date_trunc('month', client_ts) AS DATE) AS month_start,
@@ -187,10 +187,10 @@ def h35(t: Tables):
     return t.problems.groupBy("subject").agg(median.alias("median_time")).withColumn("threshold", F.greatest(F.lit(18.0), 0.85 * F.col("median_time")))
 
 
-@query("H36_error_type_inference", "SELECT problem_id, CASE WHEN difficulty >= 5 THEN 'concept' WHEN problem_type = 'short_answer' THEN 'calculation' WHEN difficulty <= 2 THEN 'careless' ELSE 'pattern' END AS error_type FROM problems")
+@query("H36_error_type_inference", "SELECT problem_id, CASE WHEN difficulty <= 2 THEN 'careless' WHEN problem_type = 'essay' THEN 'concept' WHEN problem_type = 'short_answer' THEN 'calculation' ELSE 'pattern' END AS error_type FROM problems")
 def h36(t: Tables):
     d = F.col("difficulty")
-    kind = F.when(d >= 5, "concept").when(F.col("problem_type") == "short_answer", "calculation").when(d <= 2, "careless").otherwise("pattern")
+    kind = F.when(d <= 2, "careless").when(F.col("problem_type") == "essay", "concept").when(F.col("problem_type") == "short_answer", "calculation").otherwise("pattern")
     return t.problems.select("problem_id", kind.alias("error_type"))
 
 

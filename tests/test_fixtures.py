@@ -180,3 +180,27 @@ def test_knn_top_then_threshold(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0])], "id long, v array<double>")
     got = J.knn_all_pairs(df, "id", "v", k=2, least=0.5)
     assert values(got, "id", "neighbour") == [(1, 2), (2, 1)]
+
+
+@pytest.mark.parametrize(("d", "seconds", "want"), [(3, 450, 0.5), (1, 20, 0.8333), (3, 200, 1.0), (None, None, 0.5)])
+def test_time_score(spark, d, seconds, want):
+    got = spark.range(1).select(J.time_score(F.lit(d).cast("int"), F.lit(seconds).cast("int")).alias("s")).first().s
+    assert got == pytest.approx(want, abs=1e-4)
+
+
+@pytest.mark.parametrize(("factors", "score", "ok"), [((0.8, 1.0, 1.0, 1.0), 0.94, True), ((0.8, 0.8, 1.0, 0.5), 0.765, False)])
+def test_composite_review(spark, factors, score, ok):
+    got_score, passes = J.composite_review(F.lit("exam"), *map(F.lit, factors))
+    row = spark.range(1).select(got_score.alias("s"), passes.alias("p")).first()
+    assert (row.s, row.p) == (pytest.approx(score), ok)
+
+
+def test_grade_and_smart_score(spark):
+    submissions = spark.createDataFrame([(1, 9, "graded", dt.datetime(2024, 1, 1))], "submission_id int, student_id int, status string, submitted_at timestamp")
+    answers = spark.createDataFrame([(1, 1, True, 1), (1, 2, False, 2), (1, 3, True, 3)], "submission_id int, problem_id int, is_correct boolean, answer_no int")
+    problems = spark.createDataFrame([(1, 3, "A"), (2, 2, "A"), (3, 5, "B")], "problem_id int, difficulty int, unit string")
+    got = A.grade_prediction(submissions, answers, problems).first()
+    assert (got.predicted_score, got.grade, round(got.confidence, 2)) == (80, 3, 0.06)
+    answers = spark.createDataFrame([(1, i, c, i) for i, c in ((1, True), (2, True), (3, False), (4, True))], answers.schema)
+    problems = spark.createDataFrame([(1, 3, "A"), (2, 4, "A"), (3, 5, "B"), (4, None, "B")], problems.schema)
+    assert A.smart_scores(answers, problems).first().smart_score == 98.5

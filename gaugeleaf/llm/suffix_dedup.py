@@ -231,8 +231,10 @@ def found_by_windows(contexts: DataFrame, length: int) -> DataFrame:
                 )
 
     windows = contexts.dropDuplicates(["gram", "context"]).mapInArrow(run, "gram long, context long, n long, window long, before int")
-    twice = windows.groupBy("gram", "window").agg(F.sum("n").alias("times")).where("times > 1").select("gram", "window")
-    found = windows.join(twice, ["gram", "window"])
+    # the anchor's place in the window is part of the key: one window seen from two of its anchors is one occurrence
+    key = ["gram", "window", "before"]
+    twice = windows.groupBy(*key).agg(F.sum("n").alias("times")).where("times > 1").select(*key)
+    found = windows.join(twice, key)
     return found.groupBy("gram", "context").agg(F.max("before").alias("reach_left"), F.max(F.lit(length) - F.col("before")).cast("int").alias("reach_right"))
 
 

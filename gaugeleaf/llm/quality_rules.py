@@ -23,63 +23,68 @@ from pyspark.sql import functions as F
 
 # The measures' character classes and the base rule's limits.
 WHITE = r"[\x20\x09-\x0D]+"
-NOT_WHITE = r"[^\x20\x09-\x0D]"
-SYMBOLS = "#*$%&|<>"
+WHITE_CHARACTERS = " \t\n\x0b\x0c\r"
+SYMBOLS = "[#*$%&|<>]"
 LEAST_WORDS = 20
 REPEAT_WINDOW = 8
 MOST_REPEATED_PERCENT = 30
 
 
-def repeated_words(words: Column, size: int = REPEAT_WINDOW) -> Column:
-    """Words in windows of size (a power of two) words that occur twice or more in the array."""
+def with_repeated_words(df: DataFrame, words: str, name: str, size: int = REPEAT_WINDOW) -> DataFrame:
+    """Adds name: words in windows of size (a power of two) words that occur twice or more in the array.
 
-    def doubled(hashes: Column, step: int) -> Column:
-        n = F.size(hashes) - step
-        return F.zip_with(F.slice(hashes, F.lit(1), n), F.slice(hashes, F.lit(1 + step), n), lambda a, b: F.xxhash64(a, b))
+    One column a step: an expression that uses an array several times then reads it from the row
+    instead of computing it again.
+    """
+    steps = []
 
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    def column(step: str, value: Column) -> Column:
+        nonlocal df
+        steps.append(f"__{step}")
+        df = df.withColumn(f"__{step}", value)
+        return F.col(f"__{step}")
+
+    hashes = column("hash1", F.transform(words, lambda w: F.xxhash64(w)))
     step = 1
     while step < size:
-        hashes, step = doubled(hashes, step), 2 * step
-
-    def covered(windows: Column) -> Column:
-        # sorted (hash, place): a window that equals a neighbour occurs again
-        placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        n = F.size(placed)
-        before = F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), F.slice(placed, F.lit(1), n - 1))
-        after = F.concat(F.slice(placed, F.lit(2), n - 1), F.array(F.lit(None).cast("struct<h:bigint,i:int>")))
-        same = F.zip_with(placed, F.zip_with(before, after, lambda b, a: F.struct(b["h"].alias("b"), a["h"].alias("a"))), lambda p, q: F.when((p["h"] == q["b"]) | (p["h"] == q["a"]), p["i"]))
-        places = F.array_sort(F.filter(same, lambda i: i.isNotNull()))
-        gaps = F.zip_with(places, F.slice(places, F.lit(2), F.greatest(F.size(places) - 1, F.lit(0))), lambda a, b: F.least(F.coalesce(b - a, F.lit(size)), F.lit(size)))
-        return F.aggregate(gaps, F.lit(0).cast("long"), lambda n, g: n + g)
-
-    none = F.lit(0).cast("long")
-    # two calls of transform bind an array once each, so that it is computed once
-    found = F.element_at(
-        F.transform(
-            F.array(hashes),
-            lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(covered(h)),
-        ),
-        1,
-    )
-    return F.when(F.size(words) <= size, none).otherwise(found)
+        n = F.greatest(F.size(hashes) - step, F.lit(0))
+        ahead = F.slice(hashes, F.lit(1 + step), n)
+        hashes = column(f"hash{2 * step}", F.zip_with(F.slice(hashes, F.lit(1), n), ahead, lambda a, b: F.xxhash64(a, b)))
+        step *= 2
+    repeats = F.size(F.array_distinct(hashes)) < F.size(hashes)
+    # sorted (hash, place): a window that equals a neighbour occurs again; texts without repeats stop here with null
+    placed = column("placed", F.when(repeats, F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    n = F.size(placed) - 1
+    twins = column("twins", F.zip_with(F.slice(placed, F.lit(1), n), F.slice(placed, F.lit(2), n), lambda p, q: F.when(p["h"] == q["h"], F.array(p["i"], q["i"]))))
+    places = column("places", F.sort_array(F.array_distinct(F.flatten(F.filter(twins, lambda x: x.isNotNull())))))
+    nexts = F.slice(places, F.lit(2), F.greatest(F.size(places) - 1, F.lit(0)))
+    gaps = F.zip_with(places, nexts, lambda a, b: F.least(F.coalesce(b - a, F.lit(size)), F.lit(size)))
+    total = F.aggregate(gaps, F.lit(0).cast("long"), lambda n, g: n + g)
+    return df.withColumn(name, F.coalesce(total, F.lit(0).cast("long"))).drop(*steps)
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(body, "\n", -1), lambda s: s.rlike(NOT_WHITE))
-    first = docs.withColumns({"__words": F.filter(F.split(body, WHITE, -1), lambda w: w != ""), "__lines": lines})
-    return first.withColumns(
+    names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+    out = docs.drop(*names).withColumn("__body", F.coalesce(F.col(text), F.lit("")))
+    out = out.withColumn("__trimmed", F.btrim("__body", F.lit(WHITE_CHARACTERS)))
+    none = F.array().cast("array<string>")
+    out = out.withColumns(
+        {
+            "__words": F.when(F.col("__trimmed") == "", none).otherwise(F.split("__trimmed", WHITE, -1)),
+            "__lines": F.filter(F.split("__body", "\n", -1), lambda s: F.btrim(s, F.lit(WHITE_CHARACTERS)) != ""),
+        }
+    )
+    out = out.withColumns(
         {
             "n_words": F.size("__words").cast("long"),
-            "word_chars": F.length(F.regexp_replace(body, WHITE, "")).cast("long"),
-            "n_symbols": (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long"),
+            "word_chars": F.length(F.concat_ws("", "__words")).cast("long"),
+            "n_symbols": F.regexp_count("__body", F.lit(SYMBOLS)).cast("long"),
             "n_lines": F.size("__lines").cast("long"),
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-            "n_repeat_words": repeated_words(F.col("__words")),
         }
-    ).drop("__words", "__lines")
+    )
+    return with_repeated_words(out, "__words", "n_repeat_words").drop("__body", "__trimmed", "__words", "__lines")
 
 
 def base_failed() -> Column:

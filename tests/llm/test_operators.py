@@ -313,12 +313,13 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script
 of {n}&nbsp;text.</p><form>Sign up</form></article><div id="comments"><p>reader {n}</p></div><footer>&copy; host</footer></body></html>"""
 
 
-def test_html(spark):
+@pytest.mark.parametrize("broadcast_bytes", [64 << 20, -1])
+def test_html(spark, broadcast_bytes):
     from gaugeleaf.llm.html_extract import extract
 
     rows = [(i, f"http://a.example/{i}", PAGE.format(n=i), "old") for i in range(6)]
     rows += [(100, None, None, ""), (101, "http://b.example/", "", ""), (102, "x", "<p>only a block", ""), (103, "http://c.example/", "plain &lt;text&gt;", ""), rows[0]]
-    got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string"), broadcast_bytes=broadcast_bytes).collect()
     assert len(got) == len(rows)
     texts = {r.page_id: r.text for r in got}
     for i in range(6):

@@ -40,6 +40,20 @@ def daily_windows(events: DataFrame) -> DataFrame:
     return counted.select("student_id", F.to_date("window.start").alias("day"), "viewed", "solved", "correct", "duration_ms", F.size("sessions").cast("long").alias("n_sessions"))
 
 
+def versions(spark, path: str) -> list[int]:
+    """Numbers of the finished versions of a table kept by upsert_batches."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(folder):
+        return []
+    found = [f.getPath() for f in store.listStatus(folder)]
+    return sorted(int(f.getName().split("=")[1]) for f in found if store.exists(spark._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS")))
+
+
+def latest_version(spark, path: str) -> str:
+    return f"{path}/version={versions(spark, path)[-1]}"
+
+
 def upsert_batches(path: str, keys: list[str]):
     """A foreachBatch function that keeps the latest row of each key: every batch writes a new version beside the last.
 
@@ -48,14 +62,10 @@ def upsert_batches(path: str, keys: list[str]):
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        earlier = [v for v in versions(spark, path) if v < number]
         merged = batch
-        if number > 0:
-            try:
-                last = spark.read.parquet(f"{path}/version={number - 1}")
-                merged = last.join(batch.select(*keys), keys, "left_anti").unionByName(batch)
-            except Exception as error:  # the first batch may have another number
-                if "PATH_NOT_FOUND" not in str(error):
-                    raise
+        if earlier:
+            merged = spark.read.parquet(f"{path}/version={earlier[-1]}").join(batch.select(*keys), keys, "left_anti").unionByName(batch)
         merged.write.mode("overwrite").parquet(f"{path}/version={number}")
 
     return write

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import aggregates, documents, folds, relational, retrieval, streams, windows  # noqa: F401
+from . import aggregates, documents, folds, relational, retrieval, streams, windows, workbooks  # noqa: F401
 from .registry import QUERIES, SQL
 
 

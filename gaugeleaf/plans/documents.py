@@ -25,9 +25,9 @@ def numbered_lines(t: Tables):
 NUMBERED = "SELECT subject, n * 2 AS line_number, CASE WHEN difficulty > 2 THEN concat(n, '. ', stem) ELSE concat(n, '.5 ', stem) END AS text, CASE WHEN difficulty > 2 AND n <= 50 THEN n END AS opens FROM (SELECT subject, stem, difficulty, row_number() OVER (PARTITION BY subject ORDER BY problem_id) AS n FROM problems)"
 
 
-@query("A4_json_pages_source", "SELECT doc_id, 1 AS page_number, CAST(1 AS INTEGER) AS line_number, substring(text, 1, 20) AS text FROM documents WHERE trim(substring(text, 1, 20), ' ') <> ''")
+@query("A4_json_pages_source", "SELECT doc_id, 1 AS page_number, CAST(1 AS INTEGER) AS line_number, text FROM documents WHERE trim(text, ' ') <> ''")
 def a4(t: Tables):
-    line = F.struct(F.substring("text", 1, 20).alias("text"), F.lit("text").alias("type"))
+    line = F.struct("text", F.lit("text").alias("type"))
     page = lambda n: F.struct(F.lit(n).alias("page"), F.array(line).alias("lines"))
     packed = t.documents.select("doc_id", F.to_json(F.struct(F.array(page(0), page(1)).alias("pages"))).alias("json"))
     return D.page_lines(packed, "doc_id", "json").select("doc_id", "page_number", "line_number", "text")

@@ -23,24 +23,24 @@ def k1(t: Tables):
     return K.mastery(ordered_answers(t), ["student_id"], ["submission_id", "answer_no"]).select("submission_id", "answer_no", "attempt", "streak", "state")
 
 
-@query("K2_sm2", """WITH RECURSIVE r AS (SELECT submission_id, answer_no, problem_id % 6 AS q FROM numbered_answers WHERE submission_id < 800),
+@query("K2_sm2", """WITH RECURSIVE r AS (SELECT submission_id, answer_no, problem_id % 6 AS q FROM numbered_answers),
   f AS (SELECT submission_id, CAST(0 AS BIGINT) AS k, CAST(1 AS BIGINT) AS i, CAST(2.5 AS DOUBLE) AS e, 0 AS n FROM (SELECT DISTINCT submission_id FROM r)
     UNION ALL SELECT f.submission_id, f.k + 1, CASE WHEN q >= 3 THEN CASE WHEN f.n = 0 THEN 1 WHEN f.n = 1 THEN 6 ELSE CAST(floor(f.i * f.e + 0.5) AS BIGINT) END ELSE 1 END,
       greatest(1.3::DOUBLE, f.e + 0.1::DOUBLE - (5 - q) * (0.08::DOUBLE + (5 - q) * 0.02::DOUBLE)), CASE WHEN q >= 3 THEN f.n + 1 ELSE 0 END FROM f JOIN r ON r.submission_id = f.submission_id AND r.answer_no = f.k + 1)
   SELECT submission_id, i AS "interval", floor(e * 1000000 + 0.5) / 1000000 AS ease_factor, n AS repetitions FROM (SELECT *, row_number() OVER (PARTITION BY submission_id ORDER BY k DESC) AS z FROM f) WHERE z = 1""")
 def k2(t: Tables):
-    reviews = t.numbered_answers.where("submission_id < 800").withColumn("quality", F.col("problem_id") % 6)
+    reviews = t.numbered_answers.withColumn("quality", F.col("problem_id") % 6)
     return K.sm2(reviews, "submission_id", ["answer_no"], "quality").withColumn("ease_factor", N.js_round_n(F.col("ease_factor"), 6))
 
 
-@query("K3_irt", """WITH RECURSIVE r AS (SELECT submission_id, CAST(row_number() OVER (PARTITION BY submission_id ORDER BY answer_no) AS BIGINT) AS z, is_correct, difficulty - 3.5::DOUBLE AS b FROM numbered_answers JOIN problems USING (problem_id) WHERE is_correct IS NOT NULL AND submission_id < 800),
+@query("K3_irt", """WITH RECURSIVE r AS (SELECT submission_id, CAST(row_number() OVER (PARTITION BY submission_id ORDER BY answer_no) AS BIGINT) AS z, is_correct, difficulty - 3.5::DOUBLE AS b FROM numbered_answers JOIN problems USING (problem_id) WHERE is_correct IS NOT NULL),
   f AS (SELECT submission_id, CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS theta, CAST(1 AS DOUBLE) AS se FROM (SELECT DISTINCT submission_id FROM r)
     UNION ALL SELECT submission_id, n, theta, 1 / sqrt(n * greatest(1 / (1 + exp(b - was)) * (1 - 1 / (1 + exp(b - was))), 0.01::DOUBLE)) FROM (
       SELECT f.submission_id, f.n + 1 AS n, r.b, f.theta AS was, greatest(-3::DOUBLE, least(3::DOUBLE, f.theta + greatest(-1::DOUBLE, least(1::DOUBLE, (CASE WHEN r.is_correct THEN 1 ELSE 0 END - 1 / (1 + exp(r.b - f.theta))) / (1 / (1 + exp(r.b - f.theta)) * (1 - 1 / (1 + exp(r.b - f.theta)))))))) AS theta
       FROM f JOIN r ON r.submission_id = f.submission_id AND r.z = f.n + 1))
   SELECT submission_id, floor(theta * 1000000 + 0.5) / 1000000 AS theta, floor(se * 1000000 + 0.5) / 1000000 AS se, CAST(n AS INTEGER) AS responses FROM (SELECT *, row_number() OVER (PARTITION BY submission_id ORDER BY n DESC) AS y FROM f) WHERE y = 1""")
 def k3(t: Tables):
-    answers = t.numbered_answers.where("is_correct is not null and submission_id < 800").join(t.problems.select("problem_id", "difficulty"), "problem_id")
+    answers = t.numbered_answers.where("is_correct is not null").join(t.problems.select("problem_id", "difficulty"), "problem_id")
     out = K.irt(answers, "submission_id", ["answer_no"])
     return out.withColumns({c: N.js_round_n(F.col(c), 6) for c in ("theta", "se")})
 

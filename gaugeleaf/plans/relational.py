@@ -43,9 +43,9 @@ def a14(t: Tables):
     return hashed.join(first, ["source", "content_hash"]).select("doc_id", "content_hash", "registered_as", (F.col("doc_id") == F.col("registered_as")).alias("is_new"))
 
 
-@query("A16_insert_select", "SELECT student_id, class_id, CAST(30000 AS INTEGER) AS amount, 'pending' AS status, '2024-02' AS billing_month FROM students WHERE class_id < 5")
+@query("A16_insert_select", "SELECT student_id, class_id, CAST(30000 AS INTEGER) AS amount, 'pending' AS status, '2024-02' AS billing_month FROM students")
 def a16(t: Tables):
-    return t.students.where("class_id < 5").select("student_id", "class_id", F.lit(30000).alias("amount"), F.lit("pending").alias("status"), F.lit("2024-02").alias("billing_month"))
+    return t.students.select("student_id", "class_id", F.lit(30000).alias("amount"), F.lit("pending").alias("status"), F.lit("2024-02").alias("billing_month"))
 
 
 @query("A17_conditional_bulk_update", """SELECT submission_id, CASE WHEN status = 'submitted' AND submitted_at < TIMESTAMP '1997-01-01' THEN 'late' ELSE status END AS status,
@@ -364,9 +364,9 @@ def f8(t: Tables):
     return found.select("request_id", "problem_id", "level")
 
 
-@query("F9_stable_sort", "SELECT submission_id, problem_id, answer_no FROM numbered_answers WHERE submission_id < 200 ORDER BY is_correct NULLS FIRST, submission_id, answer_no")
+@query("F9_stable_sort", "SELECT submission_id, problem_id, answer_no FROM numbered_answers ORDER BY is_correct NULLS FIRST, submission_id, answer_no")
 def f9(t: Tables):
-    return t.numbered_answers.where("submission_id < 200").orderBy("is_correct", "submission_id", "answer_no").select("submission_id", "problem_id", "answer_no")
+    return t.numbered_answers.orderBy("is_correct", "submission_id", "answer_no").select("submission_id", "problem_id", "answer_no")
 
 
 @query("F10_byte_order_sort", "SELECT concat(subject, '::', unit) AS k, row_number() OVER (ORDER BY concat(subject, '::', unit)) AS n FROM (SELECT DISTINCT subject, unit FROM problems WHERE unit IS NOT NULL)")

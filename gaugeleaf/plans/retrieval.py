@@ -126,7 +126,7 @@ def weak_areas(t: Tables):
 def j13(t: Tables):
     areas = weak_areas(t)
     pool = t.problems.where("review_status = 'approved'").select("problem_id", "node_id", "difficulty")
-    candidates = areas.where("student_id < 500").join(pool, "node_id")
+    candidates = areas.join(pool, "node_id")
     return J.greedy_selection(candidates, "student_id", "node_id", "problem_id", "difficulty", each=3, total=5)
 
 
@@ -156,10 +156,10 @@ def j16(t: Tables):
     return counted.withColumn("feasibility", F.when(F.col("available") == 0, "impossible").when(F.col("available") < 5, "tight").otherwise("ok"))
 
 
-@query("J17_usage_exclusion", "SELECT problem_id FROM problems WHERE problem_id NOT IN (SELECT a.problem_id FROM answers a JOIN submissions s USING (submission_id) WHERE s.class_id = 3 AND a.answered_at >= TIMESTAMP '2000-01-01') AND problem_id > 10")
+@query("J17_usage_exclusion", "SELECT problem_id FROM problems WHERE problem_id NOT IN (SELECT a.problem_id FROM answers a JOIN submissions s USING (submission_id) WHERE s.class_id = 3 AND a.answered_at >= TIMESTAMP '2000-01-01') AND review_status <> 'rejected'")
 def j17(t: Tables):
     used = t.answers.where("answered_at >= timestamp'2000-01-01'").join(t.submissions.where("class_id = 3"), "submission_id", "left_semi")
-    return O.excluding(t.problems.where("problem_id > 10").select("problem_id"), used, ["problem_id"])
+    return O.excluding(t.problems.where("review_status <> 'rejected'").select("problem_id"), used, ["problem_id"])
 
 
 @query("J18_class_monitor", "SELECT u.student_id, u.class_id, count(s.submission_id) AS n, CASE WHEN count(s.submission_id) = 0 THEN 'inactive' WHEN max(s.submitted_at) < TIMESTAMP '1998-01-01' THEN 'stuck' WHEN min(s.score) < 20 THEN 'struggling' ELSE 'fine' END AS alert FROM students u LEFT JOIN submissions s USING (student_id) GROUP BY 1, 2")
@@ -170,11 +170,11 @@ def j18(t: Tables):
     return joined.select("student_id", "class_id", "n", alert.alias("alert"))
 
 
-@query("J19_achievements", "WITH m AS (SELECT student_id, count(*) AS n, count(*) FILTER (WHERE score >= 90) AS top FROM submissions GROUP BY 1) SELECT student_id, unnest(list_filter([CASE WHEN n >= 5 THEN 'busy' END, CASE WHEN n >= 15 THEN 'tireless' END, CASE WHEN top >= 1 THEN 'excellent' END], lambda x: x IS NOT NULL)) AS achievement FROM m WHERE student_id % 10 <> 3")
+@query("J19_achievements", "WITH m AS (SELECT student_id, count(*) AS n, count(*) FILTER (WHERE score >= 90) AS top FROM submissions GROUP BY 1) SELECT student_id, unnest(list_filter([CASE WHEN n >= 5 THEN 'busy' END, CASE WHEN n >= 15 THEN 'tireless' END, CASE WHEN top >= 1 THEN 'excellent' END], lambda x: x IS NOT NULL)) AS achievement FROM m WHERE student_id NOT IN (SELECT student_id FROM students WHERE segment = 'BUILDING')")
 def j19(t: Tables):
     m = t.submissions.groupBy("student_id").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= 90).alias("top"))
     rules = F.array(F.when(F.col("n") >= 5, "busy"), F.when(F.col("n") >= 15, "tireless"), F.when(F.col("top") >= 1, "excellent"))
-    earned = t.students.where("student_id % 10 = 3")
+    earned = t.students.where("segment = 'BUILDING'")
     return m.select("student_id", F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("achievement")).join(earned, "student_id", "left_anti")
 
 

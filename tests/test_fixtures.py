@@ -203,3 +203,24 @@ def test_grade_and_smart_score(spark):
     answers = spark.createDataFrame([(1, i, c, i) for i, c in ((1, True), (2, True), (3, False), (4, True))], answers.schema)
     problems = spark.createDataFrame([(1, 3, "A"), (2, 4, "A"), (3, 5, "B"), (4, None, "B")], problems.schema)
     assert A.smart_scores(answers, problems).first().smart_score == 98.5
+
+
+def test_workbook_items(spark):
+    from gaugeleaf.operators import workbook as B
+
+    page5 = ["01 지수와 로그", "예제 1 거듭제곤근", "³√(27/³√27) × ⁵√9의 값은?", "① ³√3  ② √3  ③ 1  ④ 3  ⑤ 9", "잠깐이", "a>0, b>0이고", "풀이", "³√27=3이므로", "답 ④", "유제", "[26008-0001]", "1", "⁵√(-3.2)×10⁶의 값은?", "① -20  ② -16", "[26008-0002]", "8 이하의 자연수 a, b에 대하여"]
+    page14 = ["Level 1 기초 연습", "[26008-0011]", "1", "⁴√81 × ⁶√8의 값은?", "한눈에 보는 정답", "[26008-0099]", "1", "끝"]
+    rows = [("d", p, i, t) for p, lines in ((5, page5), (14, page14)) for i, t in enumerate(lines)]
+    items = B.coded_items(spark.createDataFrame(rows, "doc_id string, page_number int, line_number int, text string"), "doc_id").collect()
+    by = {(r.section, r.number): r for r in items}
+    assert set(by) == {("example", 1), ("practice", 1), ("practice", 2), ("level1", 1)}
+    example = by["example", 1]
+    assert (example.answer, example.stem.split("\n")[0], example.hint, example.solution) == ("④", "거듭제곤근", "a>0, b>0이고", "³√27=3이므로")
+    assert by["practice", 2].code == "26008-0002"
+
+
+def test_view_box(spark):
+    rows = [("s", 1, i, t, 100.0, 40.0 * i, 30.0) for i, t in enumerate(("문제", "<보기>", "ㄱ. 하나", "ㄴ. 둘", "ㄷ. 셋"))]
+    df = spark.createDataFrame(rows, "seg string, page_number int, line_number int, text string, bbox_x double, bbox_y double, bbox_h double")
+    got = D.boxed_layout(df, ["seg"]).first()
+    assert (got.kind, got.n_columns, got.n_lines, got.x) == ("view", 1, 4, 100.0)

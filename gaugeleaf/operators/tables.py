@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import fresh_path
+
 
 def all_of(*conditions: Column | None) -> Column:
     """The conjunction of the conditions that are given; true without any."""
@@ -64,6 +66,24 @@ def latest_per(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return ranked.where("__n = 1").drop("__n")
 
 
+def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """Adds the place of every row in one order, without bringing the rows together.
+
+    Rows are range-partitioned and written once (a second sampling could draw other borders); a row's
+    place is the size of the earlier partitions and its place in its own.  The order must be total.
+    """
+    spark = df.sparkSession
+    parted = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    path = fresh_path(spark, "ranked")
+    parted.write.parquet(path)
+    parted = spark.read.schema(parted.schema).parquet(path)
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parted.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    local = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    # one row for each partition
+    return parted.join(F.broadcast(offsets), "__part").withColumn(name, local + F.col("__before")).drop("__part", "__before")
+
+
 def page(df: DataFrame, order: list[Column], number: int, size: int, most: int = 100) -> DataFrame:
     """One page, counted from 1; the size is capped."""
     size = max(1, min(size, most))

@@ -372,7 +372,7 @@ def f9(t: Tables):
 @query("F10_byte_order_sort", "SELECT concat(subject, '::', unit) AS k, row_number() OVER (ORDER BY concat(subject, '::', unit)) AS n FROM (SELECT DISTINCT subject, unit FROM problems WHERE unit IS NOT NULL)")
 def f10(t: Tables):
     keys = t.problems.where("unit is not null").select(F.concat_ws("::", "subject", "unit").alias("k")).distinct()
-    return keys.select("k", F.row_number().over(Window.orderBy("k")).cast("long").alias("n"))
+    return O.global_rank(keys, [F.col("k")], "n")
 
 
 @query("F11_unordered_take", "SELECT problem_id FROM problems WHERE review_status = 'approved' ORDER BY problem_id LIMIT 10")

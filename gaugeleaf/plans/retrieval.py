@@ -58,10 +58,10 @@ def j6(t: Tables):
   SELECT id, floor((coalesce(1.0 / (60 + kw.rank), 0) + coalesce(1.0 / (60 + sem.rank), 0)) * 1000000000 + 0.5) / 1000000000 AS score, count(*) OVER () AS total FROM kw FULL JOIN sem USING (id) ORDER BY coalesce(1.0 / (60 + kw.rank), 0) + coalesce(1.0 / (60 + sem.rank), 0) DESC, id LIMIT 20""")
 def j7(t: Tables):
     hits = J.keyword_matches(t.problems, "stem", ["red"]).select(F.col("problem_id").alias("id"), F.size(J.tokens(F.col("stem"))).alias("n"))
-    keyword = hits.select("id", F.row_number().over(Window.orderBy("n", "id")).alias("rank"))
+    keyword = O.global_rank(hits, [F.col("n"), F.col("id")])
     q = t.embeddings.where("vec_id = 7").select(F.col("embedding").alias("q"))
     scored = t.embeddings.crossJoin(F.broadcast(q)).select(F.col("vec_id").alias("id"), F.round(N.cosine(F.col("embedding"), F.col("q")), 12).alias("c"))
-    semantic = scored.select("id", F.row_number().over(Window.orderBy(F.desc("c"), "id")).alias("rank"))
+    semantic = O.global_rank(scored, [F.desc("c"), F.col("id")])
     fused = J.reciprocal_rank_fusion([keyword, semantic], "id")
     total = fused.agg(F.count("*").alias("total"))
     top = fused.orderBy(F.desc("score"), "id").limit(20)

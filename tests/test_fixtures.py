@@ -224,3 +224,10 @@ def test_view_box(spark):
     df = spark.createDataFrame(rows, "seg string, page_number int, line_number int, text string, bbox_x double, bbox_y double, bbox_h double")
     got = D.boxed_layout(df, ["seg"]).first()
     assert (got.kind, got.n_columns, got.n_lines, got.x) == ("view", 1, 4, 100.0)
+
+
+def test_global_rank(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"))
+    got = O.global_rank(df, [F.desc("x")])
+    assert all(r.x + r["rank"] == 1000 for r in got.collect())
+    assert O.global_rank(df.limit(0), [F.col("x")]).collect() == []

@@ -1,20 +1,20 @@
 """Uniform shuffle into shards of exact sizes by a hypergeometric communication matrix.
 
 Every partition of the input counts its rows.  The driver draws, from those
-counts alone, how many rows each partition sends to each cell; a cell is a
-fixed slice of a shard, so the matrix has (partitions x cells) numbers and
-never a row of data.  Each partition then gives its rows the drawn labels in a
-random order (the local permutation), rows are exchanged by cell, and a cell is
-permuted again.  Cells have exact sizes, so a row's slot in its shard is the
-size of the shard's earlier cells and its place in its own: no task ever sees a
-whole shard.
+counts alone, how many rows each partition sends to each shard: a matrix of
+(partitions x shards) numbers and never a row of data.  Each partition then
+gives its rows the drawn labels in a random order (the local permutation) and
+rows are exchanged.  The second permutation is a sort by a random key: a shard
+is dealt into cells by ranges of the key, so that no task sees a whole shard,
+and a row's slot is the size of the shard's earlier cells and its place in its
+own.
 
 Law: ``rows``: the shards' row counts differ by one at most, and every
 assignment is equally likely.
 
 Edge cases: null texts count as empty; an empty table gives empty shards; equal
 rows are placed independently; a partition whose row count changes between the
-two passes fails loudly instead of giving wrong sizes.
+passes fails loudly instead of giving wrong sizes.
 """
 
 from __future__ import annotations
@@ -47,56 +47,52 @@ def communication_matrix(counts: np.ndarray, capacities: np.ndarray, seed: int)
     return out
 
 
-def cell_sizes(rows: int, shards: int, cell_rows: int) -> list[tuple[int, int, int]]:
-    """(shard, slot of the first row, size) of every cell."""
-    out = []
-    for s in range(shards):
-        size = rows // shards + (s < rows % shards)
-        cells = max(1, -(-size // cell_rows))
-        at = 0
-        for c in range(cells):
-            n = size // cells + (c < size % cells)
-            out.append((s, at, n))
-            at += n
-    return out
+def shard_sizes(rows: int, shards: int) -> np.ndarray:
+    return np.array([rows // shards + (k < rows % shards) for k in range(shards)], dtype=np.int64)
 
 
 def shuffle_into_shards(docs: DataFrame, shards: int = 16, seed: int = 7, cell_rows: int = 20_000) -> DataFrame:
     """docs with shard and slot (gapless from 0 within a shard); columns of those names are replaced."""
-    spark = docs.sparkSession
     docs = docs.drop("shard", "slot")
+    first = docs.columns[0]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = sum(b.num_rows for b in batches)
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["p", "n"])
 
-    first = docs.columns[0]
     found = {r["p"]: r["n"] for r in docs.select(first).mapInArrow(count, "p int, n long").collect()}
     counts = np.array([found.get(p, 0) for p in range(max(found, default=-1) + 1)], dtype=np.int64)
-    cells = cell_sizes(int(counts.sum()), shards, cell_rows)
-    matrix = communication_matrix(counts, np.array([n for _, _, n in cells]), seed)
-    # sparse rows: a partition needs only its own
-    sent = spark.sparkContext.broadcast([(np.flatnonzero(row).astype(np.int32), row[row > 0]) for row in matrix])
-    schema = T.StructType([*docs.schema.fields, T.StructField("__cell", T.IntegerType()), T.StructField("__key", T.LongType())])
+    total = int(counts.sum())
+    # one row of shard counts for each partition
+    sent = docs.sparkSession.sparkContext.broadcast(communication_matrix(counts, shard_sizes(total, shards), seed))
+    cells = max(1, -(-total // (shards * cell_rows)))
 
     def permute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = TaskContext.get().partitionId()
-        drawn = sent.value[p] if p < len(sent.value) else (np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64))
+        drawn = sent.value[p] if p < len(sent.value) else np.zeros(shards, dtype=np.int64)
         draw = np.random.default_rng([seed, p])
-        labels = draw.permutation(np.repeat(*drawn))
+        labels = draw.permutation(np.repeat(np.arange(shards, dtype=np.int32), drawn))
+        keys = draw.integers(0, (1 << 63) - 1, len(labels))
         at = 0
         for batch in batches:
-            mine = labels[at : at + batch.num_rows]
-            at += batch.num_rows
-            if len(mine) < batch.num_rows:
+            end = at + batch.num_rows
+            if end > len(labels):
                 raise RuntimeError(f"partition {p} has more rows than were counted")
-            keys = draw.integers(-(1 << 63), (1 << 63) - 1, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mine, pa.int32()), pa.array(keys, pa.int64())], names=[*batch.schema.names, "__cell", "__key"])
+            own = keys[at:end]
+            cell = np.minimum((own / 2.0**63 * cells).astype(np.int64), cells - 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels[at:end]), pa.array(cell), pa.array(own)], names=[*batch.schema.names, "shard", "__cell", "__key"])
+            at = end
         if at < len(labels):
             raise RuntimeError(f"partition {p} has fewer rows than were counted")
 
-    within = Window.partitionBy("__cell").orderBy("__key", first)
-    table = F.broadcast(spark.createDataFrame([(k, s, at) for k, (s, at, _) in enumerate(cells)], "__cell int, shard int, __first long"))
-    placed = docs.mapInArrow(permute, schema).withColumn("__row", F.row_number().over(within))
-    out = placed.join(table, "__cell").withColumn("slot", F.col("__first") + F.col("__row") - 1)
+    def labelled(df: DataFrame) -> DataFrame:
+        return df.mapInArrow(permute, T.StructType([*df.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("__cell", T.LongType()), T.StructField("__key", T.LongType())]))
+
+    # labels depend on the seed and the place of a row only, so one column is enough to count the cells
+    sizes = labelled(docs.select(first)).groupBy("shard", "__cell").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy("shard").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("shard", "__cell", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__first"))
+    within = Window.partitionBy("shard", "__cell").orderBy("__key", first)
+    placed = labelled(docs).withColumn("__row", F.row_number().over(within))
+    out = placed.join(offsets, ["shard", "__cell"]).withColumn("slot", F.col("__first") + F.col("__row") - 1)
     return out.select(*docs.columns, "shard", "slot")

@@ -227,7 +227,7 @@ def test_quality_rules(docs, nothing):
 
 
 def test_sharding(docs, nothing):
-    from gaugeleaf.llm.sharding import cell_sizes, communication_matrix, shuffle_into_shards
+    from gaugeleaf.llm.sharding import communication_matrix, shard_sizes, shuffle_into_shards
 
     for cell_rows in (20_000, 2):
         rows = shuffle_into_shards(docs.repartition(3), 4, cell_rows=cell_rows).collect()
@@ -239,7 +239,7 @@ def test_sharding(docs, nothing):
         sizes = [len(slots[s]) for s in range(4)]
         assert max(sizes) - min(sizes) <= 1
     assert shuffle_into_shards(nothing, 4).collect() == []
-    counts, cells = np.array([5, 0, 7, 1]), np.array([n for _, _, n in cell_sizes(13, 3, 2)])
+    counts, cells = np.array([5, 0, 7, 1]), shard_sizes(13, 3)
     matrix = communication_matrix(counts, cells, 1)
     assert matrix.sum(axis=1).tolist() == counts.tolist()
     assert matrix.sum(axis=0).tolist() == cells.tolist()

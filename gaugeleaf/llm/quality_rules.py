@@ -30,37 +30,42 @@ REPEAT_WINDOW = 8
 MOST_REPEATED_PERCENT = 30
 
 
-def with_repeated_words(df: DataFrame, words: str, name: str, size: int = REPEAT_WINDOW) -> DataFrame:
-    """Adds name: words in windows of size (a power of two) words that occur twice or more in the array.
+def bound(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body uses it.
 
-    One column a step: an expression that uses an array several times then reads it from the row
-    instead of computing it again.
+    Plain columns would not do: a filter above a projection is pushed through it, and puts each
+    column's expression in place of its name, again and again for steps that build on each other.
     """
-    steps = []
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    def column(step: str, value: Column) -> Column:
-        nonlocal df
-        steps.append(f"__{step}")
-        df = df.withColumn(f"__{step}", value)
-        return F.col(f"__{step}")
 
-    hashes = column("hash1", F.transform(words, lambda w: F.xxhash64(w)))
-    step = 1
-    while step < size:
+def repeated_words(words: Column, size: int = REPEAT_WINDOW) -> Column:
+    """Words in windows of size (a power of two) words that occur twice or more in the array."""
+    none = F.lit(0).cast("long")
+
+    def doubled(hashes: Column, step: int) -> Column:
         n = F.greatest(F.size(hashes) - step, F.lit(0))
-        ahead = F.slice(hashes, F.lit(1 + step), n)
-        hashes = column(f"hash{2 * step}", F.zip_with(F.slice(hashes, F.lit(1), n), ahead, lambda a, b: F.xxhash64(a, b)))
-        step *= 2
-    repeats = F.size(F.array_distinct(hashes)) < F.size(hashes)
-    # sorted (hash, place): a window that equals a neighbour occurs again; texts without repeats stop here with null
-    placed = column("placed", F.when(repeats, F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    n = F.size(placed) - 1
-    twins = column("twins", F.zip_with(F.slice(placed, F.lit(1), n), F.slice(placed, F.lit(2), n), lambda p, q: F.when(p["h"] == q["h"], F.array(p["i"], q["i"]))))
-    places = column("places", F.sort_array(F.array_distinct(F.flatten(F.filter(twins, lambda x: x.isNotNull())))))
-    nexts = F.slice(places, F.lit(2), F.greatest(F.size(places) - 1, F.lit(0)))
-    gaps = F.zip_with(places, nexts, lambda a, b: F.least(F.coalesce(b - a, F.lit(size)), F.lit(size)))
-    total = F.aggregate(gaps, F.lit(0).cast("long"), lambda n, g: n + g)
-    return df.withColumn(name, F.coalesce(total, F.lit(0).cast("long"))).drop(*steps)
+        return F.zip_with(F.slice(hashes, F.lit(1), n), F.slice(hashes, F.lit(1 + step), n), lambda a, b: F.xxhash64(a, b))
+
+    def windows(hashes: Column, step: int) -> Column:
+        return counted(hashes) if step == size else bound(doubled(hashes, step), lambda h: windows(h, 2 * step))
+
+    def counted(hashes: Column) -> Column:
+        # sorted (hash, place): a window that equals a neighbour occurs again
+        placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), none).otherwise(bound(placed, lambda p: bound(places(p), covered)))
+
+    def places(placed: Column) -> Column:
+        n = F.size(placed) - 1
+        twins = F.zip_with(F.slice(placed, F.lit(1), n), F.slice(placed, F.lit(2), n), lambda p, q: F.when(p["h"] == q["h"], F.array(p["i"], q["i"])))
+        return F.sort_array(F.array_distinct(F.flatten(F.filter(twins, lambda x: x.isNotNull()))))
+
+    def covered(starts: Column) -> Column:
+        nexts = F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0)))
+        gaps = F.zip_with(starts, nexts, lambda a, b: F.least(F.coalesce(b - a, F.lit(size)), F.lit(size)))
+        return F.aggregate(gaps, none, lambda n, g: n + g)
+
+    return bound(F.transform(words, lambda w: F.xxhash64(w)), lambda h: windows(h, 1))
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -82,9 +87,10 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_symbols": F.regexp_count("__body", F.lit(SYMBOLS)).cast("long"),
             "n_lines": F.size("__lines").cast("long"),
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
+            "n_repeat_words": repeated_words(F.col("__words")),
         }
     )
-    return with_repeated_words(out, "__words", "n_repeat_words").drop("__body", "__trimmed", "__words", "__lines")
+    return out.drop("__body", "__trimmed", "__words", "__lines")
 
 
 def base_failed() -> Column:

@@ -14,7 +14,7 @@ what is broadcast is bounded whatever the benchmark's size.
 Edge cases: a null or empty text has no words, is never contaminated and is
 returned with zeros; an empty benchmark leaves all documents clean; an item
 shorter than the window is one window of its own length; an item without words
-is never found; repeated rows are judged one by one; columns named like the
+is never found; an item without item_id counts like any other; repeated rows are judged one by one; columns named like the
 result's are replaced.
 """
 
@@ -35,6 +35,10 @@ MATCH = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("sta
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 
 
+#: Stands for a null item_id inside a task.
+NO_ID = -(2**63)
+
+
 class SuffixQueries:
     """The windows of one block of benchmark items, as sorted rows of vocabulary numbers."""
 
@@ -59,7 +63,7 @@ class SuffixQueries:
         for k, r in enumerate(rows):
             padded[k, : len(r)] = r
         self.keys = keys_of(padded)
-        self.items = np.array([o[0] for o in owners], dtype=np.int64)
+        self.items = np.array([NO_ID if o[0] is None else o[0] for o in owners], dtype=np.int64)
         self.at = np.array([o[1] for o in owners], dtype=np.int64)
 
     def matches(self, numbers: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -174,7 +178,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_
                     matches = part.column(part.schema.get_field_index("matches")).to_pylist()
                     touched = set()
                     for text, item, start, length in zip(*(x.tolist() for x in queries.matches(numbers, first)), strict=True):
-                        matches[text].append({"item_id": item, "start": start, "length": length})
+                        matches[text].append({"item_id": None if item == NO_ID else item, "start": start, "length": length})
                         touched.add(text)
                     for text in touched:
                         found = [(m["start"], m["start"] + m["length"]) for m in matches[text]]

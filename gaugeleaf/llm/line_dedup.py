@@ -16,8 +16,8 @@ are shuffled once, to meet the repeats found in them.
 
 Edge cases: null and empty texts have no units and come back as they are; a
 text without repeats comes back unchanged, byte for byte; rows with one doc_id
-are one document and get the same ranges; ties cannot occur in the order; extra
-columns are kept, and ``text`` is replaced by what is left.
+are one document and get the same ranges; ties cannot occur in the order; rows without doc_id
+are not compared and stay as they are; extra columns are kept, and ``text`` is replaced by what is left.
 """
 
 from __future__ import annotations

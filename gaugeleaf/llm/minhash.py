@@ -24,7 +24,9 @@ Pairs are never emitted, only forests.
 
 Edge cases: null and empty texts have no shingles and stay alone; a text of
 fewer words than a shingle is one shingle; repeated rows and equal texts are one
-representative, whose component is the smallest doc_id; extra columns are kept.
+representative, whose component is the smallest doc_id; a row without doc_id
+takes the component of its equals but never names one, and always stays; extra
+columns are kept.
 """
 
 from __future__ import annotations
@@ -304,4 +306,5 @@ def keep_one_of_each(docs: DataFrame, percent: int = 80, shingle: int = 5) -> Da
     """The document with the smallest doc_id of every group of near duplicates, columns unchanged."""
     found = near_duplicates(docs, percent, shingle)
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == F.col("__kept"), "left_semi")
+    named = docs.join(kept, docs["doc_id"] == F.col("__kept"), "left_semi")
+    return named.unionByName(docs.where("doc_id is null"))

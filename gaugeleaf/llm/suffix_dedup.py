@@ -27,7 +27,8 @@ gives the same ranges.
 
 Edge cases: null and empty texts have nothing to remove; texts shorter than
 ``length`` cannot hold a repeat; matches never cross texts; overlapping copies
-in one text (periodic text) count; repeated rows are copies of each other.
+in one text (periodic text) count; repeated rows are copies of each other; rows
+without doc_id are not compared and stay as they are.
 """
 
 from __future__ import annotations

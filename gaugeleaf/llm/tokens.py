@@ -15,7 +15,7 @@ input split bounds.
 
 Edge cases: null and empty texts have no ids but their separator and count 0;
 a document of any length spans any number of blocks; an empty table gives no
-file; the separator must be an id that no text has (the tokenizer's end id).
+file; a null doc_id is counted as well; the separator must be an id that no text has (the tokenizer's end id).
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from . import kernels as K
 from .tables import materialize
 
 TOKENIZER = "word_bpe_49k.json"
+#: Stands for a null doc_id in the manifest.
+NO_ID = -(2**63)
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -212,7 +214,7 @@ def write_flat(docs: DataFrame, path: str | None = None, end_id: int = 49407, bl
                 if whole:
                     yield rows("ids", [rest[k * block_ids : (k + 1) * block_ids] for k in range(whole)])
                     rest = rest[whole * block_ids :].copy()
-                yield rows("docs", [np.asarray(names.slice(i, n).to_pylist(), dtype="<i8")])
+                yield rows("docs", [names.slice(i, n).cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8")])
         if len(rest):
             yield rows("ids", [rest])
 
@@ -263,7 +265,7 @@ def count_tokens(flat: DataFrame, end_id: int = 49407) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 ids = np.frombuffer(row["data"], dtype="<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), row["file"]), pa.int32()), pa.array(row["before"] + np.arange(len(ids)), pa.int64()), pa.array(ids, pa.int64())], names=["file", "ordinal", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), row["file"]), pa.int32()), pa.array(row["before"] + np.arange(len(ids)), pa.int64()), pa.array(ids, pa.int64(), mask=ids == NO_ID)], names=["file", "ordinal", "doc_id"])
 
     manifest = flat.where(F.col("kind") == "docs").select("file", "seq", "n", "data").withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     named = manifest.select("file", "before", "data").mapInArrow(name, "file int, ordinal long, doc_id long")

@@ -1,5 +1,6 @@
 """The training-data operators against brute force on small fixtures, edge cases included."""
 
+import functools
 import hashlib
 import random
 import re
@@ -94,11 +95,17 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100}
 
 
-def reference_ids(text):
+@functools.cache
+def reference_tokenizer():
     from gaugeleaf.llm.tokens import tokenizer_path
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(tokenizer_path()).encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(tokenizer_path())
+
+
+@functools.cache
+def reference_ids(text):
+    return reference_tokenizer().encode(text or "", add_special_tokens=False).ids
 
 
 ODD = ["It's <|endoftext|> don't 'S 12 3a4", "ñandú Ñ×÷É ß é É", "日本語 \x01 a\x1cb ª² x \u0085", "..$$%% a.b,c <| |>", "ÀÿŸœ " * 5, "́ é"]
@@ -173,7 +180,10 @@ def test_line_dedup(docs, nothing):
             last = span.end
         assert b"".join([*kept, raw[last:]]).decode() == (r.text or "")
         assert r.n_removed == sum(s.end - s.start for s in r.removed)
-    seen = Counter(g for r in rows.values() for g in {tuple(w) for w in (words_of(r.text)[k : k + 50] for k in range(len(words_of(r.text)) - 49))})
+    seen = Counter()
+    for r in rows.values():
+        w = words_of(r.text)
+        seen.update({tuple(w[k : k + 50]) for k in range(len(w) - 49)})
     assert max(seen.values()) == 1  # no passage of fifty words is left in two documents
     assert rows[12].n_removed == 0  # the earliest occurrence stays
     assert rows[20].n_removed == 0
@@ -245,6 +255,29 @@ def test_sharding(docs, nothing):
     assert matrix.sum(axis=0).tolist() == cells.tolist()
 
 
+def test_rows_without_an_id(spark):
+    from gaugeleaf.llm.decontamination import find_matches, with_hits
+    from gaugeleaf.llm.line_dedup import remove_repeats
+    from gaugeleaf.llm.minhash import keep_one_of_each
+    from gaugeleaf.llm.packing import pack
+    from gaugeleaf.llm.quality_classifier import keep_good, quality_scores
+    from gaugeleaf.llm.suffix_dedup import remove_substrings
+    from gaugeleaf.llm.tokens import count_tokens, write_flat
+
+    text = f"{PASSAGE} {PASSAGE} {ITEM}"
+    df = spark.createDataFrame([(None, text), (1, text), (2, text), (None, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, ITEM)], "item_id long, text string")
+    labels = spark.createDataFrame([(None, 1), (1, None)], "doc_id long, quality int")
+    assert sorted(str(r.doc_id) for r in keep_one_of_each(df).collect()) == ["1", "None", "None"]
+    assert sorted(str(r.doc_id) for r in count_tokens(write_flat(df)).collect()) == ["1", "2", "None", "None"]
+    assert pack(df).count() == 4
+    assert sorted((str(r.doc_id), r.n_removed > 0) for r in remove_repeats(df).collect()) == [("1", True), ("2", True), ("None", False), ("None", False)]
+    assert sorted((str(r.doc_id), r.n_removed > 0) for r in remove_substrings(df).collect()) == [("1", True), ("2", True), ("None", False), ("None", False)]
+    hits = with_hits(find_matches(df, bench)).collect()
+    assert sorted(r.n_hit for r in hits) == [0, 15, 15, 15]
+    assert quality_scores(df, labels).count() == keep_good(df, labels).count() == 4
+
+
 def test_sharding_is_uniform():
     from gaugeleaf.llm.sharding import communication_matrix
 

@@ -244,7 +244,9 @@ def repeated_ranges(docs: DataFrame, length: int = 400, gram: int = 160, group_c
     docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
     found = materialize(anchors(docs, length, gram), "anchors")
     keys = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).where("n > 1")
-    again = found.join(keys.select("gram", (F.col("low") == F.col("high")).alias("same")), "gram")
+    # written, so that both sides of the join are plain exchanges: adaptive execution splits a hot gram only then
+    keys = materialize(keys.select("gram", (F.col("low") == F.col("high")).alias("same")), "repeated-keys")
+    again = found.join(keys, "gram")
     again = materialize(again, "repeated-anchors")
     equal = again.where("same").where(f"left + right >= {length}").select("doc_id", (F.col("at") - F.col("left")).alias("start"), (F.col("at") + F.col("right")).alias("end"))
     unequal = again.where("not same")

@@ -4,10 +4,12 @@ Pages of one host come from one template.  A template token is an opening tag
 with its path of containers.  Tokens that occur equally often on every page of
 the host share an occurrence vector; those whose vector is that of the page
 itself (once on each) form the class that is the template's skeleton, the
-others lie in its slots.  The skeleton's elements nest by their paths.  The slot
-that holds the text is found by walking down: from the page into the skeleton
-element that holds most of the remaining unlinked text, as long as there is one.
-Furniture is left out on the way: scripts, styles, forms, navigation, page
+others lie in its slots.  The skeleton's elements nest by their paths.  A page's
+text is what lies in its smallest skeleton element (or main or article) that
+holds every block with unlinked words, and never one inside an article: so
+only blocks of links can lie outside.  Hosts with fewer than ``least_pages``
+pages have no skeleton, as nothing tells template from content there.
+Furniture is left out: scripts, styles, forms, navigation, page
 headers and footers, asides, and elements named as adverts, notices, sidebars,
 menus or comments; blocks that the whole host repeats word for word go as well.
 
@@ -18,8 +20,8 @@ before the shuffle.  Templates are broadcast if they measure up to
 ``broadcast_bytes``; else pages meet their host's template on a salted key.
 
 Edge cases: a null or empty page gives an empty text; a null or broken url is
-the host ''; a page that lacks the host's slot falls back to its own article,
-main or body; unclosed tags end with their container; text outside any
+the host ''; a page without skeleton elements has its own body,
+main and article; unclosed tags end with their container; text outside any
 block is a block; repeated pages give equal texts; extra columns are kept.
 """
 
@@ -43,6 +45,7 @@ RAW = ("script", "style", "noscript", "template", "iframe", "svg", "math", "canv
 FURNITURE = {"head", "nav", "footer", "aside", "form", "button", "dialog", "menu", "fieldset", "label"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 CONTAINERS = {"html", "body", "main", "article", "section", "div", "header", "center", "table", "tbody", "thead", "tfoot", "tr", "td", "th", "ul", "ol", "dl", "figure", "details", "blockquote", *FURNITURE}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 BLOCKS = CONTAINERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "address", "figcaption", "hgroup", "summary", "caption", "hr", "legend", "option"}
 # Words in class, id or role that name furniture.
 NAMES = {
@@ -56,16 +59,18 @@ HEADERS = {"header", "topbar", "siteheader"}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<([!?])[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 WHITE = re.compile(r"\s+")
+WORD = re.compile(r"[^\W_]")
+ARTICLE = re.compile(r"/(?:article|main)(?:\.[^/]*)?$")
 HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 
 
 class Block:
-    """One block of text: its words, the containers around it, and how much of it is links."""
+    """One block of text: its words, the containers around it, and whether it has words outside links or is a heading."""
 
-    __slots__ = ("text", "path", "linked", "left_out")
+    __slots__ = ("text", "path", "plain", "left_out")
 
-    def __init__(self, text: str, path: tuple[str, ...], linked: int, left_out: bool):
-        self.text, self.path, self.linked, self.left_out = text, path, linked, left_out
+    def __init__(self, text: str, path: tuple[str, ...], plain: bool, left_out: bool):
+        self.text, self.path, self.plain, self.left_out = text, path, plain, left_out
 
 
 def named_parts(attributes: str) -> tuple[str, list[str], bool]:
@@ -88,24 +93,25 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
     tokens: list[str] = []
     stack: list[tuple[str, str, bool]] = []  # name, path, left out
     pieces: list[str] = []
-    linked = links = 0
+    plain = heading = False
+    links = 0
     at, end = 0, len(page)
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal plain, heading
         if pieces:
             text = WHITE.sub(" ", html.unescape("".join(pieces))).strip()
             if text:
-                blocks.append(Block(text, tuple(p for _, p, _ in stack), linked, bool(stack) and stack[-1][2]))
+                blocks.append(Block(text, tuple(p for _, p, _ in stack), plain or heading, bool(stack) and stack[-1][2]))
             pieces.clear()
-        linked = 0
+        plain = heading = False
 
     while at < end:
         found = TOKEN.search(page, at)
         stop = found.start() if found else end
         if stop > at:
             pieces.append(page[at:stop])
-            linked += (stop - at) * (links > 0)
+            plain = plain or not links and WORD.search(html.unescape(pieces[-1])) is not None
         if not found:
             break
         at = found.end()
@@ -136,6 +142,7 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
             links += 1
         elif name in BLOCKS:
             flush()
+            heading = name in HEADINGS
             if name in CONTAINERS:
                 if name == "body":
                     stack = [s for s in stack if s[0] == "html"]
@@ -168,8 +175,8 @@ def digest(text: str) -> str:
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """host, kind ('tag' or 'text'), token, vector, pages, chars, for every token of every host."""
-    schema = "host string, kind string, token string, vector long, chars long"
+    """host, kind ('tag' or 'text'), token, vector, pages, for every token of every host."""
+    schema = "host string, kind string, token string, vector long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,69 +187,47 @@ def occurrences(pages: DataFrame) -> DataFrame:
                 counts: dict[str, int] = {"": 1}
                 for t in tokens:
                     counts[t] = counts.get(t, 0) + 1
-                chars: dict[str, int] = {}
-                texts: set[str] = set()
-                for b in blocks:
-                    if not b.left_out:
-                        own = max(0, len(b.text) - b.linked)
-                        for p in {"", *b.path}:
-                            chars[p] = chars.get(p, 0) + own
-                        texts.add(digest(b.text))
-                for t, n in counts.items():
-                    out.append((row["host"], "tag", t, (key * n) & (2**64 - 1), chars.get(t, 0)))
-                out += [(row["host"], "text", t, key, 0) for t in texts]
-            columns = list(zip(*out, strict=True)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:3]), pa.array(np.array(columns[3], dtype=np.uint64).view(np.int64)), pa.array(columns[4], pa.int64())], names=["host", "kind", "token", "vector", "chars"])
+                texts = {digest(b.text) for b in blocks if not b.left_out}
+                out += [(row["host"], "tag", t and digest(t), (key * n) & (2**64 - 1)) for t, n in counts.items()]
+                out += [(row["host"], "text", t, key) for t in texts]
+            columns = list(zip(*out, strict=True)) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:3]), pa.array(np.array(columns[3], dtype=np.uint64).view(np.int64))], names=["host", "kind", "token", "vector"])
 
     rows = pages.select("page_id", "host", "html").mapInArrow(run, schema)
     # halves of the hashes are summed, so that sums stay far from overflow
     halves = rows.withColumns({"low": F.col("vector").bitwiseAND(0xFFFFFFFF), "high": F.shiftrightunsigned("vector", 32)})
-    return halves.groupBy("host", "kind", "token").agg(F.sum("low").alias("low"), F.sum("high").alias("high"), F.count("*").alias("pages"), F.sum("chars").alias("chars"))
+    return halves.groupBy("host", "kind", "token").agg(F.sum("low").alias("low"), F.sum("high").alias("high"), F.count("*").alias("pages"))
 
 
 def templates(pages: DataFrame, least_pages: int = 4, least_share: float = 0.9) -> DataFrame:
-    """host, slot (path of the element that holds the text), repeated (digests of blocks that the whole host repeats)."""
+    """host, skeleton (digests of the paths of its elements), repeated (digests of blocks that the whole host repeats)."""
     found = occurrences(pages).where(f"kind = 'tag' or pages >= {least_pages}")
     found = materialize(found, "occurrences")
-    whole = found.where("kind = 'tag' and token = ''").select("host", F.struct("low", "high").alias("page_vector"), F.col("pages").alias("host_pages"))
-    classed = found.join(whole, "host").withColumn("skeleton", F.struct("low", "high") == F.col("page_vector"))
-    kept = classed.where("(kind = 'tag' and skeleton)" + f" or (kind = 'text' and host_pages >= {least_pages} and pages >= {least_share} * host_pages)")
-    grouped = kept.groupBy("host").agg(
-        F.collect_list(F.when(F.col("kind") == "tag", F.struct("token", "chars"))).alias("tags"),
+    whole = found.where("kind = 'tag' and token = ''").select("host", F.struct("low", "high").alias("page_vector"), F.col("pages").alias("host_pages")).where(f"host_pages >= {least_pages}")
+    classed = found.where("token <> ''").join(whole, "host").withColumn("skeleton", F.struct("low", "high") == F.col("page_vector"))
+    kept = classed.where("(kind = 'tag' and skeleton)" + f" or (kind = 'text' and pages >= {least_share} * host_pages)")
+    return kept.groupBy("host").agg(
+        F.collect_list(F.when(F.col("kind") == "tag", F.col("token"))).alias("skeleton"),
         F.collect_list(F.when(F.col("kind") == "text", F.col("token"))).alias("repeated"),
     )
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slots = []
-            for tags in batch.column(batch.schema.get_field_index("tags")).to_pylist():
-                slots.append(deepest({t["token"]: t["chars"] for t in tags}))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("host")), pa.array(slots, pa.string()), batch.column(batch.schema.get_field_index("repeated"))], names=["host", "slot", "repeated"])
-
-    return grouped.mapInArrow(choose, "host string, slot string, repeated array<string>")
-
-
-def deepest(chars: dict[str, int], share: float = 0.8) -> str:
-    """From the page into the nested skeleton element that holds most of the text, while there is one."""
-    here = ""
-    while True:
-        inner = [t for t in chars if t.startswith(f"{here}/") and chars[t] >= share * chars.get(here, 0) and chars[t] > 0]
-        nearest = [t for t in inner if not any(o != t and t.startswith(f"{o}/") for o in inner)]
-        if not nearest:
-            return here
-        here = max(nearest, key=lambda t: (chars[t], t))
-
 
-def main_text(page: str, slot: str, repeated: set[str]) -> str:
+def main_text(page: str, skeleton: set[str], repeated: set[str]) -> str:
     blocks, _ = parse(page)
     blocks = [b for b in blocks if not b.left_out]
-    chosen = [b for b in blocks if slot in b.path] if slot else blocks
-    if not chosen:
-        for name in ("/article", "/main"):
-            chosen = chosen or [b for b in blocks if any(re.search(rf"{name}(\.[^/]*)?$", p) for p in b.path)]
-        chosen = chosen or blocks
-    if repeated:
-        chosen = [b for b in chosen if digest(b.text) not in repeated]
+    chosen = [b for b in blocks if digest(b.text) not in repeated] if repeated else blocks
+    plain = [b.path for b in chosen if b.plain]
+    if plain:
+        slot = ""
+        for nested in zip(*plain):
+            if len(set(nested)) > 1:
+                break
+            inner = ARTICLE.search(nested[0]) is not None
+            if inner or digest(nested[0]) in skeleton:
+                slot = nested[0]
+            if inner and "/article" in nested[0]:
+                break
+        chosen = [b for b in chosen if slot in b.path] if slot else chosen
     return "\n".join(b.text for b in chosen).encode("utf-8", "replace").decode()
 
 
@@ -251,21 +236,21 @@ def extract(pages: DataFrame, salts: int = 16, broadcast_bytes: int = 64 << 20)
     pages = pages.drop("text")
     hosted = pages.withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", HOST, 1), F.lit(""))))
     found = materialize(templates(hosted.select("page_id", "host", "html")), "templates")
-    size = found.agg(F.sum(F.length("host") + F.length("slot") + 40 * F.size("repeated") + 100)).first()[0] or 0
+    size = found.agg(F.sum(F.length("host") + 40 * F.size("skeleton") + 40 * F.size("repeated") + 100)).first()[0] or 0
     if size <= broadcast_bytes:  # measured; larger sets of templates meet their pages in a shuffle
         joined = hosted.join(F.broadcast(found), "host", "left")
     else:
         salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         hosted = hosted.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
         joined = hosted.join(salted, ["host", "salt"], "left")
-    joined = joined.select(*pages.columns, "slot", "repeated")
+    joined = joined.select(*pages.columns, "skeleton", "repeated")
     columns_in = pages.columns
     schema = T.StructType([*pages.schema.fields, T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bodies, slots, repeated = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("html", "slot", "repeated"))
-            texts = [main_text(b or "", s or "", set(r or ())) for b, s, r in zip(bodies, slots, repeated, strict=True)]
+            bodies, skeletons, repeated = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("html", "skeleton", "repeated"))
+            texts = [main_text(b or "", set(s or ()), set(r or ())) for b, s, r in zip(bodies, skeletons, repeated, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in columns_in), pa.array(texts, pa.string())], names=schema.fieldNames())
 
     return joined.mapInArrow(run, schema)

@@ -361,6 +361,22 @@ def test_html(spark, broadcast_bytes):
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def html_texts(spark, rows):
+    from gaugeleaf.llm.html_extract import extract
+
+    return {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_html_keeps_all_of_the_article(spark):
+    page = "<html><body><div id=left><ul><li><a href=/{n}>link {n}</a></li></ul></div><div id=post><h1><a href=/>Head {n}</a></h1><p>Lead {n}.</p><div class=body>" + "<p>long text {n}</p>" * 30 + "</div></div></body></html>"
+    listed = "<html><body><article><p>Introduction.</p><ul>" + "<li>point of the list</li>" * 40 + "</ul></article></body></html>"
+    rows = [(i, f"http://a.example/{i}", page.format(n=i)) for i in range(6)] + [(10, "http://one.example/", listed)]
+    texts = html_texts(spark, rows)
+    for i in range(6):
+        assert texts[i].split("\n") == [f"Head {i}", f"Lead {i}.", *[f"long text {i}"] * 30]
+    assert texts[10].split("\n") == ["Introduction.", *["point of the list"] * 40]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -11,7 +11,10 @@ only blocks of links can lie outside.  Hosts with fewer than ``least_pages``
 pages have no skeleton, as nothing tells template from content there.
 Furniture is left out: scripts, styles, forms, navigation, page
 headers and footers, asides, and elements named as adverts, notices, sidebars,
-menus or comments; blocks that the whole host repeats word for word go as well.
+menus or comments; blocks that the whole host repeats word for word go as well,
+unless they lie in main or article.  Pages with the same blocks of text are one
+page there, and where such blocks are most of a page's text, they are taken for
+copies of one text and stay.
 
 Scale: an occurrence vector is never built; a token's vector is the sum of its
 count times a hash of the page, so that equal sums mean equal vectors and the
@@ -22,7 +25,7 @@ before the shuffle.  Templates are broadcast if they measure up to
 Edge cases: a null or empty page gives an empty text; a null or broken url is
 the host ''; a page without skeleton elements has its own body,
 main and article; unclosed tags end with their container; text outside any
-block is a block; repeated pages give equal texts; extra columns are kept.
+block is a block; repeated pages give equal texts, and are counted once; extra columns are kept.
 """
 
 from __future__ import annotations
@@ -32,7 +35,6 @@ import html
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -162,40 +164,38 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
     return blocks, tokens
 
 
-def page_key(page_id: object) -> np.uint64:
-    seed = np.frombuffer(str(page_id).encode().ljust(8, b"\0")[:8], dtype=np.uint64).copy()
-    from .kernels import mix
-
-    return mix(seed + np.uint64(len(str(page_id))))[0]
-
-
-def digest(text: str) -> str:
-    """Token of a block of text: long texts never leave their task."""
-    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=10).hexdigest()
+def digest(text: str) -> int:
+    """Token of a path or a block of text: long texts never leave their task."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """host, kind ('tag' or 'text'), token, vector, pages, for every token of every host."""
-    schema = "host string, kind string, token string, vector long"
+    """host, kind ('tag' or 'text'), token, vector (low, high) and pages, for every token of every host.
+
+    Pages of a host with the same blocks of text are counted once.
+    """
+    schema = "host string, content long, tokens array<long>, times array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for row in batch.to_pylist():
-                key = int(page_key(row["page_id"]))
-                blocks, tokens = parse(row["html"] or "")
-                counts: dict[str, int] = {"": 1}
-                for t in tokens:
+            contents, found, times = [], [], []
+            for page in batch.column(batch.schema.get_field_index("html")).to_pylist():
+                blocks, tokens = parse(page or "")
+                own = [b.text for b in blocks if not b.left_out]
+                counts: dict[int, int] = {0: 1}
+                for t in map(digest, tokens):
                     counts[t] = counts.get(t, 0) + 1
-                texts = {digest(b.text) for b in blocks if not b.left_out}
-                out += [(row["host"], "tag", t and digest(t), (key * n) & (2**64 - 1)) for t, n in counts.items()]
-                out += [(row["host"], "text", t, key) for t in texts]
-            columns = list(zip(*out, strict=True)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:3]), pa.array(np.array(columns[3], dtype=np.uint64).view(np.int64))], names=["host", "kind", "token", "vector"])
-
-    rows = pages.select("page_id", "host", "html").mapInArrow(run, schema)
+                contents.append(digest("\n".join(own)))
+                texts = sorted({digest(t) for t in own})
+                found.append([*counts, *texts])
+                times.append([*counts.values(), *[0] * len(texts)])  # 0 marks a text
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("host")), pa.array(contents, pa.int64()), *(pa.array(c, pa.list_(pa.int64())) for c in (found, times))], names=["host", "content", "tokens", "times"])
+
+    distinct = pages.select("host", "html").mapInArrow(run, schema).groupBy("host", "content").agg(F.min(F.struct("tokens", "times")).alias("own"))
+    rows = distinct.select("host", "content", F.inline(F.arrays_zip("own.tokens", "own.times"))).toDF("host", "content", "token", "times")
+    rows = rows.withColumns({"kind": F.when(F.col("times") == 0, "text").otherwise("tag"), "n": F.greatest("times", F.lit(1))})
     # halves of the hashes are summed, so that sums stay far from overflow
-    halves = rows.withColumns({"low": F.col("vector").bitwiseAND(0xFFFFFFFF), "high": F.shiftrightunsigned("vector", 32)})
+    halves = rows.withColumns({"low": F.col("content").bitwiseAND(0xFFFFFFFF) * F.col("n"), "high": F.shiftrightunsigned("content", 32) * F.col("n")})
     return halves.groupBy("host", "kind", "token").agg(F.sum("low").alias("low"), F.sum("high").alias("high"), F.count("*").alias("pages"))
 
 
@@ -203,8 +203,8 @@ def templates(pages: DataFrame, least_pages: int = 4, least_share: float = 0.9)
     """host, skeleton (digests of the paths of its elements), repeated (digests of blocks that the whole host repeats)."""
     found = occurrences(pages).where(f"kind = 'tag' or pages >= {least_pages}")
     found = materialize(found, "occurrences")
-    whole = found.where("kind = 'tag' and token = ''").select("host", F.struct("low", "high").alias("page_vector"), F.col("pages").alias("host_pages")).where(f"host_pages >= {least_pages}")
-    classed = found.where("token <> ''").join(whole, "host").withColumn("skeleton", F.struct("low", "high") == F.col("page_vector"))
+    whole = found.where("kind = 'tag' and token = 0").select("host", F.struct("low", "high").alias("page_vector"), F.col("pages").alias("host_pages")).where(f"host_pages >= {least_pages}")
+    classed = found.where("kind = 'text' or token <> 0").join(whole, "host").withColumn("skeleton", F.struct("low", "high") == F.col("page_vector"))
     kept = classed.where("(kind = 'tag' and skeleton)" + f" or (kind = 'text' and pages >= {least_share} * host_pages)")
     return kept.groupBy("host").agg(
         F.collect_list(F.when(F.col("kind") == "tag", F.col("token"))).alias("skeleton"),
@@ -212,10 +212,13 @@ def templates(pages: DataFrame, least_pages: int = 4, least_share: float = 0.9)
     )
 
 
-def main_text(page: str, skeleton: set[str], repeated: set[str]) -> str:
+def main_text(page: str, skeleton: set[int], repeated: set[int]) -> str:
     blocks, _ = parse(page)
     blocks = [b for b in blocks if not b.left_out]
-    chosen = [b for b in blocks if digest(b.text) not in repeated] if repeated else blocks
+    chosen = [b for b in blocks if digest(b.text) not in repeated or any(map(ARTICLE.search, b.path))] if repeated else blocks
+    if 2 * sum(len(b.text) for b in chosen if b.plain) < sum(len(b.text) for b in blocks if b.plain):
+        kept = set(map(id, chosen))
+        chosen = [b for b in blocks if b.plain or id(b) in kept]  # copies of one text
     plain = [b.path for b in chosen if b.plain]
     if plain:
         slot = ""
@@ -236,7 +239,7 @@ def extract(pages: DataFrame, salts: int = 16, broadcast_bytes: int = 64 << 20)
     pages = pages.drop("text")
     hosted = pages.withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", HOST, 1), F.lit(""))))
     found = materialize(templates(hosted.select("page_id", "host", "html")), "templates")
-    size = found.agg(F.sum(F.length("host") + 40 * F.size("skeleton") + 40 * F.size("repeated") + 100)).first()[0] or 0
+    size = found.agg(F.sum(F.length("host") + 8 * F.size("skeleton") + 8 * F.size("repeated") + 100)).first()[0] or 0
     if size <= broadcast_bytes:  # measured; larger sets of templates meet their pages in a shuffle
         joined = hosted.join(F.broadcast(found), "host", "left")
     else:

@@ -377,6 +377,22 @@ def test_html_keeps_all_of_the_article(spark):
     assert texts[10].split("\n") == ["Introduction.", *["point of the list"] * 40]
 
 
+def test_html_keeps_copies_of_one_article(spark):
+    page = "<html><body>{m}<div id=post><h1>Head</h1><p>First paragraph of it.</p><p>Second paragraph of it.</p></div>{v}</body></html>"
+    menu = "<ul><li><a href=/>menu</a></li></ul>"
+    rows = [(i, f"http://a.example/{i}", page.format(m=menu, v="")) for i in range(4)]
+    rows += [(10 + i, f"http://b.example/{i}", page.format(m=menu, v=f"<p>view {i}</p>")) for i in range(5)]
+    rows += [(20 + i, f"http://c.example/{i}", page.format(m=menu, v="").replace("div", "article")) for i in range(4)]
+    rows += [(30 + i, f"http://d.example/{i}", f"<body><p>Said by all.</p><p>own words of {i} and more of them</p></body>") for i in range(4)]
+    texts = html_texts(spark, rows)
+    body = ["Head", "First paragraph of it.", "Second paragraph of it."]
+    for i in range(4):
+        assert [t for t in texts[i].split("\n") if t != "menu"] == texts[20 + i].split("\n") == body
+        assert texts[30 + i] == f"own words of {i} and more of them"
+    for i in range(5):
+        assert texts[10 + i].split("\n") == [*body, f"view {i}"]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

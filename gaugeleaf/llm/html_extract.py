@@ -1,10 +1,13 @@
 """Main text of web pages by equivalence classes of template tokens.
 
 Pages of one host come from one template.  A template token is an opening tag
-with its path of containers.  Tokens that occur equally often on every page of
-the host share an occurrence vector; those whose vector is that of the page
-itself (once on each) form the class that is the template's skeleton, the
-others lie in its slots.  The skeleton's elements nest by their paths.  A page's
+with its path of containers, or a whole block of text.  Tokens that occur equally
+often on every page of the host share an occurrence vector and form a class.  The
+classes whose tokens occur once on each of their pages are skeletons, one for
+each type of page (an error page or a second layout only lacks the others'), if
+they have ``least_pages`` pages, and a third of the host's if they are of a
+single element.  Texts of a skeleton's vector are furniture as its elements are.
+Skeletons nest by the paths of their elements.  A page's
 text is what lies in its smallest skeleton element (or main or article) that
 holds every block with unlinked words, and never one inside an article: so
 only blocks of links can lie outside.  Hosts with fewer than ``least_pages``
@@ -17,7 +20,7 @@ page there, and where such blocks are most of a page's text, they are taken for
 copies of one text and stay.
 
 Scale: an occurrence vector is never built; a token's vector is the sum of its
-count times a hash of the page, so that equal sums mean equal vectors and the
+count times a hash of the whole page, so that equal sums mean equal vectors and the
 sums are partial aggregates.  A host with a third of all pages is aggregated
 before the shuffle.  Templates are broadcast if they measure up to
 ``broadcast_bytes``; else pages meet their host's template on a salted key.
@@ -170,9 +173,9 @@ def digest(text: str) -> int:
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """host, kind ('tag' or 'text'), token, vector (low, high) and pages, for every token of every host.
+    """host, kind ('tag' or 'text'), token, vector (low, high), times and pages, for every token of every host.
 
-    Pages of a host with the same blocks of text are counted once.
+    Pages of a host with the same blocks of text are counted once, pages without tokens are not.
     """
     schema = "host string, content long, tokens array<long>, times array<long>"
 
@@ -191,25 +194,25 @@ def occurrences(pages: DataFrame) -> DataFrame:
                 times.append([*counts.values(), *[0] * len(texts)])  # 0 marks a text
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("host")), pa.array(contents, pa.int64()), *(pa.array(c, pa.list_(pa.int64())) for c in (found, times))], names=["host", "content", "tokens", "times"])
 
-    distinct = pages.select("host", "html").mapInArrow(run, schema).groupBy("host", "content").agg(F.min(F.struct("tokens", "times")).alias("own"))
+    distinct = pages.select("host", "html").mapInArrow(run, schema).where("size(tokens) > 1").groupBy("host", "content").agg(F.min(F.struct("tokens", "times")).alias("own"))
     rows = distinct.select("host", "content", F.inline(F.arrays_zip("own.tokens", "own.times"))).toDF("host", "content", "token", "times")
     rows = rows.withColumns({"kind": F.when(F.col("times") == 0, "text").otherwise("tag"), "n": F.greatest("times", F.lit(1))})
     # halves of the hashes are summed, so that sums stay far from overflow
     halves = rows.withColumns({"low": F.col("content").bitwiseAND(0xFFFFFFFF) * F.col("n"), "high": F.shiftrightunsigned("content", 32) * F.col("n")})
-    return halves.groupBy("host", "kind", "token").agg(F.sum("low").alias("low"), F.sum("high").alias("high"), F.count("*").alias("pages"))
+    return halves.groupBy("host", "kind", "token").agg(F.sum("low").alias("low"), F.sum("high").alias("high"), F.sum("n").alias("times"), F.count("*").alias("pages"))
 
 
 def templates(pages: DataFrame, least_pages: int = 4, least_share: float = 0.9) -> DataFrame:
-    """host, skeleton (digests of the paths of its elements), repeated (digests of blocks that the whole host repeats)."""
-    found = occurrences(pages).where(f"kind = 'tag' or pages >= {least_pages}")
-    found = materialize(found, "occurrences")
-    whole = found.where("kind = 'tag' and token = 0").select("host", F.struct("low", "high").alias("page_vector"), F.col("pages").alias("host_pages")).where(f"host_pages >= {least_pages}")
-    classed = found.where("kind = 'text' or token <> 0").join(whole, "host").withColumn("skeleton", F.struct("low", "high") == F.col("page_vector"))
-    kept = classed.where("(kind = 'tag' and skeleton)" + f" or (kind = 'text' and pages >= {least_share} * host_pages)")
-    return kept.groupBy("host").agg(
-        F.collect_list(F.when(F.col("kind") == "tag", F.col("token"))).alias("skeleton"),
-        F.collect_list(F.when(F.col("kind") == "text", F.col("token"))).alias("repeated"),
-    )
+    """host, skeleton (digests of the paths of its elements), repeated (digests of blocks that the host or a type of page repeats)."""
+    found = materialize(occurrences(pages).where(f"pages >= {least_pages}"), "occurrences")
+    whole = found.where("kind = 'tag' and token = 0").select("host", F.col("pages").alias("host_pages"))
+    single = found.where("kind = 'tag' and token <> 0 and times = pages")
+    classes = single.groupBy("host", "low", "high").agg(F.collect_list("token").alias("skeleton"), F.max("pages").alias("pages"))
+    classes = classes.join(whole, "host").where("size(skeleton) > 1 or 3 * pages >= host_pages")
+    texts = found.where("kind = 'text'").join(whole, "host").join(classes.select("host", "low", "high", F.lit(True).alias("classed")), ["host", "low", "high"], "left")
+    texts = texts.where(f"classed or pages >= {least_share} * host_pages").select("host", F.col("token").alias("repeated"))
+    kept = classes.select("host", "skeleton").unionByName(texts, allowMissingColumns=True)
+    return kept.groupBy("host").agg(F.flatten(F.collect_list("skeleton")).alias("skeleton"), F.collect_list("repeated").alias("repeated"))
 
 
 def main_text(page: str, skeleton: set[int], repeated: set[int]) -> str:

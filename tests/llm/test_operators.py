@@ -393,6 +393,18 @@ def test_html_keeps_copies_of_one_article(spark):
         assert texts[10 + i].split("\n") == [*body, f"view {i}"]
 
 
+def test_html_types_of_pages(spark):
+    page = "<html><body><div id=left><p>Said on every page</p><a href=/{n}>link {n}</a></div><div id=post><p>Own text of page {n}, in some words.</p></div></body></html>"
+    other = "<html><body><div id=top><p>Of the shop</p><a href=/{n}>buy {n}</a></div><div id=item><p>Article {n} of the shop.</p></div></body></html>"
+    error = "<html><body><p>Not found</p></body></html>"
+    rows = [(i, f"http://a.example/{i}", page.format(n=i)) for i in range(6)] + [(20 + i, f"http://a.example/s{i}", other.format(n=i)) for i in range(5)]
+    rows += [(30, "http://a.example/e", error), (31, "http://a.example/n", None), (32, "http://a.example/m", "")]
+    texts = html_texts(spark, rows)
+    assert [texts[i] for i in range(6)] == [f"Own text of page {i}, in some words." for i in range(6)]
+    assert [texts[20 + i] for i in range(5)] == [f"Article {i} of the shop." for i in range(5)]
+    assert (texts[30], texts[31], texts[32]) == ("Not found", "", "")
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

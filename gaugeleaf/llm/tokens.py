@@ -15,7 +15,9 @@ input split bounds.
 
 Edge cases: null and empty texts have no ids but their separator and count 0;
 a document of any length spans any number of blocks; an empty table gives no
-file; a null doc_id is counted as well; the separator must be an id that no text has (the tokenizer's end id).
+file; a null doc_id is counted as well; the separator is an id outside the vocabulary, as a text
+may spell out the tokenizer's special tokens; special tokens are matched before letters are
+folded; a file whose separators and manifest disagree fails.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from .tables import materialize
 TOKENIZER = "word_bpe_49k.json"
 #: Stands for a null doc_id in the manifest.
 NO_ID = -(2**63)
+#: Closes a document in a flat stream; no vocabulary has it.
+SEPARATOR = 65535
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -83,6 +87,8 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if self.tokenizer.get_vocab_size() > SEPARATOR:
+            raise ValueError(f"{path}: ids do not fit 16 bits beside the separator")
         self.most = most
         self.clear()
 
@@ -114,8 +120,8 @@ class UnitEncoder:
         self.used += total
 
     def units(self, data: np.ndarray, offsets: np.ndarray):
-        """Folded bytes, and starts, ends and rareness of the units."""
-        data = K.LOWER[data]
+        """Bytes (folded but in rare units, which the tokenizer folds), and starts, ends and rareness of the units."""
+        raw, data = data, K.LOWER[data]
         n = len(data)
         kind = BYTE_CLASS[data]
         if n:
@@ -142,7 +148,9 @@ class UnitEncoder:
             marks = np.zeros(n + 1, dtype=np.int32)
             marks[opens[runs]] += 1
             marks[closes[runs]] -= 1
-            kind[np.cumsum(marks[:n]) > 0] = RARE
+            within = np.cumsum(marks[:n]) > 0
+            kind[within] = RARE
+            data[within] = raw[within]
         opens = inside & edge[:n]
         opens[1:] |= inside[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == DIGIT))
         if n:
@@ -182,7 +190,7 @@ def encoder_for(path: str) -> UnitEncoder:
     return held(("encoder", path), lambda: UnitEncoder(path))
 
 
-def write_flat(docs: DataFrame, path: str | None = None, end_id: int = 49407, block_ids: int = 65536) -> DataFrame:
+def write_flat(docs: DataFrame, path: str | None = None, end_id: int = SEPARATOR, block_ids: int = 65536) -> DataFrame:
     """Flat token blocks in the shared folder: file, seq, kind ('ids' or 'docs'), n, data.
 
     Rows of kind 'ids' are the stream: unsigned 16-bit little-endian ids, cut every block_ids.
@@ -222,7 +230,7 @@ def write_flat(docs: DataFrame, path: str | None = None, end_id: int = 49407, bl
     return materialize(flat, "flat-tokens", "kind")
 
 
-def count_tokens(flat: DataFrame, end_id: int = 49407) -> DataFrame:
+def count_tokens(flat: DataFrame, end_id: int = SEPARATOR) -> DataFrame:
     """doc_id, file, ordinal, start (ids before it in its file) and n_tokens of every document of a flat stream."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,8 +273,9 @@ def count_tokens(flat: DataFrame, end_id: int = 49407) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 ids = np.frombuffer(row["data"], dtype="<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), row["file"]), pa.int32()), pa.array(row["before"] + np.arange(len(ids)), pa.int64()), pa.array(ids, pa.int64(), mask=ids == NO_ID)], names=["file", "ordinal", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), row["file"]), pa.int32()), pa.array(row["before"] + np.arange(len(ids)), pa.int64()), pa.array(ids, pa.int64(), mask=ids == NO_ID), pa.array(np.ones(len(ids), dtype=bool))], names=["file", "ordinal", "doc_id", "named"])
 
     manifest = flat.where(F.col("kind") == "docs").select("file", "seq", "n", "data").withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    named = manifest.select("file", "before", "data").mapInArrow(name, "file int, ordinal long, doc_id long")
-    return counted.join(named, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
+    named = manifest.select("file", "before", "data").mapInArrow(name, "file int, ordinal long, doc_id long, named boolean")
+    agreed = F.when(F.col("named") & F.col("start").isNotNull(), F.col("n_tokens")).otherwise(F.raise_error(F.concat(F.lit("separators and manifest disagree in file "), F.col("file"))).cast("long"))
+    return counted.join(named, ["file", "ordinal"], "full").select("doc_id", "file", "ordinal", "start", agreed.alias("n_tokens"))

@@ -132,6 +132,20 @@ def test_token_counts(docs, nothing, block_ids):
     assert count_tokens(write_flat(nothing)).collect() == []
 
 
+def test_texts_that_spell_special_tokens(spark):
+    from gaugeleaf.llm.tokens import UnitEncoder, count_tokens, tokenizer_path, write_flat
+
+    texts = ["a b", "a <|endoftext|> b", "x<|EndOfText|>y", "<|ENDOFTEXT|> It'S Ünï", "c d e", "<|startoftext|><|endoftext|>", "last one"]
+    encoder = UnitEncoder(tokenizer_path())
+    for i, n, data, offsets in K.text_slices(pa.record_batch([pa.array(texts)], names=["text"])):
+        ids, begins = encoder.encode(data, offsets)
+        assert [ids[a:b].tolist() for a, b in zip(begins, begins[1:])] == [reference_ids(t) for t in texts[i : i + n]]
+    flat = write_flat(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1))
+    assert sorted((r.doc_id, r.n_tokens) for r in count_tokens(flat).collect()) == [(i, len(reference_ids(t))) for i, t in enumerate(texts)]
+    with pytest.raises(Exception, match="disagree"):
+        count_tokens(flat, end_id=reference_ids("a")[0]).collect()
+
+
 def test_packing(docs, nothing):
     from gaugeleaf.llm.packing import pack
 

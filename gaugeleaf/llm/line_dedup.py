@@ -7,10 +7,11 @@ miss it.  Units are normalised (A-Z in lower case, white space collapsed) and
 hashed; digests are grouped over the whole corpus, the earliest occurrence in
 the order (doc_id, place in the text) is kept and the others are repeats.  A
 run of neighbouring repeats of ``min_words`` words or more is removed; shorter
-ones (stock phrases, single boilerplate lines) stay.  Removed ranges are given
+ones (stock phrases inside a line) stay.  Whole lines of fewer words are hashed as
+well, and every later copy of one goes, whatever its length.  Removed ranges are given
 as byte offsets of the original text.
 
-Scale: one narrow row for each unit, aggregated before the shuffle; the join
+Scale: one narrow row for each unit and short line, aggregated before the shuffle; the join
 back is on the digest, of which adaptive execution splits frequent ones.  Texts
 are shuffled once, to meet the repeats found in them.
 
@@ -33,15 +34,17 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from . import kernels as K
 
+#: Numbers of lines begin here, above those of units.
+LINES = 1 << 30
 RANGE = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 
 
 def units(data: np.ndarray, offsets: np.ndarray, radius: int = 3):
-    """First word of each unit, its digest, the words' starts and ends, and the first unit and word of each text."""
+    """First word of each unit, its digest, the words' starts and ends, the first unit and word of each text, and first word and digest of each line."""
     starts, ends, hashes, first = K.words(data, offsets, K.SPACE)
     n = len(starts)
     if not n:
-        return starts, hashes, starts, ends, np.zeros(len(offsets), dtype=np.int64), first
+        return starts, hashes, starts, ends, np.zeros(len(offsets), dtype=np.int64), first, starts, hashes
     newlines = np.flatnonzero(data == 0x0A)
     opens = np.zeros(n, dtype=bool)
     opens[first[:-1][first[:-1] < n]] = True
@@ -57,22 +60,33 @@ def units(data: np.ndarray, offsets: np.ndarray, radius: int = 3):
     up, down = K.powers(n)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(hashes * up[:n], out=sums[1:])
-    stops = np.append(begins[1:], n)
-    digests = K.mix((sums[stops] - sums[begins]) * down[begins] + (stops - begins).astype(np.uint64))
-    return begins, digests, starts, ends, np.searchsorted(begins, first), first
 
+    def digest(begins: np.ndarray) -> np.ndarray:
+        stops = np.append(begins[1:], n)
+        return K.mix((sums[stops] - sums[begins]) * down[begins] + (stops - begins).astype(np.uint64))
 
-def repeated_units(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """doc_id and the numbers of its units that occur earlier in the corpus."""
+    lines = np.flatnonzero(opens)
+    whole = K.mix(digest(lines) ^ np.uint64(0x9E3779B97F4A7C15))  # a line is never equal to a unit
+    return begins, digest(begins), starts, ends, np.searchsorted(begins, first), first, lines, whole
+
+
+def repeated_units(docs: DataFrame, min_words: int = 20, radius: int = 3) -> DataFrame:
+    """doc_id and the numbers of its units and lines (from LINES on) that occur earlier in the corpus.
+
+    Lines of min_words words or more are left to their units.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.column(batch.schema.get_field_index("doc_id"))
             for i, n, data, offsets in K.text_slices(batch):
-                _, digests, _, _, first, _ = units(data, offsets, radius)
-                counts = np.diff(first)
+                _, digests, starts, _, first, word, lines, whole = units(data, offsets, radius)
+                counts, of_text = np.diff(first), np.diff(np.searchsorted(lines, word))
+                short = np.diff(np.append(lines, len(starts))) < min_words
+                owner = np.concatenate([np.repeat(np.arange(n), counts), np.repeat(np.arange(n), of_text)[short]])
+                number = np.concatenate([K.ragged(counts), LINES + K.ragged(of_text)[short]])
                 yield pa.RecordBatch.from_arrays(
-                    [names.slice(i, n).take(pa.array(np.repeat(np.arange(n), counts))), pa.array(K.ragged(counts), pa.int32()), pa.array(digests.view(np.int64))],
+                    [names.slice(i, n).take(pa.array(owner)), pa.array(number, pa.int32()), pa.array(np.concatenate([digests, whole[short]]).view(np.int64))],
                     names=["doc_id", "unit", "digest"],
                 )
 
@@ -85,7 +99,7 @@ def repeated_units(docs: DataFrame, radius: int = 3) -> DataFrame:
 def remove_repeats(docs: DataFrame, min_words: int = 20, radius: int = 3) -> DataFrame:
     """docs with text reduced, and n_bytes, n_removed and removed (byte ranges of the original text)."""
     docs = docs.drop("n_bytes", "n_removed", "removed", "__units")
-    repeats = repeated_units(docs, radius).withColumnRenamed("doc_id", "__id")
+    repeats = repeated_units(docs, min_words, radius).withColumnRenamed("doc_id", "__id")
     joined = docs.join(repeats, docs["doc_id"] == F.col("__id"), "left").drop("__id")
     columns_in = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(RANGE))])
@@ -100,17 +114,29 @@ def remove_repeats(docs: DataFrame, min_words: int = 20, radius: int = 3) -> Dat
                 removed: list[list] = [[] for _ in range(n)]
                 texts = None
                 if any(marks):
-                    begins, _, starts, ends, first, word = units(data, offsets, radius)
+                    begins, _, starts, ends, first, word, lines, _ = units(data, offsets, radius)
+                    first_line, line_stops = np.searchsorted(lines, word), np.append(lines[1:], len(starts))
                     texts = part.column(at).to_pylist()
                     stops = np.append(begins[1:], len(starts))
                     for r, own in enumerate(marks):
                         if own:
-                            own = np.sort(np.array(own)) + first[r]
+                            own = np.sort(np.array(own))
+                            line = own[own >= LINES] - LINES + first_line[r]
+                            spans = list(zip(lines[line].tolist(), line_stops[line].tolist(), strict=True))
+                            own = own[own < LINES] + first[r]
                             edge = np.flatnonzero(np.diff(own) > 1) + 1
-                            for piece in np.split(own, edge):
+                            for piece in np.split(own, edge) if len(own) else ():
                                 a, b = int(begins[piece[0]]), int(stops[piece[-1]])
                                 if b - a >= min_words:
-                                    end = int(starts[b]) if b < word[r + 1] else int(offsets[r + 1])
+                                    spans.append((a, b))
+                            last = -1
+                            for a, b in sorted(spans):
+                                end = int(starts[b]) if b < word[r + 1] else int(offsets[r + 1])
+                                if a <= last:  # words that touch what is removed already
+                                    last = max(last, b)
+                                    removed[r][-1] = (removed[r][-1][0], max(removed[r][-1][1], int(end - offsets[r])))
+                                else:
+                                    last = b
                                     removed[r].append((int(starts[a] - offsets[r]), int(end - offsets[r])))
                             if removed[r]:
                                 raw = data[offsets[r] : offsets[r + 1]].tobytes()

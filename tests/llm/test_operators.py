@@ -205,6 +205,15 @@ def test_line_dedup(docs, nothing):
     assert remove_repeats(nothing).collect() == []
 
 
+def test_line_dedup_of_short_lines(spark):
+    from gaugeleaf.llm.line_dedup import remove_repeats
+
+    texts = ["first words here\nAll rights reserved.\nmore of it", "other start\nall  rights reserved.\nother end", "all rights reserved. and on\nx", "X\ny\ny\nz", "y", None]
+    got = {r.doc_id: r for r in remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].text for i in range(6)] == [texts[0], "other start\nother end", texts[2], "y\nz", "", None]
+    assert [(s.start, s.end) for s in got[3].removed] == [(0, 2), (4, 6)]
+
+
 @pytest.mark.parametrize("group_contexts", [20_000, 0])
 def test_suffix_dedup(docs, nothing, group_contexts, monkeypatch):
     from gaugeleaf.llm import suffix_dedup as S

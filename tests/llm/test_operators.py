@@ -80,6 +80,17 @@ def test_near_duplicates(docs, block_rows):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+def test_near_duplicates_on_both_sides_of_the_keyed_size(spark):
+    from gaugeleaf.llm.minhash import near_duplicates
+
+    rows = []
+    for p in range(40):  # 16 shingles, and the same with 4 more: similarity 0.8
+        short = [f"p{p}x{k}" for k in range(16)]
+        rows += [(2 * p, " ".join(short)), (2 * p + 1, " ".join([*short, *(f"p{p}y{k}" for k in range(4))]))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80, 1).collect()
+    assert all(r.component_id == r.doc_id // 2 * 2 for r in got)
+
+
 def test_near_duplicates_of_nothing(nothing):
     from gaugeleaf.llm.minhash import keep_one_of_each, near_duplicates
 

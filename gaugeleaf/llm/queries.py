@@ -38,7 +38,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import remove_substrings
 
     found = remove_substrings(load(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,18 +96,21 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(root) AS component_id F
 
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
-w AS (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 800)) AS k FROM d, unnest(range(0, n - 399)) t(p) WHERE n >= 400),
-again AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY k) AS c FROM w) WHERE c > 1),
-marked AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 400 THEN 0 ELSE 1 END AS opens FROM again),
-runs AS (SELECT doc_id, p, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM marked),
-spans AS (SELECT doc_id, min(p) AS a, max(p) + 400 AS b FROM runs GROUP BY doc_id, r),
+w AS (SELECT doc_id, p, z, md5_number(substr(h, 2 * p + 1, 2 * z)) AS k FROM d, (VALUES (400), (250)) s(z), unnest(range(0, n - z + 1)) t(p) WHERE n >= z),
+again AS (SELECT doc_id, p, z FROM (SELECT doc_id, p, z, count(*) OVER (PARTITION BY z, k) AS c FROM w) WHERE c > 1),
+marked AS (SELECT doc_id, p, z, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id, z ORDER BY p) + z THEN 0 ELSE 1 END AS opens FROM again),
+runs AS (SELECT doc_id, p, z, sum(opens) OVER (PARTITION BY doc_id, z ORDER BY p) AS r FROM marked),
+every AS (SELECT doc_id, z, min(p) AS a, max(p) + z AS b FROM runs GROUP BY doc_id, z, r),
+spans AS (SELECT doc_id, a, b FROM every WHERE z = 400),
 kept AS (
   SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM spans
   UNION ALL SELECT d.doc_id, coalesce(max(s.b), 0), any_value(d.n) FROM d LEFT JOIN spans s USING (doc_id) GROUP BY d.doc_id),
 left_over AS (SELECT k.doc_id, string_agg(substr(d.h, 2 * k.a + 1, 2 * (k.b - k.a)), '' ORDER BY k.a, k.b) AS h FROM kept k JOIN d USING (doc_id) GROUP BY k.doc_id),
-totals AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM spans GROUP BY doc_id)
-SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(t.removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(t.spans, 0) AS BIGINT) AS n_spans, sha256(unhex(l.h)) AS kept_sha256
-FROM d JOIN left_over l USING (doc_id) LEFT JOIN totals t USING (doc_id)
+totals AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM spans GROUP BY doc_id),
+passages AS (SELECT doc_id, sum(b - a) AS n FROM every WHERE z = 250 GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(t.removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(t.spans, 0) AS BIGINT) AS n_spans, sha256(unhex(l.h)) AS kept_sha256,
+       CAST(coalesce(p.n, 0) AS BIGINT) AS n_passage_bytes
+FROM d JOIN left_over l USING (doc_id) LEFT JOIN totals t USING (doc_id) LEFT JOIN passages p USING (doc_id)
 """
 
 OP6_SQL = r"""

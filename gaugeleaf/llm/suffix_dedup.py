@@ -1,34 +1,42 @@
 """Exact substring dedup on a sparse enhanced suffix array.
 
 Every byte that lies in a string of ``length`` bytes which also starts anywhere
-else goes.  Indexing all suffixes would cost many times the corpus, so only
-anchors are indexed: the byte positions whose ``gram``-byte hash is the least
-of some window.  A window is exactly the set of grams inside one string of
-``length`` bytes, so every such string holds an anchor, and all its copies hold
-it at the same place.  A match is therefore found from an anchor, within
-``length - gram`` bytes to the left and ``length`` bytes to the right.
+else goes; the same is reported for a second, shorter length (``passage``), at
+which passages of some fifty words are found.  Indexing all suffixes would cost
+many times the corpus, so only anchors are indexed: the byte positions whose
+``gram``-byte hash is the least of some window.  A window is exactly the set of
+grams inside one string of ``passage`` bytes, so every such string holds an
+anchor, and all its copies hold it at the same place; a longer string holds one
+in its first ``passage`` bytes.  A match is therefore found from an anchor,
+within ``passage - gram`` bytes to the left and ``length`` bytes to the right.
 
 1. Anchors with equal grams are grouped.  Where all contexts in a group are
-   equal (the inside of copies), the whole context repeats; nothing is sorted.
+   equal (the inside of copies), its suffix array is a single interval: the
+   whole context repeats.
 2. Other groups bring one example of each distinct context together and build
    an enhanced suffix array over them: sorted right contexts and their common
    prefixes.  A stack scan yields the interval tree; in each interval the left
    contexts are sorted too, so that every occurrence gets its longest left
    extension shared with another member, not just with its neighbour in the
-   array.  An interval whose prefix and extension reach ``length`` is a repeat
+   array.  An interval whose prefix and extension reach a length is a repeat
    of all members that share it.
 3. All repeats found from an anchor hold its gram, so their union is one range,
    which every occurrence with that context takes over.
 
-Scale: anchors are one in a hundred bytes or so, aggregated by key before the
-shuffle.  A group of more than ``group_contexts`` distinct contexts is never
-brought together: its windows are hashed and counted by key instead, which
-gives the same ranges.
+Scale: anchors are one in seventy bytes or so, aggregated by key before the
+shuffle.  A group of more than ``group_contexts`` distinct contexts never meets
+in one task: its windows are hashed and counted by key instead, which gives the
+same ranges (a test holds both ways against brute force).  Every join has a
+written table on both sides, so that adaptive execution splits a hot gram.
+Contexts are compared by a 64-bit hash within an equal 64-bit gram hash.
 
-Edge cases: null and empty texts have nothing to remove; texts shorter than
-``length`` cannot hold a repeat; matches never cross texts; overlapping copies
+Edge cases: null and empty texts have nothing to remove; texts shorter than a
+length cannot hold its repeats; matches never cross texts; overlapping copies
 in one text (periodic text) count; repeated rows are copies of each other; rows
-without doc_id are not compared and stay as they are.
+are told apart by doc_id and text together, so that one doc_id on two texts and
+rows without doc_id are compared like any other; a text of any length is
+handled in one row; an empty table gives no row; columns but doc_id and text are
+left out of the result.
 """
 
 from __future__ import annotations
@@ -38,7 +46,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -57,7 +65,7 @@ def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return out
 
 
-def anchors_in(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
+def anchors_in(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, ahead: int):
     """Positions of the anchors, their texts, gram hashes, context hashes and bytes of context on both sides."""
     n = len(data)
     width = length - gram + 1
@@ -78,24 +86,32 @@ def anchors_in(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     at = np.flatnonzero(highest == rank)
     text = np.searchsorted(offsets, at, side="right") - 1
     left = np.minimum(at - offsets[text], length - gram)
-    right = np.minimum(offsets[text + 1] - at, length)
-    context = K.mix((sums[at + right] - sums[at - left]) * down[at - left] + (left * 1000 + right).astype(np.uint64))
+    right = np.minimum(offsets[text + 1] - at, ahead)
+    context = K.mix((sums[at + right] - sums[at - left]) * down[at - left] + (left * (ahead + 1) + right).astype(np.uint64))
     return at, text, grams[at].view(np.int64), context.view(np.int64), left, right
 
 
-def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
+#: A row is named by its doc_id (or a hash of its text) and a hash of its text.
+KEY = ("key_a", "key_b")
+
+
+def keyed_columns() -> list[Column]:
+    return [F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit(5), "text")).alias("key_a"), F.xxhash64("text").alias("key_b")]
+
+
+def anchors(docs: DataFrame, length: int, gram: int, ahead: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column(batch.schema.get_field_index("doc_id"))
+            names = [batch.column(batch.schema.get_field_index(k)) for k in KEY]
             for i, n, data, offsets in K.text_slices(batch):
-                at, text, grams, contexts, left, right = anchors_in(data, offsets, length, gram)
-                own = names.slice(i, n).take(pa.array(text))
+                at, text, grams, contexts, left, right = anchors_in(data, offsets, length, gram, ahead)
+                own = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
-                    [own, pa.array(at - offsets[text], pa.int32()), pa.array(grams), pa.array(contexts), pa.array(left, pa.int16()), pa.array(right, pa.int16())],
-                    names=["doc_id", "at", "gram", "context", "left", "right"],
+                    [*(k.slice(i, n).take(own) for k in names), pa.array(at - offsets[text], pa.int32()), pa.array(grams), pa.array(contexts), pa.array(left, pa.int32()), pa.array(right, pa.int32())],
+                    names=[*KEY, "at", "gram", "context", "left", "right"],
                 )
 
-    return docs.where(F.octet_length("text") >= length).mapInArrow(run, "doc_id long, at int, gram long, context long, left smallint, right smallint")
+    return docs.where(F.octet_length("text") >= length).mapInArrow(run, "key_a long, key_b long, at int, gram long, context long, left int, right int")
 
 
 def common(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -126,16 +142,16 @@ def matrix(values: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     return flat.reshape(len(values), width), sizes
 
 
-def repeat_ranges(group: np.ndarray, lefts: list[bytes], rights: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """How far repeats reach to the left and right of each context's anchor (0, 0: none).
+def repeat_ranges(group: np.ndarray, lefts: list[bytes], rights: list[bytes], lengths: tuple[int, ...], gram: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each of lengths, how far repeats reach to the left and right of each context's anchor (0, 0: none).
 
     group is sorted; lefts are reversed, so that both sides start at the anchor.
     """
     n = len(group)
     order = sorted(range(n), key=lambda i: (group[i], rights[i]))
     group = group[order]
-    right, right_size = matrix([rights[i] for i in order], length)
-    left, left_size = matrix([lefts[i] for i in order], max(length - gram, 1))
+    right, right_size = matrix([rights[i] for i in order], max(map(len, rights)))
+    left, left_size = matrix([lefts[i] for i in order], max(1, *map(len, lefts)))
     rank = np.empty(n, dtype=np.int64)
     rank[sorted(range(n), key=[lefts[i] for i in order].__getitem__)] = np.arange(n)
     shared = np.zeros(n, dtype=np.int64)
@@ -143,7 +159,7 @@ def repeat_ranges(group: np.ndarray, lefts: list[bytes], rights: list[bytes], le
         b = min(n - 1, a + 8192)
         shared[a:b] = np.where(group[a:b] == group[a + 1 : b + 1], common(right[a:b], right[a + 1 : b + 1], np.minimum(right_size[a:b], right_size[a + 1 : b + 1])), 0)
     tree = np.array([t for t in interval_tree(shared.tolist(), n) if t[0] >= gram], dtype=np.int64).reshape(-1, 3)
-    reach_left, reach_right = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    reached = [(np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)) for _ in lengths]
     sizes = tree[:, 2] - tree[:, 1] + 1
     at = 0
     upto = np.cumsum(sizes)
@@ -162,19 +178,22 @@ def repeat_ranges(group: np.ndarray, lefts: list[bytes], rights: list[bytes], le
             extension[a:b] = np.maximum(extension[a:b], both)
             extension[a + 1 : b + 1] = np.maximum(extension[a + 1 : b + 1], both)
         depth = part[:, 0][node]
-        good = extension + depth >= length
-        np.maximum.at(reach_left, row[good], extension[good])
-        np.maximum.at(reach_right, row[good], depth[good])
+        for length, (reach_left, reach_right) in zip(lengths, reached, strict=True):
+            good = extension + depth >= length
+            np.maximum.at(reach_left, row[good], extension[good])
+            np.maximum.at(reach_right, row[good], depth[good])
         at = end
-    out_left, out_right = np.empty_like(reach_left), np.empty_like(reach_right)
-    out_left[order], out_right[order] = reach_left, reach_right
-    return out_left, out_right
+    out = [(np.empty_like(x), np.empty_like(y)) for x, y in reached]
+    for mine, sorted_ones in zip(out, reached, strict=True):
+        for x, y in zip(mine, sorted_ones, strict=True):
+            x[order] = y
+    return out
 
 
-def contexts_of(docs: DataFrame, examples: DataFrame, length: int, gram: int) -> DataFrame:
+def contexts_of(texts: DataFrame, examples: DataFrame, behind: int, ahead: int) -> DataFrame:
     """gram, context, n, big and the bytes left (reversed) and right of each example's anchor."""
-    wanted = examples.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "context", "n", "big", "at")).alias("wanted"))
-    joined = docs.join(wanted, "doc_id")
+    wanted = examples.groupBy(*KEY).agg(F.collect_list(F.struct("gram", "context", "n", "big", "at")).alias("wanted"))
+    joined = texts.join(wanted, list(KEY))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,15 +201,18 @@ def contexts_of(docs: DataFrame, examples: DataFrame, length: int, gram: int) ->
                 raw = batch.column(batch.schema.get_field_index("text"))[r].as_py().encode()
                 rows = batch.column(batch.schema.get_field_index("wanted")).slice(r, 1).flatten()
                 places = rows.field("at").to_pylist()
-                lefts = [raw[max(0, p - (length - gram)) : p][::-1] for p in places]
-                rights = [raw[p : p + length] for p in places]
+                lefts = [raw[max(0, p - behind) : p][::-1] for p in places]
+                rights = [raw[p : p + ahead] for p in places]
                 yield pa.RecordBatch.from_arrays([rows.field("gram"), rows.field("context"), rows.field("n"), rows.field("big"), pa.array(lefts, pa.binary()), pa.array(rights, pa.binary())], names=["gram", "context", "n", "big", "left", "right"])
 
     return joined.select("text", "wanted").mapInArrow(run, "gram long, context long, n long, big boolean, left binary, right binary")
 
 
-def found_in_groups(contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    """gram, context, reach_left, reach_right of the contexts with a repeat, by an enhanced suffix array in each task."""
+REACHED = "gram long, context long, length int, reach_left int, reach_right int"
+
+
+def found_in_groups(contexts: DataFrame, lengths: tuple[int, ...], gram: int) -> DataFrame:
+    """For each length the contexts with a repeat of it and how far it reaches, by an enhanced suffix array in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups_in(batches, "gram", 10_000):
@@ -200,93 +222,107 @@ def found_in_groups(contexts: DataFrame, length: int, gram: int) -> DataFrame:
             first.sort()
             group, context, n = group[first], context[first], table.column("n").to_numpy()[first]
             lefts, rights = table.column("left").take(first).to_pylist(), table.column("right").take(first).to_pylist()
-            reach_left, reach_right = repeat_ranges(group, lefts, rights, length, gram)
             whole = np.array([len(a) + len(b) for a, b in zip(lefts, rights, strict=True)])
-            copied = (n > 1) & (whole >= length)
-            reach_left = np.where(copied, [len(x) for x in lefts], reach_left)
-            reach_right = np.where(copied, [len(x) for x in rights], reach_right)
-            some = np.flatnonzero(reach_right > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (group, context, reach_left.astype(np.int32), reach_right.astype(np.int32))], names=["gram", "context", "reach_left", "reach_right"])
+            for length, (reach_left, reach_right) in zip(lengths, repeat_ranges(group, lefts, rights, lengths, gram), strict=True):
+                copied = (n > 1) & (whole >= length)
+                reach_left = np.where(copied, [len(x) for x in lefts], reach_left)
+                reach_right = np.where(copied, [len(x) for x in rights], reach_right)
+                some = np.flatnonzero(reach_right > 0)
+                columns = (group, context, np.full(len(group), length, dtype=np.int32), reach_left.astype(np.int32), reach_right.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in columns], names=["gram", "context", "length", "reach_left", "reach_right"])
 
-    return contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "gram long, context long, reach_left int, reach_right int")
+    return contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, REACHED)
 
 
-def found_by_windows(contexts: DataFrame, length: int) -> DataFrame:
+def found_by_windows(contexts: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     """The same for groups of any size: every window of a context is hashed and counted over its group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 raw = row["left"][::-1] + row["right"]
-                if len(raw) < length:
-                    continue
                 data = np.frombuffer(raw, dtype=np.uint8)
                 up, down = K.powers(len(data))
                 sums = np.zeros(len(data) + 1, dtype=np.uint64)
                 np.cumsum(K.BYTE_VALUE[data] * up[: len(data)], out=sums[1:])
-                windows = K.mix((sums[length:] - sums[:-length]) * down[: len(data) - length + 1]).view(np.int64)
-                m = len(windows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(m, row["gram"])), pa.array(np.full(m, row["context"])), pa.array(np.full(m, row["n"])), pa.array(windows), pa.array(len(row["left"]) - np.arange(m), pa.int32())],
-                    names=["gram", "context", "n", "window", "before"],
-                )
-
-    windows = contexts.dropDuplicates(["gram", "context"]).mapInArrow(run, "gram long, context long, n long, window long, before int")
+                for length in lengths:
+                    m = min(len(data) - length, len(row["left"])) + 1  # windows that hold the anchor
+                    if m < 1:
+                        continue
+                    windows = K.mix((sums[length : length + m] - sums[:m]) * down[:m]).view(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(m, row["gram"])), pa.array(np.full(m, row["context"])), pa.array(np.full(m, row["n"])), pa.array(windows), pa.array(len(row["left"]) - np.arange(m), pa.int32()), pa.array(np.full(m, length), pa.int32())],
+                        names=["gram", "context", "n", "window", "before", "length"],
+                    )
+
+    windows = contexts.dropDuplicates(["gram", "context"]).mapInArrow(run, "gram long, context long, n long, window long, before int, length int")
     # the anchor's place in the window is part of the key: one window seen from two of its anchors is one occurrence
-    key = ["gram", "window", "before"]
+    key = ["gram", "window", "before", "length"]
     twice = windows.groupBy(*key).agg(F.sum("n").alias("times")).where("times > 1").select(*key)
     found = windows.join(twice, key)
-    return found.groupBy("gram", "context").agg(F.max("before").alias("reach_left"), F.max(F.lit(length) - F.col("before")).cast("int").alias("reach_right"))
+    return found.groupBy("gram", "context", "length").agg(F.max("before").alias("reach_left"), F.max(F.col("length") - F.col("before")).cast("int").alias("reach_right"))
 
 
-def repeated_ranges(docs: DataFrame, length: int = 400, gram: int = 160, group_contexts: int = 20_000) -> DataFrame:
-    """doc_id and ranges: byte ranges (start, end) that repeat; they may overlap."""
-    docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
-    found = materialize(anchors(docs, length, gram), "anchors")
+def repeated_ranges(docs: DataFrame, length: int = 400, passage: int = 250, gram: int = 100, group_contexts: int = 20_000) -> DataFrame:
+    """key_a, key_b and ranges (start, end, length): byte ranges that repeat, for both lengths; they may overlap."""
+    texts = docs.where("text is not null").select(*keyed_columns(), "text")
+    lengths = (length, passage)
+    found = materialize(anchors(texts, passage, gram, length), "anchors")
     keys = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).where("n > 1")
-    # written, so that both sides of the join are plain exchanges: adaptive execution splits a hot gram only then
+    # written, so that both sides of the joins are plain exchanges: adaptive execution splits a hot gram only then
     keys = materialize(keys.select("gram", (F.col("low") == F.col("high")).alias("same")), "repeated-keys")
-    again = found.join(keys, "gram")
-    again = materialize(again, "repeated-anchors")
-    equal = again.where("same").where(f"left + right >= {length}").select("doc_id", (F.col("at") - F.col("left")).alias("start"), (F.col("at") + F.col("right")).alias("end"))
+    again = materialize(found.join(keys, "gram"), "repeated-anchors")
+    start, end = F.col("at") - F.col("left"), F.col("at") + F.col("right")
+    wide = F.explode(F.filter(F.array(*map(F.lit, lengths)), lambda x: x <= F.col("left") + F.col("right")))
+    equal = again.where("same").select(*KEY, start.alias("start"), end.alias("end"), wide.alias("length"))
     unequal = again.where("not same")
-    distinct = unequal.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("first"))
-    widths = unequal.groupBy("gram").agg((F.approx_count_distinct("context") > group_contexts).alias("big"))
-    examples = distinct.join(widths, "gram").select("gram", "context", "n", "big", "first.doc_id", "first.at")
-    contexts = materialize(contexts_of(docs, examples, length, gram), "contexts")
-    reached = found_in_groups(contexts.where("not big"), length, gram).unionByName(found_by_windows(contexts.where("big"), length))
-    partly = unequal.join(reached, ["gram", "context"]).select("doc_id", (F.col("at") - F.col("reach_left")).alias("start"), (F.col("at") + F.col("reach_right")).alias("end"))
-    return equal.union(partly).groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
+    distinct = materialize(unequal.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "at")).alias("first")), "distinct-contexts")
+    large = materialize(distinct.groupBy("gram").agg(F.count("*").alias("contexts")).where(F.col("contexts") > group_contexts).select("gram", F.lit(True).alias("large")), "large-groups")
+    examples = distinct.join(large, "gram", "left").select("gram", "context", "n", F.coalesce("large", F.lit(False)).alias("big"), "first.*")
+    contexts = materialize(contexts_of(texts, examples, passage - gram, length), "contexts")
+    reached = found_in_groups(contexts.where("not big"), lengths, gram).unionByName(found_by_windows(contexts.where("big"), lengths))
+    reached = materialize(reached, "reached")
+    partly = unequal.join(reached, ["gram", "context"]).select(*KEY, (F.col("at") - F.col("reach_left")).alias("start"), (F.col("at") + F.col("reach_right")).alias("end"), "length")
+    return equal.union(partly).groupBy(*KEY).agg(F.collect_set(F.struct("start", "end", "length")).alias("ranges"))
+
+
+def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same places in as few ranges as can be, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+SPANS = "array<struct<start: long, end: long>>"
 
 
-def remove_substrings(docs: DataFrame, length: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, spans (removed byte ranges), kept (bytes left) and its kept_sha256."""
-    ranges = repeated_ranges(docs, length).withColumnRenamed("doc_id", "__id")
-    joined = docs.select(F.col("doc_id").cast("long"), "text")
-    joined = joined.join(ranges, joined["doc_id"] == F.col("__id"), "left").select("doc_id", "text", "ranges")
+def remove_substrings(docs: DataFrame, length: int = 400, passage: int = 250) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, spans (removed byte ranges), kept (bytes left), its kept_sha256, and passages (byte ranges that repeat at the shorter length) with n_passage_bytes."""
+    ranges = repeated_ranges(docs, length, passage)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keyed_columns(), "text")
+    joined = rows.join(ranges, list(KEY), "left").select("doc_id", "text", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "spans": span, "kept": pa.binary(), "kept_sha256": pa.string(), "passages": span, "n_passage_bytes": pa.int64()}
         for batch in batches:
             ids, texts, found = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text", "ranges"))
-            out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "spans", "kept", "kept_sha256")}
+            out: dict[str, list] = {c: [] for c in kinds}
             for text, own in zip(texts, found.to_pylist(), strict=True):
                 raw = (text.as_py() or "").encode()
-                spans: list[list[int]] = []
-                for a, b in sorted((x["start"], x["end"]) for x in own or ()):
-                    if spans and a <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], b)
-                    else:
-                        spans.append([a, b])
-                last, keep = 0, []
-                for a, b in spans:
-                    keep.append(raw[last:a])
-                    last = b
-                kept = b"".join([*keep, raw[last:]])
-                for c, v in zip(out, (len(raw), len(raw) - len(kept), [{"start": a, "end": b} for a, b in spans], kept, hashlib.sha256(kept).hexdigest()), strict=True):
+                spans = merged([(x["start"], x["end"]) for x in own or () if x["length"] == length])
+                passages = merged([(x["start"], x["end"]) for x in own or ()])
+                bounds = [0, *(p for s in spans for p in s), len(raw)]
+                kept = b"".join(raw[a:b] for a, b in zip(bounds[::2], bounds[1::2], strict=True))
+                listed = [[{"start": a, "end": b} for a, b in x] for x in (spans, passages)]
+                values = (len(raw), len(raw) - len(kept), listed[0], kept, hashlib.sha256(kept).hexdigest(), listed[1], sum(b - a for a, b in passages))
+                for c, v in zip(out, values, strict=True):
                     out[c].append(v)
-            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            kinds = (pa.int64(), pa.int64(), span, pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))], names=["doc_id", *out])
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(v, kinds[c]) for c, v in out.items())], names=["doc_id", *out])
 
-    done = joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary, kept_sha256 string")
+    done = joined.mapInArrow(run, f"doc_id long, n_bytes long, n_removed long, spans {SPANS}, kept binary, kept_sha256 string, passages {SPANS}, n_passage_bytes long")
     return done.withColumn("n_spans", F.size("spans").cast("long"))

@@ -225,28 +225,39 @@ def test_line_dedup_of_short_lines(spark):
     assert [(s.start, s.end) for s in got[3].removed] == [(0, 2), (4, 6)]
 
 
-@pytest.mark.parametrize("group_contexts", [20_000, 0])
-def test_suffix_dedup(docs, nothing, group_contexts, monkeypatch):
-    from gaugeleaf.llm import suffix_dedup as S
-
-    length = 400
-    texts = [((t or "").encode(), i) for i, t, _ in corpus()]
+def repeats_by_brute_force(raws, length):
+    """Which bytes of each text lie in a string of length bytes that starts twice or more."""
     places = defaultdict(list)
-    for k, (raw, _) in enumerate(texts):
+    for k, raw in enumerate(raws):
         for p in range(len(raw) - length + 1):
             places[raw[p : p + length]].append((k, p))
-    covered = [np.zeros(len(raw), dtype=bool) for raw, _ in texts]
+    covered = [np.zeros(len(raw), dtype=bool) for raw in raws]
     for own in places.values():
         if len(own) > 1:
             for k, p in own:
                 covered[k][p : p + length] = True
+    return covered
+
+
+@pytest.mark.parametrize("group_contexts", [20_000, 0])
+def test_suffix_dedup(spark, nothing, group_contexts, monkeypatch):
+    from gaugeleaf.llm import suffix_dedup as S
+
+    draw = random.Random(8)
+    prose = lambda n: " ".join(draw.choice(WORDS) for _ in range(n))
+    shared = prose(60)[:300]
+    rows = [(i, t) for i, t, _ in corpus()]
+    rows += [(5000, prose(90)), (5000, prose(200)), (5001, rows[7][1][:450] + prose(30)), (5000, shared + prose(30)), (None, prose(20) + shared), (None, rows[8][1]), (7, prose(150)), (None, None)]
+    raws = [(t or "").encode() for _, t in rows]
+    long, short = repeats_by_brute_force(raws, 400), repeats_by_brute_force(raws, 250)
     want = []
-    for (raw, i), c in zip(texts, covered):
+    for (i, _), raw, c, d in zip(rows, raws, long, short):
         kept = np.frombuffer(raw, dtype=np.uint8)[~c].tobytes()
-        want.append((i, len(raw), int(c.sum()), int((np.diff(np.concatenate([[0], c.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+        want.append((str(i), len(raw), int(c.sum()), int((np.diff(np.concatenate([[0], c.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest(), kept, int(d.sum())))
     found = S.repeated_ranges
-    monkeypatch.setattr(S, "repeated_ranges", lambda d, n: found(d, n, group_contexts=group_contexts))
-    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.remove_substrings(docs, length).collect()]
+    monkeypatch.setattr(S, "repeated_ranges", lambda d, n, m: found(d, n, m, group_contexts=group_contexts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept), r.n_passage_bytes) for r in S.remove_substrings(df).collect()]
     assert sorted(got) == sorted(want)
     assert S.remove_substrings(nothing).collect() == []
 
@@ -306,7 +317,7 @@ def test_rows_without_an_id(spark):
     assert sorted(str(r.doc_id) for r in count_tokens(write_flat(df)).collect()) == ["1", "2", "None", "None"]
     assert pack(df).count() == 4
     assert sorted((str(r.doc_id), r.n_removed > 0) for r in remove_repeats(df).collect()) == [("1", True), ("2", True), ("None", False), ("None", False)]
-    assert sorted((str(r.doc_id), r.n_removed > 0) for r in remove_substrings(df).collect()) == [("1", True), ("2", True), ("None", False), ("None", False)]
+    assert sorted((str(r.doc_id), r.n_removed > 0) for r in remove_substrings(df).collect()) == [("1", True), ("2", True), ("None", False), ("None", True)]
     hits = with_hits(find_matches(df, bench)).collect()
     assert sorted(r.n_hit for r in hits) == [0, 15, 15, 15]
     assert quality_scores(df, labels).count() == keep_good(df, labels).count() == 4

@@ -19,16 +19,25 @@ at exactly 0.8; the estimate's margin loses as little.  Where one set of a pair
 has no more than 16 shingles steps 2 and 3 are exact: what its partner may hold
 beyond its keyed values is taken off the bound.
 
-Scale: lists and families are dealt by key; a list of over ``block_rows`` or a
-family of over ``block_values`` shingles is split into pairs of blocks, each a
-task of bounded size, so no group meets in one task and none is cut short.
-Pairs are never emitted, only forests.
+Scale: lists and families are dealt by key.  A list of over ``block_rows`` or a
+family of over ``block_values`` shingles is dealt into blocks of that size, each
+a task with the group's hubs (a few members): whoever is similar to a hub is
+joined there, and a group of copies is settled in this one round.  Where more
+than one component is left, the members outside the largest one meet each other
+and the largest one's blocks in pairs of blocks; members of the largest one need
+not meet again.  So no group meets in one task, none is cut short, and copies
+cost a few rows each, not the square of their number.  Pairs are never emitted,
+only forests.  What is left quadratic is a list or family of that size whose
+members are alike in value but not in content.
 
 Edge cases: null and empty texts have no shingles and stay alone; a text of
-fewer words than a shingle is one shingle; repeated rows and equal texts are one
-representative, whose component is the smallest doc_id; a row without doc_id
-takes the component of its equals but never names one, and always stays; extra
-columns are kept.
+fewer words than a shingle is one shingle; a text of any length is one row;
+repeated rows and equal texts are one representative, whose component is the
+smallest doc_id; representatives have numbers of their own, so that one doc_id
+on several texts neither links nor multiplies them; a row without doc_id takes
+the component of its equals but never names one, and always stays; ties of
+hashes are broken by the number; an empty table gives no row; extra columns are
+kept by ``keep_one_of_each`` and left out by ``near_duplicates``.
 """
 
 from __future__ import annotations
@@ -64,11 +73,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int, sign: np.uint
 
 
 def sketches(docs: DataFrame, shingle: int = 3, k: int = 64) -> DataFrame:
-    """doc_id, n_shingles, print_a, print_b (fingerprint of the set) and sketch (k smallest hashes, ascending)."""
+    """doc_id, tag (hash of the text), n_shingles, print_a, print_b (fingerprint of the set) and sketch (k smallest hashes, ascending)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column(batch.schema.get_field_index("doc_id"))
+            names, tags = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "tag"))
             for i, n, data, offsets in K.text_slices(batch):
                 sets = [(s >> np.uint64(1)).astype(np.int64) for s in shingle_sets(data, offsets, shingle, np.uint64(0))]
                 sets = [s if len(s) < 2 else s[np.concatenate([[True], s[1:] != s[:-1]])] for s in sets]
@@ -77,11 +86,11 @@ def sketches(docs: DataFrame, shingle: int = 3, k: int = 64) -> DataFrame:
                 tops = [s[:k] for s in sets]
                 bounds = np.cumsum([0, *map(len, tops)])
                 yield pa.RecordBatch.from_arrays(
-                    [names.slice(i, n), pa.array([len(s) for s in sets], pa.int64()), pa.array(a), pa.array(b), K.list_array(np.concatenate(tops), bounds, pa.int64())],
-                    names=["doc_id", "n_shingles", "print_a", "print_b", "sketch"],
+                    [names.slice(i, n), tags.slice(i, n), pa.array([len(s) for s in sets], pa.int64()), pa.array(a), pa.array(b), K.list_array(np.concatenate(tops), bounds, pa.int64())],
+                    names=["doc_id", "tag", "n_shingles", "print_a", "print_b", "sketch"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, print_a long, print_b long, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tag"), "text").mapInArrow(run, "doc_id long, tag long, n_shingles long, print_a long, print_b long, sketch array<long>")
 
 
 def roots(n: int, pairs: list[tuple[int, int]]) -> np.ndarray:
@@ -116,17 +125,18 @@ def estimate(left: np.ndarray, right: np.ndarray, k: int) -> np.ndarray:
     return shared / np.maximum(union, 1)
 
 
-def groups_in(batches: Iterator[pa.RecordBatch], key: str, rows: int = 20_000) -> Iterator[pa.Table]:
-    """Tables of whole groups from batches sorted by key, about rows at a time."""
+def groups_in(batches: Iterator[pa.RecordBatch], key: str, rows: int = 20_000, most_bytes: int = 32 << 20) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches sorted by key, about rows or most_bytes at a time."""
     held: list[pa.Table] = []
-    size = 0
+    size = weight = 0
     for batch in batches:
         table = pa.Table.from_batches([batch])
         if not table.num_rows:
             continue
         held.append(table)
         size += table.num_rows
-        if size >= rows:
+        weight += table.nbytes
+        if size >= rows or weight >= most_bytes:
             whole = pa.concat_tables(held)
             keys = whole.column(key).to_numpy()
             others = np.flatnonzero(keys != keys[-1])
@@ -134,7 +144,7 @@ def groups_in(batches: Iterator[pa.RecordBatch], key: str, rows: int = 20_000) -
             if cut:
                 yield whole.slice(0, cut)
             held = [whole.slice(cut)]
-            size = 0  # rows since the last look; a group larger than that is looked at again after as many more
+            size = weight = 0  # since the last look; a group larger than that is looked at again after as many more
     if held:
         whole = pa.concat_tables(held)
         if whole.num_rows:
@@ -148,12 +158,37 @@ def lists_of(table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
     return array.flatten().to_numpy(), offsets - (offsets[0] if len(offsets) else 0)
 
 
-def in_block_pairs(rows: DataFrame, key: str, n_blocks: str, member: str) -> DataFrame:
-    """Adds task: one number for each pair of blocks of a group.  A row goes to every pair that holds its block."""
-    block = F.pmod(F.xxhash64(member, F.lit(17)), F.col(n_blocks)).cast("int")
-    other = F.explode(F.when(F.col(n_blocks) == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), (F.col(n_blocks) - 1).cast("int"))))
-    spread = rows.withColumn("__block", block).withColumn("__other", other)
-    return spread.withColumn("task", F.xxhash64(key, F.least("__block", "__other"), F.greatest("__block", "__other"))).drop("__block", "__other")
+#: Members of a large group that all its blocks meet.
+HUBS = 4
+
+
+def with_hubs(rows: DataFrame, group: str, member: str) -> DataFrame:
+    """First round: adds task.  A row goes to its block's task; the hubs of a group of several blocks (n_blocks) go to all of them."""
+    block = F.pmod(F.xxhash64(member, F.lit(17)), F.col("n_blocks")).cast("long")
+    some = F.array(*(F.min(F.struct(F.xxhash64(member, F.lit(k)).alias("h"), F.col(member).alias("hub")))["hub"] for k in range(HUBS)))
+    hubs = rows.where("n_blocks > 1").groupBy(group).agg(F.array_distinct(some).alias("hubs"))
+    hubs = materialize(hubs.select(group, F.explode("hubs").alias(member), F.lit(True).alias("__hub")), "hubs")
+    marked = rows.join(hubs, [group, member], "left")
+    to = F.explode(F.when(F.col("__hub"), F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).otherwise(F.array(block)))
+    return marked.withColumn("__to", to).withColumn("task", F.xxhash64(group, F.lit(-1), "__to")).drop("__to", "__hub")
+
+
+def in_block_pairs(rows: DataFrame, group: str, member: str, joined: DataFrame) -> DataFrame:
+    """Second round, for groups of several blocks that joined (node, component) leaves apart: adds task.
+
+    Members outside a group's largest component meet each other and that component in pairs of blocks.
+    """
+    many = rows.where("n_blocks > 1").join(joined.withColumnRenamed("node", member), member, "left").withColumn("component", F.coalesce("component", member))
+    parts = materialize(many.groupBy(group, "component").agg(F.count("*").alias("n"), F.max("n_blocks").alias("n_blocks")), "group-parts")
+    totals = parts.groupBy(group).agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("main"), F.max("n_blocks").alias("n_blocks")).where("all > main.n")
+    share = lambda n: F.ceil(F.col("n_blocks") * n / F.col("all")).cast("long")
+    totals = materialize(totals.select(group, F.col("main.component").alias("__main"), share(F.col("all") - F.col("main.n")).alias("__rest"), share(F.col("main.n")).alias("__most")), "group-blocks")
+    apart = many.join(totals, group)
+    inner, own = F.col("component") == F.col("__main"), F.xxhash64(member, F.lit(17))
+    block = F.when(inner, F.col("__rest") + F.pmod(own, F.col("__most"))).otherwise(F.pmod(own, F.col("__rest")))
+    others = F.when(inner, F.col("__rest")).otherwise(F.col("__rest") + F.col("__most"))
+    spread = apart.withColumn("__block", block).withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), others - 1)))
+    return spread.withColumn("task", F.xxhash64(group, F.least("__block", "__other"), F.greatest("__block", "__other"))).drop("component", "__main", "__rest", "__most", "__block", "__other")
 
 
 def keyed_overlap(n: int, similarity: float, keyed: int) -> int:
@@ -173,9 +208,9 @@ def families(reps: DataFrame, similarity: float, k: int, keyed: int, least_share
     needed = F.when(F.col("n_shingles") <= keyed, F.element_at(exact, F.least("n_shingles", F.lit(keyed)).cast("int"))).otherwise(keyed - least_shared + 1)
     rare = values.join(frequent, "value").withColumn("place", place).where(F.col("place") <= needed).select("rep", "value")
     rare = materialize(rare, "lists")
-    lengths = rare.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value", F.ceil(F.col("n") / block_rows).alias("n_blocks"))
-    rows = rare.join(lengths, "value").join(reps.select("rep", "n_shingles", "sketch"), "rep")
-    dealt = in_block_pairs(rows, "value", "n_blocks", "rep").select("task", "rep", "n_shingles", "sketch")
+    lengths = rare.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
+    listed = rare.join(lengths.select("value", F.ceil(F.col("n") / block_rows).alias("n_blocks")), "value")
+    held = reps.select("rep", "n_shingles", "sketch")
     top = np.iinfo(np.int64).max
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,14 +264,24 @@ def families(reps: DataFrame, similarity: float, k: int, keyed: int, least_share
                 if len(pair):
                     yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
-    return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
+    def forest(dealt: DataFrame) -> DataFrame:
+        rows = dealt.join(held, "rep").select("task", "rep", "n_shingles", "sketch")
+        return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
+
+    large = not lengths.where(F.col("n") > block_rows).isEmpty()
+    if not large:
+        return forest(listed.withColumn("task", F.col("value")))
+    listed = materialize(listed, "listed")
+    edges = materialize(forest(with_hubs(listed, "value", "rep")), "forest")
+    return edges.union(forest(in_block_pairs(listed, "value", "rep", connected_components(edges))))
 
 
 def exact_links(docs: DataFrame, members: DataFrame, percent: int, shingle: int, block_values: int) -> DataFrame:
-    """rep, root (smallest representative linked to it in its task) and split (whether other tasks hold the family too)."""
+    """node and component of the members (rep, doc_id, tag, n_shingles, family), over links confirmed on full sets."""
     sizes = members.groupBy("family").agg(F.sum("n_shingles").alias("n")).select("family", F.ceil(F.col("n") / block_values).alias("n_blocks"))
     wanted = members.join(sizes, "family")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted.select("rep", "family", "n_blocks"), "rep")
+    named = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text")
+    texts = named.join(wanted.select("doc_id", "tag", "rep", "family", "n_blocks"), ["doc_id", "tag"]).select("rep", "family", "n_blocks", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,16 +292,14 @@ def exact_links(docs: DataFrame, members: DataFrame, percent: int, shingle: int,
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in ("rep", "family", "n_blocks")), K.list_array(np.concatenate(own).view(np.int64), bounds, pa.int64())], names=["rep", "family", "n_blocks", "own"])
 
     full = texts.mapInArrow(sets, "rep long, family long, n_blocks long, own array<long>")
-    dealt = in_block_pairs(full, "family", "n_blocks", "rep")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups_in(batches, "task", 2000):
             task = table.column("task").to_numpy()
             rep_all = table.column("rep").to_numpy()
-            split_all = table.column("n_blocks").to_numpy() > 1
             flat, offsets = lists_of(table, "own")
             bounds = np.append(np.flatnonzero(np.append(True, task[1:] != task[:-1])), len(task))
-            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            found: list[tuple[np.ndarray, np.ndarray]] = []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 rep, begin = rep_all[a:b], offsets[a : b + 1]
                 n = np.diff(begin)
@@ -279,10 +322,17 @@ def exact_links(docs: DataFrame, members: DataFrame, percent: int, shingle: int,
                 root = np.empty(b - a, dtype=np.int64)
                 for value in np.unique(label):
                     root[label == value] = rep[label == value].min()
-                found.append((rep, root, split_all[a:b]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[s] for f in found])) for s in range(3)], names=["rep", "root", "split"])
+                found.append((rep, root))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[s] for f in found])) for s in range(2)], names=["a", "b"])
+
+    def linked(dealt: DataFrame) -> DataFrame:
+        return dealt.select("task", "rep", "own").repartition("task").sortWithinPartitions("task").mapInArrow(verify, "a long, b long")
 
-    return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(verify, "rep long, root long, split boolean")
+    if sizes.where("n_blocks > 1").isEmpty():
+        return linked(full.withColumn("task", F.col("family"))).select(F.col("a").alias("node"), F.col("b").alias("component"))
+    full = materialize(full, "full-sets")
+    links = materialize(linked(with_hubs(full, "family", "rep")), "links")
+    return connected_components(links.union(linked(in_block_pairs(full, "family", "rep", connected_components(links)))))
 
 
 def near_duplicates(
@@ -300,16 +350,17 @@ def near_duplicates(
     similarity = percent / 100
     all_docs = materialize(sketches(docs, shingle, k), "sketches")
     sets = ["n_shingles", "print_a", "print_b"]
-    reps = all_docs.where("n_shingles > 0 and doc_id is not null").groupBy(*sets).agg(F.min(F.struct("doc_id", "sketch")).alias("first"))
-    reps = materialize(reps.select(F.col("first.doc_id").alias("rep"), *sets, F.col("first.sketch").alias("sketch")), "representatives")
+    reps = all_docs.where("n_shingles > 0 and doc_id is not null").groupBy(*sets).agg(F.min(F.struct("doc_id", "tag", "sketch")).alias("first"))
+    # numbered as they are written: two sets may have one smallest doc_id
+    reps = materialize(reps.select(F.monotonically_increasing_id().alias("rep"), *sets, "first.*"), "representatives")
     forest = connected_components(families(reps, similarity, k, keyed, least_shared, margin, block_rows))
-    members = reps.select("rep", "n_shingles").join(forest.select(F.col("node").alias("rep"), F.col("component").alias("family")), "rep")
-    links = materialize(exact_links(docs, members, percent, shingle, block_values), "links")
-    settled = links.where("not split").select("rep", "root")
-    across = connected_components(links.where("split").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    root = settled.union(across.select("node", "component"))
-    named = reps.join(root, "rep", "left").select(*sets, F.coalesce("root", "rep").alias("component_id"))
-    return all_docs.drop("sketch").join(named, sets, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    members = reps.select("rep", "doc_id", "tag", "n_shingles").join(forest.select(F.col("node").alias("rep"), F.col("component").alias("family")), "rep")
+    linked = materialize(exact_links(docs, materialize(members, "members"), percent, shingle, block_values), "linked")
+    owners = linked.join(reps.select(F.col("rep").alias("node"), "doc_id"), "node")
+    names = materialize(owners.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component-names")
+    named = linked.distinct().join(names, "component").select(F.col("node").alias("rep"), "component_id")
+    named = reps.join(named, "rep", "left").select(*sets, F.coalesce("component_id", "doc_id").alias("component_id"))
+    return all_docs.drop("sketch", "tag").join(named, sets, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:

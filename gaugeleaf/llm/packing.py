@@ -1,24 +1,35 @@
-"""Packing token sequences: best fit, then swap-based local search.
+"""Packing token sequences by a swap-based local search.
 
 Documents are tokenised where they are read; only documents longer than a
 sequence are cut, into full pieces, which are sequences of their own.  The
 remaining pieces (their lengths, not their ids) are dealt into groups of a
 bounded size by a hash of their place, so that a group fits one task whatever
-the corpus.  A group is packed by best fit in decreasing order.  Its underfull
-bins are then improved: moving a piece, exchanging one for one or two for one,
-whenever that increases the sum of squared fills, until the emptiest bins run
-empty or no change helps.
+the corpus.  A group starts loose: pieces are put into bins in the order they
+come.  The search then takes the emptiest bin again and again and fills others
+from it: it moves a piece, exchanges one for one, two for one or one for two,
+choosing the change that fills the other bin most, as long as the sum of squared
+fills grows.  Every underfull bin takes part; the search ends when the bins are
+as few as their total length allows or no bin has an improving change left.
+
+Bins that are not nearly full afterwards are taken apart and packed once more
+with those of other groups, in as many groups as they then need, until one group
+is left, so that the groups' remainders do not add up.
+
+Scale: lengths only are shuffled, once for the groups and then for the few
+remainders.  The search holds one group.
 
 Edge cases: a null or empty text is a piece of its end id alone; a piece longer
 than the capacity cannot occur; equal lengths are taken in the order of their
-place; an empty table gives no sequence; repeated rows are packed as often as
-they occur.
+place; a text of any length is cut in its row; an empty table gives no sequence;
+repeated rows are packed as often as they occur; columns but doc_id and text are
+left out.
 """
 
 from __future__ import annotations
 
+import functools
+import heapq
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,96 +46,119 @@ from .tokens import encoder_for, tokenizer_path
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, place long"
 
 
-def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Bins of piece numbers; each piece goes to the fullest bin that has room for it."""
-    bins: list[list[int]] = []
-    rooms: list[int] = []  # distinct remaining rooms, ascending
-    open_bins: dict[int, list[int]] = {}
-    for k in np.lexsort((np.arange(len(lengths)), -lengths)).tolist():
-        size = int(lengths[k])
-        at = bisect_left(rooms, size)
-        if at == len(rooms):
-            bins.append([k])
-            b, room = len(bins) - 1, capacity
-        else:
-            room = rooms[at]
-            b = open_bins[room].pop()
-            if not open_bins[room]:
-                del open_bins[room]
-                rooms.pop(at)
-            bins[b].append(k)
-        left = room - size
-        if left:
-            if left not in open_bins:
-                open_bins[left] = []
-                insort(rooms, left)
-            open_bins[left].append(b)
-    return bins
-
-
-def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int, most_bins: int = 64, most_rounds: int = 200) -> list[list[int]]:
-    """Local search among the emptiest bins: each change fills one bin further from another that is no fuller.
-
-    most_bins and most_rounds bound the effort, not what is packed: every piece stays in a bin.
-    """
-    size = {k: int(lengths[k]) for b in bins for k in b}
-    fill = [sum(size[k] for k in b) for b in bins]
-    active = sorted((i for i in range(len(bins)) if fill[i] < capacity), key=lambda i: (fill[i], i))[:most_bins]
-    for _ in range(most_rounds):
-        active = sorted((i for i in active if bins[i]), key=lambda i: (-fill[i], i))
-        changed = False
-        for x, high in enumerate(active):
-            room = capacity - fill[high]
-            if not room:
-                continue
-            for low in reversed(active[x + 1 :]):
-                best = change(bins[high], bins[low], size, room, fill[high] - fill[low])
-                if best:
-                    gain, out, into = best
-                    bins[high] = [k for k in bins[high] if k not in out] + list(into)
-                    bins[low] = [k for k in bins[low] if k not in into] + list(out)
-                    fill[high] += gain
-                    fill[low] -= gain
+class Search:
+    """Bins of pieces, and the changes between them; counts moves, exchanges and emptied bins."""
+
+    def __init__(self, lengths: np.ndarray, capacity: int):
+        self.size = lengths.astype(np.int64)
+        self.capacity = capacity
+        self.bin = np.zeros(len(lengths), dtype=np.int64)
+        fills: list[int] = []
+        for k, n in enumerate(self.size.tolist()):  # next fit
+            if not fills or fills[-1] + n > capacity:
+                fills.append(0)
+            fills[-1] += n
+            self.bin[k] = len(fills) - 1
+        self.fill = np.array(fills, dtype=np.int64)
+        self.members: list[set[int]] = [set() for _ in fills]
+        for k, b in enumerate(self.bin.tolist()):
+            self.members[b].add(k)
+        self.least = -(-int(self.size.sum()) // capacity)
+        self.count = {"move": 0, "one_for_one": 0, "two_for_one": 0, "one_for_two": 0, "emptied": 0}
+
+    def put(self, pieces: tuple[int, ...], source: int, target: int) -> None:
+        for k in pieces:
+            self.members[source].discard(k)
+            self.members[target].add(k)
+            self.bin[k] = target
+        moved = int(self.size[list(pieces)].sum())
+        self.fill[source] -= moved
+        self.fill[target] += moved
+
+    def pairs_in(self, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of pieces of a bin, for each of the bins."""
+        inside = np.isin(self.bin, bins)
+        piece = np.flatnonzero(inside)
+        piece = piece[np.argsort(self.bin[piece], kind="stable")]
+        owner = self.bin[piece]
+        ends = np.searchsorted(owner, owner, side="right")
+        after = ends - np.arange(len(piece)) - 1
+        left = np.repeat(np.arange(len(piece)), after)
+        return piece[left], piece[left + 1 + K.ragged(after)]
+
+    def change(self, low: int) -> bool:
+        """Fills another bin from bin low, if that increases the sum of squared fills."""
+        room = self.capacity - self.fill
+        room[low] = -1
+        mine = sorted(self.members[low], key=lambda k: (-self.size[k], k))
+        for k in mine:  # the fullest bin with room for it
+            fits = np.flatnonzero((room >= self.size[k]) & (self.fill + self.size[k] > self.fill[low]) & (self.fill > 0))
+            if len(fits):
+                self.put((k,), low, int(fits[np.argmin(room[fits])]))
+                self.count["move"] += 1
+                return True
+        # exchanges: gain is what the other bin gets more than it gives
+        slack, ahead = room[self.bin], self.fill[self.bin] - self.fill[low]
+        best: tuple[int, str, tuple[int, ...], tuple[int, ...]] | None = None
+
+        def offer(kind: str, give: tuple[int, ...]) -> None:
+            nonlocal best
+            gain = int(self.size[list(give)].sum()) - self.size
+            good = np.flatnonzero((gain > 0) & (gain <= slack) & (gain + ahead > 0))
+            if len(good):
+                q = int(good[np.argmax(gain[good])])
+                if best is None or gain[q] > best[0]:
+                    best = (int(gain[q]), kind, give, (q,))
+
+        for k in mine:
+            offer("one_for_one", (k,))
+        if best is None:
+            for x, k in enumerate(mine):
+                for j in mine[x + 1 :]:
+                    offer("two_for_one", (k, j))
+        if best is None and mine:
+            largest = int(self.size[mine[0]])
+            some = np.flatnonzero((room > 0) & (self.fill > 0))
+            a, b = self.pairs_in(some)
+            taken = self.size[a] + self.size[b]
+            near = np.flatnonzero((taken < largest) & (taken + room[self.bin[a]] > 0))
+            a, b, taken = a[near], b[near], taken[near]
+            for k in mine:
+                gain = self.size[k] - taken
+                good = np.flatnonzero((gain > 0) & (gain <= slack[a]) & (gain + ahead[a] > 0))
+                if len(good):
+                    q = int(good[np.argmax(gain[good])])
+                    if best is None or gain[q] > best[0]:
+                        best = (int(gain[q]), "one_for_two", (k,), (int(a[q]), int(b[q])))
+        if best is None:
+            return False
+        _, kind, give, take = best
+        other = int(self.bin[take[0]])
+        self.put(give, low, other)
+        self.put(take, other, low)
+        self.count[kind] += 1
+        return True
+
+    def run(self) -> list[list[int]]:
+        """The bins, each a list of pieces, when no change is left or they are as few as can be."""
+        used = int((self.fill > 0).sum())
+        changed = True
+        while changed and used > self.least:
+            changed = False
+            waiting = [(int(f), b) for b, f in enumerate(self.fill) if 0 < f < self.capacity]
+            heapq.heapify(waiting)
+            while waiting and used > self.least:
+                was, low = heapq.heappop(waiting)
+                if was != self.fill[low]:
+                    if self.fill[low]:
+                        heapq.heappush(waiting, (int(self.fill[low]), low))
+                    continue
+                while self.fill[low] and self.change(low):
                     changed = True
-                    break
-            if changed:
-                break
-        if not changed:
-            break
-    return [b for b in bins if b]
-
-
-def change(high: list[int], low: list[int], size: dict[int, int], room: int, ahead: int) -> tuple[int, tuple, tuple] | None:
-    """The exchange that fills high most: (tokens gained, pieces out of high, pieces out of low)."""
-    best: tuple[int, tuple, tuple] | None = None
-
-    def offer(gain: int, out: tuple, into: tuple) -> None:
-        nonlocal best
-        if 0 < gain <= room and gain + ahead > 0 and (best is None or gain > best[0]):
-            best = (gain, out, into)
-
-    for k in low:
-        offer(size[k], (), (k,))
-    ordered = sorted(low, key=lambda k: size[k])
-    sizes = [size[k] for k in ordered]
-    for k in high:
-        at = bisect_left(sizes, size[k] + room + 1) - 1
-        if at >= 0:
-            offer(sizes[at] - size[k], (k,), (ordered[at],))
-        for a in range(len(ordered)):  # two out of low for one out of high
-            b = bisect_left(sizes, size[k] + room - sizes[a] + 1) - 1
-            b -= b == a
-            if b >= 0:
-                offer(sizes[a] + sizes[b] - size[k], (k,), (ordered[a], ordered[b]))
-    mine = sorted(high, key=lambda k: size[k])
-    own = [size[k] for k in mine]
-    for k in low:  # one out of low for two out of high
-        for a in range(len(mine)):
-            b = bisect_left(own, size[k] - room - own[a])
-            b += b == a
-            if b < len(mine):
-                offer(size[k] - own[a] - own[b], (mine[a], mine[b]), (k,))
-    return best
+                if not self.fill[low]:
+                    used -= 1
+                    self.count["emptied"] += 1
+        return [sorted(m) for m in self.members if m]
 
 
 def pieces(docs: DataFrame, capacity: int = 4096, end_id: int = 1, path: str | None = None) -> DataFrame:
@@ -157,29 +191,46 @@ def pieces(docs: DataFrame, capacity: int = 4096, end_id: int = 1, path: str | N
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECE)
 
 
-def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 1, path: str | None = None, group_pieces: int = 16384) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 1, path: str | None = None, group_pieces: int = 8192, nearly_full: float = 0.99) -> DataFrame:
     """Every piece with sequence_id and offset; at most capacity ids in a sequence, no gaps."""
     cut = materialize(pieces(docs, capacity, end_id, path), "pieces")
-    loose = cut.where(F.col("length") < capacity)
-    groups = max(1, -(-loose.count() // group_pieces))
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place", kind="stable").reset_index(drop=True)
-        lengths = pdf["length"].to_numpy()
-        bins = improve(best_fit(lengths, capacity), lengths, capacity)
-        order = np.concatenate([np.array(b) for b in bins])
-        sizes = np.array([len(b) for b in bins])
-        placed = lengths[order]
-        before = np.cumsum(placed) - placed
-        opening = np.cumsum(sizes) - sizes
-        out = pdf.iloc[order].copy()
-        # odd numbers; the full pieces' sequences have even ones
-        out["sequence_id"] = 2 * ((pdf["bucket"].iloc[0] << 36) + np.repeat(np.arange(len(bins)), sizes)) + 1
-        out["offset"] = before - np.repeat(before[opening], sizes)
-        return out.drop(columns="bucket")
-
     result = f"{PIECE}, sequence_id long, offset long"
-    bucket = F.pmod(F.xxhash64("place"), F.lit(groups))
-    packed = loose.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(fill, result)
+
+    def filler(level: int):
+        def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("place", kind="stable").reset_index(drop=True)
+            lengths = pdf["length"].to_numpy()
+            bins = Search(lengths, capacity).run()
+            order = np.concatenate([np.array(b) for b in bins])
+            sizes = np.array([len(b) for b in bins])
+            placed = lengths[order]
+            before = np.cumsum(placed) - placed
+            opening = np.cumsum(sizes) - sizes
+            out = pdf.iloc[order].copy()
+            # odd numbers; the full pieces' sequences have even ones
+            out["sequence_id"] = 2 * ((level << 54) + (int(pdf["bucket"].iloc[0]) << 24) + np.repeat(np.arange(len(bins)), sizes)) + 1
+            out["offset"] = before - np.repeat(before[opening], sizes)
+            out["filled"] = np.repeat(np.add.reduceat(placed, opening), sizes)
+            return out.drop(columns="bucket")
+
+        return fill
+
+    todo, done, level = cut.where(F.col("length") < capacity), [], 0
+    n = todo.count()
+    while True:
+        groups = max(1, -(-n // group_pieces))
+        bucket = F.pmod(F.xxhash64("place", F.lit(level)), F.lit(groups))
+        packed = todo.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(filler(level), f"{result}, filled long")
+        if groups == 1:
+            done.append(packed)
+            break
+        packed = materialize(packed, "packed")
+        loose = F.col("filled") < nearly_full * capacity
+        n = packed.where(loose).count()
+        if 2 * max(1, -(-n // group_pieces)) > groups:  # lengths that leave most bins underfull: nothing to gain from others
+            done.append(packed)
+            break
+        done.append(packed.where(~loose))
+        todo, level = packed.where(loose).drop("sequence_id", "offset", "filled"), level + 1
     full = cut.where(F.col("length") == capacity).withColumns({"sequence_id": 2 * F.col("place"), "offset": F.lit(0).cast("long")})
-    return packed.unionByName(full).drop("place")
+    return functools.reduce(DataFrame.unionByName, [d.drop("filled") for d in done], full).drop("place")

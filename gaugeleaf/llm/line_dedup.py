@@ -1,14 +1,18 @@
-"""Substring dedup by hashing the units of lines.
+"""Substring dedup by hashing lines and the units of lines.
 
-A unit is a stretch of words of one line.  Lines are cut where a word's hash is
-the smallest among its neighbours, so that a passage spliced into the middle of
-a line has the same inner units there as anywhere else; whole-line units would
-miss it.  Units are normalised (A-Z in lower case, white space collapsed) and
+Every line of words is normalised (A-Z in lower case, white space collapsed) and
 hashed; digests are grouped over the whole corpus, the earliest occurrence in
-the order (doc_id, place in the text) is kept and the others are repeats.  A
-run of neighbouring repeats of ``min_words`` words or more is removed; shorter
-ones (stock phrases inside a line) stay.  Whole lines of fewer words are hashed as
-well, and every later copy of one goes, whatever its length.  Removed ranges are given
+the order (doc_id, place in the text) is kept, and every later copy goes,
+whatever its length.  A paragraph is a run of lines, so its later copies go with
+them.
+
+Passages that are spliced into the middle of a line are no line of their own.
+Lines are therefore cut into units as well, where a word's hash is the smallest
+among its neighbours, so that a passage has the same inner units wherever it
+stands.  Units are hashed and grouped like lines, and a run of neighbouring
+repeats of ``min_words`` words or more inside a line is removed; shorter runs
+are stock phrases and stay.  ``min_words`` bounds these inner runs only.  A long
+line, which consists of such units, is left to them.  Removed ranges are given
 as byte offsets of the original text.
 
 Scale: one narrow row for each unit and short line, aggregated before the shuffle; the join
@@ -16,9 +20,12 @@ back is on the digest, of which adaptive execution splits frequent ones.  Texts
 are shuffled once, to meet the repeats found in them.
 
 Edge cases: null and empty texts have no units and come back as they are; a
-text without repeats comes back unchanged, byte for byte; rows with one doc_id
-are one document and get the same ranges; ties cannot occur in the order; rows without doc_id
-are not compared and stay as they are; extra columns are kept, and ``text`` is replaced by what is left.
+text without repeats comes back unchanged, byte for byte; a text of any length
+is handled in its row; rows that share doc_id and text are one document and get the same
+ranges, while one doc_id on several texts is several documents, ordered by a hash of the text
+where their places tie; rows without doc_id are never compared with others and stay as they
+are; an empty table gives no row; extra columns are kept, and ``text`` is
+replaced by what is left.
 """
 
 from __future__ import annotations
@@ -27,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -70,37 +77,46 @@ def units(data: np.ndarray, offsets: np.ndarray, radius: int = 3):
     return begins, digest(begins), starts, ends, np.searchsorted(begins, first), first, lines, whole
 
 
+def tag() -> Column:
+    """Tells apart texts of one doc_id."""
+    return F.xxhash64("text").bitwiseAND(0xFFFFFFFF)
+
+
 def repeated_units(docs: DataFrame, min_words: int = 20, radius: int = 3) -> DataFrame:
-    """doc_id and the numbers of its units and lines (from LINES on) that occur earlier in the corpus.
+    """doc_id, tag and the numbers of the document's units and lines (from LINES on) that occur earlier in the corpus.
 
     Lines of min_words words or more are left to their units.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column(batch.schema.get_field_index("doc_id"))
+            names, tags = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "tag"))
             for i, n, data, offsets in K.text_slices(batch):
+                own = tags.slice(i, n).to_numpy()
                 _, digests, starts, _, first, word, lines, whole = units(data, offsets, radius)
                 counts, of_text = np.diff(first), np.diff(np.searchsorted(lines, word))
                 short = np.diff(np.append(lines, len(starts))) < min_words
                 owner = np.concatenate([np.repeat(np.arange(n), counts), np.repeat(np.arange(n), of_text)[short]])
                 number = np.concatenate([K.ragged(counts), LINES + K.ragged(of_text)[short]])
                 yield pa.RecordBatch.from_arrays(
-                    [names.slice(i, n).take(pa.array(owner)), pa.array(number, pa.int32()), pa.array(np.concatenate([digests, whole[short]]).view(np.int64))],
-                    names=["doc_id", "unit", "digest"],
+                    [names.slice(i, n).take(pa.array(owner)), pa.array(number * (1 << 32) + own[owner]), pa.array(np.concatenate([digests, whole[short]]).view(np.int64))],
+                    names=["doc_id", "place", "digest"],
                 )
 
-    found = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, unit int, digest long")
-    kept = found.groupBy("digest").agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    repeats = found.join(kept, "digest").where("struct(doc_id, unit) <> first")
-    return repeats.groupBy("doc_id").agg(F.collect_set("unit").alias("__units"))
+    # the place of a unit or line holds its document's tag as well, which keeps the rows narrow
+    named = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), tag().alias("tag"), "text")
+    found = named.mapInArrow(run, "doc_id long, place long, digest long")
+    kept = found.groupBy("digest").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    repeats = found.join(kept, "digest").where("struct(doc_id, place) <> first")
+    own = repeats.select("doc_id", F.col("place").bitwiseAND(0xFFFFFFFF).alias("tag"), F.shiftright("place", 32).cast("int").alias("unit"))
+    return own.groupBy("doc_id", "tag").agg(F.collect_set("unit").alias("__units"))
 
 
 def remove_repeats(docs: DataFrame, min_words: int = 20, radius: int = 3) -> DataFrame:
     """docs with text reduced, and n_bytes, n_removed and removed (byte ranges of the original text)."""
     docs = docs.drop("n_bytes", "n_removed", "removed", "__units")
-    repeats = repeated_units(docs, min_words, radius).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(repeats, docs["doc_id"] == F.col("__id"), "left").drop("__id")
+    repeats = repeated_units(docs, min_words, radius).withColumnsRenamed({"doc_id": "__id", "tag": "__tag"})
+    joined = docs.join(repeats, (docs["doc_id"] == F.col("__id")) & (tag() == F.col("__tag")), "left").drop("__id", "__tag")
     columns_in = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(RANGE))])
 

@@ -6,17 +6,23 @@ Fourier features; the normal equations of a ridge regression are summed over
 partitions; a monotone map fitted on labelled rows that the regression has not
 seen turns its output into a score from 0 to 1.
 
-Scale: texts are read once, into a table of statistics.  Training uses at most
+Scale: the training sample is chosen from the labels and the ids alone, at most
 ``sample_rows`` labelled documents (those with the smallest hash of doc_id), a
-documented bound; only matrices of the features' size reach the driver, and
-what is broadcast is the fitted model.  All documents are scored.
+documented bound; statistics are computed for these, and once more for every
+document where it is scored, in one pass without a shuffle.  Only matrices of
+the features' size reach the driver, and what is broadcast is the sample's ids
+and the fitted model, plain arrays of a fixed size.
 
 Labels are learned only from rows whose crc32(doc_id) mod 4 is not 2; the other
 labelled rows are held out.  Labels, lang, source and doc_id are no inputs.
 
 Edge cases: null and empty texts have all-zero statistics and get a score;
-without labels, or with one kind of label only, every score is the labels'
-share (0.5 without any); repeated labels count once; extra columns are kept.
+texts of any length are one row of statistics; without labels, or with one kind
+of label only, every score is the labels' share (0.5 without any); repeated
+labels count once (the highest), and a labelled doc_id on several texts counts
+once, with the least statistics; ties of the raw score share one calibrated value;
+an empty table gives no row.  ``keep_good`` keeps all columns; ``quality_scores``
+returns doc_id and its own columns only.
 """
 
 from __future__ import annotations
@@ -150,6 +156,10 @@ class Model:
     knots: np.ndarray
     values: np.ndarray
 
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        """What is broadcast: executors need not have this module on their path to read it."""
+        return self.center, self.scale, self.frequencies, self.phases, self.weights, self.knots, self.values
+
     def features(self, stats: np.ndarray) -> np.ndarray:
         x = np.clip((stats - self.center) / self.scale, -6, 6)
         return np.concatenate([np.sqrt(2 / len(self.phases)) * np.cos(x @ self.frequencies + self.phases), x / 8, np.ones((len(x), 1))], axis=1)
@@ -179,12 +189,15 @@ def stat_grid(batch: pa.RecordBatch, column: str = "stats") -> np.ndarray:
     return lists.flatten().to_numpy().astype(np.float64).reshape(len(lists), len(STATISTICS))
 
 
-def fit(stats: DataFrame, labels: DataFrame, n_features: int = 256, gamma: float = 0.04, ridge: float = 0.1, sample_rows: int = 20_000, seed: int = 11) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, n_features: int = 256, gamma: float = 0.04, ridge: float = 0.1, sample_rows: int = 20_000, seed: int = 11) -> Model:
     """The model, from at most sample_rows labelled documents outside the held-out fold."""
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
-    learn = known.where(fold != 2).join(stats.where("doc_id is not null").dropDuplicates(["doc_id"]), "doc_id")
-    sample = learn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    there = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    chosen = known.where(fold != 2).join(there, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    chosen = materialize(chosen, "labelled")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")  # sample_rows ids at most
+    sample = document_statistics(own).groupBy("doc_id").agg(F.min("stats").alias("stats")).join(F.broadcast(chosen), "doc_id")
     sample = sample.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)).cast("int"))
     sample = materialize(sample.select("part", "quality", "stats"), "training-sample")
     moments = sample.select("part", "quality", F.posexplode("stats").alias("k", "v")).where("part < 4").groupBy("k").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).collect()
@@ -194,13 +207,14 @@ def fit(stats: DataFrame, labels: DataFrame, n_features: int = 256, gamma: float
         center[row["k"]], scale[row["k"]] = row["m"], row["s"] if row["s"] > 1e-6 else 1.0
     draw = np.random.default_rng(seed)
     model = Model(center, scale, draw.normal(size=(d, n_features)) * np.sqrt(2 * gamma), draw.uniform(0, 2 * np.pi, n_features), np.zeros(0), np.zeros(1), np.full(1, 0.5))
-    sent = sample.sparkSession.sparkContext.broadcast(model)
+    sent = sample.sparkSession.sparkContext.broadcast(model.arrays())
     width = n_features + d + 1
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram, target, seen = np.zeros((width, width)), np.zeros(width), np.zeros(2)
+        fitted = Model(*sent.value)
         for batch in batches:
-            x = sent.value.features(stat_grid(batch))
+            x = fitted.features(stat_grid(batch))
             y = batch.column(batch.schema.get_field_index("quality")).to_numpy().astype(np.float64)
             gram += x.T @ x
             target += x.T @ y
@@ -225,38 +239,31 @@ def fit(stats: DataFrame, labels: DataFrame, n_features: int = 256, gamma: float
     return model
 
 
-def scored(stats: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score."""
-    sent = stats.sparkSession.sparkContext.broadcast(model)
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """doc_id, held_out, score and predicted for every row of docs."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels).arrays())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*sent.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(sent.value.score(stat_grid(batch)))], names=["doc_id", "score"])
-
-    return stats.mapInArrow(run, "doc_id long, score double")
-
+            names = batch.column(batch.schema.get_field_index("doc_id"))
+            for i, n, data, offsets in K.text_slices(batch):
+                yield pa.RecordBatch.from_arrays([names.slice(i, n), pa.array(model.score(statistics(data, offsets).astype(np.float64)))], names=["doc_id", "score"])
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score and predicted for every row of docs."""
-    stats = materialize(document_statistics(docs), "statistics")
-    out = scored(stats, fit(stats, labels))
+    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The documents with a score of threshold or more, columns unchanged.
-
-    Statistics are computed once more beside the kept row, so that no text is shuffled.
-    """
-    stats = materialize(document_statistics(docs), "statistics")
-    model = fit(stats, labels)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    """The documents with a score of threshold or more, columns unchanged."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels).arrays())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*sent.value)
         for batch in batches:
             for i, n, data, offsets in K.text_slices(batch):
-                good = sent.value.score(statistics(data, offsets).astype(np.float64)) >= threshold
+                good = model.score(statistics(data, offsets).astype(np.float64)) >= threshold
                 yield batch.slice(i, n).filter(pa.array(good))
 
     return docs.mapInArrow(run, docs.schema)

@@ -184,13 +184,73 @@ def test_packing(docs, nothing):
     assert pack(nothing).collect() == []
 
 
-def test_local_search_empties_bins():
-    from gaugeleaf.llm.packing import improve
+def fewest_bins(lengths, capacity):
+    """The least number of bins, by trying everything."""
+    best = len(lengths)
+
+    def place(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(lengths):
+            best = len(rooms)
+            return
+        for b in range(len(rooms)):
+            if rooms[b] >= lengths[k]:
+                place(k + 1, [r - lengths[k] * (x == b) for x, r in enumerate(rooms)])
+        place(k + 1, [*rooms, capacity - lengths[k]])
+
+    place(0, [])
+    return best
+
+
+def best_fit_decreasing(lengths, capacity):
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        fits = [r for r in rooms if r >= n]
+        if fits:
+            rooms.remove(min(fits))
+            rooms.append(min(fits) - n)
+        else:
+            rooms.append(capacity - n)
+    return len(rooms)
+
+
+def test_local_search_against_brute_force():
+    from gaugeleaf.llm.packing import Search
+
+    draw = random.Random(4)
+    beaten = emptied = 0
+    seen = Counter()
+    for _ in range(150):
+        lengths = [draw.randint(3, 60) for _ in range(9)]
+        search = Search(np.array(lengths), 100)
+        bins = search.run()
+        assert sorted(k for b in bins for k in b) == list(range(9))
+        assert all(sum(lengths[k] for k in b) <= 100 for b in bins)
+        fewest = fewest_bins(lengths, 100)
+        assert fewest <= len(bins) <= fewest + 1
+        beaten += len(bins) == fewest
+        emptied += search.count["emptied"]
+        seen.update(search.count)
+    assert beaten >= 130
+    assert emptied > 0
+    assert all(seen[k] > 0 for k in ("move", "one_for_one", "two_for_one", "one_for_two")), seen
+    # best fit decreasing needs a bin more here
+    lengths = [44, 24, 24, 22, 21, 17, 8, 8, 6, 6, 70, 50]
+    assert len(Search(np.array(lengths), 100).run()) <= best_fit_decreasing(lengths, 100)
+
+
+@pytest.mark.parametrize("group_pieces", [8192, 8])
+def test_remainders_of_groups_are_packed_together(spark, group_pieces):
+    from gaugeleaf.llm.packing import pack
 
-    lengths = np.array([6, 4, 5, 3, 2])
-    bins = improve([[0], [1, 2], [3, 4]], lengths, 10)
-    assert len(bins) == 2
-    assert sorted(k for b in bins for k in b) == [0, 1, 2, 3, 4]
+    draw = random.Random(2)
+    rows = [(i, " ".join(["a"] * draw.randint(1, 40))) for i in range(120)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string"), capacity=64, group_pieces=group_pieces).collect()
+    assert sorted(r.doc_id for r in got) == list(range(120))
+    used = len({r.sequence_id for r in got})
+    assert used <= -(-sum(r.length for r in got) // 64) * (1.02 if group_pieces > 8 else 1.25) + 1
 
 
 def test_line_dedup(docs, nothing):
@@ -265,12 +325,16 @@ def test_suffix_dedup(spark, nothing, group_contexts, monkeypatch):
 def test_quality_rules(docs, nothing):
     from gaugeleaf.llm import quality_rules as Q
 
-    orders = [None, list(Q.rules()), list(reversed(Q.rules()))]
+    names = list(Q.rules(Q.measures().__getitem__))
+    orders = [None, names, list(reversed(names))]
     kept = []
     for order in orders:
         rows = Q.verdicts(docs, order).collect()
         kept.append(sorted((r.doc_id, r.kept) for r in rows))
-    assert kept[0] == kept[1] == kept[2]
+    kept.append(sorted((r.doc_id, r.kept) for r in Q.verdicts(docs, names, measures_too=False).collect()))
+    assert kept[0] == kept[1] == kept[2] == kept[3]
+    counted = Q.evaluations(Q.verdicts(docs, names), names)
+    assert counted["few_words"] == len(rows) > counted["ellipsis_lines"] > 0
     for r in rows:
         w = [x for x in re.split(r"[\x20\x09-\x0D]+", r.text or "") if x]
         grams = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
@@ -281,6 +345,18 @@ def test_quality_rules(docs, nothing):
     assert Q.verdicts(nothing).collect() == []
 
 
+def test_cascade_skips_rules(docs):
+    from gaugeleaf.llm import quality_rules as Q
+
+    df = Q.prepared(docs, "text")
+    few = F.size("__words") < 20
+    conditions = {"few": few, "dear": F.when(few, F.raise_error(F.lit("evaluated")).cast("boolean")).otherwise(F.lit(False))}
+    got = df.select(Q.cascade(["few", "dear"], conditions).alias("by")).collect()
+    assert {r.by for r in got} == {"few", None}
+    with pytest.raises(Exception, match="evaluated"):
+        df.select(Q.cascade(["dear", "few"], conditions).alias("by")).collect()
+
+
 def test_sharding(docs, nothing):
     from gaugeleaf.llm.sharding import communication_matrix, shard_sizes, shuffle_into_shards
 
@@ -323,6 +399,28 @@ def test_rows_without_an_id(spark):
     assert quality_scores(df, labels).count() == keep_good(df, labels).count() == 4
 
 
+def test_sharding_of_more_rows_than_numpy_draws_from():
+    from gaugeleaf.llm.sharding import communication_matrix, hypergeometric, shard_sizes
+
+    counts, cells = np.array([3_000_000_000, 1_500_000_000, 500_000_001]), shard_sizes(5_000_000_001, 4)
+    matrix = communication_matrix(counts, cells, 3)
+    assert matrix.sum(axis=1).tolist() == counts.tolist()
+    assert matrix.sum(axis=0).tolist() == cells.tolist()
+    assert np.abs(matrix / counts[:, None] - 0.25).max() < 1e-3
+    draw = np.random.default_rng(1)
+    some = [hypergeometric(draw, 2 * 10**9, 2 * 10**9, 1000) for _ in range(200)]
+    assert np.mean(some) == pytest.approx(500, abs=6)
+    assert np.std(some) == pytest.approx(15.8, abs=3)
+
+
+def test_sharding_matrix_has_the_law():
+    from gaugeleaf.llm.sharding import communication_matrix
+
+    # two rows in each of two partitions, two shards of two: 1, 4 and 1 of 6 choices send 0, 1 and 2 of the first partition's rows to shard 0
+    seen = Counter(int(communication_matrix(np.array([2, 2]), np.array([2, 2]), s)[0, 0]) for s in range(3000))
+    assert [seen[k] / 3000 for k in range(3)] == pytest.approx([1 / 6, 4 / 6, 1 / 6], abs=0.03)
+
+
 def test_sharding_is_uniform():
     from gaugeleaf.llm.sharding import communication_matrix
 

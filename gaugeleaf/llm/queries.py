@@ -37,7 +37,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import remove_substrings
 
-    found = remove_substrings(load(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+    found = remove_substrings(load(spark, sf_dir, "documents").select("doc_id", "text"), length=400, with_kept=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes")
 
 

@@ -286,43 +286,61 @@ def repeated_ranges(docs: DataFrame, length: int = 400, passage: int = 250, gram
     return equal.union(partly).groupBy(*KEY).agg(F.collect_set(F.struct("start", "end", "length")).alias("ranges"))
 
 
-def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The same places in as few ranges as can be, in order."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(ranges):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        else:
-            out.append((a, b))
-    return out
+def merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same places of each row in as few ranges as can be, in order."""
+    order = np.lexsort((start, row))
+    row, start, end = row[order], start[order], end[order]
+    if not len(row):
+        return row, start, end
+    shift = row * (int(end.max()) + 1)  # rows do not touch
+    reach = np.maximum.accumulate(end + shift)
+    opens = np.append(True, (start + shift)[1:] > reach[:-1])
+    at = np.flatnonzero(opens)
+    last = np.append(at[1:], len(row)) - 1
+    return row[at], start[at], reach[last] - shift[at]
 
 
 SPANS = "array<struct<start: long, end: long>>"
 
 
-def remove_substrings(docs: DataFrame, length: int = 400, passage: int = 250) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, spans (removed byte ranges), kept (bytes left), its kept_sha256, and passages (byte ranges that repeat at the shorter length) with n_passage_bytes."""
+def remove_substrings(docs: DataFrame, length: int = 400, passage: int = 250, with_kept: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, spans (removed byte ranges), kept (bytes left; only with_kept), its kept_sha256, and passages (byte ranges that repeat at the shorter length) with n_passage_bytes."""
     ranges = repeated_ranges(docs, length, passage)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keyed_columns(), "text")
-    joined = rows.join(ranges, list(KEY), "left").select("doc_id", "text", "ranges")
+    joined = rows.join(ranges, list(KEY), "left").select("doc_id", "text", F.col("ranges.start").alias("starts"), F.col("ranges.end").alias("ends"), F.col("ranges.length").alias("lengths"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "spans": span, "kept": pa.binary(), "kept_sha256": pa.string(), "passages": span, "n_passage_bytes": pa.int64()}
+        span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
         for batch in batches:
-            ids, texts, found = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text", "ranges"))
-            out: dict[str, list] = {c: [] for c in kinds}
-            for text, own in zip(texts, found.to_pylist(), strict=True):
-                raw = (text.as_py() or "").encode()
-                spans = merged([(x["start"], x["end"]) for x in own or () if x["length"] == length])
-                passages = merged([(x["start"], x["end"]) for x in own or ()])
-                bounds = [0, *(p for s in spans for p in s), len(raw)]
-                kept = b"".join(raw[a:b] for a, b in zip(bounds[::2], bounds[1::2], strict=True))
-                listed = [[{"start": a, "end": b} for a, b in x] for x in (spans, passages)]
-                values = (len(raw), len(raw) - len(kept), listed[0], kept, hashlib.sha256(kept).hexdigest(), listed[1], sum(b - a for a, b in passages))
-                for c, v in zip(out, values, strict=True):
-                    out[c].append(v)
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(v, kinds[c]) for c, v in out.items())], names=["doc_id", *out])
-
-    done = joined.mapInArrow(run, f"doc_id long, n_bytes long, n_removed long, spans {SPANS}, kept binary, kept_sha256 string, passages {SPANS}, n_passage_bytes long")
+            starts, ends, lengths = (batch.column(batch.schema.get_field_index(c)) for c in ("starts", "ends", "lengths"))
+            counts = starts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(counts)), counts)
+            start, end, wide = (x.flatten().to_numpy().astype(np.int64) for x in (starts, ends, lengths))
+            first = np.append(0, np.cumsum(counts))
+            for i, n, data, offsets in K.text_slices(batch):
+                own = slice(first[i], first[i + n])
+                long = wide[own] == length
+                found = []
+                for some in (long, slice(None)):
+                    of, a, b = merged(row[own][some] - i, start[own][some], end[own][some])
+                    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)), pa.int32()), pa.StructArray.from_arrays([pa.array(a), pa.array(b)], fields=list(span)))
+                    found.append((of, a, b, lists, np.bincount(of, weights=b - a, minlength=n).astype(np.int64)))
+                of, a, b, spans, removed = found[0]
+                marks = np.zeros(len(data) + 1, dtype=np.int32)
+                np.add.at(marks, a + offsets[of], 1)
+                np.add.at(marks, b + offsets[of], -1)
+                keep = np.cumsum(marks[:-1]) == 0
+                left = memoryview(data[keep].tobytes())
+                bounds = np.append(0, np.cumsum(np.diff(offsets) - removed)).tolist()
+                kept = [left[x:y] for x, y in zip(bounds, bounds[1:])]
+                columns = {
+                    "doc_id": batch.column(batch.schema.get_field_index("doc_id")).slice(i, n), "n_bytes": pa.array(np.diff(offsets), pa.int64()), "n_removed": pa.array(removed), "spans": spans,
+                    "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), "passages": found[1][3], "n_passage_bytes": pa.array(found[1][4]),
+                }
+                if with_kept:
+                    columns["kept"] = pa.array([bytes(x) for x in kept], pa.binary())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    schema = f"doc_id long, n_bytes long, n_removed long, spans {SPANS}, kept_sha256 string, passages {SPANS}, n_passage_bytes long"
+    done = joined.mapInArrow(run, f"{schema}, kept binary" if with_kept else schema)
     return done.withColumn("n_spans", F.size("spans").cast("long"))

@@ -139,27 +139,6 @@ def answer_table(lines: DataFrame, key: str) -> DataFrame:
     return out.groupBy(key, "chapter", "section", "number").agg(last.alias("answer"))
 
 
-def section_pages(lines: DataFrame, key: str) -> DataFrame:
-    """content_start, answer_start and quick_page of each document, from features of its pages.
-
-    Answers start in the last 30 percent, and only with five or more pages left.
-    """
-    page = lines.groupBy(key, "page_number").agg(
-        F.count_if(F.col("text").rlike(r"^\s*\d{1,3}\.(?!\d)")).alias("starts"),
-        F.sum(F.regexp_count("text", F.lit(rf"\d+\s*[{CIRCLED}]"))).alias("pairs"),
-        F.sum(F.regexp_count("text", F.lit(r"p\.\s*\d+"))).alias("references"),
-        F.max(F.contains("text", F.lit("한눈에 보는 정답"))).alias("quick_head"),
-    )
-    last = F.max("page_number").over(Window.partitionBy(key))
-    page = page.withColumn("last_page", last)
-    late = (F.col("page_number") > 0.7 * F.col("last_page")) & (F.col("last_page") - F.col("page_number") >= 5)
-    return page.groupBy(key).agg(
-        F.min(F.when((F.col("starts") > 0) & (F.col("references") < 3), F.col("page_number"))).alias("content_start"),
-        F.min(F.when(late & (F.col("pairs") >= 5), F.col("page_number"))).alias("answer_start"),
-        F.min(F.when(F.col("quick_head") | (F.col("pairs") >= 10), F.col("page_number"))).alias("quick_page"),
-    )
-
-
 # Confidence of an answer by where it came from.
 ANSWER_CONFIDENCE = {"inline": 1.0, "quick": 0.95, "solution": 0.9, "number": 0.7}
 
@@ -206,36 +185,6 @@ def merge_partial(old: DataFrame, new: DataFrame, key: str, columns: list[str])
     return joined.withColumns({c: F.coalesce(f"__{c}", c) for c in columns}).drop(*(f"__{c}" for c in columns))
 
 
-def textbook_segments(lines: DataFrame, key: str) -> DataFrame:
-    """Problems of textbook pages with carried chapter: labels open them, concept blocks are skipped, long choice runs close them."""
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        chapter, concept, current = None, False, None
-        for row in pdf.sort_values(["page_number", "line_number"]).itertuples():
-            text = row.text.strip()
-            head = re.match(r"^(\d{2})\s+([^\d\s].*)$", text)
-            label = re.match(r"^(?:(예제|유제|문제|Q)\s*)?(\d{1,4})[.)]?\s+\S", text)
-            if head and not label.group(1) if label else bool(head):
-                chapter, concept, current = head.group(1), False, None
-            elif re.match(r"^(?:개념|정리|Concept)\b", text):
-                concept, current = True, None
-            elif label and (label.group(1) or re.match(r"^\d{1,4}[.)]", text)):
-                concept = False
-                current = [getattr(row, key), chapter, label.group(1), int(label.group(2)), row.page_number, [text]]
-                out.append(current)
-            elif current is not None and not concept:
-                if sum(current[5][-1].count(c) for c in CIRCLED) >= 5 and not any(c in text for c in CIRCLED) and row.page_number > current[4]:
-                    current = None
-                else:
-                    current[5].append(text)
-        rows = [(*r[:5], "\n".join(r[5])) for r in out]
-        return pd.DataFrame(rows, columns=[key, "chapter", "section", "number", "start_page", "text"])
-
-    kind = lines.schema[key].dataType.simpleString()
-    return lines.groupBy(key).applyInPandas(walk, f"{key} {kind}, chapter string, section string, number int, start_page int, text string")
-
-
 def boxed_layout(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Boxes of conditions or views inside segments: kind, columns, lines and x range, by rows of nearby height."""
 

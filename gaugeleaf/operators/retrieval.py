@@ -102,9 +102,9 @@ def similar_agreement(neighbours: DataFrame, subjects: DataFrame, key: str, k: i
 
 
 def ai_confidence(*parts: Column) -> Column:
-    """Mean of the confidences that are given, each clamped to 0..1; null without any."""
+    """Mean of the confidences that are given, each clamped to 0..1; 0 without any."""
     given = F.filter(F.array(*(N.clamp(p, 0.0, 1.0) for p in parts)), lambda x: x.isNotNull())
-    return F.when(F.size(given) > 0, F.aggregate(given, F.lit(0.0), lambda s, x: s + x) / F.size(given))
+    return F.when(F.size(given) > 0, F.aggregate(given, F.lit(0.0), lambda s, x: s + x) / F.size(given)).otherwise(0.0)
 
 
 # Weights of ai, subject, time, similar, chapter and answer, and the threshold, of each kind of review.
@@ -128,36 +128,39 @@ def time_score(difficulty: Column, seconds: Column) -> Column:
     return F.when(difficulty.isNull() | seconds.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), score))
 
 
-def composite_review(kind: Column, *factors: Column) -> tuple[Column, Column]:
-    """Weighted sum of the factors (in the order of REVIEWS) and whether it reaches its kind's threshold."""
-    score = F.lit(None).cast("double")
-    passes = F.lit(None).cast("boolean")
-    for name, (weights, threshold) in REVIEWS.items():
-        own = sum((w * F.coalesce(f, F.lit(0.5)) for w, f in zip(weights, factors, strict=False)), F.lit(0.0))
-        score = F.when(kind == name, own).otherwise(score)
-        passes = F.when(kind == name, F.round(own, 9) >= threshold).otherwise(passes)
-    return score, passes
-
-
-def greedy_selection(candidates: DataFrame, key: str, areas: str, item: str, order: str, each: int, total: int) -> DataFrame:
-    """For each key, area by area: the best items not yet taken, each at most per area and total overall."""
-
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for owner, rows in zip(batch[key], batch["rows"], strict=True):
-                taken: set = set()
-                count: dict = {}
-                for r in sorted(rows, key=lambda r: (r[areas], r[order], r[item])):
-                    if len(taken) < total and count.get(r[areas], 0) < each and r[item] not in taken:
-                        taken.add(r[item])
-                        count[r[areas]] = count.get(r[areas], 0) + 1
-                        out.append((owner, r[areas], r[item]))
-            yield pd.DataFrame(out, columns=[key, areas, item])
-
-    schema = ", ".join(f"{c} {candidates.schema[c].dataType.simpleString()}" for c in (key, areas, item))
-    # an owner's candidates are cut to what the choice can reach before they are gathered
-    w = Window.partitionBy(key, areas).orderBy(order, item)
-    reachable = candidates.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= total)
-    rows = reachable.groupBy(key).agg(F.collect_list(F.struct(areas, item, order)).alias("rows"))
-    return rows.mapInPandas(choose, schema)
+def weak_areas(wrong: DataFrame, signals: DataFrame, now: Column, days: int = 30, last: int = 20, top: int = 3) -> DataFrame:
+    """student_id, node_id, weight, problem_id: each student's areas with most errors.
+
+    wrong (student_id, problem_id, node_id, at, nth) are open errors: the last ones of the period count
+    one each.  signals (the same columns and source) are moments of a tutoring talk with a known cause, which
+    count two after a worked solution, else one.  An area's representative is its newest error, or its
+    first signal where it has none.
+    """
+    since = F.col("at") >= now - F.expr(f"interval {days} days")
+    newest = Window.partitionBy("student_id").orderBy(F.desc("at"), "nth")
+    recent = wrong.where(since).withColumn("place", F.row_number().over(newest)).where(F.col("place") <= last)
+    errors = recent.select("student_id", "node_id", "problem_id", F.lit(1).alias("weight"), F.struct(F.lit(0).alias("kind"), "place").alias("place"))
+    oldest = Window.partitionBy("student_id").orderBy("at", "nth")
+    talks = signals.where(since).withColumn("place", F.row_number().over(oldest))
+    weight = F.when(F.col("source") == "worked_solution", 2).otherwise(1)
+    talks = talks.select("student_id", "node_id", "problem_id", weight.alias("weight"), F.struct(F.lit(1).alias("kind"), "place").alias("place"))
+    areas = errors.unionByName(talks).where("node_id is not null").groupBy("student_id", "node_id").agg(F.sum("weight").alias("weight"), F.min("place").alias("first"), F.min_by("problem_id", "place").alias("problem_id"))
+    ranked = areas.withColumn("k", F.row_number().over(Window.partitionBy("student_id").orderBy(F.desc("weight"), "first")))
+    return ranked.where(F.col("k") <= top).select("student_id", "node_id", "weight", "problem_id", F.col("k").alias("area"))
+
+
+def remediation(areas: DataFrame, answered: DataFrame, pool: DataFrame, each: int, total: int) -> DataFrame:
+    """student_id, area, problem_id, place: area by area the easiest problems of its node that the student has not answered.
+
+    A student can reach only the first each + (answered in that node) problems of a node, so the pool is
+    ranked once and cut before it meets the students.
+    """
+    ranked = pool.withColumn("nth", F.row_number().over(Window.partitionBy("node_id").orderBy("difficulty", "problem_id")))
+    known = answered.select("student_id", "problem_id").distinct().join(pool.select("problem_id", "node_id"), "problem_id")
+    counts = known.groupBy("student_id", "node_id").agg(F.count("*").alias("known"))
+    reach = areas.join(counts, ["student_id", "node_id"], "left").withColumn("reach", F.coalesce("known", F.lit(0)) + each)
+    offers = reach.join(ranked.select("node_id", "problem_id", "difficulty", "nth"), "node_id").where(F.col("nth") <= F.col("reach"))
+    fresh = offers.join(known.select("student_id", "problem_id"), ["student_id", "problem_id"], "left_anti")
+    own = F.row_number().over(Window.partitionBy("student_id", "area").orderBy("nth"))
+    cut = fresh.withColumn("own", own).where(F.col("own") <= each)
+    return cut.withColumn("place", F.row_number().over(Window.partitionBy("student_id").orderBy("area", "own"))).where(F.col("place") <= total).select("student_id", "area", "problem_id", "place")

@@ -74,31 +74,6 @@ def i4(t: Tables):
     return parsed.select("problem_id", "stem", F.size("choices").alias("n_choices"), F.element_at("choices", -1).alias("last_choice"))
 
 
-@query("I5_textbook_segmentation")
-def i5(t: Tables):
-    w = Window.partitionBy("subject").orderBy("problem_id")
-    p = t.problems.select("subject", "stem", F.row_number().over(w).alias("line_number"))
-    text = F.when(F.col("line_number") % 10 == 1, F.concat(F.lpad(F.expr("line_number div 10 + 1").cast("string"), 2, "0"), F.lit(" "), F.col("stem"))).otherwise(F.concat(F.col("line_number").cast("string"), F.lit(". "), F.col("stem")))
-    return D.textbook_segments(p.select("subject", F.lit(1).alias("page_number"), "line_number", text.alias("text")), "subject")
-
-
-@query("I7_exam_header_parse", r"SELECT submission_id, CAST(year(submitted_at) AS INTEGER) AS year, CAST(month(submitted_at) AS INTEGER) AS month, status AS source FROM submissions")
-def i7(t: Tables):
-    header = F.concat_ws(" ", F.date_format("submitted_at", "yyyy'학년도 '"), F.date_format("submitted_at", "M'월 '"), "status")
-    made = t.submissions.select("submission_id", header.alias("h"))
-    return made.select("submission_id", F.regexp_extract("h", r"(\d{4})학년도", 1).cast("int").alias("year"), F.regexp_extract("h", r"(\d{1,2})월", 1).cast("int").alias("month"), F.regexp_extract("h", r"월\s+(\S+)$", 1).alias("source"))
-
-
-@query("I8_section_detection", f"""WITH l AS (SELECT doc_id, text, CAST((line_number - 1) // 3 AS BIGINT) + 1 AS page FROM ({LINES})), p AS (SELECT doc_id, page, count(*) FILTER (WHERE regexp_matches(text, '^[A-Z]')) AS starts FROM l GROUP BY 1, 2)
-  SELECT doc_id, min(page) FILTER (WHERE starts > 1) AS content_start, min(page) FILTER (WHERE page > 0.7 * last AND last - page >= 5) AS answer_start FROM (SELECT *, max(page) OVER (PARTITION BY doc_id) AS last FROM p) GROUP BY doc_id""")
-def i8(t: Tables):
-    lines = D.text_lines(t.documents).withColumn("page", F.expr("(line_number - 1) div 3 + 1"))
-    page = lines.groupBy("doc_id", "page").agg(F.count_if(F.col("text").rlike("^[A-Z]")).alias("starts"))
-    last = F.max("page").over(Window.partitionBy("doc_id"))
-    late = (F.col("page") > 0.7 * F.col("last")) & (F.col("last") - F.col("page") >= 5)
-    return page.withColumn("last", last).groupBy("doc_id").agg(F.min(F.when(F.col("starts") > 1, F.col("page"))).alias("content_start"), F.min(F.when(late, F.col("page"))).alias("answer_start"))
-
-
 @query("I10_quick_answers", "SELECT class_id, 2 AS n, '3' AS first, CAST(1 + class_id % 5 AS VARCHAR) AS second FROM classes")
 def i10(t: Tables):
     digit = F.translate((1 + F.col("class_id") % 5).cast("string"), "12345", D.CIRCLED)

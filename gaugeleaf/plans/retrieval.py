@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numerics as N
 from ..operators import retrieval as J
+from ..operators import review as R
 from ..operators import tables as O
 from ..sources.domain import Tables
 from .registry import query
@@ -77,57 +78,134 @@ def j8(t: Tables):
     return out.withColumn("agreement", N.js_round_n(F.col("agreement"), 3))
 
 
-@query("J9_subject_consistency", "SELECT problem_id, (CASE WHEN unit IS NULL THEN 0.5 WHEN n.label IS NOT NULL THEN 1.0 ELSE 0.0 END + CASE WHEN contains(stem, 'red') THEN 1.0 ELSE 0.5 END)::DOUBLE / 2 AS consistency FROM problems p LEFT JOIN nodes n ON n.node_id = concat('n', p.node_id) AND n.level = 2")
+# Reviewed problems: a curriculum of the units of approved problems (subjects ending in 5 are unknown), concepts from the stem, a chapter for textbook problems, an answer key for some of them.
+KEYWORDS = {1: ["red", "ring"], 2: ["small", "bolt"], 3: [], 4: ["hot", "gear"]}
+REVIEWED = """SELECT p.*, NOT suffix(p.subject, '5') AS subject_known, unit IS NOT NULL AND EXISTS (SELECT 1 FROM problems q WHERE q.subject = p.subject AND q.unit = p.unit AND q.review_status = 'approved') AS unit_known,
+  CASE WHEN difficulty = 6 THEN [] ELSE string_split(stem, ' ') END AS concepts, CASE problem_id % 5 WHEN 1 THEN ['red', 'ring'] WHEN 2 THEN ['small', 'bolt'] WHEN 3 THEN [] WHEN 4 THEN ['hot', 'gear'] END AS keywords,
+  CASE problem_id % 6 WHEN 0 THEN concat(upper(p.subject), ' I') WHEN 1 THEN concat('part ', coalesce(unit, 'NONE')) WHEN 2 THEN 'on PRO and more' WHEN 3 THEN '' END AS chapter, CASE WHEN difficulty % 2 = 0 THEN ' ③ ' ELSE '2' END AS found,
+  CASE problem_id % 4 WHEN 0 THEN '3' WHEN 1 THEN '2' WHEN 2 THEN '' END AS key, CASE WHEN time_sec % 20 = 0 THEN 'matched' ELSE 'open' END AS key_status FROM problems p"""
+CONSISTENCY = """CASE WHEN NOT subject_known THEN 0 ELSE (CASE WHEN unit IS NULL THEN 0.25 WHEN unit_known THEN 0.5 ELSE 0 END) + CASE WHEN len(concepts) = 0 THEN 0.1 WHEN keywords IS NULL OR len(keywords) = 0 THEN 0.25
+  ELSE CASE len(list_filter(keywords, lambda k: contains(lower(array_to_string(concepts, ' ')), k))) WHEN 0 THEN 0 WHEN 1 THEN 0.3 ELSE 0.5 END END END::DOUBLE"""
+CHAPTER = """CASE WHEN coalesce(chapter, '') = '' THEN 0.5 WHEN contains(lower(chapter), lower(subject)) THEN 1.0 WHEN unit IS NOT NULL AND contains(lower(chapter), lower(unit)) THEN 0.9
+  WHEN unit IS NOT NULL AND len(list_filter(string_split(lower(chapter), ' '), lambda w: length(w) > 1 AND contains(unit, w))) > 0 THEN 0.8 ELSE 0.3 END::DOUBLE"""
+CROSS = "CASE WHEN key_status <> 'matched' OR coalesce(key, '') = '' THEN 0.5 WHEN translate(trim(found), '①②③④⑤', '12345') = translate(trim(key), '①②③④⑤', '12345') THEN 1.0 ELSE 0.0 END::DOUBLE"
+CONFIDENCE = """CASE WHEN difficulty = 5 THEN 0 WHEN difficulty = 1 THEN b WHEN difficulty = 2 THEN a ELSE (a + b) / 2 END"""
+
+
+def reviewed(t: Tables):
+    p = t.problems
+    tree = p.where("review_status = 'approved' and unit is not null").select("subject", "unit", F.lit(True).alias("unit_known")).distinct()
+    mod = lambda n: F.col("problem_id") % n
+    words = F.lit(None).cast("array<string>")
+    for k, ws in KEYWORDS.items():
+        words = F.when(mod(5) == k, F.array(*map(F.lit, ws)).cast("array<string>")).otherwise(words)
+    made = {
+        "subject_known": ~F.endswith("subject", F.lit("5")),
+        "concepts": F.when(F.col("difficulty") == 6, F.array().cast("array<string>")).otherwise(F.split("stem", " ")),
+        "keywords": words,
+        "chapter": F.when(mod(6) == 0, F.concat(F.upper("subject"), F.lit(" I"))).when(mod(6) == 1, F.concat(F.lit("part "), F.coalesce("unit", F.lit("NONE")))).when(mod(6) == 2, "on PRO and more").when(mod(6) == 3, ""),
+        "found": F.when(F.col("difficulty") % 2 == 0, " ③ ").otherwise("2"),
+        "key": F.when(mod(4) == 0, "3").when(mod(4) == 1, "2").when(mod(4) == 2, ""),
+        "key_status": F.when(F.col("time_sec") % 20 == 0, "matched").otherwise("open"),
+    }
+    # the curriculum has a few units for each subject
+    return p.join(tree, ["subject", "unit"], "left").withColumn("unit_known", F.coalesce("unit_known", F.lit(False))).withColumns(made)
+
+
+def consistency():
+    return R.subject_consistency(F.col("subject_known"), F.col("unit"), F.col("unit_known"), F.col("concepts"), F.col("keywords"))
+
+
+def confidence():
+    given = lambda bad, x: F.when(~F.col("difficulty").isin(bad, 5), x)
+    return J.ai_confidence(given(1, F.col("time_sec") / 400), given(2, (F.col("weight") - 900) / 100))
+
+
+@query("J9_subject_consistency", f"SELECT problem_id, {CONSISTENCY} AS consistency FROM ({REVIEWED})")
 def j9(t: Tables):
-    topics = t.nodes.where("level = 2").select(F.col("node_id").alias("key"), "label")
-    joined = t.problems.withColumn("key", F.concat(F.lit("n"), F.col("node_id").cast("string"))).join(topics, "key", "left")
-    curriculum = F.when(F.col("unit").isNull(), 0.5).when(F.col("label").isNotNull(), 1.0).otherwise(0.0)
-    return joined.select("problem_id", ((curriculum + F.when(F.contains("stem", F.lit("red")), 1.0).otherwise(0.5)) / 2).alias("consistency"))
+    return reviewed(t).select("problem_id", consistency().alias("consistency"))
 
 
-@query("J10_ai_confidence", "SELECT problem_id, floor(CASE WHEN difficulty = 1 THEN b WHEN difficulty = 2 THEN a ELSE (a + b) / 2 END * 1e6 + 0.5) / 1e6 AS confidence FROM (SELECT problem_id, difficulty, greatest(0, least(1, time_sec / 400.0::DOUBLE)) AS a, greatest(0, least(1, (weight - 900) / 100)) AS b FROM problems)")
+@query("J10_ai_confidence", f"SELECT problem_id, floor({CONFIDENCE} * 1e6 + 0.5) / 1e6 AS confidence FROM (SELECT problem_id, difficulty, greatest(0, least(1, time_sec / 400.0::DOUBLE)) AS a, greatest(0, least(1, (weight - 900) / 100)) AS b FROM problems)")
 def j10(t: Tables):
-    a = F.when(F.col("difficulty") != 1, F.col("time_sec") / 400)
-    b = F.when(F.col("difficulty") != 2, (F.col("weight") - 900) / 100)
-    return t.problems.select("problem_id", N.js_round_n(J.ai_confidence(a, b), 6).alias("confidence"))
+    return t.problems.select("problem_id", N.js_round_n(confidence(), 6).alias("confidence"))
 
 
-@query("J11_auto_review", """SELECT problem_id, floor(s * 1e6 + 0.5) / 1e6 AS score, round(s, 9) >= k AS passes FROM (SELECT problem_id,
-  CASE WHEN problem_type = 'essay' THEN 0.25 * a + 0.2 * b + 0.1 * c + 0.15 * 0.5 + 0.3 * d ELSE 0.3 * a + 0.25 * b + 0.2 * c + 0.25 * 0.5 END::DOUBLE AS s, 0.85::DOUBLE AS k
-  FROM (SELECT problem_id, problem_type, least(1, time_sec / 400.0::DOUBLE) AS a, CASE WHEN unit IS NULL THEN 0.5 ELSE 1 END::DOUBLE AS b,
-    CASE WHEN time_sec < [30, 60, 90, 150, 240, 360][difficulty] THEN greatest(0, 1.0::DOUBLE - ([30, 60, 90, 150, 240, 360][difficulty] - time_sec) / greatest(60, [30, 60, 90, 150, 240, 360][difficulty])::DOUBLE)
-      WHEN time_sec > [120, 180, 300, 420, 600, 900][difficulty] THEN greatest(0, 1.0::DOUBLE - (time_sec - [120, 180, 300, 420, 600, 900][difficulty]) / greatest(120, [120, 180, 300, 420, 600, 900][difficulty])::DOUBLE) ELSE 1 END AS c, difficulty / 6.0::DOUBLE AS d FROM problems))""")
-def j11(t: Tables):
-    kind = F.when(F.col("problem_type") == "essay", "textbook").otherwise("exam")
-    factors = (F.least(F.lit(1.0), F.col("time_sec") / 400), F.when(F.col("unit").isNull(), 0.5).otherwise(1.0), J.time_score(F.col("difficulty"), F.col("time_sec")), F.lit(None).cast("double"), F.col("difficulty") / 6)
-    score, passes = J.composite_review(kind, *factors)
-    return t.problems.select("problem_id", N.js_round_n(score, 6).alias("score"), passes.alias("passes"))
+@query("J10_chapter_match", f"SELECT problem_id, {CHAPTER} AS score FROM ({REVIEWED})")
+def j10_chapter(t: Tables):
+    return reviewed(t).select("problem_id", R.chapter_match(F.col("subject"), F.col("unit"), F.col("chapter")).alias("score"))
 
 
-WRONG = "SELECT s.student_id, a.problem_id, a.answered_at, p.node_id FROM answers a JOIN submissions s USING (submission_id) JOIN problems p USING (problem_id) WHERE a.is_correct = false"
+@query("J10_answer_cross_check", f"SELECT problem_id, {CROSS} AS score FROM ({REVIEWED})")
+def j10_answer(t: Tables):
+    return reviewed(t).select("problem_id", R.answer_cross_check(F.col("found"), F.col("key"), F.col("key_status")).alias("score"))
+
+
+TIME_SCORE = """CASE WHEN time_sec < [30, 60, 90, 150, 240, 360][difficulty] THEN greatest(0, 1.0::DOUBLE - ([30, 60, 90, 150, 240, 360][difficulty] - time_sec) / greatest(60, [30, 60, 90, 150, 240, 360][difficulty])::DOUBLE)
+  WHEN time_sec > [120, 180, 300, 420, 600, 900][difficulty] THEN greatest(0, 1.0::DOUBLE - (time_sec - [120, 180, 300, 420, 600, 900][difficulty]) / greatest(120, [120, 180, 300, 420, 600, 900][difficulty])::DOUBLE) ELSE 1 END"""
+
+
+@query("J11_auto_review", f"""WITH r AS ({REVIEWED}), f AS (SELECT *, {CONFIDENCE} AS ai, {CONSISTENCY} AS consistent, {TIME_SCORE} AS timing, CASE WHEN review_status = 'rejected' THEN 0.2 ELSE 0.9 END::DOUBLE AS alike, {CHAPTER} AS chapters, {CROSS} AS crossed,
+    CASE WHEN chapter IS NULL OR chapter = '' THEN 'exam' WHEN key_status = 'matched' THEN 'textbook_with_key' ELSE 'textbook' END AS kind
+    FROM (SELECT *, greatest(0, least(1, time_sec / 400.0::DOUBLE)) AS a, greatest(0, least(1, (weight - 900) / 100)) AS b FROM r)),
+  s AS (SELECT *, CASE kind WHEN 'exam' THEN 0.3 * ai + 0.25 * consistent + 0.2 * timing + 0.25 * alike WHEN 'textbook_with_key' THEN 0.15 * ai + 0.15 * consistent + 0.1 * timing + 0.15 * alike + 0.2 * chapters + 0.25 * crossed
+    ELSE 0.25 * ai + 0.2 * consistent + 0.1 * timing + 0.15 * alike + 0.3 * chapters END::DOUBLE AS score FROM f),
+  c AS (SELECT *, list_filter([CASE WHEN NOT subject_known THEN 'subject_valid' END, CASE WHEN NOT (subject_known AND unit_known) THEN 'unit_matches_subject' END, CASE WHEN time_sec % 70 = 0 THEN 'has_solution_strategy' END,
+    CASE WHEN len(concepts) = 0 THEN 'has_required_concepts' END, CASE WHEN problem_id % 11 = 0 THEN 'difficulty_in_range' END, CASE WHEN round(score, 9) < CASE kind WHEN 'textbook_with_key' THEN 0.8 ELSE 0.85 END THEN 'confidence_above_threshold' END], lambda x: x IS NOT NULL) AS failed FROM s)
+  SELECT problem_id, floor(score * 1e6 + 0.5) / 1e6 AS score, CASE WHEN len(failed) = 0 THEN 'auto_approved' ELSE 'pending_review' END AS decision, array_to_string(failed, ',') AS failed FROM c""")
+def j11(t: Tables):
+    r = reviewed(t)
+    with_chapter, keyed = F.coalesce("chapter", F.lit("")) != "", F.col("key_status") == "matched"
+    kind = F.when(~with_chapter, "exam").when(keyed, "textbook_with_key").otherwise("textbook")
+    similar = F.when(F.col("review_status") == "rejected", 0.2).otherwise(0.9)
+    factors = (confidence(), consistency(), J.time_score(F.col("difficulty"), F.col("time_sec")), similar, R.chapter_match(F.col("subject"), F.col("unit"), F.col("chapter")), R.answer_cross_check(F.col("found"), F.col("key"), F.col("key_status")))
+    refined = F.when(F.col("problem_id") % 11 != 0, F.col("difficulty").cast("double"))
+    strategy = F.when(F.col("time_sec") % 70 != 0, F.col("stem"))
+    checks = {
+        "subject_valid": F.col("subject_known"), "unit_matches_subject": F.col("subject_known") & F.col("unit_known"), "has_solution_strategy": F.coalesce(strategy, F.lit("")) != "",
+        "has_required_concepts": F.size("concepts") > 0, "difficulty_in_range": refined.between(1.0, 6.0),
+    }
+    made = R.review(kind, factors, checks)
+    return r.select("problem_id", N.js_round_n(made["score"], 6).alias("score"), made["decision"].alias("decision"), F.array_join(made["failed"], ",").alias("failed"))
 
 
-@query("J12_weak_areas", f"""WITH w AS (SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY answered_at DESC, problem_id) AS n FROM ({WRONG})), g AS (SELECT student_id, node_id, count(*) AS weight, min(n) AS newest FROM w WHERE n <= 20 GROUP BY 1, 2)
-  SELECT student_id, node_id, weight FROM (SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY weight DESC, newest) AS k FROM g) WHERE k <= 3""")
+WRONG = "SELECT s.student_id, a.problem_id, a.answered_at, p.node_id FROM answers a JOIN submissions s USING (submission_id) JOIN problems p USING (problem_id) WHERE a.is_correct = false"
+# open errors, and moments of tutoring: ungraded answers, of which two in three have a known cause
+NOW = "TIMESTAMP '1998-06-30'"
+MOMENTS = f"""SELECT s.student_id, a.problem_id, CASE WHEN p.node_id <> 13 THEN p.node_id END AS node_id, a.answered_at AS asked, a.is_correct, a.seconds, a.order_index,
+  row_number() OVER (PARTITION BY s.student_id ORDER BY a.answered_at, a.submission_id, a.order_index, a.problem_id, a.grader_id) AS nth
+  FROM answers a JOIN submissions s USING (submission_id) JOIN problems p USING (problem_id) WHERE a.answered_at >= {NOW} - INTERVAL 30 DAY AND a.answered_at < {NOW}"""
+AREAS = f"""m AS ({MOMENTS}), e AS (SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY asked DESC, nth) AS place FROM m WHERE is_correct = false AND seconds <= 40),
+  g AS (SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY asked, nth) AS place FROM m WHERE is_correct IS NULL AND order_index % 3 <> 0),
+  u AS (SELECT student_id, node_id, problem_id, 1 AS weight, place AS place FROM e WHERE place <= 20 UNION ALL SELECT student_id, node_id, problem_id, CASE WHEN seconds > 25 THEN 2 ELSE 1 END, 1000000000 + place FROM g),
+  h AS (SELECT student_id, node_id, CAST(sum(weight) AS BIGINT) AS weight, min(place) AS first, min_by(problem_id, place) AS problem_id FROM u WHERE node_id IS NOT NULL GROUP BY 1, 2),
+  areas AS (SELECT student_id, node_id, weight, problem_id, k AS area FROM (SELECT *, CAST(row_number() OVER (PARTITION BY student_id ORDER BY weight DESC, first) AS INTEGER) AS k FROM h) WHERE k <= 3)"""
+
+
+@query("J12_weak_areas", f"WITH {AREAS} SELECT * FROM areas")
 def j12(t: Tables):
     return weak_areas(t)
 
 
 def weak_areas(t: Tables):
-    wrong = t.answers.where("is_correct = false").join(t.submissions.select("submission_id", "student_id"), "submission_id").join(t.problems.select("problem_id", "node_id"), "problem_id")
-    newest = Window.partitionBy("student_id").orderBy(F.desc("answered_at"), "problem_id")
-    last = wrong.withColumn("n", F.row_number().over(newest)).where("n <= 20")
-    grouped = last.groupBy("student_id", "node_id").agg(F.count("*").alias("weight"), F.min("n").alias("newest"))
-    k = F.row_number().over(Window.partitionBy("student_id").orderBy(F.desc("weight"), "newest"))
-    return grouped.withColumn("k", k).where("k <= 3").select("student_id", "node_id", "weight")
-
-
-@query("J13_remediation_select")
+    now = F.lit("1998-06-30").cast("timestamp")
+    joined = t.answers.where((F.col("answered_at") < now) & (F.col("answered_at") >= now - F.expr("interval 30 days"))).join(t.submissions.select("submission_id", "student_id"), "submission_id").join(t.problems.select("problem_id", "node_id"), "problem_id")
+    nth = F.row_number().over(Window.partitionBy("student_id").orderBy("answered_at", "submission_id", "order_index", "problem_id", "grader_id"))
+    node = F.when(F.col("node_id") != 13, F.col("node_id"))
+    moments = joined.select("student_id", "problem_id", node.alias("node_id"), F.col("answered_at").alias("at"), "is_correct", "seconds", "order_index", nth.alias("nth"))
+    wrong = moments.where("is_correct = false and seconds <= 40")
+    signals = moments.where("is_correct is null and order_index % 3 <> 0").withColumn("source", F.when(F.col("seconds") > 25, "worked_solution").otherwise("question"))
+    return J.weak_areas(wrong, signals, now)
+
+
+@query("J13_remediation_select", f"""WITH {AREAS}, known AS (SELECT DISTINCT s.student_id, a.problem_id FROM answers a JOIN submissions s USING (submission_id)),
+  c AS (SELECT x.student_id, x.area, p.problem_id, row_number() OVER (PARTITION BY x.student_id, x.area ORDER BY p.difficulty, p.problem_id) AS own FROM areas x JOIN problems p USING (node_id) WHERE p.review_status = 'approved'
+    AND NOT EXISTS (SELECT 1 FROM known k WHERE k.student_id = x.student_id AND k.problem_id = p.problem_id))
+  SELECT * FROM (SELECT student_id, area, problem_id, CAST(row_number() OVER (PARTITION BY student_id ORDER BY area, own) AS INTEGER) AS place FROM c WHERE own <= 3) WHERE place <= 5""")
 def j13(t: Tables):
-    areas = weak_areas(t)
     pool = t.problems.where("review_status = 'approved'").select("problem_id", "node_id", "difficulty")
-    candidates = areas.join(pool, "node_id")
-    return J.greedy_selection(candidates, "student_id", "node_id", "problem_id", "difficulty", each=3, total=5)
+    answered = t.answers.select("submission_id", "problem_id").join(t.submissions.select("submission_id", "student_id"), "submission_id")
+    return J.remediation(weak_areas(t).select("student_id", "node_id", "area"), answered, pool, each=3, total=5)
 
 
 @query("J14_recommendations", f"""WITH u AS (SELECT DISTINCT student_id, problem_id, 1 AS priority FROM ({WRONG}) WHERE answered_at >= TIMESTAMP '2000-06-01' UNION ALL SELECT DISTINCT s.student_id, a.problem_id, 3 FROM answers a JOIN submissions s USING (submission_id) WHERE is_correct IS NULL)

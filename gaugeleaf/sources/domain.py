@@ -37,6 +37,25 @@ DOMAIN = {
         UNION ALL SELECT concat('n', CAST(n_nationkey AS STRING)), concat('r', CAST(n_regionkey AS STRING)), 2, n_name FROM {nation}
         UNION ALL SELECT concat('c', CAST(c_custkey AS STRING)), concat('n', CAST(c_nationkey AS STRING)), 3, c_name FROM {customer}""",
     "tutor_messages": "SELECT conv_id, turn, CASE role WHEN 'user' THEN 'student' ELSE role END AS role, text FROM {conversations}",
+    # books of two hundred problems on some thirty pages: contents, chapters, concepts, problems of every kind of start, answers in some
+    "book_lines": """WITH k AS (SELECT CAST(floor(p_partkey / 200) AS BIGINT) AS book, CAST(p_partkey % 200 AS BIGINT) AS k, CAST(floor((p_partkey % 200) / 6) AS BIGINT) + 1 AS page, CAST(p_size AS INT) AS z, p_name AS stem FROM {part}),
+        b AS (SELECT *, k >= 150 AND book % 3 <> 0 AS answers FROM k)
+        SELECT book, page, 10 * k AS line_number, concat(stem, ' ..... p. ', CAST(z AS STRING)) AS text FROM b WHERE k < 6
+        UNION ALL SELECT book, page, 10 * k + 1, concat('0', CAST(1 + z % 9 AS STRING), ' ', stem) FROM b WHERE z % 17 = 0 AND NOT answers
+        UNION ALL SELECT book, page, 10 * k + 2, concat(CASE WHEN z % 2 = 0 THEN 'Concept ' ELSE '개념 ' END, stem) FROM b WHERE z % 13 = 0 AND NOT answers
+        UNION ALL SELECT book, page, 10 * k + 3, concat('about ', stem) FROM b WHERE z % 13 = 0 AND NOT answers
+        UNION ALL SELECT book, page, 10 * k + 4, CASE z % 8 WHEN 0 THEN concat('예제 ', CAST(z AS STRING), ' ', stem) WHEN 1 THEN concat('0', lpad(CAST(z AS STRING), 3, '0'), ' ', stem) WHEN 2 THEN concat(CAST(z AS STRING), '. ', stem)
+            WHEN 3 THEN concat('③ ', stem) WHEN 4 THEN concat('[', CAST(z AS STRING), '] ', stem)
+            WHEN 5 THEN concat(CAST(z AS STRING), ' 20', CAST(10 + z % 13 AS STRING), '학년도 ', CAST(1 + z % 12 AS STRING), '월 ', CASE z % 5 WHEN 0 THEN '모평' WHEN 1 THEN '학평' WHEN 2 THEN '수능' WHEN 3 THEN '경찰' ELSE '사관' END, CASE z % 3 WHEN 0 THEN ' (고3)' ELSE '' END, CASE z % 4 WHEN 1 THEN ' 가형' ELSE '' END)
+            WHEN 6 THEN concat(CAST(z AS STRING), '.5 ', stem) ELSE concat('  문제 ', CAST(z AS STRING)) END FROM b WHERE NOT answers AND k >= 3
+        UNION ALL SELECT book, page, 10 * k + 5, concat(stem, CASE WHEN z % 3 = 0 THEN '의 값은? ' ELSE ' 구하시오 ' END) FROM b WHERE NOT answers AND z % 7 < 5
+        UNION ALL SELECT book, page, 10 * k + 6, CASE WHEN z % 2 = 0 THEN '① 1 ② 2 ③ 3 ④ 4 ⑤ 5' ELSE '① a ② b' END FROM b WHERE NOT answers AND z % 3 = 0
+        UNION ALL SELECT book, page, 10 * k + 7, concat('(1) ', stem) FROM b WHERE NOT answers AND z % 5 = 0
+        UNION ALL SELECT book, page, 10 * k + 8, concat('(2) more of ', stem) FROM b WHERE NOT answers AND z % 5 = 0
+        UNION ALL SELECT book, page, 10 * k, CASE WHEN book % 2 = 0 THEN '정답 및 해설' ELSE '빠른 정답' END FROM b WHERE answers AND k % 6 = 0 AND book % 3 = 1
+        UNION ALL SELECT book, page, 10 * k + 1, concat('1 ① 2 ③ 3 ', CAST(z AS STRING), ' 4 ④ 5 ⑤') FROM b WHERE answers AND book % 3 = 2
+        UNION ALL SELECT book, page, 10 * k + 2, concat('풀이 ', stem, ' 답 ', CAST(z AS STRING)) FROM b WHERE answers AND book % 3 = 1
+        UNION ALL SELECT book, page, 10 * k + 3, '한눈에 보는 정답' FROM b WHERE answers AND k = 174 AND book % 3 = 2""",
     # edges of a prerequisite graph over units of a subject: always from a smaller to a larger number
     "prerequisites": "SELECT CAST(a.n_nationkey AS INT) AS from_node, CAST(b.n_nationkey AS INT) AS to_node FROM {nation} a JOIN {nation} b ON b.n_nationkey = 2 * a.n_nationkey + 1 OR b.n_nationkey = 2 * a.n_nationkey + 2",
 }

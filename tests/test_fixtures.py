@@ -11,6 +11,7 @@ from gaugeleaf.operators import documents as D
 from gaugeleaf.operators import folds as K
 from gaugeleaf.operators import graph as G
 from gaugeleaf.operators import retrieval as J
+from gaugeleaf.operators import review as R
 from gaugeleaf.operators import tables as O
 from gaugeleaf.operators.compose import compose_exam
 from gaugeleaf.streaming import events as E
@@ -187,11 +188,26 @@ def test_time_score(spark, d, seconds, want):
     assert got == pytest.approx(want, abs=1e-4)
 
 
-@pytest.mark.parametrize(("factors", "score", "ok"), [((0.8, 1.0, 1.0, 1.0), 0.94, True), ((0.8, 0.8, 1.0, 0.5), 0.765, False)])
-def test_composite_review(spark, factors, score, ok):
-    got_score, passes = J.composite_review(F.lit("exam"), *map(F.lit, factors))
-    row = spark.range(1).select(got_score.alias("s"), passes.alias("p")).first()
-    assert (row.s, row.p) == (pytest.approx(score), ok)
+@pytest.mark.parametrize(("kind", "factors", "score", "ok"), [("exam", (0.8, 1.0, 1.0, 1.0), 0.94, True), ("exam", (0.8, 0.8, 1.0, 0.5), 0.765, False), ("textbook_with_key", (1.0, 1.0, 1.0, 1.0, 1.0, 0.2), 0.8, True), ("textbook", (1.0, 1.0, 1.0, 1.0, 0.3, None), 0.79, False)])
+def test_review(spark, kind, factors, score, ok):
+    factors = (*factors, *[None] * (6 - len(factors)))
+    made = R.review(F.lit(kind), tuple(F.lit(f).cast("double") for f in factors), {"known": F.lit(True), "strategy": F.lit(None).cast("boolean") if kind == "exam" and not ok else F.lit(True)})
+    row = spark.range(1).select(*(c.alias(n) for n, c in made.items())).first()
+    assert row.score == pytest.approx(score)
+    assert row.decision == ("auto_approved" if ok else "pending_review")
+    assert row.failed == ([] if ok else (["strategy"] if kind == "exam" else []) + ["confidence_above_threshold"])
+
+
+@pytest.mark.parametrize(("subject", "unit", "chapter", "want"), [("math", "limits", None, 0.5), ("math", "limits", "Math 1", 1.0), ("x", "limits", "on limits", 0.9), ("x", "limits", "limit or", 0.8), (None, "limits", "a b", 0.3), ("x", None, "other", 0.3)])
+def test_chapter_match(spark, subject, unit, chapter, want):
+    columns = [F.lit(v).cast("string") for v in (subject, unit, chapter)]
+    assert spark.range(1).select(R.chapter_match(*columns).alias("s")).first().s == want
+
+
+@pytest.mark.parametrize(("found", "key", "status", "want"), [("③", "3", "matched", 1.0), (" 3 ", "③", "matched", 1.0), ("2", "3", "matched", 0.0), (None, "3", "matched", 0.0), ("3", "3", "open", 0.5), ("3", "", "matched", 0.5), ("3", "3", None, 0.5)])
+def test_answer_cross_check(spark, found, key, status, want):
+    columns = [F.lit(v).cast("string") for v in (found, key, status)]
+    assert spark.range(1).select(R.answer_cross_check(*columns).alias("s")).first().s == want
 
 
 def test_grade_and_smart_score(spark):

@@ -119,6 +119,10 @@ def quick_answers(text: Column) -> Column:
 SECTION_HEADS = {"유제": "practice", "예제": "example", "Level 1": "level1", "Level 2": "level2", "Level 3": "level3"}
 
 
+# A number and its answer; cells may run together where the answer is a choice mark.
+ANSWER_CELL = rf"\d+\s*[{CIRCLED}]|\d+\s+-?\d+(?:\.\d+)?"
+
+
 def answer_table(lines: DataFrame, key: str) -> DataFrame:
     """(chapter, section, number) to answer from answer pages, line by line with carried chapter and section.
 
@@ -131,11 +135,11 @@ def answer_table(lines: DataFrame, key: str) -> DataFrame:
     chapter = F.nullif(F.regexp_extract("text", r"^\s*(\d{2})\s+\D", 1), F.lit(""))
     marked = lines.withColumns({"__chapter": F.when(section.isNull(), chapter), "__section": section})
     carried = marked.select(key, "page_number", "line_number", "text", F.last("__chapter", ignorenulls=True).over(order).alias("chapter"), F.last("__section", ignorenulls=True).over(order).alias("section"))
-    body = carried.where(F.col("section").isNotNull() & F.trim("text").rlike(r"^\d+\s+\S"))
-    pairs = F.explode(F.regexp_extract_all("text", F.lit(rf"(\d+\s+(?:[{CIRCLED}]|-?\d+(?:\.\d+)?))"), F.lit(1)))
-    each = body.select(key, "chapter", "section", "page_number", "line_number", pairs.alias("pair"))
-    out = each.select(key, "chapter", "section", F.regexp_extract("pair", r"^(\d+)", 1).cast("int").alias("number"), F.regexp_extract("pair", r"\s(\S+)$", 1).alias("answer"), "page_number", "line_number")
-    last = F.max_by("answer", F.struct("page_number", "line_number"))
+    body = carried.where(F.col("section").isNotNull() & F.trim("text").rlike(r"^\d"))
+    pairs = F.posexplode(F.regexp_extract_all("text", F.lit(f"({ANSWER_CELL})"), F.lit(1)))
+    each = body.select(key, "chapter", "section", "page_number", "line_number", pairs.alias("nth", "pair"))
+    out = each.select(key, "chapter", "section", F.regexp_extract("pair", r"^(\d+)", 1).cast("int").alias("number"), F.regexp_extract("pair", r"^\d+\s*(\S+)$", 1).alias("answer"), "page_number", "line_number", "nth")
+    last = F.max_by("answer", F.struct("page_number", "line_number", "nth"))
     return out.groupBy(key, "chapter", "section", "number").agg(last.alias("answer"))
 
 
@@ -143,8 +147,19 @@ def answer_table(lines: DataFrame, key: str) -> DataFrame:
 ANSWER_CONFIDENCE = {"inline": 1.0, "quick": 0.95, "solution": 0.9, "number": 0.7}
 
 
-def match_answers(problems: DataFrame, quick: DataFrame, solutions: DataFrame, numbers: DataFrame) -> DataFrame:
-    """problem_id, answer, source, confidence: inline before quick table before solution before bare number."""
+def computed_confidence(problem_type: Column, answer: Column) -> Column:
+    """Of an answer found beside a solution of the same number: higher if it looks like the problem's kind of answer."""
+    given = F.coalesce(answer, F.lit("")) != ""
+    choice = (problem_type == "multiple_choice") & answer.rlike(rf"^\s*(?:[{CIRCLED}]|[1-5])\s*$")
+    numeric = (problem_type == "short_answer") & answer.rlike(r"^-?\d+\.?\d*$")
+    return F.when(~given, 0.3).when(choice, 0.8).when(numeric, 0.7).otherwise(0.5)
+
+
+def match_answers(problems: DataFrame, quick: DataFrame, solutions: DataFrame, numbers: DataFrame, beside: DataFrame | None = None) -> DataFrame:
+    """problem_id, answer, source, confidence: inline before quick table before solution before bare number before what stands beside a solution.
+
+    problems needs problem_type where beside (number, answer; the answer may be null) is given.
+    """
     keys = ["chapter", "section", "number"]
     joined = (
         problems.join(quick.select(*keys, F.col("answer").alias("quick")), keys, "left")
@@ -152,12 +167,73 @@ def match_answers(problems: DataFrame, quick: DataFrame, solutions: DataFrame, n
         .join(numbers.select("number", F.col("answer").alias("by_number")), "number", "left")
     )
     found = {"inline": F.col("inline_answer"), "quick": F.col("quick"), "solution": F.col("solution"), "number": F.col("by_number")}
-    source = F.lit(None).cast("string")
-    confidence = F.lit(None).cast("double")
-    for name, value in reversed(list(found.items())):
-        source = F.when(value.isNotNull(), name).otherwise(source)
-        confidence = F.when(value.isNotNull(), ANSWER_CONFIDENCE[name]).otherwise(confidence)
-    return joined.select("problem_id", F.coalesce(*found.values()).alias("answer"), source.alias("source"), confidence.alias("confidence"))
+    there = {name: value.isNotNull() for name, value in found.items()}
+    trust = {name: F.lit(ANSWER_CONFIDENCE[name]) for name in found}
+    if beside is not None:
+        joined = joined.join(beside.select("number", F.col("answer").alias("beside"), F.lit(True).alias("is_beside")), "number", "left")
+        found["beside"], there["beside"], trust["beside"] = F.col("beside"), F.col("is_beside"), computed_confidence(F.col("problem_type"), F.col("beside"))
+    answer, source, confidence = (F.lit(None).cast(kind) for kind in ("string", "string", "double"))
+    for name in reversed(found):
+        answer = F.when(there[name], found[name]).otherwise(answer)
+        source = F.when(there[name], name).otherwise(source)
+        confidence = F.when(there[name], trust[name]).otherwise(confidence)
+    return joined.select("problem_id", answer.alias("answer"), source.alias("source"), confidence.alias("confidence"))
+
+
+# Position, points and format of the questions of an exam, by number from and to.
+EXAM_RULES = (
+    (1, 2, "normal", 2, "multiple_choice_5"),
+    (3, 8, "normal", 3, "multiple_choice_5"),
+    (9, 14, "normal", 4, "multiple_choice_5"),
+    (15, 15, "semi_killer", 4, "multiple_choice_5"),
+    (16, 19, "normal", 3, "short_answer"),
+    (20, 20, "semi_killer", 4, "short_answer"),
+    (21, 21, "killer", 4, "short_answer"),
+    (22, 22, "semi_killer", 4, "short_answer"),
+    (23, 23, "normal", 2, "multiple_choice_5"),
+    (24, 27, "normal", 3, "multiple_choice_5"),
+    (28, 28, "semi_killer", 4, "multiple_choice_5"),
+    (29, 30, "killer", 4, "short_answer"),
+)
+# Points of the rounded difficulties one to five.
+DIFFICULTY_POINTS = (2, 2, 3, 4, 4)
+
+
+def question_number(raw: Column) -> Column:
+    """15 of '15', '15.', 'Q15'; null for others."""
+    return F.regexp_extract(F.trim(raw), r"^[Qq#]*(\d+)\.*$", 1).try_cast("int")
+
+
+def apply_exam_rules(problems: DataFrame) -> DataFrame:
+    """Adds position_type and point_value, fills question_format, and stores ai_answer.
+
+    Exam problems take the rule of their number, else estimates from their difficulty, and the answer goes
+    to answer_text.  Textbook problems keep no rule; their answer goes to answer_latex, as answer_text has the book's.
+    """
+    number = question_number(F.col("problem_number"))
+    position, points, form = (F.lit(None).cast(kind) for kind in ("string", "int", "string"))
+    for first, last, p, n, f in EXAM_RULES:
+        inside = number.between(first, last)
+        position, points, form = F.when(inside, p).otherwise(position), F.when(inside, n).otherwise(points), F.when(inside, f).otherwise(form)
+    level = F.col("difficulty").cast("double")
+    by_level = F.coalesce(F.get(F.array(*map(F.lit, DIFFICULTY_POINTS)), F.bround(level).cast("int") - 1), F.lit(3))
+    place = F.when(level >= 4.5, "killer").when(level >= 3.5, "semi_killer").otherwise("normal")
+    exam = ~F.col("is_textbook")
+    return problems.withColumns(
+        {
+            "position_type": F.when(exam, F.coalesce(position, place)),
+            "point_value": F.when(exam, F.coalesce(points, by_level)),
+            "question_format": F.when(exam, F.coalesce("question_format", form)).otherwise(F.col("question_format")),
+            "answer_text": F.when(exam, F.coalesce("ai_answer", "answer_text")).otherwise(F.col("answer_text")),
+            "answer_latex": F.when(~exam, F.col("ai_answer")),
+        }
+    )
+
+
+def with_curriculum_node(df: DataFrame, nodes: DataFrame, year: int, subject: str, unit: str, name: str) -> DataFrame:
+    """Adds name: the node of that curriculum with the row's labels, null if there is none.  nodes: year, subject, unit, node_id."""
+    own = nodes.where(F.col("year") == year).select(F.col("subject").alias(subject), F.col("unit").alias(unit), F.col("node_id").alias(name))
+    return df.join(own, [subject, unit], "left")
 
 
 def fingerprints(df: DataFrame, *columns: str) -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import staged
+
 
 def subtree(nodes: DataFrame, root: str, depth: int = 4) -> DataFrame:
     """node_id of root and its descendants; the tree has a fixed depth, so the levels are unrolled."""
@@ -29,46 +30,36 @@ def paths(nodes: DataFrame, depth: int = 4) -> DataFrame:
     return out
 
 
-def layers(edges: DataFrame, most: int = 32) -> DataFrame:
-    """Longest-path layer of each node of an acyclic edge table (from_node, to_node); sources have 0."""
+def layers(edges: DataFrame) -> DataFrame:
+    """Longest-path layer of each node of an acyclic edge table (from_node, to_node); sources have 0.  A cycle is an error."""
     nodes = edges.select(F.col("from_node").alias("node")).union(edges.select("to_node")).distinct()
     out = nodes.withColumn("layer", F.lit(0))
-    reached = nodes
-    for k in range(1, most):
-        reached = edges.join(reached.select(F.col("node").alias("from_node")), "from_node", "left_semi").select(F.col("to_node").alias("node")).distinct()
+    reached, depth = nodes, 0
+    while True:
+        reached = edges.join(reached.select(F.col("node").alias("from_node")), "from_node", "left_semi").select(F.col("to_node").alias("node")).distinct().persist()
         if reached.isEmpty():
-            break
-        out = out.union(reached.withColumn("layer", F.lit(k)))
-    return out.groupBy("node").agg(F.max("layer").alias("layer"))
+            return out.groupBy("node").agg(F.max("layer").alias("layer"))
+        depth += 1
+        if depth % 32 == 0 and depth >= nodes.count():
+            raise ValueError("the edges have a cycle")
+        out = out.union(reached.withColumn("layer", F.lit(depth)))
 
 
 def weakness_roots(accuracy: DataFrame, edges: DataFrame, key: str, weak_below: float = 50.0) -> DataFrame:
     """Where each student's weakness starts: from every weak node back through prerequisites that are weak or untested.
 
-    A node reached, weak or untested, is a root when it has no such prerequisite left to visit.  Edges go
-    from from_node (earlier) to to_node; one student's graph is bounded by the curriculum.
+    A node reached, weak or untested, is a root when it has no such prerequisite.  Edges go from from_node
+    (earlier) to to_node.  All students climb together, a level a round; the rounds are the curriculum's depth.
     """
-    links = F.broadcast(edges.groupBy("to_node").agg(F.sort_array(F.collect_set("from_node")).alias("before")).agg(F.map_from_entries(F.collect_list(F.struct("to_node", "before"))).alias("graph")))
-    marked = accuracy.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("node", "accuracy"))).alias("known"))
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for student, known, graph in zip(batch[key], batch["known"], batch["graph"], strict=True):
-                known, graph = dict(known), {k: list(v) for k, v in dict(graph).items()}
-                roots: set = set()
-                for start in sorted(n for n, a in known.items() if a < weak_below):
-                    seen, queue = {start}, [start]
-                    while queue:
-                        node = queue.pop(0)
-                        further = [p for p in graph.get(node, []) if p not in seen and known.get(p, -1.0) < weak_below]
-                        if further:
-                            seen.update(further)
-                            queue += further
-                        else:
-                            roots.add(node)
-                out += [(student, n) for n in sorted(roots)]
-            yield pd.DataFrame(out, columns=[key, "root"])
-
-    kind = accuracy.schema[key].dataType.simpleString()
-    return marked.crossJoin(links).mapInPandas(walk, f"{key} {kind}, root int")
+    accuracy = staged(accuracy.select(key, "node", "accuracy"), "accuracy")
+    known = accuracy.select(key, F.col("node").alias("from_node"), "accuracy")
+    edges = staged(edges.select("from_node", "to_node"), "prerequisites")
+    reached = fresh = accuracy.where(F.col("accuracy") < weak_below).select(key, "node").distinct()
+    steps: list[DataFrame] = []
+    while not steps or not fresh.isEmpty():
+        climbed = fresh.withColumnRenamed("node", "to_node").join(edges, "to_node").join(known, [key, "from_node"], "left")
+        steps.append(staged(climbed.where(F.coalesce("accuracy", F.lit(-1.0)) < weak_below).select(key, "to_node", "from_node"), "steps"))
+        fresh = staged(steps[-1].select(key, F.col("from_node").alias("node")).distinct().join(reached, [key, "node"], "left_anti"), "fresh")
+        reached = reached.union(fresh)
+    inner = functools.reduce(DataFrame.union, steps).select(key, F.col("to_node").alias("node")).distinct()
+    return reached.join(inner, [key, "node"], "left_anti").select(key, F.col("node").alias("root"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,49 +42,123 @@ def bm25(docs: DataFrame, key: str, text: str, query: list[str], k1: float = 1.2
     return joined.select(key, score.alias("score")).where("score > 0")
 
 
-def nearest_to(items: DataFrame, key: str, vector: str, query: list[float], k: int) -> DataFrame:
-    """The k items nearest to one vector, by cosine."""
-    q = F.array(*(F.lit(float(x)) for x in query))
-    return items.select(key, N.cosine(F.col(vector), q).alias("score")).orderBy(F.desc("score"), key).limit(max(1, min(k, 100)))
+def nearest_to(items: DataFrame, key: str, vector: str, query: DataFrame, k: int, least: float | None = None) -> DataFrame:
+    """key and score of the k items (1 to 100) nearest by cosine to the vector in query, which has one row q."""
+    scored = items.join(F.broadcast(query.limit(1)), how="cross").select(key, N.cosine(F.col(vector), F.col("q")).alias("score"))  # one row
+    scored = scored if least is None else scored.where(F.col("score") >= least)
+    return scored.orderBy(F.desc("score"), key).limit(max(1, min(k, 100)))
 
 
-def knn_all_pairs(items: DataFrame, key: str, vector: str, k: int = 10, least: float = 0.5, block_rows: int = 4096) -> DataFrame:
+def unit_rows(rows: pd.Series) -> np.ndarray:
+    x = np.stack(rows.to_numpy()).astype(np.float64)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def centers_of(items: DataFrame, key: str, vector: str, cells: int, a_cell: int = 32, rounds: int = 8) -> np.ndarray:
+    """Unit centers of about cells clusters, fitted on cells * a_cell items: those with the smallest hash of their key."""
+    sample = items.where(F.col(vector).isNotNull()).select(vector).orderBy(F.xxhash64(key)).limit(cells * a_cell).toPandas()
+    if cells == 1 or len(sample) <= cells:
+        return unit_rows(sample[vector])[:1] if len(sample) else np.zeros((1, 1))
+    x = unit_rows(sample[vector])
+    centers = x[np.random.default_rng(5).choice(len(x), cells, replace=False)]
+    for _ in range(rounds):
+        nearest = np.concatenate([(x[a : a + 4096] @ centers.T).argmax(axis=1) for a in range(0, len(x), 4096)])
+        sums = np.zeros_like(centers)
+        np.add.at(sums, nearest, x)
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        centers = np.where(norms > 0, sums / np.maximum(norms, 1e-12), centers)
+    return centers
+
+
+def knn_all_pairs(items: DataFrame, key: str, vector: str, k: int = 10, least: float = 0.5, cell_rows: int = 4096, probes: int = 24, most_cells: int = 8192) -> DataFrame:
     """key, neighbour, score, rank: for every item its k nearest others, then those of least or more.
 
-    Exact.  Items are dealt into blocks of about block_rows; a task multiplies two
-    blocks and keeps the k best of each row, so that what is shuffled and held is
-    k rows an item and block, and the cost is shared by all pairs of blocks.
+    Every item is put into the cell of its nearest center and looks for neighbours in its ``probes`` nearest
+    cells; with no more cells than probes that is exact, and probes = most_cells makes it so at any size.
+    A cell's items and the items that look into it are dealt into blocks of about cell_rows; a task multiplies
+    two blocks and keeps the k best of each row, so that what is shuffled and held is bounded, however many
+    items share a cell.  The centers are fitted on a bounded sample (most_cells * 32 items) and broadcast
+    (most_cells vectors at most); all items are indexed.
     """
-    n_blocks = max(1, -(-items.count() // block_rows))
-    blocked = items.select(key, vector).withColumn("block", F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    left = blocked.withColumn("other", other).select(F.col("block").alias("a"), F.col("other").alias("b"), key, vector)
-    right = blocked.withColumn("other", other).select(F.col("other").alias("a"), F.col("block").alias("b"), F.col(key).alias("__id"), F.col(vector).alias("__vector"))
-
-    def unit(rows: pd.Series) -> np.ndarray:
-        x = np.stack(rows.to_numpy()).astype(np.float64)
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    cells = max(1, min(most_cells, -(-items.count() // cell_rows)))
+    probes = min(probes, cells)
+    sent = items.sparkSession.sparkContext.broadcast(centers_of(items, key, vector, cells))
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if batch.empty:
+                continue
+            centers = sent.value
+            if len(centers) == 1:
+                order = np.zeros((len(batch), 1), dtype=np.int32)
+            else:
+                scores = unit_rows(batch[vector]) @ centers.T
+                top = np.argpartition(-scores, min(probes, scores.shape[1]) - 1, axis=1)[:, :probes]
+                order = np.take_along_axis(top, np.argsort(-np.take_along_axis(scores, top, axis=1), axis=1), axis=1).astype(np.int32)
+            yield pd.DataFrame({key: batch[key], vector: batch[vector], "cells": list(order)})
+
+    kind = {c: items.schema[c].dataType.simpleString() for c in (key, vector)}
+    placed = items.where(F.col(vector).isNotNull()).select(key, vector).mapInPandas(near, f"{key} {kind[key]}, {vector} {kind[vector]}, cells array<int>")
+    own, looking = placed.select(key, vector, F.col("cells")[0].alias("cell")), placed.select(key, vector, F.explode("cells").alias("cell"))
+    blocks = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") / cell_rows).alias(name))
+    counts = F.broadcast(blocks(own, "rows").join(blocks(looking, "lookers"), "cell"))  # one row for each of most_cells cells
+    part = lambda n: F.pmod(F.xxhash64(key), F.col(n))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = looking.join(counts, "cell").withColumn("a", part("lookers")).withColumn("b", all_of("rows")).select("cell", "a", "b", key, vector)
+    right = own.join(counts, "cell").withColumn("b", part("rows")).withColumn("a", all_of("lookers")).select("cell", "a", "b", F.col(key).alias("__id"), F.col(vector).alias("__vector"))
 
     def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
             return pd.DataFrame({"id": [], "neighbour": [], "score": []})
         x, y = x.sort_values(key), y.sort_values("__id")
         ids, others = x[key].to_numpy(), y["__id"].to_numpy()
+        against = unit_rows(y["__vector"]).T
         out = []
         for at in range(0, len(x), 512):
-            scores = unit(x[vector].iloc[at : at + 512]) @ unit(y["__vector"]).T
+            scores = unit_rows(x[vector].iloc[at : at + 512]) @ against
             scores[ids[at : at + 512, None] == others[None, :]] = -np.inf
             order = np.argsort(-np.round(scores, 12), axis=1, kind="stable")[:, :k]
             out.append(pd.DataFrame({"id": np.repeat(ids[at : at + 512], order.shape[1]), "neighbour": others[order].ravel(), "score": np.take_along_axis(scores, order, axis=1).ravel()}))
         found = pd.concat(out)
         return found[np.isfinite(found["score"])]
 
-    partial = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(best, "id long, neighbour long, score double")
+    partial = left.groupBy("cell", "a", "b").cogroup(right.groupBy("cell", "a", "b")).applyInPandas(best, "id long, neighbour long, score double")
     w = Window.partitionBy("id").orderBy(F.desc(F.round("score", 12)), "neighbour")
     ranked = partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.where(F.col("score") >= least).select(F.col("id").alias(key), "neighbour", N.js_round_n(F.col("score"), 4).alias("score"), "rank")
 
 
+def counted_ranks(rows: DataFrame, score: str, key: str, wanted: DataFrame) -> DataFrame:
+    """key and rank, in the order of falling score and rising key, of the wanted rows of a list: one pass that counts what is before each.
+
+    wanted is a page of the list at most; its bounds are collected.
+    """
+    bounds = wanted.select(score, key).collect()
+    spark = rows.sparkSession
+    kind = f"{key} {rows.schema[key].dataType.simpleString()}, rank long"
+    if not bounds:
+        return spark.createDataFrame([], kind)
+    before = [F.count_if((F.col(score) > s) | ((F.col(score) == s) & (F.col(key) < i))) for s, i in bounds]
+    counts = rows.agg(*(c.alias(f"c{n}") for n, c in enumerate(before))).first()
+    return spark.createDataFrame([(b[key], n + 1) for b, n in zip(bounds, counts, strict=True)], kind)
+
+
+def fused_page(lists: list[DataFrame], key: str, size: int, constant: int = 60) -> DataFrame:
+    """key and reciprocal rank fusion score of the first size items over lists of (key, score), and total, the number of items in any.
+
+    Two items far down every list cannot outdo the size-th of one: only the first
+    lists * (constant + size) - constant of each list can be on the page.  Their ranks in the other
+    lists are counted.
+    """
+    reach = len(lists) * (constant + size) - constant
+    heads = [df.orderBy(F.desc("score"), key).limit(reach).select(key).persist() for df in lists]
+    candidates = functools.reduce(DataFrame.union, heads).distinct().persist()
+    total = functools.reduce(DataFrame.union, [df.select(key) for df in lists]).distinct().agg(F.count("*").alias("total"))
+    ranks = [counted_ranks(df, "score", key, df.join(F.broadcast(candidates), key, "left_semi")) for df in lists]  # lists * reach rows at most
+    page = reciprocal_rank_fusion(ranks, key, constant).orderBy(F.desc("score"), key).limit(size)
+    return page.join(F.broadcast(total), how="cross")  # one row
+
+
 def reciprocal_rank_fusion(rankings: list[DataFrame], key: str, constant: int = 60) -> DataFrame:
     """key and the sum of 1 / (constant + rank) over the rankings that hold it."""
     union = rankings[0].select(key, "rank")

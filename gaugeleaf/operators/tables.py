@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import fresh_path
+from ..sources.store import staged
 
 
 def all_of(*conditions: Column | None) -> Column:
@@ -72,11 +72,8 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     Rows are range-partitioned and written once (a second sampling could draw other borders); a row's
     place is the size of the earlier partitions and its place in its own.  The order must be total.
     """
-    spark = df.sparkSession
     parted = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    path = fresh_path(spark, "ranked")
-    parted.write.parquet(path)
-    parted = spark.read.schema(parted.schema).parquet(path)
+    parted = staged(parted, "ranked")
     earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parted.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
     local = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
@@ -96,13 +93,19 @@ def top_then_threshold(df: DataFrame, keys: list[str], order: list[Column], k: i
     return ranked.where(F.col("rank") <= k).where(keep)
 
 
-def relaxing_first_match(requests: DataFrame, candidates: DataFrame, on: str, levels: list[Column], tie: list[Column]) -> DataFrame:
-    """For each request the best candidate of the strictest level that has one."""
+def relaxing_first_match(requests: DataFrame, candidates: DataFrame, levels: list[list[str]], item: str) -> DataFrame:
+    """requests with item and level: the smallest candidate that agrees on the columns of the strictest level that has one.
+
+    Candidates are cut to one for each key of a level before they meet the requests.
+    """
+    out = requests
+    for k, on in enumerate(levels):
+        out = out.join(candidates.groupBy(*on).agg(F.min(item).alias(f"__{k}")), on, "left")
     level = F.lit(None).cast("int")
-    for k, c in reversed(list(enumerate(levels))):
-        level = F.when(c, F.lit(k)).otherwise(level)
-    scored = requests.join(candidates, on).withColumn("level", level).where("level is not null")
-    return latest_per(scored, ["request_id"], F.col("level"), *tie)
+    for k in reversed(range(len(levels))):
+        level = F.when(F.col(f"__{k}").isNotNull(), k).otherwise(level)
+    found = F.coalesce(*(F.col(f"__{k}") for k in range(len(levels))))
+    return out.withColumns({item: found, "level": level}).where("level is not null").drop(*(f"__{k}" for k in range(len(levels))))
 
 
 def priority_union(sources: list[DataFrame], keys: list[str], priority: str, most: int, per: str, tie: str) -> DataFrame:

@@ -247,17 +247,15 @@ def d33(t: Tables):
     return A.auto_grade(t.answers, key, 100.0)
 
 
-@query("D34_page_line_counts", "SELECT d.doc_id, count(l.line) AS n_lines FROM documents d LEFT JOIN (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE lang = 'en') l USING (doc_id) GROUP BY d.doc_id")
+@query("D34_page_line_counts", "SELECT doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines FROM documents")
 def d34(t: Tables):
-    lines = t.documents.where("lang = 'en'").select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"))
-    return t.documents.select("doc_id").join(lines, "doc_id", "left").na.fill(0, ["n_lines"])
+    return t.documents.select("doc_id", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
 
 
 @query("D35_batch_outcome_counts", "SELECT CAST(floor(problem_id / 50) AS BIGINT) AS batch, count(*) FILTER (WHERE review_status = 'auto_approved') AS auto, count(*) FILTER (WHERE review_status <> 'rejected') AS completed, count(*) FILTER (WHERE review_status = 'rejected') AS failed FROM problems GROUP BY 1")
 def d35(t: Tables):
-    batches = t.problems.groupBy(F.floor(F.col("problem_id") / 50).alias("batch")).agg(F.collect_list("review_status").alias("results"))
-    each = batches.select("batch", F.explode("results").alias("r")).groupBy("batch")
-    return each.agg(F.count_if(F.col("r") == "auto_approved").alias("auto"), F.count_if(F.col("r") != "rejected").alias("completed"), F.count_if(F.col("r") == "rejected").alias("failed"))
+    status = F.col("review_status")
+    return t.problems.groupBy(F.floor(F.col("problem_id") / 50).alias("batch")).agg(F.count_if(status == "auto_approved").alias("auto"), F.count_if(status != "rejected").alias("completed"), F.count_if(status == "rejected").alias("failed"))
 
 
 @query("D36_score_histogram", "SELECT CAST(least(floor(score / max_score * 5), 4) AS BIGINT) AS bucket, count(*) AS n FROM submissions WHERE score IS NOT NULL GROUP BY 1")

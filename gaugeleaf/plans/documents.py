@@ -14,15 +14,15 @@ NOISE = r"(trim(text) = '' OR regexp_matches(trim(text), '^-?\s*\d{1,3}\s*-?$')
 
 
 def numbered_lines(t: Tables):
-    """Problem stems of a subject as the numbered lines of one page, with text between."""
-    w = Window.partitionBy("subject").orderBy("problem_id")
-    p = t.problems.select("subject", "stem", "difficulty", (F.row_number().over(w) * 2).alias("line_number"))
-    n = F.expr("cast(line_number div 2 as string)")
-    text = F.when(F.col("difficulty") > 2, F.concat(n, F.lit(". "), F.col("stem"))).otherwise(F.concat(n, F.lit(".5 "), F.col("stem")))
+    """Problem stems as numbered lines of books of fifty problems at most, with text between.  No window is needed to make them."""
+    n = F.expr("problem_id % 50 + 1")
+    book = F.concat_ws("/", "subject", F.expr("problem_id div 1250").cast("string"))
+    p = t.problems.select(book.alias("subject"), "stem", "difficulty", F.col("problem_id").alias("line_number"), n.cast("string").alias("n"))
+    text = F.when(F.col("difficulty") > 2, F.concat("n", F.lit(". "), F.col("stem"))).otherwise(F.concat("n", F.lit(".5 "), F.col("stem")))
     return p.select("subject", F.lit(1).alias("page_number"), "line_number", text.alias("text"))
 
 
-NUMBERED = "SELECT subject, n * 2 AS line_number, CASE WHEN difficulty > 2 THEN concat(n, '. ', stem) ELSE concat(n, '.5 ', stem) END AS text, CASE WHEN difficulty > 2 AND n <= 50 THEN n END AS opens FROM (SELECT subject, stem, difficulty, row_number() OVER (PARTITION BY subject ORDER BY problem_id) AS n FROM problems)"
+NUMBERED = "SELECT concat(subject, '/', CAST(problem_id // 1250 AS BIGINT)) AS subject, problem_id AS line_number, CASE WHEN difficulty > 2 THEN concat(problem_id % 50 + 1, '. ', stem) ELSE concat(problem_id % 50 + 1, '.5 ', stem) END AS text, CASE WHEN difficulty > 2 THEN problem_id % 50 + 1 END AS opens FROM problems"
 
 
 @query("A4_json_pages_source", "SELECT doc_id, 1 AS page_number, CAST(1 AS INTEGER) AS line_number, text FROM documents WHERE trim(text, ' ') <> ''")
@@ -57,7 +57,7 @@ def i1(t: Tables):
 SEGMENTED = f"SELECT *, CAST(sum(CASE WHEN opens IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY subject ORDER BY line_number) AS BIGINT) AS segment FROM ({NUMBERED})"
 
 
-@query("I2_exam_segmentation", f"SELECT subject, CAST(line_number AS INTEGER) AS line_number, segment, CAST(max(opens) OVER (PARTITION BY subject, segment) AS INTEGER) AS number FROM ({SEGMENTED})")
+@query("I2_exam_segmentation", f"SELECT subject, line_number, segment, CAST(max(opens) OVER (PARTITION BY subject, segment) AS INTEGER) AS number FROM ({SEGMENTED})")
 def i2(t: Tables):
     return D.segments(numbered_lines(t), "subject").select("subject", "line_number", "segment", "number")
 
@@ -67,18 +67,29 @@ def i3(t: Tables):
     return D.assembled(D.segments(numbered_lines(t), "subject"), "subject").select("subject", "segment", "number", "n_lines", "text")
 
 
-@query("I4_inline_choices", "SELECT problem_id, stem, 5 AS n_choices, CAST(difficulty AS VARCHAR) AS last_choice FROM problems")
+@query("I4_inline_choices", """SELECT problem_id, CASE difficulty WHEN 1 THEN concat(stem, chr(10), '② b ① a') WHEN 4 THEN concat(stem, ' ① a ② b ③ c') WHEN 6 THEN '' ELSE stem END AS stem, CASE difficulty WHEN 2 THEN 5 WHEN 3 THEN 5 WHEN 5 THEN 4 ELSE 0 END AS n_choices,
+  CASE difficulty WHEN 2 THEN CAST(time_sec AS VARCHAR) WHEN 3 THEN concat('e', time_sec) WHEN 5 THEN 'd' END AS last_choice FROM problems""")
 def i4(t: Tables):
-    text = F.concat(F.col("stem"), F.lit("\n① f(1)=0 ② b ③ c\r\n④ d ⑤ "), F.col("difficulty").cast("string"))
+    z = F.col("time_sec").cast("string")
+    shapes = {
+        1: F.lit("\n② b ① a"), 2: F.concat(F.lit("\n① f(1)=0 ② b ③ c\r\n④ d ⑤ "), z), 3: F.concat(F.lit(" (1) a (2) b (3) c (4) d (5) e"), z), 4: F.lit(" ① a ② b ③ c"), 5: F.lit("\n① a\n② b\n③ c\n④ d "),
+    }
+    text = F.lit(None).cast("string")  # the hardest have no text
+    for level, tail in shapes.items():
+        text = F.when(F.col("difficulty") == level, F.concat(F.col("stem"), tail)).otherwise(text)
     parsed = D.with_choices(t.problems.select("problem_id", text.alias("text")))
-    return parsed.select("problem_id", "stem", F.size("choices").alias("n_choices"), F.element_at("choices", -1).alias("last_choice"))
+    return parsed.select("problem_id", "stem", F.size("choices").alias("n_choices"), F.try_element_at("choices", F.lit(-1)).alias("last_choice"))
 
 
-@query("I10_quick_answers", "SELECT class_id, 2 AS n, '3' AS first, CAST(1 + class_id % 5 AS VARCHAR) AS second FROM classes")
+@query("I10_quick_answers", """SELECT problem_id, CASE WHEN difficulty = 6 THEN 0 WHEN difficulty = 1 THEN 1 WHEN problem_id % 7 = 1 THEN 1 ELSE 2 END AS n, CASE WHEN difficulty = 6 THEN NULL WHEN difficulty = 1 OR problem_id % 7 = 1 THEN '3' ELSE '1' END AS first,
+  CASE WHEN difficulty NOT IN (1, 6) AND problem_id % 7 <> 1 THEN CAST(1 + time_sec % 5 AS VARCHAR) END AS other FROM problems""")
 def i10(t: Tables):
-    digit = F.translate((1 + F.col("class_id") % 5).cast("string"), "12345", D.CIRCLED)
-    answers = D.quick_answers(F.concat(F.lit("0001① 0002② 0001③ 2 "), digit))
-    return t.classes.select("class_id", answers.alias("m")).select("class_id", F.size("m").alias("n"), F.col("m")[1].alias("first"), F.col("m")[2].alias("second"))
+    mark = F.translate((1 + F.col("time_sec") % 5).cast("string"), "12345", D.CIRCLED)
+    number = F.lpad((F.col("problem_id") % 7).cast("string"), 4, "0")
+    runs = F.when(F.col("difficulty") == 6, F.lit("정답 없음 12 a")).when(F.col("difficulty") == 1, F.lit("0001①0001③")).otherwise(F.concat(F.lit("0001 ① "), number, mark, F.when(F.col("problem_id") % 7 == 1, F.lit(" 1③")).otherwise("")))
+    answers = t.problems.select("problem_id", D.quick_answers(runs).alias("m"), (F.col("problem_id") % 7).cast("int").alias("k"))
+    other = F.when(F.col("k") != 1, F.try_element_at("m", F.col("k")))
+    return answers.select("problem_id", F.size("m").alias("n"), F.try_element_at("m", F.lit(1)).alias("first"), other.alias("other"))
 
 
 @query("I11_answer_blocks", f"SELECT subject, CAST(max(opens) AS INTEGER) AS number, sha256(string_agg(text, chr(10) ORDER BY line_number)) AS block FROM ({SEGMENTED}) GROUP BY subject, segment HAVING max(opens) IS NOT NULL")
@@ -87,33 +98,15 @@ def i11(t: Tables):
     return blocks.select("subject", "number", F.sha2("text", 256).alias("block"))
 
 
-@query("I12_answer_tables")
-def i12(t: Tables):
-    two = F.lpad((F.col("class_id") + 1).cast("string"), 2, "0")
-    text = F.array(F.concat(two, F.lit(" 지수와 로그")), F.lit("유제"), F.lit("1 ① 2 ③ 3 125"), F.lit("Level 1 기초 연습"), F.lit("1 ⑤ 2 ④"))
-    lines = t.classes.select("organization_id", "class_id", F.posexplode(text).alias("i", "text"))
-    return D.answer_table(lines.select("organization_id", F.col("class_id").alias("page_number"), F.col("i").alias("line_number"), "text"), "organization_id")
-
-
-@query("I14_answer_match", "SELECT problem_id, CASE WHEN problem_id % 4 = 0 THEN 'inline' WHEN problem_id % 4 = 1 AND difficulty <= 3 THEN 'quick' WHEN unit = 'PROMO' THEN 'solution' WHEN difficulty = 6 THEN 'number' END AS source, CASE WHEN problem_id % 4 = 0 THEN 1.0 WHEN problem_id % 4 = 1 AND difficulty <= 3 THEN 0.95 WHEN unit = 'PROMO' THEN 0.9 WHEN difficulty = 6 THEN 0.7 END::DOUBLE AS confidence FROM problems")
-def i14(t: Tables):
-    problems = t.problems.select("problem_id", F.coalesce("unit", F.lit("none")).alias("chapter"), (F.col("problem_id") % 4).cast("string").alias("section"), F.col("difficulty").alias("number"), F.when(F.col("problem_id") % 4 == 0, "1").alias("inline_answer"))
-    keys = problems.select("chapter", "section", "number").distinct()
-    quick = keys.where("section = '1' and number <= 3").withColumn("answer", F.lit("2"))
-    solutions = keys.where("chapter = 'PROMO'").withColumn("answer", F.lit("3"))
-    numbers = keys.where("number = 6").select("number").distinct().withColumn("answer", F.lit("4"))
-    return D.match_answers(problems, quick, solutions, numbers).select("problem_id", "source", "confidence")
-
-
 @query("I15_figure_filter", "SELECT problem_id, time_sec * difficulty * 10 AS area FROM problems WHERE time_sec * difficulty * 10 >= 5000")
 def i15(t: Tables):
     return t.problems.select("problem_id", (F.col("time_sec") * F.col("difficulty") * 10).alias("area")).where("area >= 5000")
 
 
-@query("I17_fingerprint_dedup", "SELECT min(doc_id) AS doc_id FROM documents WHERE lang = 'en' AND trim(text) NOT IN (SELECT trim(text) FROM documents WHERE source = 'src3') GROUP BY trim(text)")
+@query("I17_fingerprint_dedup", "SELECT min(doc_id) AS doc_id FROM documents WHERE source <> 'src3' AND trim(text, ' ') NOT IN (SELECT trim(text, ' ') FROM documents WHERE source = 'src3') GROUP BY trim(text, ' ')")
 def i17(t: Tables):
-    docs = t.documents.select("doc_id", "text", "lang", "source")
-    return D.new_only(docs.where("lang = 'en'"), docs.where("source = 'src3'"), ["text"], ["doc_id"]).select("doc_id")
+    docs = t.documents.select("doc_id", "text", "source")  # all rows: those of one source are there already, the others come in
+    return D.new_only(docs.where("source <> 'src3'"), docs.where("source = 'src3'"), ["text"], ["doc_id"]).select("doc_id")
 
 
 @query("I18_layout_merge", "SELECT problem_id, CASE WHEN difficulty > 3 THEN subject ELSE coalesce(unit, subject) END AS layout, difficulty <= 3 AND unit IS NOT NULL AS replaced FROM problems")
@@ -143,12 +136,59 @@ def i22(t: Tables):
     return D.merge_partial(old, new, "problem_id", ["unit", "stem"])
 
 
-@query("I23_apply_exam_rules", "SELECT problem_id, CASE WHEN problem_type = 'essay' THEN NULL WHEN n <= 30 THEN CASE WHEN n <= 3 THEN 2 WHEN n <= 14 THEN 3 ELSE 4 END ELSE CASE WHEN difficulty <= 2 THEN 2 WHEN difficulty <= 4 THEN 3 ELSE 4 END END AS points FROM (SELECT *, problem_id % 40 + 1 AS n FROM problems)")
+SECTION = " ".join(f"WHEN starts_with(trim(text), '{head}') THEN '{name}'" for head, name in reversed(D.SECTION_HEADS.items()))
+CELL = D.ANSWER_CELL
+
+
+@query("I12_answer_tables", rf"""WITH m AS (SELECT *, CASE {SECTION} END AS head FROM answer_lines),
+  c AS (SELECT *, last_value(CASE WHEN head IS NULL THEN nullif(regexp_extract(text, '^\s*(\d{{2}})\s+[^\d]', 1), '') END IGNORE NULLS) OVER w AS chapter, last_value(head IGNORE NULLS) OVER w AS section FROM m WINDOW w AS (PARTITION BY book ORDER BY page_number, line_number)),
+  p AS (SELECT *, unnest(regexp_extract_all(text, '{CELL}')) AS pair, unnest(range(len(regexp_extract_all(text, '{CELL}')))) AS nth FROM c WHERE section IS NOT NULL AND regexp_matches(trim(text), '^\d'))
+  SELECT book, chapter, section, CAST(regexp_extract(pair, '^(\d+)', 1) AS INTEGER) AS number, max_by(regexp_extract(pair, '^\d+\s*(\S+)$', 1), (page_number, line_number, nth)) AS answer FROM p GROUP BY 1, 2, 3, 4""")
+def i12(t: Tables):
+    return D.answer_table(t.answer_lines, "book")
+
+
+@query("I14_answer_match", f"""WITH p AS (SELECT *, coalesce(unit, 'none') AS chapter, CAST(problem_id % 4 AS VARCHAR) AS section, CASE WHEN time_sec % 90 = 0 THEN CAST(difficulty AS VARCHAR) END AS inline_answer FROM problems),
+  b AS (SELECT *, CASE difficulty WHEN 5 THEN '④' WHEN 4 THEN '12.5' WHEN 3 THEN 'x + 1' END AS beside FROM p)
+  SELECT problem_id, CASE WHEN inline_answer IS NOT NULL THEN inline_answer WHEN section = '1' AND difficulty <= 3 THEN chapter WHEN chapter = 'PROMO' THEN concat('s', section) WHEN difficulty = 6 THEN '6' WHEN difficulty >= 2 THEN beside END AS answer,
+    CASE WHEN inline_answer IS NOT NULL THEN 'inline' WHEN section = '1' AND difficulty <= 3 THEN 'quick' WHEN chapter = 'PROMO' THEN 'solution' WHEN difficulty = 6 THEN 'number' WHEN difficulty >= 2 THEN 'beside' END AS source,
+    CASE WHEN inline_answer IS NOT NULL THEN 1.0 WHEN section = '1' AND difficulty <= 3 THEN 0.95 WHEN chapter = 'PROMO' THEN 0.9 WHEN difficulty = 6 THEN 0.7 WHEN difficulty = 2 THEN 0.3
+      WHEN difficulty = 5 AND problem_type = 'multiple_choice' THEN 0.8 WHEN difficulty = 4 AND problem_type = 'short_answer' THEN 0.7 WHEN difficulty >= 3 THEN 0.5 END::DOUBLE AS confidence FROM b""")
+def i14(t: Tables):
+    inline = F.when(F.col("time_sec") % 90 == 0, F.col("difficulty").cast("string"))
+    problems = t.problems.select("problem_id", "problem_type", F.coalesce("unit", F.lit("none")).alias("chapter"), (F.col("problem_id") % 4).cast("string").alias("section"), F.col("difficulty").alias("number"), inline.alias("inline_answer"))
+    keys = problems.select("chapter", "section", "number").distinct()
+    quick = keys.where("section = '1' and number <= 3").withColumn("answer", F.col("chapter"))
+    solutions = keys.where("chapter = 'PROMO'").withColumn("answer", F.concat(F.lit("s"), "section"))
+    numbers = keys.where("number = 6").select("number").distinct().withColumn("answer", F.col("number").cast("string"))
+    answer = F.when(F.col("number") == 5, "④").when(F.col("number") == 4, "12.5").when(F.col("number") == 3, "x + 1")
+    beside = keys.where("number between 2 and 5").select("number").distinct().withColumn("answer", answer)
+    return D.match_answers(problems, quick, solutions, numbers, beside)
+
+
+RULE = lambda k: "CASE " + " ".join(f"WHEN q BETWEEN {r[0]} AND {r[1]} THEN {r[k] if isinstance(r[k], int) else repr(r[k])}" for r in D.EXAM_RULES) + " END"
+
+
+@query("I23_apply_exam_rules", rf"""WITH p AS (SELECT problem_id, subject, unit, problem_type = 'essay' AS textbook, CASE problem_id % 3 WHEN 0 THEN concat('Q', problem_id % 40) WHEN 1 THEN concat(' ', problem_id % 40, '. ') ELSE 'none' END AS raw, CASE WHEN time_sec % 110 <> 0 THEN difficulty - 0.5::DOUBLE END AS level,
+    CASE WHEN difficulty = 2 THEN 'given' END AS form, CASE WHEN time_sec % 40 <> 0 THEN concat('a', difficulty) END AS ai, CASE WHEN problem_id % 2 = 0 THEN 'book' END AS old FROM problems),
+  n AS (SELECT *, TRY_CAST(nullif(regexp_extract(trim(raw), '^[Qq#]*(\d+)\.*$', 1), '') AS INTEGER) AS q FROM p),
+  y15 AS (SELECT subject, unit, min(problem_id) AS node FROM problems WHERE review_status = 'approved' GROUP BY 1, 2), y22 AS (SELECT subject, unit, min(problem_id) AS node FROM problems WHERE review_status = 'auto_approved' GROUP BY 1, 2)
+  SELECT problem_id, CASE WHEN NOT textbook THEN coalesce({RULE(2)}, CASE WHEN level >= 4.5 THEN 'killer' WHEN level >= 3.5 THEN 'semi_killer' ELSE 'normal' END) END AS position_type,
+    CASE WHEN NOT textbook THEN coalesce({RULE(3)}, [2, 2, 3, 4, 4][CAST(round_even(level, 0) AS INTEGER)], 3) END AS point_value, CASE WHEN NOT textbook THEN coalesce(form, {RULE(4)}) ELSE form END AS question_format,
+    CASE WHEN NOT textbook THEN coalesce(ai, old) ELSE old END AS answer_text, CASE WHEN textbook THEN ai END AS answer_latex, y15.node AS node_2015, y22.node AS node_2022 FROM n LEFT JOIN y15 USING (subject, unit) LEFT JOIN y22 USING (subject, unit)""")
 def i23(t: Tables):
-    rules = t.spark.range(1, 31).select(F.col("id").alias("n"), F.when(F.col("id") <= 3, 2).when(F.col("id") <= 14, 3).otherwise(4).alias("rule"))
-    fallback = F.when(F.col("difficulty") <= 2, 2).when(F.col("difficulty") <= 4, 3).otherwise(4)
-    joined = t.problems.withColumn("n", F.col("problem_id") % 40 + 1).join(F.broadcast(rules), "n", "left")  # thirty rows
-    return joined.select("problem_id", F.when(F.col("problem_type") != "essay", F.coalesce("rule", fallback)).alias("points"))
+    n = (F.col("problem_id") % 40).cast("string")
+    raw = F.when(F.col("problem_id") % 3 == 0, F.concat(F.lit("Q"), n)).when(F.col("problem_id") % 3 == 1, F.concat(F.lit(" "), n, F.lit(". "))).otherwise("none")
+    made = t.problems.select(
+        "problem_id", "subject", "unit", (F.col("problem_type") == "essay").alias("is_textbook"), raw.alias("problem_number"), F.when(F.col("time_sec") % 110 != 0, F.col("difficulty") - 0.5).alias("difficulty"),
+        F.when(F.col("difficulty") == 2, "given").alias("question_format"), F.when(F.col("time_sec") % 40 != 0, F.concat(F.lit("a"), F.col("difficulty").cast("string"))).alias("ai_answer"), F.when(F.col("problem_id") % 2 == 0, "book").alias("answer_text"),
+    )
+    year = F.when(F.col("review_status") == "approved", 2015).when(F.col("review_status") == "auto_approved", 2022)
+    nodes = t.problems.withColumn("year", year).where("year is not null").groupBy("year", "subject", "unit").agg(F.min("problem_id").alias("node_id"))
+    out = D.apply_exam_rules(made)
+    for y in (2015, 2022):
+        out = D.with_curriculum_node(out, nodes, y, "subject", "unit", f"node_{y}")
+    return out.select("problem_id", "position_type", "point_value", "question_format", "answer_text", "answer_latex", "node_2015", "node_2022")
 
 
 @query("I24_refined_result", "SELECT problem_id, CASE WHEN unit IS NULL THEN 'Brand#1' ELSE subject END AS subject, greatest(1, least(5, difficulty)) AS difficulty FROM problems")

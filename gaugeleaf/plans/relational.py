@@ -358,9 +358,8 @@ def f7(t: Tables):
   SELECT request_id, problem_id, CAST(level AS INTEGER) AS level FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY level, problem_id) AS n FROM m) WHERE n = 1""")
 def f8(t: Tables):
     unit = F.when(F.col("class_id") % 3 == 0, "PROMO").when(F.col("class_id") % 3 == 1, "ECONOMY").otherwise("none")
-    requests = t.classes.select(F.col("class_id").alias("request_id"), F.concat(F.lit("Brand#"), (F.col("class_id") % 25 + 1).cast("string")).alias("subject"), (F.col("class_id") % 6 + 1).alias("d"), unit.alias("u"))
-    same_unit = F.col("unit") == F.col("u")
-    found = O.relaxing_first_match(requests, t.problems, "subject", [same_unit & (F.col("difficulty") == F.col("d")), same_unit, F.lit(True)], [F.col("problem_id")])
+    requests = t.classes.select(F.col("class_id").alias("request_id"), F.concat(F.lit("Brand#"), (F.col("class_id") % 25 + 1).cast("string")).alias("subject"), (F.col("class_id") % 6 + 1).alias("difficulty"), unit.alias("unit"))
+    found = O.relaxing_first_match(requests, t.problems, [["subject", "unit", "difficulty"], ["subject", "unit"], ["subject"]], "problem_id")
     return found.select("request_id", "problem_id", "level")
 
 

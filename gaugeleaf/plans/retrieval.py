@@ -44,8 +44,7 @@ def j4(t: Tables):
 @query("J5_semantic_search", f"SELECT vec_id FROM embeddings WHERE label < 5 ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(({QUERY_VECTOR}) AS DOUBLE[])) DESC, vec_id LIMIT 20")
 def j5(t: Tables):
     q = t.embeddings.where("vec_id = 7").select(F.col("embedding").alias("q"))
-    scored = t.embeddings.where("label < 5").crossJoin(F.broadcast(q)).select("vec_id", N.cosine(F.col("embedding"), F.col("q")).alias("score"))
-    return scored.orderBy(F.desc("score"), "vec_id").limit(20).select("vec_id")
+    return J.nearest_to(t.embeddings.where("label < 5"), "vec_id", "embedding", q, 20).select("vec_id")
 
 
 @query("J6_knn_all_pairs", """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT a.vec_id, b.vec_id AS neighbour, list_cosine_similarity(a.v, b.v) AS c FROM e a JOIN e b ON a.vec_id <> b.vec_id),
@@ -58,15 +57,11 @@ def j6(t: Tables):
   sem AS (SELECT vec_id AS id, row_number() OVER (ORDER BY round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(({QUERY_VECTOR}) AS DOUBLE[])), 12) DESC, vec_id) AS rank FROM embeddings)
   SELECT id, floor((coalesce(1.0 / (60 + kw.rank), 0) + coalesce(1.0 / (60 + sem.rank), 0)) * 1000000000 + 0.5) / 1000000000 AS score, count(*) OVER () AS total FROM kw FULL JOIN sem USING (id) ORDER BY coalesce(1.0 / (60 + kw.rank), 0) + coalesce(1.0 / (60 + sem.rank), 0) DESC, id LIMIT 20""")
 def j7(t: Tables):
-    hits = J.keyword_matches(t.problems, "stem", ["red"]).select(F.col("problem_id").alias("id"), F.size(J.tokens(F.col("stem"))).alias("n"))
-    keyword = O.global_rank(hits, [F.col("n"), F.col("id")])
+    hits = J.keyword_matches(t.problems, "stem", ["red"]).select(F.col("problem_id").alias("id"), (-F.size(J.tokens(F.col("stem")))).cast("double").alias("score"))
     q = t.embeddings.where("vec_id = 7").select(F.col("embedding").alias("q"))
-    scored = t.embeddings.crossJoin(F.broadcast(q)).select(F.col("vec_id").alias("id"), F.round(N.cosine(F.col("embedding"), F.col("q")), 12).alias("c"))
-    semantic = O.global_rank(scored, [F.desc("c"), F.col("id")])
-    fused = J.reciprocal_rank_fusion([keyword, semantic], "id")
-    total = fused.agg(F.count("*").alias("total"))
-    top = fused.orderBy(F.desc("score"), "id").limit(20)
-    return top.crossJoin(F.broadcast(total)).select("id", N.js_round_n(F.col("score"), 9).alias("score"), "total")
+    scored = t.embeddings.crossJoin(F.broadcast(q)).select(F.col("vec_id").alias("id"), F.round(N.cosine(F.col("embedding"), F.col("q")), 12).alias("score"))
+    page = J.fused_page([hits, scored], "id", 20)
+    return page.select("id", N.js_round_n(F.col("score"), 9).alias("score"), "total")
 
 
 @query("J8_similar_agreement", """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT a.vec_id, a.label AS own, b.label AS theirs, b.vec_id AS neighbour, list_cosine_similarity(a.v, b.v) AS c FROM e a JOIN e b ON a.vec_id <> b.vec_id),

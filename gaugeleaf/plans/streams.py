@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import documents as D
+from ..sources import store
 from ..sources.domain import DOMAIN, Tables
 from ..sources.store import fresh_path
 from ..streaming import events as E
+from ..streaming import jobs as G
 from .aggregates import ROLL_UP
 from .registry import query
 
@@ -18,21 +22,197 @@ def event_stream(t: Tables):
     return t.spark.sql(DOMAIN["learning_events"], events=raw).withColumn("client_ts", F.col("client_ts").cast("timestamp"))
 
 
+def written(df: DataFrame, name: str) -> str:
+    """A log in the shared folder that holds df."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return path
+
+
+def run_to_end(stream, spark) -> None:
+    stream.option("checkpointLocation", fresh_path(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+
+
+def appended(stream: DataFrame, name: str) -> DataFrame:
+    """What an append-mode stream has written when its input ends."""
+    spark = stream.sparkSession
+    path = fresh_path(spark, name)
+    run_to_end(stream.writeStream.format("parquet").option("path", path), spark)
+    return spark.read.schema(stream.schema).parquet(path)
+
+
 @query("L2_streaming_roll_up", ROLL_UP)
 def l2(t: Tables):
     out = fresh_path(t.spark, "daily")
-    stream = E.daily_windows(event_stream(t)).writeStream.outputMode("update").option("checkpointLocation", fresh_path(t.spark, "progress"))
-    job = stream.foreachBatch(E.upsert_batches(out, ["student_id", "day"])).trigger(availableNow=True).start()
-    job.awaitTermination()
-    last = E.latest_version(t.spark, out)
-    return t.spark.read.parquet(last)
+    stream = E.daily_windows(event_stream(t)).writeStream.outputMode("update")
+    run_to_end(stream.foreachBatch(E.upsert_batches(out, "day", E.keyed_replacement(["student_id", "day"]))), t.spark)
+    return E.current(t.spark, out, "day")
 
 
 @query("L7_event_dedup", "SELECT event_type, count(DISTINCT event_id) AS n FROM learning_events GROUP BY event_type")
 def l7(t: Tables):
-    out = fresh_path(t.spark, "events")
     twice = event_stream(t)
-    stream = E.deduplicated(twice.union(twice)).select("event_id", "event_type")
-    job = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", fresh_path(t.spark, "progress")).trigger(availableNow=True).start()
-    job.awaitTermination()
-    return t.spark.read.schema("event_id long, event_type string").parquet(out).groupBy("event_type").agg(F.count("*").alias("n"))
+    return appended(E.deduplicated(twice.union(twice)).select("event_id", "event_type"), "events").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("A11_replace_children", "SELECT submission_id, class_id, CASE WHEN class_id % 3 = 0 THEN 'replaced' ELSE status END AS status FROM submissions WHERE class_id % 3 <> 0 OR status = 'graded'")
+def a11(t: Tables):
+    path = fresh_path(t.spark, "children")
+    children = t.submissions.select("submission_id", "status", "class_id")
+    store.replace_children(children, path, "class_id")
+    store.replace_children(children.where("class_id % 3 = 0 and status = 'graded'").withColumn("status", F.lit("replaced")), path, "class_id")
+    return t.spark.read.parquet(path).select("submission_id", F.col("class_id").cast(children.schema["class_id"].dataType).alias("class_id"), "status")
+
+
+@query("A12_stream_log_source", "SELECT event_type, count(*) AS n, count(DISTINCT student_id) AS students FROM learning_events GROUP BY event_type")
+def a12(t: Tables):
+    path = written(t.learning_events.select("event_id", "student_id", "event_type"), "log")
+    log = store.log_source(t.spark, path, t.spark.read.parquet(path).schema, files_per_trigger=1)
+    return appended(log, "read").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("student_id").alias("students"))
+
+
+@query("A13_stream_log_sink", "SELECT event_id, event_type FROM learning_events ORDER BY client_ts DESC, event_id DESC LIMIT 10000")
+def a13(t: Tables):
+    out = fresh_path(t.spark, "copy")
+    store.log_sink(event_stream(t).select("event_id", "event_type", "client_ts"), out, fresh_path(t.spark, "progress")).awaitTermination()
+    return G.newest(t.spark.read.parquet(out), ["client_ts", "event_id"], 10_000).select("event_id", "event_type")
+
+
+@query("A15_dead_letters", "SELECT event_id, 'dead' AS log, n FROM (SELECT event_id, client_ts, count(*) OVER () AS n FROM learning_events WHERE value < 5) ORDER BY client_ts DESC, event_id DESC LIMIT 1000")
+def a15(t: Tables):
+    good, bad = fresh_path(t.spark, "good"), fresh_path(t.spark, "dead")
+    run_to_end(event_stream(t).select("event_id", "client_ts", "value").writeStream.foreachBatch(G.with_dead_letters(good, bad, F.col("value") >= 5)), t.spark)
+    total = t.learning_events.count() - t.spark.read.parquet(good).count()
+    return G.newest(t.spark.read.parquet(bad), ["client_ts", "event_id"], 1000).select("event_id", F.lit("dead").alias("log"), F.lit(total).cast("long").alias("n"))
+
+
+def job_events(t: Tables) -> DataFrame:
+    return t.learning_events.select("event_id", F.col("student_id").alias("job_id"), F.col("event_type").alias("stage"), F.when(F.col("value") < 20, "failed").otherwise("done").alias("status"), F.col("client_ts").cast("timestamp").alias("at"))
+
+
+JOB_EVENTS = "SELECT event_id, student_id AS job_id, event_type AS stage, CASE WHEN value < 20 THEN 'failed' ELSE 'done' END AS status, client_ts AS at_ FROM learning_events"
+
+
+@query("K10_job_status", f"SELECT job_id, max_by(stage, (at_, event_id)) AS stage, max_by(status, (at_, event_id)) AS status, count(*) AS n_events FROM ({JOB_EVENTS}) GROUP BY job_id")
+def k10(t: Tables):
+    """Every event comes twice within thirty seconds; batches are merged into the status table by a hash part of the jobs."""
+    path = written(job_events(t), "jobs")
+    log = store.log_source(t.spark, path, t.spark.read.parquet(path).schema)
+    out = fresh_path(t.spark, "status")
+    part = F.pmod(F.xxhash64("job_id"), F.lit(8)).cast("int")
+    upsert = E.upsert_batches(out, "part", lambda old, new: G.merged_status(old, new).withColumn("part", part))
+    fresh = G.fresh_events(log.union(log))
+    run_to_end(fresh.writeStream.foreachBatch(lambda batch, n: upsert(G.job_status(batch).withColumn("part", part), n)), t.spark)
+    return E.current(t.spark, out, "part").select("job_id", "stage", "status", "n_events")
+
+
+LATEST = "(SELECT max(client_ts) FROM learning_events WHERE event_id % 3 <> 0)"
+
+
+@query("L3_late_data", f"SELECT student_id, CAST(client_ts AS DATE) AS day, count(*) AS n FROM learning_events WHERE event_id % 3 <> 0 OR date_trunc('day', client_ts) + INTERVAL 1 DAY > {LATEST} - INTERVAL 7 DAY GROUP BY 1, 2")
+def l3(t: Tables):
+    """A third of the events comes after all others: up to seven days late they count, later ones are dropped."""
+    rows = t.learning_events.select("event_id", "student_id", F.col("client_ts").cast("timestamp").alias("client_ts"))
+    path, out, checkpoint = fresh_path(t.spark, "log"), fresh_path(t.spark, "days"), fresh_path(t.spark, "progress")
+    upsert = E.upsert_batches(out, "day", E.keyed_replacement(["student_id", "day"]))
+    for arriving in ("event_id % 3 <> 0", "event_id % 3 = 0"):  # the job goes on from its checkpoint
+        rows.where(arriving).write.mode("append").parquet(path)
+        days = store.log_source(t.spark, path, rows.schema).withWatermark("client_ts", "7 days").groupBy(F.window("client_ts", "1 day"), "student_id").agg(F.count("*").alias("n"))
+        updates = days.select("student_id", F.to_date("window.start").alias("day"), "n").writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+        updates.foreachBatch(upsert).trigger(availableNow=True).start().awaitTermination()
+    return E.current(t.spark, out, "day")
+
+
+@query("L5_at_least_once", "SELECT event_type, count(*) AS n FROM learning_events GROUP BY event_type")
+def l5(t: Tables):
+    """The first attempt at a batch fails after it has written; its checkpoint replays the batch, which writes the same folder again."""
+    path = written(t.learning_events.select("event_id", "event_type"), "log")
+    log = store.log_source(t.spark, path, t.spark.read.parquet(path).schema)
+    out, checkpoint = fresh_path(t.spark, "delivered"), fresh_path(t.spark, "progress")
+    failed = []
+
+    def deliver(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if not failed:
+            failed.append(number)
+            raise RuntimeError("lost before the batch was acknowledged")
+
+    for _ in range(2):
+        job = log.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        try:
+            job.awaitTermination()
+        except Exception:
+            if job.exception() is None or "lost before" not in str(job.exception()):
+                raise
+    return t.spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("L6_lossy_progress", "SELECT student_id, count(*) AS n, max(value) AS furthest FROM learning_events WHERE event_type = 'answer_submitted' GROUP BY 1")
+def l6(t: Tables):
+    """Progress events are passed on and not kept; the listener here is there from the start."""
+    kinds = event_stream(t).select("student_id", "value", F.when(F.col("event_type") == "answer_submitted", "progress").otherwise("other").alias("kind"))
+    return appended(G.lossy_progress(kinds), "heard").groupBy("student_id").agg(F.count("*").alias("n"), F.max("value").alias("furthest"))
+
+
+STATUS = "SELECT class_id, count(*) AS submitted, count(*) FILTER (WHERE status = 'graded') AS graded, max(submitted_at) AS last FROM submissions GROUP BY class_id"
+
+
+def submission_log(t: Tables, name: str) -> DataFrame:
+    path = written(t.submissions.select("class_id", "status", "submitted_at"), name)
+    return store.log_source(t.spark, path, t.spark.read.parquet(path).schema, files_per_trigger=1)
+
+
+@query("L8_live_class_status", STATUS)
+def l8(t: Tables):
+    """Classes touched by a batch are sent again; the last that was sent of each is the table."""
+    out = fresh_path(t.spark, "pushes")
+    run_to_end(G.class_status(submission_log(t, "live")).writeStream.outputMode("update").foreachBatch(lambda b, n: b.withColumn("sent", F.lit(n)).write.mode("overwrite").parquet(f"{out}/batch={n}")), t.spark)
+    sent = t.spark.read.parquet(out)
+    latest = F.max_by(F.struct("submitted", "graded", "last"), "sent")
+    return sent.groupBy("class_id").agg(latest.alias("s")).select("class_id", "s.*")
+
+
+@query("L12_polled_status", f"SELECT class_id, submitted, graded, CAST((SELECT count(DISTINCT class_id) FROM submissions) AS BIGINT) AS rows_sent FROM ({STATUS})")
+def l12(t: Tables):
+    """The whole status is sent at every tick, not the changes: the last tick alone is complete."""
+    out = fresh_path(t.spark, "ticks")
+    run_to_end(G.class_status(submission_log(t, "polled")).writeStream.outputMode("complete").foreachBatch(lambda b, n: b.withColumn("tick", F.lit(n)).write.mode("overwrite").parquet(f"{out}/batch={n}")), t.spark)
+    sent = t.spark.read.parquet(out)
+    last = sent.join(F.broadcast(sent.agg(F.max("tick").alias("tick"))), "tick")  # one row
+    total = last.agg(F.count("*").alias("rows_sent"))
+    return last.join(F.broadcast(total), how="cross").select("class_id", "submitted", "graded", "rows_sent")  # one row
+
+
+DONE = f"SELECT job_id, at_, CASE WHEN lag(at_) OVER w IS NULL OR at_ >= lag(at_) OVER w + INTERVAL 1 HOUR THEN 1 ELSE 0 END AS opens FROM ({JOB_EVENTS}) WHERE status = 'done' WINDOW w AS (PARTITION BY job_id ORDER BY at_)"
+
+
+@query("L9_progress_counter", f"""WITH d AS (SELECT *, sum(opens) OVER (PARTITION BY job_id ORDER BY at_ ROWS UNBOUNDED PRECEDING) AS s FROM ({DONE})), g AS (SELECT job_id, min(at_) AS since, max(at_) AS last, count(*) AS done FROM d GROUP BY job_id, s)
+  SELECT job_id, since, done FROM g WHERE last + INTERVAL 1 HOUR <= (SELECT max(at_) FROM d) - INTERVAL 1 HOUR""")
+def l9(t: Tables):
+    """Counters that have idled for an hour are closed; those still open at the end of the input are not."""
+    path = written(job_events(t), "done")
+    log = store.log_source(t.spark, path, t.spark.read.parquet(path).schema)
+    return appended(G.progress(log, "job_id"), "counters")
+
+
+@query("L10_fan_out_fan_in", "SELECT CAST(floor(problem_id / 50) AS BIGINT) AS batch, count(*) AS n, count(*) FILTER (WHERE length(stem) > 9) AS long, CAST(sum(length(stem)) AS BIGINT) AS chars FROM problems GROUP BY 1")
+def l10(t: Tables):
+    """Batches of fifty are worked on apart and each is finished once, when all of its results are there."""
+
+    def work(rows):
+        return rows.assign(size=rows["stem"].str.len())[["batch", "problem_id", "size"]]
+
+    batches = t.problems.select(F.floor(F.col("problem_id") / 50).alias("batch"), "problem_id", "stem")
+    results = D.batches_of(batches, work, "batch long, problem_id long, size long", 8)
+    return results.groupBy("batch").agg(F.count("*").alias("n"), F.count_if(F.col("size") > 9).alias("long"), F.sum("size").alias("chars"))
+
+
+FAILURES = "CAST(CASE WHEN time_sec % 70 = 0 THEN time_sec ELSE time_sec % 37 END AS INTEGER)"
+
+
+@query("L11_retry_backoff", f"""WITH p AS (SELECT problem_id, CASE WHEN problem_type = 'essay' THEN 'textbook' ELSE 'exam' END AS kind, {FAILURES} AS failures FROM problems), m AS (SELECT *, CASE kind WHEN 'exam' THEN 60 ELSE 120 END AS most FROM p)
+  SELECT problem_id, CASE WHEN failures <= most THEN failures + 1 ELSE most END AS attempts, CAST((SELECT coalesce(sum(CASE WHEN a < 10 THEN 30 WHEN a < 20 THEN 60 ELSE 120 END), 0) FROM unnest(range(least(failures, most))) u(a)) AS INTEGER) AS waited, CASE WHEN failures <= most THEN 'done' ELSE 'dead' END AS outcome FROM m""")
+def l11(t: Tables):
+    kind = F.when(F.col("problem_type") == "essay", "textbook").otherwise("exam")
+    failures = F.when(F.col("time_sec") % 70 == 0, F.col("time_sec")).otherwise(F.col("time_sec") % 37).cast("int")
+    return G.retried(t.problems.select("problem_id", kind.alias("kind"), failures.alias("failures")), "failures", "kind").select("problem_id", "attempts", "waited", "outcome")

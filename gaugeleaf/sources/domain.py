@@ -56,6 +56,12 @@ DOMAIN = {
         UNION ALL SELECT book, page, 10 * k + 1, concat('1 ① 2 ③ 3 ', CAST(z AS STRING), ' 4 ④ 5 ⑤') FROM b WHERE answers AND book % 3 = 2
         UNION ALL SELECT book, page, 10 * k + 2, concat('풀이 ', stem, ' 답 ', CAST(z AS STRING)) FROM b WHERE answers AND book % 3 = 1
         UNION ALL SELECT book, page, 10 * k + 3, '한눈에 보는 정답' FROM b WHERE answers AND k = 174 AND book % 3 = 2""",
+    # answer pages of books: chapter and section heads, answers in cells, alone and run together, and solutions
+    "answer_lines": """WITH k AS (SELECT CAST(floor(p_partkey / 200) AS BIGINT) AS book, CAST(p_partkey % 200 AS BIGINT) AS k, CAST(floor((p_partkey % 200) / 20) AS BIGINT) + 1 AS page_number, CAST(p_size AS INT) AS z, p_name AS stem FROM {part})
+        SELECT book, page_number, 10 * k AS line_number, concat('0', CAST(1 + z % 9 AS STRING), ' ', stem) AS text FROM k WHERE k % 50 = 0
+        UNION ALL SELECT book, page_number, 10 * k + 1, CASE z % 5 WHEN 0 THEN '유제' WHEN 1 THEN '예제' WHEN 2 THEN 'Level 1 기초 연습' WHEN 3 THEN 'Level 2' ELSE 'Level 3' END FROM k WHERE k % 25 = 3
+        UNION ALL SELECT book, page_number, 10 * k + 2, CASE z % 4 WHEN 0 THEN concat(CAST(1 + k % 25 AS STRING), ' ③ ', CAST(2 + k % 25 AS STRING), ' ', CAST(z AS STRING)) WHEN 1 THEN concat(CAST(1 + k % 25 AS STRING), '①', CAST(2 + k % 25 AS STRING), '⑤')
+            WHEN 2 THEN concat(CAST(1 + k % 25 AS STRING), ' -', CAST(z AS STRING), '.5') ELSE concat('풀이 ', stem) END FROM k""",
     # edges of a prerequisite graph over units of a subject: always from a smaller to a larger number
     "prerequisites": "SELECT CAST(a.n_nationkey AS INT) AS from_node, CAST(b.n_nationkey AS INT) AS to_node FROM {nation} a JOIN {nation} b ON b.n_nationkey = 2 * a.n_nationkey + 1 OR b.n_nationkey = 2 * a.n_nationkey + 2",
 }

@@ -6,6 +6,8 @@ that runs once for the day before: a deliberate difference.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,22 +52,36 @@ def versions(spark, path: str) -> list[int]:
     return sorted(int(f.getName().split("=")[1]) for f in found if store.exists(spark._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS")))
 
 
-def latest_version(spark, path: str) -> str:
-    return f"{path}/version={versions(spark, path)[-1]}"
+def current(spark, path: str, part: str, before: int | None = None) -> DataFrame | None:
+    """The table kept by upsert_batches (as it was before a batch): of each value of part, the newest version."""
+    found = [v for v in versions(spark, path) if before is None or v < before]
+    if not found:
+        return None
+    rows = spark.read.option("basePath", path).parquet(*(f"{path}/version={v}" for v in found))
+    newest = rows.groupBy(part).agg(F.max("version").alias("version"))
+    return rows.join(F.broadcast(newest), [part, "version"], "left_semi").drop("version")  # one row for each value of part
+
+
+def keyed_replacement(keys: list[str]) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    return lambda old, new: old.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
-def upsert_batches(path: str, keys: list[str]):
-    """A foreachBatch function that keeps the latest row of each key: every batch writes a new version beside the last.
+def upsert_batches(path: str, part: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that merges each batch into a table partitioned by part.
 
-    The version is named by the batch, so a batch that is run again writes the same folder.
+    Only the partitions that a batch touches are written again, beside the old ones.  A version is named by
+    its batch, so a batch that is run again writes the same folder and sees only what was before it.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        earlier = [v for v in versions(spark, path) if v < number]
+        batch = batch.persist()
+        old = current(spark, path, part, number)
         merged = batch
-        if earlier:
-            merged = spark.read.parquet(f"{path}/version={earlier[-1]}").join(batch.select(*keys), keys, "left_anti").unionByName(batch)
-        merged.write.mode("overwrite").parquet(f"{path}/version={number}")
+        if old is not None:
+            touched = batch.select(part).distinct()
+            merged = merge(old.join(F.broadcast(touched), part, "left_semi").select(*batch.columns), batch)
+        merged.write.mode("overwrite").partitionBy(part).parquet(f"{path}/version={number}")
+        batch.unpersist()
 
     return write

@@ -1,33 +1,54 @@
-"""Stateful jobs over event streams: job status, dead letters, counters, mastery."""
+"""Jobs over event streams: job status, dead letters, retries, counters, live status, mastery."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def job_status(events: DataFrame, delay: str = "30 seconds") -> DataFrame:
-    """Latest stage and status of each job; the same event again within the delay is dropped."""
-    fresh = events.withWatermark("at", delay).dropDuplicatesWithinWatermark(["event_id"])
-    latest = F.max_by(F.struct("stage", "status"), F.col("at"))
-    return fresh.groupBy("job_id").agg(latest.alias("latest"), F.count("*").alias("n_events")).select("job_id", "latest.stage", "latest.status", "n_events")
+def fresh_events(events: DataFrame, delay: str = "30 seconds") -> DataFrame:
+    """Events without those that came already within the delay; older keys leave the state."""
+    return events.withWatermark("at", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def progress(events: DataFrame, key: str) -> DataFrame:
-    """Finished items of each key so far."""
-    return events.where("status = 'done'").groupBy(key).agg(F.count("*").alias("done"))
+def job_status(events: DataFrame) -> DataFrame:
+    """job_id, stage, status and at of the latest event of each job, and n_events: of a table or of one batch of a stream.
+
+    A stream keeps no state for it: batches are merged into a table by merged_status.
+    """
+    latest = F.max_by(F.struct("stage", "status"), F.struct("at", "event_id"))
+    grouped = events.groupBy("job_id").agg(latest.alias("latest"), F.max("at").alias("at"), F.count("*").alias("n_events"))
+    return grouped.select("job_id", "latest.stage", "latest.status", "at", "n_events")
+
+
+def merged_status(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Two status tables as one: the later status, and the events of both."""
+    latest = F.max_by(F.struct("stage", "status"), "at")
+    both = old.unionByName(new).groupBy("job_id").agg(latest.alias("latest"), F.max("at").alias("at"), F.sum("n_events").alias("n_events"))
+    return both.select("job_id", "latest.stage", "latest.status", "at", "n_events")
+
+
+def progress(events: DataFrame, key: str, idle: str = "1 hour") -> DataFrame:
+    """key, since and done: finished items in a row of events no further apart than idle; a counter that idles as long is closed and forgotten."""
+    counted = events.where("status = 'done'").withWatermark("at", idle).groupBy(key, F.session_window("at", idle).alias("w")).agg(F.count("*").alias("done"))
+    return counted.select(key, F.col("w.start").alias("since"), "done")
+
+
+def lossy_progress(events: DataFrame) -> DataFrame:
+    """Progress events only, for a sink that keeps none: whoever is not listening misses them."""
+    return events.where("kind = 'progress'").drop("kind")
 
 
 def class_status(submissions: DataFrame) -> DataFrame:
-    """Running counts of each class, for pushes on every submission."""
+    """Running counts of each class, for pushes on every submission (output mode update) or whole at every tick (complete)."""
     return submissions.groupBy("class_id").agg(F.count("*").alias("submitted"), F.count_if(F.col("status") == "graded").alias("graded"), F.max("submitted_at").alias("last"))
 
 
-def with_dead_letters(good_path: str, bad_path: str, is_good):
+def with_dead_letters(good_path: str, bad_path: str, is_good: Column) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that parts each batch in two logs; the batch number names the files, so a rerun replaces them."""
 
     def write(batch: DataFrame, number: int) -> None:
@@ -39,6 +60,38 @@ def with_dead_letters(good_path: str, bad_path: str, is_good):
     return write
 
 
+def newest(log: DataFrame, order: list[str], most: int) -> DataFrame:
+    """What a log of a bounded length still holds: its last rows (1,000 dead letters, some 10,000 events)."""
+    return log.orderBy(*(F.desc(c) for c in order)).limit(most)
+
+
+# Seconds to the next poll up to an attempt, and the attempts of an exam and of a textbook.
+POLL_DELAYS = ((10, 30), (20, 60), (120, 120))
+MOST_POLLS = {"exam": 60, "textbook": 120}
+
+
+def poll_delay(attempt: Column) -> Column:
+    """Seconds before the next attempt, by the number of attempts made (from 0)."""
+    delay = F.lit(POLL_DELAYS[-1][1])
+    for below, seconds in reversed(POLL_DELAYS):
+        delay = F.when(attempt < below, seconds).otherwise(delay)
+    return delay
+
+
+def retried(tasks: DataFrame, failures: str, kind: str) -> DataFrame:
+    """tasks with attempts, waited (seconds of delays) and outcome: done, or dead when the attempts of its kind are used up."""
+    most = F.lit(MOST_POLLS["exam"])
+    for name, n in MOST_POLLS.items():
+        most = F.when(F.col(kind) == name, n).otherwise(most)
+    retries = F.least(F.col(failures), most)
+    waited = F.lit(0)
+    low = 0
+    for below, seconds in POLL_DELAYS:
+        waited = waited + seconds * F.greatest(F.lit(0), F.least(retries, F.lit(below)) - low)
+        low = below
+    return tasks.withColumns({"attempts": retries + F.when(F.col(failures) <= most, 1).otherwise(0), "waited": waited, "outcome": F.when(F.col(failures) <= most, "done").otherwise("dead")})
+
+
 def streaming_mastery(answers: DataFrame, run: int = 3) -> DataFrame:
     """student_id, attempts, streak and state after each batch.  Answers of a batch are taken in the order of answered_at."""
 

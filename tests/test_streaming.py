@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from gaugeleaf.sources import store
-from gaugeleaf.streaming import jobs
+from gaugeleaf.streaming import events, jobs
 
 AT = dt.datetime(2024, 1, 1)
 
@@ -20,8 +20,11 @@ def test_job_status_drops_repeats(spark, tmp_path):
     rows = [(1, "j", "parse", "done", AT), (1, "j", "parse", "done", AT + dt.timedelta(seconds=5)), (2, "j", "match", "running", AT + dt.timedelta(seconds=9)), (3, "k", "parse", "failed", AT)]
     df = spark.createDataFrame(rows, "event_id long, job_id string, stage string, status string, at timestamp")
     df.write.parquet(str(tmp_path / "log"))
-    got = finish(jobs.job_status(store.log_source(spark, str(tmp_path / "log"), df.schema)), tmp_path)
-    assert sorted((r.job_id, r.stage, r.status, r.n_events) for r in got) == [("j", "match", "running", 2), ("k", "parse", "failed", 1)]
+    fresh = finish(jobs.fresh_events(store.log_source(spark, str(tmp_path / "log"), df.schema)), tmp_path, "append")
+    got = jobs.job_status(spark.createDataFrame(fresh, df.schema))
+    assert sorted((r.job_id, r.stage, r.status, r.n_events) for r in got.collect()) == [("j", "match", "running", 2), ("k", "parse", "failed", 1)]
+    later = spark.createDataFrame([("j", "done", "ok", AT + dt.timedelta(minutes=1), 1), ("k", "scan", "ok", AT - dt.timedelta(minutes=1), 2)], got.schema)
+    assert sorted((r.job_id, r.stage, r.n_events) for r in jobs.merged_status(got, later).collect()) == [("j", "done", 3), ("k", "parse", 3)]
 
 
 def test_dead_letters(spark, tmp_path):
@@ -35,12 +38,13 @@ def test_dead_letters(spark, tmp_path):
 
 
 def test_log_round_trip_and_progress(spark, tmp_path):
-    df = spark.createDataFrame([("a", "done"), ("a", "open"), ("b", "done")], "job string, status string")
+    rows = [("a", "done", AT), ("a", "open", AT), ("b", "done", AT), ("a", "done", AT + dt.timedelta(minutes=59)), ("a", "done", AT + dt.timedelta(hours=3)), ("c", "done", AT + dt.timedelta(hours=9))]
+    df = spark.createDataFrame(rows, "job string, status string, at timestamp")
     df.write.parquet(str(tmp_path / "log"))
     store.log_sink(store.log_source(spark, str(tmp_path / "log"), df.schema), str(tmp_path / "copy"), str(tmp_path / "cp1")).awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "copy")).count() == 3
-    got = finish(jobs.progress(store.log_source(spark, str(tmp_path / "copy"), df.schema), "job"), tmp_path)
-    assert sorted((r.job, r.done) for r in got) == [("a", 1), ("b", 1)]
+    assert spark.read.parquet(str(tmp_path / "copy")).count() == 6
+    got = finish(jobs.progress(store.log_source(spark, str(tmp_path / "copy"), df.schema), "job"), tmp_path, "append")
+    assert sorted((r.job, r.done) for r in got) == [("a", 1), ("a", 2), ("b", 1)]  # c is still open
 
 
 def test_streaming_mastery(spark, tmp_path):
@@ -57,3 +61,20 @@ def test_replace_children(spark, tmp_path):
     store.replace_children(first, path, "parent")
     store.replace_children(spark.createDataFrame([(1, "z")], first.schema), path, "parent")
     assert sorted((r.parent, r.v) for r in spark.read.parquet(path).collect()) == [(1, "z"), (2, "c")]
+
+
+def test_upserts_touch_one_day(spark, tmp_path):
+    path = str(tmp_path / "days")
+    write = events.upsert_batches(path, "day", events.keyed_replacement(["id", "day"]))
+    rows = lambda *r: spark.createDataFrame(r, "id int, day string, n int")
+    write(rows((1, "mon", 1), (2, "mon", 1), (1, "tue", 1)), 0)
+    write(rows((1, "mon", 5)), 1)
+    write(rows((1, "mon", 5)), 1)  # run again
+    assert sorted(tuple(r) for r in events.current(spark, path, "day").select("id", "day", "n").collect()) == [(1, "mon", 5), (1, "tue", 1), (2, "mon", 1)]
+    assert sorted(p.name for p in (tmp_path / "days" / "version=1").glob("day=*")) == ["day=mon"]
+
+
+def test_polls_back_off(spark):
+    df = spark.createDataFrame([(0, "exam"), (12, "exam"), (60, "exam"), (61, "exam"), (61, "textbook"), (500, "textbook")], "failures int, kind string")
+    got = [(r.attempts, r.waited, r.outcome) for r in jobs.retried(df, "failures", "kind").collect()]
+    assert got == [(1, 0, "done"), (13, 420, "done"), (61, 5700, "done"), (60, 5700, "dead"), (62, 5820, "done"), (120, 12900, "dead")]

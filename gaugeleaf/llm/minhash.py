@@ -281,7 +281,8 @@ def exact_links(docs: DataFrame, members: DataFrame, percent: int, shingle: int,
     sizes = members.groupBy("family").agg(F.sum("n_shingles").alias("n")).select("family", F.ceil(F.col("n") / block_values).alias("n_blocks"))
     wanted = members.join(sizes, "family")
     named = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text")
-    texts = named.join(wanted.select("doc_id", "tag", "rep", "family", "n_blocks"), ["doc_id", "tag"]).select("rep", "family", "n_blocks", "text")
+    # one plan at every size: a small side is not broadcast
+    texts = named.join(wanted.select("doc_id", "tag", "rep", "family", "n_blocks").hint("merge"), ["doc_id", "tag"]).select("rep", "family", "n_blocks", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -13,8 +13,11 @@ holds every block with unlinked words, and never one inside an article: so
 only blocks of links can lie outside.  Hosts with fewer than ``least_pages``
 pages have no skeleton, as nothing tells template from content there.
 Furniture is left out: scripts, styles, forms, navigation, page
-headers and footers, asides, and elements named as adverts, notices, sidebars,
-menus or comments; blocks that the whole host repeats word for word go as well,
+headers and footers, asides, hidden elements, and elements of any kind that are named
+as adverts, notices, sidebars, menus or comments.  A name counts as a whole: one of its
+class names, its id or its role must consist of such words and of words for parts of
+a page only (``cookie-notice``, ``left-sidebar``, but not ``related-work``).
+Blocks that the whole host repeats word for word go as well,
 unless they lie in main or article.  Pages with the same blocks of text are one
 page there, and where such blocks are most of a page's text, they are taken for
 copies of one text and stay.
@@ -28,7 +31,9 @@ before the shuffle.  Templates are broadcast if they measure up to
 Edge cases: a null or empty page gives an empty text; a null or broken url is
 the host ''; a page without skeleton elements has its own body,
 main and article; unclosed tags end with their container; text outside any
-block is a block; repeated pages give equal texts, and are counted once; extra columns are kept.
+block is a block; a page of any length and depth is read whole; repeated pages give equal
+texts, and are counted once; blocks of equal text are one token; an empty table gives no row;
+extra columns are kept, and a column text is replaced.
 """
 
 from __future__ import annotations
@@ -46,75 +51,100 @@ from pyspark.sql import types as T
 from .tables import materialize
 
 # Element names of HTML by their part in a page.
-RAW = ("script", "style", "noscript", "template", "iframe", "svg", "math", "canvas", "object", "textarea", "title", "select", "datalist", "audio", "video", "map")
+RAW = ("script", "style", "noscript", "template", "iframe", "svg", "canvas", "textarea", "title", "select", "datalist", "audio", "video", "annotation", "annotation-xml")
 FURNITURE = {"head", "nav", "footer", "aside", "form", "button", "dialog", "menu", "fieldset", "label"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 CONTAINERS = {"html", "body", "main", "article", "section", "div", "header", "center", "table", "tbody", "thead", "tfoot", "tr", "td", "th", "ul", "ol", "dl", "figure", "details", "blockquote", *FURNITURE}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 BLOCKS = CONTAINERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "address", "figcaption", "hgroup", "summary", "caption", "hr", "legend", "option"}
-# Words in class, id or role that name furniture.
+# Words in class, id or role that name furniture, and words for the part or place of it that may stand beside them.
 NAMES = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification",
     "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "sidebar", "complementary", "menu", "menubar", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "contentinfo",
-    "masthead", "comment", "comments", "commentlist", "disqus", "discussion", "respond", "reply", "replies", "share", "sharing", "social", "related", "recommended", "recommendations", "widget", "toolbar", "copyright",
+    "masthead", "comment", "comments", "commentlist", "disqus", "respond", "reply", "replies", "share", "sharing", "social", "related", "recommended", "recommendations", "widget", "toolbar", "copyright",
     "login", "search", "pagination", "pager", "skip",
 }
+PARTS = {
+    "area", "article", "articles", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "col", "column", "container", "content", "div", "form", "global", "group", "header", "inner", "item", "items", "js", "left", "link", "links",
+    "list", "main", "media", "mobile", "more", "outer", "page", "panel", "placeholder", "post", "posts", "primary", "right", "row", "secondary", "section", "side", "site", "slot", "sticky", "text", "thread", "title", "to", "top", "unit", "user", "view", "wrap", "wrapper", "zone",
+}
 HEADERS = {"header", "topbar", "siteheader"}
+#: Elements that are furniture by their own name; these are never left out by a name.
+KEPT = ("html", "body", "main", "article")
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<([!?])[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 WHITE = re.compile(r"\s+")
 WORD = re.compile(r"[^\W_]")
-ARTICLE = re.compile(r"/(?:article|main)(?:\.[^/]*)?$")
 HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 
 
+class Node:
+    """An open container: its token (a digest of its path), its parent, and whether it is left out or inside main or article."""
+
+    __slots__ = ("name", "token", "parent", "depth", "left_out", "inside")
+
+    def __init__(self, name: str, label: str, parent: Node | None, left_out: bool):
+        self.name, self.parent, self.left_out = name, parent, left_out
+        self.depth = parent.depth + 1 if parent else 0
+        self.token = digest(f"{parent.token if parent else ''}/{name}.{label}")
+        self.inside = name in ("article", "main") or parent is not None and parent.inside
+
+
 class Block:
-    """One block of text: its words, the containers around it, and whether it has words outside links or is a heading."""
+    """One block of text: its words, the container around it, whether it has words outside links or is a heading, and whether it is left out."""
 
-    __slots__ = ("text", "path", "plain", "left_out")
+    __slots__ = ("text", "node", "plain", "left_out")
 
-    def __init__(self, text: str, path: tuple[str, ...], plain: bool, left_out: bool):
-        self.text, self.path, self.plain, self.left_out = text, path, plain, left_out
+    def __init__(self, text: str, node: Node | None, plain: bool, left_out: bool):
+        self.text, self.node, self.plain, self.left_out = text, node, plain, left_out
 
 
-def named_parts(attributes: str) -> tuple[str, list[str], bool]:
-    """A short name from class or id, the words of class, id and role, and whether the element is hidden."""
-    label, words, hidden = "", [], False
+def named_parts(attributes: str) -> tuple[str, list[list[str]], bool]:
+    """A short name from class or id, the words of each class name, id and role, and whether the element is hidden."""
+    label, names, hidden = "", [], False
     for key, a, b, c in NAMED.findall(attributes):
         value, key = a or b or c, key.lower()
-        if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+        if key in ("hidden", "aria-hidden"):
             hidden = hidden or key == "hidden"
         else:
             if key != "role" and not label:
-                label = WHITE.sub(".", value.strip())[:40]
-            words += [w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()) if w]
-    return label, words, hidden
+                label = WHITE.sub(".", value.strip())
+            names += [re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", one).lower()) for one in value.split()]
+    return label, [n for n in names if n], hidden
+
+
+def is_furniture(names: list[list[str]]) -> bool:
+    """Whether one of the names consists of words for furniture and for its parts."""
+    return any(any(w in NAMES for w in words) and all(w in NAMES or w in PARTS for w in words) for words in names)
 
 
-def parse(page: str) -> tuple[list[Block], list[str]]:
-    """Blocks in page order, and the tokens (paths of opened containers)."""
+def parse(page: str) -> tuple[list[Block], list[int]]:
+    """Blocks in page order, and the tokens of opened containers."""
     blocks: list[Block] = []
-    tokens: list[str] = []
-    stack: list[tuple[str, str, bool]] = []  # name, path, left out
+    tokens: list[int] = []
+    stack: list[Node] = []
     pieces: list[str] = []
-    plain = heading = False
+    plain = heading = dropped = False  # of the block that is being read
+    muted: list[str] = []  # open inline elements from the first that is left out
     links = 0
     at, end = 0, len(page)
 
     def flush() -> None:
-        nonlocal plain, heading
+        nonlocal plain, heading, dropped
         if pieces:
             text = WHITE.sub(" ", html.unescape("".join(pieces))).strip()
             if text:
-                blocks.append(Block(text, tuple(p for _, p, _ in stack), plain or heading, bool(stack) and stack[-1][2]))
+                node = stack[-1] if stack else None
+                blocks.append(Block(text, node, plain or heading, dropped or node is not None and node.left_out))
             pieces.clear()
-        plain = heading = False
+        plain = heading = dropped = False
+        muted.clear()
 
     while at < end:
         found = TOKEN.search(page, at)
         stop = found.start() if found else end
-        if stop > at:
+        if stop > at and not muted:
             pieces.append(page[at:stop])
             plain = plain or not links and WORD.search(html.unescape(pieces[-1])) is not None
         if not found:
@@ -126,14 +156,16 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
         if found[2]:  # closing
             if name == "a":
                 links = max(0, links - 1)
-            elif name == "br":
+            if name == "br":
                 pieces.append(" ")
             elif name in BLOCKS:
                 flush()
-                depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+                depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].name == name), None)
                 if depth is not None:
                     del stack[depth:]
                     links = 0
+            elif name in muted:
+                del muted[len(muted) - 1 - muted[::-1].index(name) :]
             continue
         if name in RAW:
             if found[4].rstrip().endswith("/"):
@@ -141,28 +173,33 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
             close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = close.end() if close else end
             continue
+        attributes = found[4].strip()
+        label, names, hidden = named_parts(attributes) if attributes else ("", [], False)
+        closed = attributes.endswith("/") or name in VOID
         if name == "br":
             pieces.append(" ")
-        elif name == "a":
-            links += 1
         elif name in BLOCKS:
             flush()
             heading = name in HEADINGS
+            parent = stack[-1] if stack else None
+            out = hidden or name in FURNITURE or name not in KEPT and is_furniture(names)
             if name in CONTAINERS:
                 if name == "body":
-                    stack = [s for s in stack if s[0] == "html"]
-                label, words, hidden = named_parts(found[4]) if found[4].strip() else ("", [], False)
-                inside = any(s[0] in ("article", "main") for s in stack)
-                out = bool(stack) and stack[-1][2] or hidden or name in FURNITURE
-                if name not in ("html", "body", "main", "article"):
-                    marks = {w for k, w in enumerate(words) if not (k and words[k - 1] in ("has", "with", "no", "without"))}
-                    out = out or bool(marks & NAMES) or (not inside and (name == "header" or bool(marks & HEADERS)))
-                path = f"{stack[-1][1] if stack else ''}/{name}{'.' + label if label else ''}"
-                tokens.append(path)
-                if name not in VOID and not found[4].rstrip().endswith("/"):
-                    stack.append((name, path, out))
-                    if len(stack) > 400:  # a container that deep is taken as part of its parent
-                        stack.pop()
+                    stack = [s for s in stack if s.name == "html"]
+                    parent = stack[-1] if stack else None
+                inside = parent is not None and parent.inside
+                out = out or not inside and name not in KEPT and (name == "header" or any(w in HEADERS for n in names for w in n if all(x in HEADERS or x in PARTS for x in n)))
+                node = Node(name, label, parent, out or parent is not None and parent.left_out)
+                tokens.append(node.token)
+                if not closed:
+                    stack.append(node)
+            else:
+                dropped = out
+        else:
+            if name == "a":
+                links += 1
+            if name not in VOID and not attributes.endswith((" /", '"/', "'/")) and (muted or hidden or is_furniture(names)):
+                muted.append(name)
     flush()
     return blocks, tokens
 
@@ -186,7 +223,7 @@ def occurrences(pages: DataFrame) -> DataFrame:
                 blocks, tokens = parse(page or "")
                 own = [b.text for b in blocks if not b.left_out]
                 counts: dict[int, int] = {0: 1}
-                for t in map(digest, tokens):
+                for t in tokens:
                     counts[t] = counts.get(t, 0) + 1
                 contents.append(digest("\n".join(own)))
                 texts = sorted({digest(t) for t in own})
@@ -215,25 +252,46 @@ def templates(pages: DataFrame, least_pages: int = 4, least_share: float = 0.9)
     return kept.groupBy("host").agg(F.flatten(F.collect_list("skeleton")).alias("skeleton"), F.collect_list("repeated").alias("repeated"))
 
 
+def common_node(nodes: list[Node | None]) -> Node | None:
+    """The innermost container around all of the nodes."""
+    common = nodes[0]
+    for other in nodes[1:]:
+        while common is not other:
+            if common is None or other is None:
+                return None
+            if common.depth >= other.depth:
+                common = common.parent
+            else:
+                other = other.parent
+    return common
+
+
+def within(node: Node | None, container: Node) -> bool:
+    while node is not None and node.depth > container.depth:
+        node = node.parent
+    return node is container
+
+
 def main_text(page: str, skeleton: set[int], repeated: set[int]) -> str:
     blocks, _ = parse(page)
     blocks = [b for b in blocks if not b.left_out]
-    chosen = [b for b in blocks if digest(b.text) not in repeated or any(map(ARTICLE.search, b.path))] if repeated else blocks
+    chosen = [b for b in blocks if digest(b.text) not in repeated or b.node is not None and b.node.inside] if repeated else blocks
     if 2 * sum(len(b.text) for b in chosen if b.plain) < sum(len(b.text) for b in blocks if b.plain):
         kept = set(map(id, chosen))
         chosen = [b for b in blocks if b.plain or id(b) in kept]  # copies of one text
-    plain = [b.path for b in chosen if b.plain]
+    plain = [b.node for b in chosen if b.plain]
     if plain:
-        slot = ""
-        for nested in zip(*plain):
-            if len(set(nested)) > 1:
-                break
-            inner = ARTICLE.search(nested[0]) is not None
-            if inner or digest(nested[0]) in skeleton:
-                slot = nested[0]
-            if inner and "/article" in nested[0]:
+        around, node = [], common_node(plain)
+        while node is not None:
+            around.append(node)
+            node = node.parent
+        slot = None
+        for node in reversed(around):  # from the outside
+            if node.name in ("article", "main") or node.token in skeleton:
+                slot = node
+            if node.name == "article":
                 break
-        chosen = [b for b in chosen if slot in b.path] if slot else chosen
+        chosen = [b for b in chosen if within(b.node, slot)] if slot else chosen
     return "\n".join(b.text for b in chosen).encode("utf-8", "replace").decode()
 
 

@@ -536,6 +536,24 @@ def test_html_keeps_copies_of_one_article(spark):
         assert texts[10 + i].split("\n") == [*body, f"view {i}"]
 
 
+def test_html_keeps_what_only_sounds_like_furniture(spark):
+    page = """<html><body><div class="top-menu"><a href=/>home {n}</a></div><article><h1>Head {n}</h1><section id="discussion"><p>Discussion of {n}.</p></section><div class="related-work"><p>Related work of {n}.</p></div>
+    <div class="search-engines-history"><p>History {n}, <math><mi>x</mi><annotation>tex</annotation></math> holds.</p></div><p class="cookie-notice">We use cookies {n}</p><p hidden>hidden {n}</p><p>Text <span class="ad">buy {n}</span>goes on <b>here</b>.</p>
+    <div id="post-comments"><p>reader {n} says</p></div></article></body></html>"""
+    rows = [(i, f"http://a.example/{i}", page.format(n=i)) for i in range(6)] + [(9, "http://one.example/", page.format(n=9))]
+    texts = html_texts(spark, rows)
+    for i in (*range(6), 9):
+        assert texts[i].split("\n") == [f"Head {i}", f"Discussion of {i}.", f"Related work of {i}.", f"History {i}, x holds.", "Text goes on here."]
+
+
+def test_html_of_any_depth_and_length(spark):
+    deep = "<html><body><article>" + "<div>" * 3000 + "<p>At the bottom.</p>" + "</div>" * 3000 + "<p>After it.</p></article></body></html>"
+    long = "<html><body><article>" + "".join(f"<p>Paragraph {i} of a long page.</p>" for i in range(20_000)) + "</article></body></html>"
+    texts = html_texts(spark, [(1, "http://deep.example/", deep), (2, "http://long.example/", long)])
+    assert texts[1] == "At the bottom.\nAfter it."
+    assert texts[2] == "\n".join(f"Paragraph {i} of a long page." for i in range(20_000))
+
+
 def test_html_types_of_pages(spark):
     page = "<html><body><div id=left><p>Said on every page</p><a href=/{n}>link {n}</a></div><div id=post><p>Own text of page {n}, in some words.</p></div></body></html>"
     other = "<html><body><div id=top><p>Of the shop</p><a href=/{n}>buy {n}</a></div><div id=item><p>Article {n} of the shop.</p></div></body></html>"

@@ -9,13 +9,17 @@ match of a whole window is contaminated.
 Scale: documents are mapped where they are read, without a shuffle.  The
 benchmark is the stated query set; it is sent to the tasks in blocks of at most
 ``block_bytes`` of text, one pass over the documents for each block, so that
-what is broadcast is bounded whatever the benchmark's size.
+what is broadcast is bounded whatever the benchmark's size.  The driver holds one
+block at a time; a longer item is sent in pieces that overlap by a window less a word.
+A task's shard is indexed in slices of some megabytes of text.
 
 Edge cases: a null or empty text has no words, is never contaminated and is
-returned with zeros; an empty benchmark leaves all documents clean; an item
+returned with zeros; a text of any length is one slice; an empty benchmark leaves all
+documents clean, and an empty table of documents gives no row; an item
 shorter than the window is one window of its own length; an item without words
-is never found; an item without item_id counts like any other; repeated rows are judged one by one; columns named like the
-result's are replaced.
+is never found; an item without item_id counts like any other; equal items with different
+ids are all reported, equal matches of one item once; repeated rows are judged one by one;
+extra columns are kept, and columns named like the result's are replaced.
 """
 
 from __future__ import annotations
@@ -42,21 +46,21 @@ NO_ID = -(2**63)
 class SuffixQueries:
     """The windows of one block of benchmark items, as sorted rows of vocabulary numbers."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int):
-        data = np.frombuffer("".join(t or "" for _, t in items).encode(), dtype=np.uint8)
-        offsets = np.cumsum([0, *(len((t or "").encode()) for _, t in items)])
+    def __init__(self, items: list[tuple[int, int, str]], window: int):
+        data = np.frombuffer("".join(t for _, _, t in items).encode(), dtype=np.uint8)
+        offsets = np.cumsum([0, *(len(t.encode()) for _, _, t in items)])
         _, _, hashes, first = K.words(data, offsets, K.NOT_ALNUM)
         self.window = window
         self.vocabulary = np.unique(hashes)
         numbers = np.searchsorted(self.vocabulary, hashes) + 1
         rows: list[np.ndarray] = []
         owners: list[tuple[int, int, int]] = []
-        for k, (item_id, _) in enumerate(items):
+        for k, (item_id, before, _) in enumerate(items):
             own = numbers[first[k] : first[k + 1]]
             size = min(window, len(own))
             for at in range(len(own) - size + 1 if size else 0):
                 rows.append(own[at : at + size])
-                owners.append((item_id, at, size))
+                owners.append((item_id, before + at, size))
         self.sizes = np.array([len(r) for r in rows], dtype=np.int64)
         self.least = int(self.sizes.min()) if rows else 0
         padded = np.zeros((len(rows), window), dtype=">u4")
@@ -130,17 +134,34 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in runs of at most block_bytes (one item at least), one run on the driver at a time."""
-    run: list[tuple[int, str]] = []
+def pieces_of(text: str, window: int, most: int) -> Iterator[tuple[int, str]]:
+    """An item's text in runs of words of about most bytes, with the number of the first word; windows never get lost between them."""
+    raw = text.encode()
+    if len(raw) <= most:
+        yield 0, text
+        return
+    starts, ends, _, _ = K.words(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]), K.NOT_ALNUM)
+    at = 0
+    while at < len(starts):
+        stop = max(at + window, int(np.searchsorted(ends, starts[at] + most, side="right")))
+        yield at, raw[starts[at] : ends[min(stop, len(ends)) - 1]].decode("utf-8", "replace")
+        if stop >= len(starts):
+            return
+        at = stop - window + 1
+
+
+def blocks_of(benchmark: DataFrame, block_bytes: int, window: int) -> Iterator[list[tuple[int, int, str]]]:
+    """The items (item_id, first word, text) in runs of at most block_bytes (one piece at least), one run on the driver at a time."""
+    run: list[tuple[int, int, str]] = []
     size = 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
-        n = len((row["text"] or "").encode())
-        if run and size + n > block_bytes:
-            yield run
-            run, size = [], 0
-        run.append((row["item_id"], row["text"]))
-        size += n
+        for first, text in pieces_of(row["text"] or "", window, block_bytes):
+            n = len(text.encode())
+            if run and size + n > block_bytes:
+                yield run
+                run, size = [], 0
+            run.append((row["item_id"], first, text))
+            size += n
     if run:
         yield run
 
@@ -155,10 +176,12 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_
     base = T.StructType([docs.schema[c] for c in [*kept, *extra]])
     schema = T.StructType([*base.fields, T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(SPAN)), T.StructField("matches", T.ArrayType(MATCH))])
     out = docs.select(*kept, *extra).withColumns({"n_words": F.lit(None).cast("long"), "spans": F.array().cast(T.ArrayType(SPAN)), "matches": F.array().cast(T.ArrayType(MATCH))})
-    blocks = list(blocks_of(benchmark, block_bytes)) or [[]]
-    for k, block in enumerate(blocks):
+    blocks = blocks_of(benchmark, block_bytes, window)
+    block = next(blocks, [])
+    while block is not None:
         sent = docs.sparkSession.sparkContext.broadcast((block, window))
-        lean = k == len(blocks) - 1
+        block = next(blocks, None)
+        lean = block is None
         last = T.StructType([f for f in schema.fields if not (lean and f.name in extra)])
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, last=last) -> Iterator[pa.RecordBatch]:

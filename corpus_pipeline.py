@@ -1,10 +1,16 @@
-"""Corpus cleaning: stages over documents, each written as Parquet and read again by the next."""
+"""Corpus cleaning: stages over documents, each written as Parquet and read again by the next.
+
+Every stage takes what its predecessor kept, whole texts, and hands on the columns of documents;
+the last returns packed pieces.  Null and empty texts pass to the classifier, which scores them like
+any other; texts of any length are one row; equal rows are copies of each other for near-dedup and
+one document for substring dedup; an empty table gives an empty result; further columns are handed on.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeleaf.llm.tables import load, materialize
+from gaugeleaf.llm.tables import load, released_after, write_table
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,5 +63,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with released_after(spark):  # the tables that a stage has made on its way
+            docs = write_table(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs

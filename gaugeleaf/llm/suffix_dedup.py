@@ -24,8 +24,8 @@ within ``passage - gram`` bytes to the left and ``length`` bytes to the right.
    which every occurrence with that context takes over.
 
 Scale: anchors are one in seventy bytes or so, aggregated by key before the
-shuffle.  A group of more than ``group_contexts`` distinct contexts never meets
-in one task: its windows are hashed and counted by key instead, which gives the
+shuffle.  A group of more than ``group_contexts`` distinct contexts (some fifty
+megabytes) never meets in one task: its windows are hashed and counted by key instead, which gives the
 same ranges (a test holds both ways against brute force).  Every join has a
 written table on both sides, so that adaptive execution splits a hot gram.
 Contexts are compared by a 64-bit hash within an equal 64-bit gram hash.
@@ -237,23 +237,26 @@ def found_in_groups(contexts: DataFrame, lengths: tuple[int, ...], gram: int) ->
 def found_by_windows(contexts: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     """The same for groups of any size: every window of a context is hashed and counted over its group."""
 
+    names = ["gram", "context", "n", "window", "before", "length"]
+
+    def windows_of(row: dict) -> Iterator[list[np.ndarray]]:
+        raw = row["left"][::-1] + row["right"]
+        data = np.frombuffer(raw, dtype=np.uint8)
+        up, down = K.powers(len(data))
+        sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(K.BYTE_VALUE[data] * up[: len(data)], out=sums[1:])
+        for length in lengths:
+            m = min(len(data) - length, len(row["left"])) + 1  # windows that hold the anchor
+            if m > 0:
+                found = K.mix((sums[length : length + m] - sums[:m]) * down[:m]).view(np.int64)
+                yield [*(np.full(m, row[c]) for c in names[:3]), found, (len(row["left"]) - np.arange(m)).astype(np.int32), np.full(m, length, dtype=np.int32)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                raw = row["left"][::-1] + row["right"]
-                data = np.frombuffer(raw, dtype=np.uint8)
-                up, down = K.powers(len(data))
-                sums = np.zeros(len(data) + 1, dtype=np.uint64)
-                np.cumsum(K.BYTE_VALUE[data] * up[: len(data)], out=sums[1:])
-                for length in lengths:
-                    m = min(len(data) - length, len(row["left"])) + 1  # windows that hold the anchor
-                    if m < 1:
-                        continue
-                    windows = K.mix((sums[length : length + m] - sums[:m]) * down[:m]).view(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(m, row["gram"])), pa.array(np.full(m, row["context"])), pa.array(np.full(m, row["n"])), pa.array(windows), pa.array(len(row["left"]) - np.arange(m), pa.int32()), pa.array(np.full(m, length), pa.int32())],
-                        names=["gram", "context", "n", "window", "before", "length"],
-                    )
+            for at in range(0, batch.num_rows, 256):
+                rows = [w for row in batch.slice(at, 256).to_pylist() for w in windows_of(row)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names=names)
 
     windows = contexts.dropDuplicates(["gram", "context"]).mapInArrow(run, "gram long, context long, n long, window long, before int, length int")
     # the anchor's place in the window is part of the key: one window seen from two of its anchors is one occurrence
@@ -263,7 +266,7 @@ def found_by_windows(contexts: DataFrame, lengths: tuple[int, ...]) -> DataFrame
     return found.groupBy("gram", "context", "length").agg(F.max("before").alias("reach_left"), F.max(F.col("length") - F.col("before")).cast("int").alias("reach_right"))
 
 
-def repeated_ranges(docs: DataFrame, length: int = 400, passage: int = 250, gram: int = 100, group_contexts: int = 20_000) -> DataFrame:
+def repeated_ranges(docs: DataFrame, length: int = 400, passage: int = 250, gram: int = 100, group_contexts: int = 100_000) -> DataFrame:
     """key_a, key_b and ranges (start, end, length): byte ranges that repeat, for both lengths; they may overlap."""
     texts = docs.where("text is not null").select(*keyed_columns(), "text")
     lengths = (length, passage)

@@ -261,24 +261,44 @@ def merge_partial(old: DataFrame, new: DataFrame, key: str, columns: list[str])
     return joined.withColumns({c: F.coalesce(f"__{c}", c) for c in columns}).drop(*(f"__{c}" for c in columns))
 
 
-def boxed_layout(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Boxes of conditions or views inside segments: kind, columns, lines and x range, by rows of nearby height."""
-
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["page_number", "line_number"])
-        view = rows["text"].str.contains(r"<\s*보\s*기\s*>|^\s*보기\s*$", regex=True)
-        labelled = rows["text"].str.match(r"^\s*(?:\([가-마]\)|[ㄱ-ㅁ][.\s])")
-        if not view.any() and labelled.sum() < 2:
-            return pd.DataFrame({**{k: [] for k in keys}, "kind": [], "n_columns": [], "n_lines": [], "x": []})
-        box = rows[labelled | view]
-        items = rows[labelled]
-        height = max(18.0, 0.85 * float(items["bbox_h"].median())) if len(items) and items["bbox_h"].notna().any() else 24.0
-        row_of = (items["bbox_y"].sort_values().diff().fillna(0) > height).cumsum()
-        columns = int(row_of.value_counts().max()) if len(row_of) else 1
-        return pd.DataFrame({**{k: [rows[k].iloc[0]] for k in keys}, "kind": ["view" if view.any() else "condition"], "n_columns": [columns], "n_lines": [len(box)], "x": [float(box["bbox_x"].min())]})
-
-    schema = ", ".join(f"{k} {lines.schema[k].dataType.simpleString()}" for k in keys)
-    return lines.groupBy(*keys).applyInPandas(find, f"{schema}, kind string, n_columns int, n_lines int, x double")
+# Heads and labels of boxes in a problem's text, and where its choices begin.
+VIEW_HEAD = r"<\s*보\s*기\s*>|^\s*보기\s*$"
+VIEW_ITEM = r"^\s*[ㄱ-ㅁ][.\s]"
+CONDITION = r"^\s*\([가-마]\)"
+CHOICE_START = rf"^\s*[{CIRCLED}]"
+
+
+def boxed_layout(lines: DataFrame, key: str) -> DataFrame:
+    """The stem of each problem as blocks in order: key, block, kind (text, view or condition), n_lines, n_columns and text.
+
+    A view is a head with the labelled items after it, or two such items; two condition labels in a row are a
+    condition box.  What comes from the first choice on is no stem.  Items of a box whose places differ by no
+    more than a line's height (0.85 of the median, 18 at least) stand in one row of its grid.
+    """
+    order = Window.partitionBy(key).orderBy("line_number")
+    kind = F.when(F.col("text").rlike(VIEW_HEAD), "head").when(F.col("text").rlike(VIEW_ITEM), "view").when(F.col("text").rlike(CONDITION), "condition").otherwise("text")
+    stem = lines.withColumn("__choice", F.max(F.col("text").rlike(CHOICE_START)).over(order)).where("not __choice").withColumn("kind", kind)
+    side = F.when(F.col("kind") == "head", "view").otherwise(F.col("kind"))
+    runs = stem.withColumn("side", side).withColumn("__new", F.coalesce((F.lag("side").over(order) != F.col("side")) | (F.col("kind") == "head"), F.lit(True)))
+    runs = runs.withColumn("run", F.count_if("__new").over(order))
+    own = Window.partitionBy(key, "run")
+    boxed = (F.col("side") != "text") & (F.max(F.col("kind") == "head").over(own) | (F.count("*").over(own) >= 2))
+    runs = runs.withColumn("boxed", boxed)
+    opens = F.coalesce((F.lag("run").over(order) != F.col("run")) & (F.col("boxed") | F.lag("boxed").over(order)), F.lit(True))
+    blocks = runs.withColumn("__opens", opens).withColumn("block", F.count_if("__opens").over(order))
+    item = F.col("boxed") & (F.col("kind") != "head")
+    inside = Window.partitionBy(key, "block")
+    height = F.greatest(F.lit(18.0), 0.85 * F.median(F.when(item, F.col("bbox_h"))).over(inside))
+    placed = blocks.withColumn("__item", item).withColumn("__height", F.coalesce(height, F.lit(24.0)))
+    by_place = Window.partitionBy(key, "block", "__item").orderBy("bbox_y", "line_number")
+    step = F.coalesce(F.col("bbox_y") - F.lag("bbox_y").over(by_place) > F.col("__height"), F.lit(True))
+    rows = placed.withColumn("__step", step).withColumn("__row", F.when(F.col("__item"), F.count_if("__step").over(by_place)))
+    rows = rows.withColumn("__wide", F.when(F.col("__item"), F.count("*").over(Window.partitionBy(key, "block", "__item", "__row"))))
+    made = rows.groupBy(key, "block").agg(
+        F.max(F.when(F.col("boxed"), F.col("side")).otherwise("text")).alias("kind"), F.count("*").alias("n_lines"), F.coalesce(F.max("__wide"), F.lit(1)).cast("int").alias("n_columns"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_number", "text"))), lambda r: r["text"]), "\n").alias("text"),
+    )
+    return made
 
 
 def assessment_items(xml: Column) -> Column:
@@ -303,6 +323,21 @@ def as_assessment_item(id_: Column, prompt: Column, choices: Column, answer: Col
     return F.concat(F.lit('<assessmentItem identifier="'), id_, F.lit('"><correctResponse><value>'), xml_escape(answer), F.lit("</value></correctResponse><prompt>"), xml_escape(prompt), F.lit("</prompt>"), listed, F.lit("</assessmentItem>"))
 
 
+def as_assessment_test(title: Column, items: Column) -> Column:
+    """A test document that refers to its items by identifier, in their order."""
+    from ..functions.numerics import xml_escape
+
+    listed = F.array_join(F.transform(items, lambda i: F.concat(F.lit('<assessmentItemRef identifier="'), xml_escape(i), F.lit('" href="'), xml_escape(i), F.lit('.xml"/>'))), "")
+    return F.concat(F.lit('<assessmentTest title="'), xml_escape(title), F.lit('"><testPart><assessmentSection>'), listed, F.lit("</assessmentSection></testPart></assessmentTest>"))
+
+
+def test_items(xml: Column) -> Column:
+    """The identifiers that a test document refers to."""
+    from ..functions.numerics import xml_unescape
+
+    return F.transform(F.regexp_extract_all(xml, F.lit(r'<assessmentItemRef\b[^>]*identifier="([^"]*)"'), F.lit(1)), xml_unescape)
+
+
 def revision_log(changes: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
     """Numbered revisions with a JSON snapshot and the names of fields that changed since the one before."""
     w = Window.partitionBy(key).orderBy(*order)

@@ -48,6 +48,26 @@ def a7(t: Tables):
     return items.select(F.col("i.id").cast("long").alias("problem_id"), "i.prompt", F.size("i.choices").alias("n_choices"), "i.answer")
 
 
+@query("A6_external_answer_pages", "SELECT doc_id, CAST(1 + doc_id % 2 AS INTEGER) AS page_number, CAST(CASE WHEN doc_id % 3 = 0 THEN 7 ELSE 1 END AS INTEGER) AS line_number, text FROM documents WHERE trim(text, ' ') <> ''")
+def a6(t: Tables):
+    """A bare list of pages, as an outside service returns it; some lines bring their number."""
+    number = F.when(F.col("doc_id") % 3 == 0, 7)
+    line = F.struct("text", F.lit("text").alias("type"), number.alias("line_number"))
+    pages = F.array(F.struct((1 + F.col("doc_id") % 2).cast("int").alias("page"), F.array(line, F.struct(F.lit("  ").alias("text"), F.lit("text").alias("type"), F.lit(None).cast("int").alias("line_number"))).alias("lines")))
+    packed = t.documents.where("text is not null").select("doc_id", F.to_json(pages).alias("json"))
+    return D.page_lines(packed, "doc_id", "json").select("doc_id", "page_number", "line_number", "text")
+
+
+@query("A8_qti_package", """SELECT subject, concat('<assessmentTest title="', replace(subject, '#', '#'), ' &amp; more"><testPart><assessmentSection>', string_agg(concat('<assessmentItemRef identifier="', problem_id, '" href="', problem_id, '.xml"/>'), '' ORDER BY problem_id), '</assessmentSection></testPart></assessmentTest>') AS xml,
+  count(*) AS n_read, CAST(min(problem_id) AS VARCHAR) AS first FROM problems WHERE review_status <> 'rejected' GROUP BY subject""")
+def a8(t: Tables):
+    ids = F.transform(F.array_sort(F.collect_list("problem_id")), lambda i: i.cast("string"))
+    packed = t.problems.where("review_status <> 'rejected'").groupBy("subject").agg(ids.alias("ids"))
+    made = packed.select("subject", D.as_assessment_test(F.concat("subject", F.lit(" & more")), F.col("ids")).alias("xml"))
+    read = made.withColumn("items", D.test_items(F.col("xml")))
+    return read.select("subject", "xml", F.size("items").cast("long").alias("n_read"), F.col("items")[0].alias("first"))
+
+
 @query("I1_noise_filter", f"SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT {NOISE}) AS kept FROM ({LINES}) GROUP BY doc_id")
 def i1(t: Tables):
     lines = D.text_lines(t.documents)

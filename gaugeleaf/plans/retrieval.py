@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import numerics as N
+from ..operators import compose as C
 from ..operators import retrieval as J
 from ..operators import review as R
 from ..operators import tables as O
@@ -212,12 +213,19 @@ def j14(t: Tables):
     return O.priority_union(sources, ["student_id", "problem_id"], "priority", 10, "student_id", "problem_id")
 
 
+def exam_plan(t: Tables):
+    """An exam of ten slots for each subject from the shares of its units, and the problems that may be used."""
+    kind = F.col("problem_type").alias("kind")
+    weights = t.problems.where("unit is not null").groupBy(F.col("subject").alias("exam"), "subject", "unit").agg(F.count("*").alias("percentage"))
+    slots = C.build_slots(weights, ["multiple_choice", "short_answer", "multiple_choice", "essay"], 10, 2, 4)
+    usable = t.problems.where("review_status in ('approved', 'auto_approved')")
+    return slots, usable.select("problem_id", "subject", "unit", kind, "difficulty", (F.col("problem_id") % 17).alias("source"))
+
+
 @query("J15_exam_composition")
 def j15(t: Tables):
-    from ..operators.compose import compose_exam
-
-    slots = t.problems.where("unit is not null").groupBy("subject", "unit").agg(F.count("*").alias("percentage"))
-    return compose_exam(slots, t.problems.where("review_status in ('approved', 'auto_approved')"), 10)
+    slots, usable = exam_plan(t)
+    return C.compose_exam(slots, usable, 10)
 
 
 @query("J16_composition_preview", "SELECT c.class_id, count(p.problem_id) AS available, CASE WHEN count(p.problem_id) = 0 THEN 'impossible' WHEN count(p.problem_id) < 5 THEN 'tight' ELSE 'ok' END AS feasibility FROM classes c LEFT JOIN problems p ON p.node_id = c.class_id AND p.difficulty BETWEEN 1 + c.class_id % 3 AND 3 + c.class_id % 3 AND p.review_status = 'approved' GROUP BY 1")
@@ -235,12 +243,28 @@ def j17(t: Tables):
     return O.excluding(t.problems.where("review_status <> 'rejected'").select("problem_id"), used, ["problem_id"])
 
 
-@query("J18_class_monitor", "SELECT u.student_id, u.class_id, count(s.submission_id) AS n, CASE WHEN count(s.submission_id) = 0 THEN 'inactive' WHEN max(s.submitted_at) < TIMESTAMP '1998-01-01' THEN 'stuck' WHEN min(s.score) < 20 THEN 'struggling' ELSE 'fine' END AS alert FROM students u LEFT JOIN submissions s USING (student_id) GROUP BY 1, 2")
+CHOSEN = "SELECT class_id, coalesce(min_by(assignment_id, (due_at, assignment_id)) FILTER (WHERE due_at >= TIMESTAMP '1998-07-30'), max_by(assignment_id, (created_at, assignment_id))) AS assignment_id FROM assignments GROUP BY class_id"
+
+
+def chosen_assignments(t: Tables):
+    """The nearest assignment that is still due, else the newest."""
+    future = F.col("due_at") >= F.lit("1998-07-30").cast("timestamp")
+    nearest = F.min_by(F.when(future, F.col("assignment_id")), F.when(future, F.struct("due_at", "assignment_id")))
+    return t.assignments.groupBy("class_id").agg(F.coalesce(nearest, F.max_by("assignment_id", F.struct("created_at", "assignment_id"))).alias("assignment_id"))
+
+
+@query("J18_class_monitor", f"""WITH c AS ({CHOSEN}), n AS (SELECT submission_id, count(*) AS answered FROM answers GROUP BY 1), l AS (SELECT *, row_number() OVER (PARTITION BY student_id, assignment_id ORDER BY submitted_at DESC, submission_id DESC) AS k FROM submissions)
+  SELECT u.student_id, u.class_id, c.assignment_id, coalesce(n.answered, 0) AS submitted, l.score, CASE WHEN l.submission_id IS NULL THEN 'not_started' WHEN l.status IN ('graded', 'returned') THEN 'completed' ELSE 'in_progress' END AS status,
+    l.submission_id IS NOT NULL AND l.status NOT IN ('graded', 'returned') AND l.submitted_at < TIMESTAMP '1998-07-30' - INTERVAL 10 MINUTE AS stuck
+  FROM students u LEFT JOIN c USING (class_id) LEFT JOIN l ON l.student_id = u.student_id AND l.assignment_id = c.assignment_id AND l.k = 1 LEFT JOIN n USING (submission_id)""")
 def j18(t: Tables):
-    done = t.submissions.groupBy("student_id").agg(F.count("*").alias("n"), F.max("submitted_at").alias("last"), F.min("score").alias("low"))
-    joined = t.students.select("student_id", "class_id").join(done, "student_id", "left").na.fill(0, ["n"])
-    alert = F.when(F.col("n") == 0, "inactive").when(F.col("last") < F.lit("1998-01-01").cast("timestamp"), "stuck").when(F.col("low") < 20, "struggling").otherwise("fine")
-    return joined.select("student_id", "class_id", "n", alert.alias("alert"))
+    latest = O.latest_per(t.submissions.select("submission_id", "student_id", "assignment_id", "status", "score", "submitted_at"), ["student_id", "assignment_id"], F.desc("submitted_at"), F.desc("submission_id"))
+    counts = t.answers.groupBy("submission_id").agg(F.count("*").alias("submitted"))
+    rows = t.students.select("student_id", "class_id").join(chosen_assignments(t), "class_id", "left").join(latest, ["student_id", "assignment_id"], "left").join(counts, "submission_id", "left")
+    done = F.col("status").isin("graded", "returned")
+    status = F.when(F.col("submission_id").isNull(), "not_started").when(done, "completed").otherwise("in_progress")
+    stuck = F.coalesce(~done & (F.col("submitted_at") < F.lit("1998-07-29 23:50:00").cast("timestamp")), F.lit(False))
+    return rows.select("student_id", "class_id", "assignment_id", F.coalesce("submitted", F.lit(0)).cast("long").alias("submitted"), "score", status.alias("status"), stuck.alias("stuck"))
 
 
 @query("J19_achievements", "WITH m AS (SELECT student_id, count(*) AS n, count(*) FILTER (WHERE score >= 90) AS top FROM submissions GROUP BY 1) SELECT student_id, unnest(list_filter([CASE WHEN n >= 5 THEN 'busy' END, CASE WHEN n >= 15 THEN 'tireless' END, CASE WHEN top >= 1 THEN 'excellent' END], lambda x: x IS NOT NULL)) AS achievement FROM m WHERE student_id NOT IN (SELECT student_id FROM students WHERE segment = 'BUILDING')")
@@ -267,8 +291,6 @@ def j21(t: Tables):
     return O.page(last, [F.desc("last"), F.col("student_id"), F.col("problem_id")], 2, 20).select("student_id", "problem_id", "subject", "difficulty")
 
 
-@query("J22_assignment_resolution", "SELECT class_id, coalesce(min_by(assignment_id, (due_at, assignment_id)) FILTER (WHERE due_at >= TIMESTAMP '1998-07-30'), max_by(assignment_id, (created_at, assignment_id))) AS assignment_id FROM assignments GROUP BY class_id")
+@query("J22_assignment_resolution", CHOSEN)
 def j22(t: Tables):
-    future = F.col("due_at") >= F.lit("1998-07-30").cast("timestamp")
-    nearest = F.min_by(F.when(future, F.col("assignment_id")), F.when(future, F.struct("due_at", "assignment_id")))
-    return t.assignments.groupBy("class_id").agg(F.coalesce(nearest, F.max_by("assignment_id", F.struct("created_at", "assignment_id"))).alias("assignment_id"))
+    return chosen_assignments(t)

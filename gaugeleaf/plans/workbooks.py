@@ -21,12 +21,22 @@ def i6(t: Tables):
     return B.coded_items(lines, "subject").select("subject", "number", "section", "code", "stem", "answer")
 
 
-@query("I9_boxed_layout")
+HEIGHT = "greatest(18.0, 0.85 * median(bbox_h) FILTER (WHERE boxed AND kind <> 'head') OVER (PARTITION BY problem_id, block))"
+
+
+@query("I9_boxed_layout", f"""WITH c AS (SELECT *, bool_or(regexp_matches(text, '{D.CHOICE_START}')) OVER (PARTITION BY problem_id ORDER BY line_number) AS choices FROM stem_lines),
+  k AS (SELECT *, CASE WHEN regexp_matches(text, '{D.VIEW_HEAD}') THEN 'head' WHEN regexp_matches(text, '{D.VIEW_ITEM}') THEN 'view' WHEN regexp_matches(text, '{D.CONDITION}') THEN 'condition' ELSE 'text' END AS kind FROM c WHERE NOT choices),
+  s AS (SELECT *, CASE kind WHEN 'head' THEN 'view' ELSE kind END AS side FROM k), n AS (SELECT *, coalesce(lag(side) OVER w <> side OR kind = 'head', true) AS fresh FROM s WINDOW w AS (PARTITION BY problem_id ORDER BY line_number)),
+  r AS (SELECT *, count(*) FILTER (WHERE fresh) OVER (PARTITION BY problem_id ORDER BY line_number) AS run FROM n),
+  b AS (SELECT *, side <> 'text' AND (bool_or(kind = 'head') OVER w OR count(*) OVER w >= 2) AS boxed FROM r WINDOW w AS (PARTITION BY problem_id, run)),
+  o AS (SELECT *, coalesce(lag(run) OVER w <> run AND (boxed OR lag(boxed) OVER w), true) AS opens FROM b WINDOW w AS (PARTITION BY problem_id ORDER BY line_number)),
+  p AS (SELECT *, count(*) FILTER (WHERE opens) OVER (PARTITION BY problem_id ORDER BY line_number) AS block FROM o), h AS (SELECT *, coalesce({HEIGHT}, 24.0) AS height FROM p),
+  t AS (SELECT *, CASE WHEN boxed AND kind <> 'head' AND bbox_y - lag(bbox_y) OVER w <= height THEN 0 ELSE 1 END AS step FROM h WINDOW w AS (PARTITION BY problem_id, block, boxed AND kind <> 'head' ORDER BY bbox_y, line_number)),
+  g AS (SELECT *, sum(step) OVER (PARTITION BY problem_id, block, boxed AND kind <> 'head' ORDER BY bbox_y, line_number ROWS UNBOUNDED PRECEDING) AS grid FROM t),
+  x AS (SELECT *, CASE WHEN boxed AND kind <> 'head' THEN count(*) OVER (PARTITION BY problem_id, block, boxed AND kind <> 'head', grid) END AS wide FROM g)
+  SELECT problem_id, block, max(CASE WHEN boxed THEN side ELSE 'text' END) AS kind, count(*) AS n_lines, CAST(coalesce(max(wide), 1) AS INTEGER) AS n_columns, string_agg(text, chr(10) ORDER BY line_number) AS text FROM x GROUP BY 1, 2""")
 def i9(t: Tables):
-    labels = F.array(F.lit("<보기>"), F.lit("ㄱ. 첫째"), F.lit("ㄴ. 둘째"), F.lit("ㄷ. 셋째"))
-    rows = t.problems.select("problem_id", F.posexplode(labels).alias("i", "text"))
-    lines = rows.select("problem_id", F.lit(1).alias("page_number"), F.col("i").alias("line_number"), "text", F.lit(100.0).alias("bbox_x"), (F.col("i") * 40.0).alias("bbox_y"), F.lit(30.0).alias("bbox_h"))
-    return D.boxed_layout(lines, ["problem_id"])
+    return D.boxed_layout(t.stem_lines, "problem_id")
 
 
 @query("I13_misattribution_fix", "SELECT problem_id, CASE WHEN problem_id % 2 = 0 THEN 'level1' ELSE 'practice' END AS section, problem_id % 2 = 0 AS moved FROM problems")

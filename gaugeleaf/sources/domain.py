@@ -62,6 +62,18 @@ DOMAIN = {
         UNION ALL SELECT book, page_number, 10 * k + 1, CASE z % 5 WHEN 0 THEN '유제' WHEN 1 THEN '예제' WHEN 2 THEN 'Level 1 기초 연습' WHEN 3 THEN 'Level 2' ELSE 'Level 3' END FROM k WHERE k % 25 = 3
         UNION ALL SELECT book, page_number, 10 * k + 2, CASE z % 4 WHEN 0 THEN concat(CAST(1 + k % 25 AS STRING), ' ③ ', CAST(2 + k % 25 AS STRING), ' ', CAST(z AS STRING)) WHEN 1 THEN concat(CAST(1 + k % 25 AS STRING), '①', CAST(2 + k % 25 AS STRING), '⑤')
             WHEN 2 THEN concat(CAST(1 + k % 25 AS STRING), ' -', CAST(z AS STRING), '.5') ELSE concat('풀이 ', stem) END FROM k""",
+    # the lines of a problem with their places: stems without box, with a view in one or two columns, with conditions, with both, and choices after them
+    "stem_lines": """WITH p AS (SELECT p_partkey AS problem_id, p_name AS stem, CAST(p_size % 6 AS INT) AS z, CAST(20 + p_size % 3 AS DOUBLE) AS h FROM {part})
+        SELECT problem_id, 0 AS line_number, concat('next ', stem) AS text, CAST(0 AS DOUBLE) AS bbox_y, h AS bbox_h FROM p
+        UNION ALL SELECT problem_id, 1, '(가) first', CAST(40 AS DOUBLE), h FROM p WHERE z IN (1, 3, 5)
+        UNION ALL SELECT problem_id, 2, concat('(나) ', stem), CAST(80 AS DOUBLE), h FROM p WHERE z IN (1, 5)
+        UNION ALL SELECT problem_id, 3, CASE WHEN z = 2 THEN '< 보기 >' ELSE '보기' END, CAST(120 AS DOUBLE), h FROM p WHERE z IN (2, 5)
+        UNION ALL SELECT problem_id, 4, 'ㄱ. a', CAST(160 AS DOUBLE), h FROM p WHERE z IN (2, 4, 5)
+        UNION ALL SELECT problem_id, 5, concat('ㄴ. ', stem), CASE WHEN z = 5 THEN CAST(163 AS DOUBLE) ELSE CAST(200 AS DOUBLE) END, h FROM p WHERE z IN (2, 4, 5)
+        UNION ALL SELECT problem_id, 6, 'ㄷ. c', CAST(240 AS DOUBLE), h FROM p WHERE z IN (2, 5)
+        UNION ALL SELECT problem_id, 7, 'which of them', CAST(280 AS DOUBLE), h FROM p
+        UNION ALL SELECT problem_id, 8, '① ㄱ ② ㄴ', CAST(320 AS DOUBLE), h FROM p WHERE z <> 0
+        UNION ALL SELECT problem_id, 9, 'ㄹ. after the choices', CAST(360 AS DOUBLE), h FROM p""",
     # edges of a prerequisite graph over units of a subject: always from a smaller to a larger number
     "prerequisites": "SELECT CAST(a.n_nationkey AS INT) AS from_node, CAST(b.n_nationkey AS INT) AS to_node FROM {nation} a JOIN {nation} b ON b.n_nationkey = 2 * a.n_nationkey + 1 OR b.n_nationkey = 2 * a.n_nationkey + 2",
 }

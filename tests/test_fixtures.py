@@ -1,19 +1,23 @@
 """Hand-computed cases of the operators, nulls and empty inputs included."""
 
 import datetime as dt
+import itertools
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gaugeleaf.functions import numerics as N
 from gaugeleaf.operators import aggregates as A
+from gaugeleaf.operators import compose as C
 from gaugeleaf.operators import documents as D
 from gaugeleaf.operators import folds as K
 from gaugeleaf.operators import graph as G
 from gaugeleaf.operators import retrieval as J
 from gaugeleaf.operators import review as R
 from gaugeleaf.operators import tables as O
-from gaugeleaf.operators.compose import compose_exam
+from gaugeleaf.plans.retrieval import exam_plan
+from gaugeleaf.sources.domain import Tables
 from gaugeleaf.streaming import events as E
 
 
@@ -106,10 +110,10 @@ def test_streaming_equals_batch(spark, tmp_path):
     df = spark.createDataFrame(rows, "event_id int, student_id int, event_type string, payload string, session_id string, client_ts timestamp")
     df.repartition(2).write.parquet(str(src))
     stream = E.daily_windows(spark.readStream.schema(df.schema).parquet(str(src)))
-    query = stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(E.upsert_batches(str(out), ["student_id", "day"])).trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(E.upsert_batches(str(out), "day", E.keyed_replacement(["student_id", "day"]))).trigger(availableNow=True).start()
     query.awaitTermination(120)
     columns = ("student_id", "day", "viewed", "solved", "correct", "duration_ms", "n_sessions")
-    assert values(spark.read.parquet(E.latest_version(spark, str(out))), *columns) == values(A.daily_roll_up(df), *columns)
+    assert values(E.current(spark, str(out), "day"), *columns) == values(A.daily_roll_up(df), *columns)
 
 
 def test_segments(spark):
@@ -167,13 +171,93 @@ def test_priority_union(spark):
     assert values(O.priority_union([df], ["s", "p"], "priority", 10, "s", "p"), "p", "priority") == [("p1", 1), ("p2", 2)]
 
 
-def test_composition_fills_slots(spark):
-    weights = spark.createDataFrame([("m", "a", 60), ("m", "b", 40)], "subject string, unit string, percentage int")
-    problems = spark.createDataFrame([("m", "ab"[i % 2], i, 1 + i % 6) for i in range(20)], "subject string, unit string, problem_id long, difficulty int")
-    rows = compose_exam(weights, problems, 5).collect()
-    assert len(rows) == 5
-    assert len({r.problem_id for r in rows}) == 5
-    assert sum(r.unit == "a" for r in rows) == 3
+def slot(n, unit="u", subject="s", kind="mc", low=2, high=3, available=0):
+    return {"exam": "e", "slot": n, "subject": subject, "unit": unit, "kind": kind, "low": low, "high": high, "available": available}
+
+
+def problem(n, unit="u", subject="s", kind="mc", difficulty=2, source=None):
+    return {"problem_id": n, "subject": subject, "unit": unit, "kind": kind, "difficulty": difficulty, "source": source}
+
+
+@pytest.mark.parametrize(
+    ("pool", "pick", "relaxed", "score"),
+    [
+        ([problem(1), problem(2, difficulty=3)], 1, None, 0.95),
+        ([problem(1, difficulty=4)], 1, "expand_difficulty", 0.85),
+        ([problem(1, unit="v", difficulty=1)], 1, "expand_unit", 0.65),
+        ([problem(1, unit="v", subject="t")], 1, "drop_subject", 0.55),
+        ([problem(1, unit="v", subject="t", kind="essay")], 1, "relax_kind", 0.35),
+        ([problem(1, difficulty=6)], None, None, 0.0),
+        ([problem(3, difficulty=None), problem(9, difficulty=None)], 3, None, 0.95),
+    ],
+)
+def test_slot_relaxes_step_by_step(pool, pick, relaxed, score):
+    (((_, got, name),), total) = C.fill_slots([slot(0)], pool)
+    assert ((got or {}).get("problem_id"), name, total) == (pick, relaxed, score)
+
+
+def test_scarce_slots_come_first_and_swaps_mend():
+    slots = [slot(0, available=2), slot(1, unit="v", available=1)]
+    filled, score = C.fill_slots(slots, [problem(1), problem(2, unit="v")])
+    assert [(s["slot"], c["problem_id"]) for s, c, _ in filled] == [(1, 2), (0, 1)]
+    assert score == 0.95
+    sources = [problem(n, source="x") for n in range(3)] + [problem(9, source="y")]
+    filled, _ = C.fill_slots([slot(0), slot(1)], sources)
+    assert sorted(c["problem_id"] for _, c, _ in filled) == [0, 9]  # one of each source
+    filled, score = C.fill_slots([slot(0), slot(1)], [problem(1)])
+    assert [c and c["problem_id"] for _, c, _ in filled] == [1, None]
+    assert score == 0.48
+
+
+def test_composition_reaches_all_it_needs(spark):
+    """Every exam as if it had been filled from all problems at once."""
+    slots, usable = exam_plan(Tables(spark, "/root/testdata/sf0.001"))
+    pool = [r.asDict() for r in usable.collect()]
+    for seats in (10, 4):
+        mine = slots.where(F.col("slot") < seats)
+        got = {(r.exam, r.slot): (r.problem_id, r.relaxed, r.match_score) for r in C.compose_exam(mine, usable, seats).collect()}
+        assert len(got) == mine.count()
+        for exam, own in itertools.groupby(sorted((r.asDict() for r in mine.collect()), key=lambda s: s["exam"]), key=lambda s: s["exam"]):
+            own = list(own)
+            for s in own:
+                s["available"] = sum(C.suits(c, s) for c in pool)
+            filled, score = C.fill_slots(own, pool)
+            assert [got[exam, s["slot"]] for s, _, _ in filled] == [(c["problem_id"] if c else None, name, score) for _, c, name in filled]
+
+
+def test_knn_index_recall(spark):
+    """Cells of 64 vectors, a third of them in one cluster: ids divisible by 100 against brute force."""
+    draw = np.random.default_rng(4)
+    centers = draw.normal(size=(40, 16))
+    x = centers[np.where(draw.random(3000) < 0.33, 0, draw.integers(0, 40, 3000))] + 0.4 * draw.normal(size=(3000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    rows = J.knn_all_pairs(df, "id", "v", k=10, least=-1.0, cell_rows=64, probes=12).collect()
+    assert len(rows) == 30_000  # every item is indexed and has its neighbours
+    found = {i: {r.neighbour for r in rows if r.id == i} for i in range(0, 3000, 100)}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = []
+    for i, got in found.items():
+        scores = unit @ unit[i]
+        scores[i] = -2
+        hits.append(len(got & set(np.argsort(-scores)[:10].tolist())))
+    assert np.mean(hits) >= 9
+    assert J.knn_all_pairs(df.limit(0), "id", "v").collect() == []
+
+
+def test_fused_page_counts_ranks(spark):
+    """The page of two lists against ranking both whole."""
+    draw = np.random.default_rng(9)
+    lists = [[(int(i), float(round(draw.random(), 2))) for i in draw.permutation(400)[:n]] for n in (350, 60)]
+    frames = [spark.createDataFrame(rows, "id long, score double") for rows in lists]
+    fused = {}
+    for rows in lists:
+        for rank, (i, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1):
+            fused[i] = fused.get(i, 0) + 1 / (60 + rank)
+    want = sorted(fused.items(), key=lambda r: (-r[1], r[0]))[:15]
+    got = [(r.id, r.score, r.total) for r in J.fused_page(frames, "id", 15).orderBy(F.desc("score"), "id").collect()]
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in want])
+    assert {g[2] for g in got} == {len(fused)}
 
 
 def test_knn_top_then_threshold(spark):
@@ -235,11 +319,11 @@ def test_workbook_items(spark):
     assert by["practice", 2].code == "26008-0002"
 
 
-def test_view_box(spark):
-    rows = [("s", 1, i, t, 100.0, 40.0 * i, 30.0) for i, t in enumerate(("문제", "<보기>", "ㄱ. 하나", "ㄴ. 둘", "ㄷ. 셋"))]
-    df = spark.createDataFrame(rows, "seg string, page_number int, line_number int, text string, bbox_x double, bbox_y double, bbox_h double")
-    got = D.boxed_layout(df, ["seg"]).first()
-    assert (got.kind, got.n_columns, got.n_lines, got.x) == ("view", 1, 4, 100.0)
+def test_boxed_layout(spark):
+    text = ["for f", "(가) one", "(나) two", "and", "<보기>", "ㄱ. a", "ㄴ. b", "which", "① ㄱ", "ㄷ. no"]
+    df = spark.createDataFrame([("s", i, t, 40.0 * i if i < 6 else 205.0, 30.0) for i, t in enumerate(text)], "seg string, line_number int, text string, bbox_y double, bbox_h double")
+    got = [(r.kind, r.n_lines, r.n_columns) for r in D.boxed_layout(df, "seg").orderBy("block").collect()]
+    assert got == [("text", 1, 1), ("condition", 2, 1), ("text", 1, 1), ("view", 3, 2), ("text", 1, 1)]
 
 
 def test_global_rank(spark):

@@ -11,7 +11,8 @@ Lines are therefore cut into units as well, where a word's hash is the smallest
 among its neighbours, so that a passage has the same inner units wherever it
 stands.  Units are hashed and grouped like lines, and a run of neighbouring
 repeats of ``min_words`` words or more inside a line is removed; shorter runs
-are stock phrases and stay.  ``min_words`` bounds these inner runs only.  A long
+are stock phrases and stay.  A unit of a few words that happens to occur earlier and
+stands beside a repeat goes with it.  ``min_words`` bounds these inner runs only.  A long
 line, which consists of such units, is left to them.  Removed ranges are given
 as byte offsets of the original text.
 

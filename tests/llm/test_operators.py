@@ -299,6 +299,29 @@ def repeats_by_brute_force(raws, length):
     return covered
 
 
+def test_line_dedup_against_brute_force(spark):
+    from gaugeleaf.llm.line_dedup import remove_repeats
+
+    draw = random.Random(12)
+    lines = [" ".join(f"v{draw.randrange(10**6)}" for _ in range(n)) for n in [*range(1, 20), *range(20, 60, 5)] for _ in range(2)]
+    rows = []
+    for i in range(120):
+        own = [draw.choice(lines) for _ in range(draw.randint(0, 5))] + [" ".join(f"v{draw.randrange(10**6)}" for _ in range(draw.randint(3, 40))) for _ in range(2)]
+        draw.shuffle(own)
+        rows.append((i // 2 if i < 20 else i, "\n".join(own)))  # some ids have two texts
+    got = sorted((r.doc_id, r.text) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    clean = lambda t: [x for x in t.split("\n") if x.strip()]
+    places = defaultdict(set)  # of each line, over both orders of the texts of one id
+    for i, t in rows:
+        for k, x in enumerate(clean(t)):
+            places[x].add((i, k))
+    counts = Counter(x for _, t in got for x in clean(t))
+    assert counts == Counter(places.keys())  # every line is left once
+    for i, t in got:
+        for x in clean(t):
+            assert i == min(places[x])[0]  # and in the earliest document
+
+
 @pytest.mark.parametrize("group_contexts", [20_000, 0])
 def test_suffix_dedup(spark, nothing, group_contexts, monkeypatch):
     from gaugeleaf.llm import suffix_dedup as S
@@ -483,6 +506,51 @@ def test_classifier(spark, nothing):
     assert quality_scores(nothing, marks).collect() == []
 
 
+def test_isotonic_against_brute_force():
+    from gaugeleaf.llm.quality_classifier import isotonic
+
+    draw = np.random.default_rng(3)
+    for _ in range(30):
+        x, y = draw.normal(size=25), draw.integers(0, 2, 25).astype(float)
+        order = np.argsort(x)
+        u, v = x[order], y[order]
+        fitted = np.array([max(min(v[a : b + 1].mean() for b in range(i, len(v))) for a in range(i + 1)) for i in range(len(v))])
+        blocks = np.split(np.arange(len(v)), np.flatnonzero(np.diff(fitted) > 1e-12) + 1)
+        knots, values = isotonic(x, y)
+        assert knots == pytest.approx([u[b].mean() for b in blocks])
+        assert values == pytest.approx([(v[b].sum() + 0.5) / (len(b) + 1) for b in blocks])
+
+
+def test_ridge_against_direct_solution(spark):
+    from gaugeleaf.llm import quality_classifier as Q
+
+    draw = random.Random(6)
+    texts = [" ".join(draw.choice(WORDS) for _ in range(draw.randint(1, 60))) + "." * (i % 3) for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(300)], "doc_id long, quality int")
+    model = Q.fit(df, labels, n_features=16)
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    learned = {r.doc_id for r in df.where(fold != 2).where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) < 4).collect()}
+    assert learned == {r.doc_id for r in df.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2} & learned
+    raw = [t.encode() for t in texts]
+    stats = Q.statistics(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]))[sorted(learned)]
+    assert model.center == pytest.approx(stats.mean(axis=0), rel=1e-4, abs=1e-6)
+    x, y = model.features(stats.astype(float)), np.array([float(i % 3 > 0) for i in sorted(learned)])
+    weights = np.linalg.solve(x.T @ x + 0.1 * np.eye(x.shape[1]), x.T @ y)
+    assert x @ model.weights == pytest.approx(x @ weights, abs=1e-4)
+
+
+def test_held_out_quality(spark):
+    from gaugeleaf.llm.quality_classifier import quality_scores
+
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = quality_scores(spark.read.parquet(f"{sf}/documents.parquet"), labels).where("held_out").join(labels, "doc_id").select("score", "quality").collect()
+    good, bad = [r.score for r in got if r.quality == 1], [r.score for r in got if r.quality == 0]
+    assert np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad]) > 0.95  # area under the curve
+    assert np.mean([(r.score - r.quality) ** 2 for r in got]) < 0.05
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
 <header class="site">Site head</header><nav><ul><li><a href="/a">menu {n}</a></li></ul></nav><div class="ad">Buy {n}</div>
 <article><h1>Head {n}</h1><p><b>First &amp; bold {n}<br><p>Second   line
@@ -566,6 +634,28 @@ def test_html_types_of_pages(spark):
     assert (texts[30], texts[31], texts[32]) == ("Not found", "", "")
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    draw = random.Random(1)
+    good = [(i, ". ".join(draw.choice(WORDS) for _ in range(60)) + ".", "en", None, 1, "x") for i in range(60)]
+    odd = [(100, None, None, None, None, None), (101, "", "en", "s", 0, "y"), (102, LONG, "en", "s", len(LONG), "z"), (None, good[3][1], "en", "s", 1, "w"), good[5], (6, good[9][1] + " more", "en", "s", 1, "v")]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, n_words string"  # one column more, named like an operator's own
+    spark.createDataFrame([(1, ITEM), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(None, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for rows, folder in ((good + odd, "some"), ([], "none")):
+        spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/{folder}/documents.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{folder}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, str(tmp_path))
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "n_words"]
+        kept = corpus_pipeline.pack_sequences(spark, docs, str(tmp_path)).collect()
+        assert bool(kept) == bool(rows)
+        if rows:
+            assert {i for i in range(60)} - {r.doc_id for r in kept} <= {9}
+            assert 102 in {r.doc_id for r in kept}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

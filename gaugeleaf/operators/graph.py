@@ -54,12 +54,19 @@ def weakness_roots(accuracy: DataFrame, edges: DataFrame, key: str, weak_below:
     accuracy = staged(accuracy.select(key, "node", "accuracy"), "accuracy")
     known = accuracy.select(key, F.col("node").alias("from_node"), "accuracy")
     edges = staged(edges.select("from_node", "to_node"), "prerequisites")
-    reached = fresh = accuracy.where(F.col("accuracy") < weak_below).select(key, "node").distinct()
-    steps: list[DataFrame] = []
-    while not steps or not fresh.isEmpty():
+    weak = accuracy.where(F.col("accuracy") < weak_below).select(key, "node").distinct()
+    fresh, steps, most = weak, [], edges.count() + 1
+    while True:
         climbed = fresh.withColumnRenamed("node", "to_node").join(edges, "to_node").join(known, [key, "from_node"], "left")
-        steps.append(staged(climbed.where(F.coalesce("accuracy", F.lit(-1.0)) < weak_below).select(key, "to_node", "from_node"), "steps"))
-        fresh = staged(steps[-1].select(key, F.col("from_node").alias("node")).distinct().join(reached, [key, "node"], "left_anti"), "fresh")
-        reached = reached.union(fresh)
-    inner = functools.reduce(DataFrame.union, steps).select(key, F.col("to_node").alias("node")).distinct()
-    return reached.join(inner, [key, "node"], "left_anti").select(key, F.col("node").alias("root"))
+        taken = staged(climbed.where(F.coalesce("accuracy", F.lit(-1.0)) < weak_below).select(key, "to_node", "from_node"), "steps")
+        if taken.isEmpty():
+            break
+        steps.append(taken)
+        if len(steps) > most:
+            raise ValueError("the prerequisites have a cycle")
+        fresh = taken.select(key, F.col("from_node").alias("node")).distinct()
+    if not steps:
+        return weak.select(key, F.col("node").alias("root"))
+    taken = functools.reduce(DataFrame.union, steps)
+    reached = weak.union(taken.select(key, "from_node")).distinct()
+    return reached.join(taken.select(key, F.col("to_node").alias("node")), [key, "node"], "left_anti").select(key, F.col("node").alias("root"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -128,35 +129,49 @@ def knn_all_pairs(items: DataFrame, key: str, vector: str, k: int = 10, least: f
     return ranked.where(F.col("score") >= least).select(F.col("id").alias(key), "neighbour", N.js_round_n(F.col("score"), 4).alias("score"), "rank")
 
 
-def counted_ranks(rows: DataFrame, score: str, key: str, wanted: DataFrame) -> DataFrame:
-    """key and rank, in the order of falling score and rising key, of the wanted rows of a list: one pass that counts what is before each.
+def counted_ranks(rows: DataFrame, key: str, wanted: list) -> dict:
+    """Ranks of the wanted keys, as far as a list of (key, score) has them, in the order of falling score and rising key.
 
-    wanted is a page of the list at most; its bounds are collected.
+    wanted is a page at most: their places are collected, and one pass counts the rows between them.
     """
-    bounds = wanted.select(score, key).collect()
-    spark = rows.sparkSession
-    kind = f"{key} {rows.schema[key].dataType.simpleString()}, rank long"
+    if not wanted:
+        return {}
+    bounds = sorted(((r["score"], r[key]) for r in rows.where(F.col(key).isin(wanted)).collect()), key=lambda b: (-b[0], b[1]))
     if not bounds:
-        return spark.createDataFrame([], kind)
-    before = [F.count_if((F.col(score) > s) | ((F.col(score) == s) & (F.col(key) < i))) for s, i in bounds]
-    counts = rows.agg(*(c.alias(f"c{n}") for n, c in enumerate(before))).first()
-    return spark.createDataFrame([(b[key], n + 1) for b, n in zip(bounds, counts, strict=True)], kind)
+        return {}
+    marks = F.array(*(F.struct(F.lit(s).alias("s"), F.lit(i).alias("i")) for s, i in bounds))
+    passed = F.size(F.filter(marks, lambda m: (m["s"] > F.col("score")) | ((m["s"] == F.col("score")) & (m["i"] <= F.col(key)))))
+    counts = {r["passed"]: r["count"] for r in rows.groupBy(passed.alias("passed")).count().collect()}
+    before, out = 0, {}
+    for n, (_, i) in enumerate(bounds):
+        before += counts.get(n, 0)
+        out[i] = before + 1
+    return out
 
 
 def fused_page(lists: list[DataFrame], key: str, size: int, constant: int = 60) -> DataFrame:
     """key and reciprocal rank fusion score of the first size items over lists of (key, score), and total, the number of items in any.
 
     Two items far down every list cannot outdo the size-th of one: only the first
-    lists * (constant + size) - constant of each list can be on the page.  Their ranks in the other
-    lists are counted.
+    lists * (constant + size) - constant of each list can be on the page.  These are collected; their
+    ranks in the other lists are counted.
     """
     reach = len(lists) * (constant + size) - constant
-    heads = [df.orderBy(F.desc("score"), key).limit(reach).select(key).persist() for df in lists]
-    candidates = functools.reduce(DataFrame.union, heads).distinct().persist()
-    total = functools.reduce(DataFrame.union, [df.select(key) for df in lists]).distinct().agg(F.count("*").alias("total"))
-    ranks = [counted_ranks(df, "score", key, df.join(F.broadcast(candidates), key, "left_semi")) for df in lists]  # lists * reach rows at most
-    page = reciprocal_rank_fusion(ranks, key, constant).orderBy(F.desc("score"), key).limit(size)
-    return page.join(F.broadcast(total), how="cross")  # one row
+    lists = [df.select(key, "score") for df in lists]
+    with ThreadPoolExecutor(len(lists) + 1) as pool:  # the lists' jobs do not wait for each other
+        total = pool.submit(functools.reduce(DataFrame.union, [df.select(key) for df in lists]).distinct().count)
+        heads = list(pool.map(lambda df: [r[key] for r in df.orderBy(F.desc("score"), key).limit(reach).collect()], lists))
+        candidates = sorted(set().union(*heads))
+        missing = [[i for i in candidates if i not in set(head)] if len(head) == reach else [] for head in heads]
+        counted = list(pool.map(lambda df, ids: counted_ranks(df, key, ids), lists, missing))
+        total = total.result()
+    fused = dict.fromkeys(candidates, 0.0)
+    for head, ranks in zip(heads, counted, strict=True):
+        for i, rank in ({i: n for n, i in enumerate(head, 1)} | ranks).items():
+            fused[i] += 1 / (constant + rank)
+    page = sorted(fused.items(), key=lambda r: (-r[1], r[0]))[:size]
+    kind = lists[0].schema[key].dataType.simpleString()
+    return lists[0].sparkSession.createDataFrame([(i, score, total) for i, score in page], f"{key} {kind}, score double, total long")
 
 
 def reciprocal_rank_fusion(rankings: list[DataFrame], key: str, constant: int = 60) -> DataFrame:

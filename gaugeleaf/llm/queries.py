@@ -80,6 +80,27 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tables import materialize
+    from .warc import index_archives, read_records, resolved, write_archives
+
+    archives = write_archives(load(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    found = resolved(materialize(read_records(index_archives(spark, archives), with_payload=False), "warc-records"))
+    return found.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import find_runs, run_digests, tiled
+
+    return run_digests(find_runs(tiled(load(spark, sf_dir, "documents")), least=12))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(load(spark, sf_dir, "documents").select("text", "lang", "source"), least_docs=10, k=10)
+
+
 OP1_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -164,6 +185,43 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0)
 FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN items i USING (doc_id)
 """
 
+OP11_SQL = r"""
+WITH p AS (SELECT page_id, row_number() OVER () AS r, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+q AS (SELECT *, first_value(page_id) OVER w AS lead, row_number() OVER w AS place FROM p WINDOW w AS (PARTITION BY h ORDER BY page_id NULLS LAST, r))
+SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN n >= 100 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND place > 1 THEN lead END AS refers_to
+FROM q
+"""
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+held AS (SELECT id, lang, source, term, count(*) AS n FROM (SELECT id, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS n FROM held GROUP BY lang, term HAVING count(*) >= 10),
+langs AS (SELECT lang, sum(n) AS total, count(*) AS v FROM kept GROUP BY lang),
+counts AS (SELECT h.lang, h.source, h.term, sum(h.n) AS n FROM held h SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM d),
+totals AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000 * (coalesce(c.n, 0) + 2))::HUGEINT // (coalesce(t.total, 0) + 2 * l.v)::HUGEINT AS p,
+         1 + (1000000000 * (k.n + 2))::HUGEINT // (l.total + 2 * l.v)::HUGEINT AS q
+  FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN totals t USING (lang, source)
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT g.lang, g.source, 'pair' AS part, o.source AS item, coalesce(p.value, 0) AS value
+  FROM groups g JOIN groups o ON g.lang = o.lang AND g.source <> o.source
+  LEFT JOIN pairs p ON p.lang = g.lang AND p.source = g.source AND p.item = o.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM shares WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
 
 def queries() -> dict:
     return {
@@ -177,8 +235,11 @@ def queries() -> dict:
         "op8_decontamination": op8_decontamination,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_html_extraction": op10_html_extraction,
+        "op11_warc_archives": op11_warc_archives,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_source_divergence": op13_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": OP1_SQL, "op5_suffix_dedup": OP5_SQL, "op6_quality_rules": OP6_SQL, "op8_decontamination": OP8_SQL}
+    return {"op1_minhash_near_dedup": OP1_SQL, "op5_suffix_dedup": OP5_SQL, "op6_quality_rules": OP6_SQL, "op8_decontamination": OP8_SQL, "op11_warc_archives": OP11_SQL, "op13_source_divergence": OP13_SQL}

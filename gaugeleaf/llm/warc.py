@@ -201,13 +201,15 @@ def index_archives(spark: SparkSession, path: str) -> DataFrame:
     return materialize(files.mapInArrow(run, INDEX), "warc-index")
 
 
-def read_records(selected: DataFrame, with_payload: bool = True, gap: int = 64 << 10, most: int = 8 << 20) -> DataFrame:
+def read_records(selected: DataFrame, with_payload: bool = True, gap: int = 64 << 10, most: int = 8 << 20, task_bytes: int = 64 << 20) -> DataFrame:
     """The records of rows of an index: record_id, record_type, url, page_id, refers_to, payload_bytes, payload_digest (both of the payload in the record) and, if asked, payload.
 
     The digest of a response is computed from the bytes read, and an error if the record says otherwise.
+    The records are dealt by their bytes in the archives, some task_bytes to each task.
     """
     schema = READ + (", payload binary" if with_payload else "")
-    ordered = selected.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    tasks = 1 + (selected.agg(F.sum("length")).first()[0] or 0) // task_bytes
+    ordered = selected.select("archive", "offset", "length").repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in schema.split(", ")]

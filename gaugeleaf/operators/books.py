@@ -1,4 +1,4 @@
-"""Pages of scanned books: sections, exam headers and problems, as windows over lines.
+"""Pages of scanned books: where contents, problems and answers begin, as windows over lines.
 
 Lines are (book, page, line_number, text); a book's lines are one window, which its length bounds.
 """
@@ -32,9 +32,6 @@ STARTS = (
 )
 CIRCLED_NUMBERS = "①②③④⑤⑥⑦⑧⑨⑩"
 MOST_NUMBER = 3000
-CHAPTER_HEAD = r"^(\d{2})\s+([^\d\s].*)$"
-CONCEPT_HEAD = r"^(?:개념|정리|Concept)(?:\s|$)"
-SUB_PROBLEM = r"^\s*\((\d{1,2})\)"
 
 
 def hits(pattern: str) -> Column:
@@ -56,23 +53,6 @@ def problem_start(text: Column) -> tuple[Column, Column]:
     return F.when(header, "header").otherwise(kind), F.when(header, first).otherwise(number)
 
 
-def exam_header(text: Column) -> Column:
-    """number, year, source, month, form and audience of a header line such as ``12 2019학년도 6월 모평 (고3) 가형``; null for others."""
-    source = F.lit(None).cast("string")
-    for name, words in (("police", "경찰"), ("academy", "사관"), ("csat", "수능"), ("mock", "모평"), ("school", "학평")):
-        source = F.when(text.contains(words), name).otherwise(source)
-    part = lambda pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
-    made = F.struct(
-        part(r"^\s*(\d{1,4})").cast("int").alias("number"),
-        part(r"(20\d{2})\s*(?:학년도|년)").cast("int").alias("year"),
-        source.alias("source"),
-        part(r"(\d{1,2})월").cast("int").alias("month"),
-        part(r"([AB가나]형)").alias("form"),
-        part(r"\(([^)]*)\)").alias("audience"),
-    )
-    return F.when(text.rlike(HEADER_LINE) & text.rlike(r"20\d{2}\s*(?:학년도|년)"), made)
-
-
 def page_features(lines: DataFrame, key: str) -> DataFrame:
     """What the lines of each page show, and how the page looks: as an answer table, a table of contents, a page of problems."""
     text = F.trim(F.col("text"))
@@ -114,38 +94,3 @@ def sections(lines: DataFrame, key: str) -> DataFrame:
     near = F.exists("quick_pages", lambda p: p.between(F.col("answer_start"), F.col("answer_start") + 3))
     quick = F.col("answer_start").isNotNull() & ((F.col("first_table") == F.col("answer_start")) | near)
     return out.withColumn("has_quick", F.coalesce(quick, F.lit(False))).drop("quick_pages", "first_table")
-
-
-def textbook_problems(lines: DataFrame, key: str, full_choices: int = 4) -> DataFrame:
-    """Problems of textbook pages: chapter, kind, number, start_page, n_lines, subs (numbers of sub-problems) and text.
-
-    A line opens a problem by the first of the start patterns that it fits.  Chapter heads are carried on.
-    After a concept head nothing belongs to a problem until the next one opens.  Once full_choices
-    choices stand in the line before, a line without any on a later page than the problem's first ends it.
-    """
-    text = F.trim(F.col("text"))
-    kind, number = problem_start(F.col("text"))
-    head = F.col("text").rlike(CHAPTER_HEAD)
-    marked = lines.where(text != "").withColumn("text", text).withColumns({"kind": kind, "number": number, "marks": F.regexp_count("text", F.lit(f"[{CIRCLED_NUMBERS}]"))})
-    event = F.when(head & F.col("kind").isNull(), "head").when(F.col("text").rlike(CONCEPT_HEAD), "concept").when(F.col("kind").isNotNull(), "start")
-    order = Window.partitionBy(key).orderBy("page", "line_number")
-    marked = marked.withColumn("event", event)
-    marked = marked.withColumns(
-        {
-            "chapter": F.last(F.when(F.col("event") == "head", F.regexp_extract("text", CHAPTER_HEAD, 1)), ignorenulls=True).over(order),
-            "state": F.last("event", ignorenulls=True).over(order),
-            "problem": F.count_if(F.col("event") == "start").over(order),
-            "before": F.lag("marks").over(order),
-        }
-    ).where("state = 'start'")
-    inside = Window.partitionBy(key, "problem").orderBy("page", "line_number")
-    start_page = F.first("page").over(inside)
-    ends = (F.col("event").isNull()) & (F.col("before") >= full_choices) & (F.col("marks") == 0) & (F.col("page") > start_page)
-    kept = marked.withColumn("ends", ends).withColumn("ended", F.max("ends").over(inside)).where("not ended")
-    sub = F.nullif(F.regexp_extract("text", SUB_PROBLEM, 1), F.lit("")).cast("int")
-    rows = kept.groupBy(key, "problem").agg(
-        F.first("chapter").alias("chapter"), F.max(F.when(F.col("event") == "start", F.col("kind"))).alias("kind"), F.max(F.when(F.col("event") == "start", F.col("number"))).alias("number"),
-        F.min("page").alias("start_page"), F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.struct("page", "line_number", "text", F.when(F.col("event").isNull(), sub).alias("sub")))).alias("rows"),
-    )
-    subs = F.filter(F.transform("rows", lambda r: r["sub"]), lambda s: s.isNotNull())
-    return rows.withColumns({"subs": subs, "text": F.array_join(F.transform("rows", lambda r: r["text"]), "\n")}).drop("rows", "problem")

@@ -78,20 +78,22 @@ def assembled(segmented: DataFrame, key: str) -> DataFrame:
     return joined.withColumn("problem_type", F.when(choices >= 4, "multiple_choice").otherwise("short_answer"))
 
 
+# The signs of a choice, in every form that scans have, and where they may stand.
+CHOICE_SIGN = rf"\\(?:textcircled|circled)\{{\s*([1-5])\s*\}}|\(\s*([1-5])\s*\)|（\s*([1-5])\s*）|([{CIRCLED}])|([1-5])[.)]"
+CHOICE_PLACE = re.compile(rf"(?:(?<=\s)|^)(?:{CHOICE_SIGN})", re.MULTILINE)
+
+
 def split_choices(text: str | None, least: int = 4) -> tuple[str, list[str]]:
-    """Stem and choices: markers must appear in order from the first, at least ``least`` of them."""
+    """Stem and choices: the first signs in turn that count from one to ``least`` or five, behind a stem and with something behind each."""
     text = re.sub(r"\r\n?", "\n", text or "").strip()
-    for markers in (list(CIRCLED), [f"({k})" for k in range(1, 6)]):
-        at, places = 0, []
-        for m in markers:
-            found = text.find(m, at)
-            if found < 0:
-                break
-            places.append((found, found + len(m)))
-            at = found + len(m)
-        if len(places) >= least:
-            ends = [a for a, _ in places[1:]] + [len(text)]
-            return text[: places[0][0]].strip(), [text[b:e].strip() for (_, b), e in zip(places, ends, strict=True)]
+    signs = list(CHOICE_PLACE.finditer(text))
+    counted = "".join(str(1 + CIRCLED.find(d)) if d in CIRCLED else d for d in (next(filter(None, m.groups())) for m in signs))
+    for run in re.finditer(rf"(?={'12345'[:least]}({'12345'[least:]})?)", counted):
+        mine = signs[run.start() : run.start() + (5 if run[1] else least)]
+        stem, ends = text[: mine[0].start()].strip(), [m.start() for m in mine[1:]] + [len(text)]
+        choices = [text[m.end() : end].strip() for m, end in zip(mine, ends, strict=True)]
+        if stem and all(choices):
+            return stem, [re.sub(rf"^(?:{CHOICE_SIGN})\s*(?=\S)", "", c) for c in choices]
     return text, []
 
 

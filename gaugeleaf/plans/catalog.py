@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import aggregates, books, documents, folds, relational, retrieval, scalars, streams, windows, workbooks  # noqa: F401
+from . import aggregates, answers, books, documents, folds, relational, retrieval, scalars, streams, windows, workbooks  # noqa: F401
 from .registry import QUERIES, SQL
 
 

@@ -12,6 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+#: Four lines of choices of a textbook problem, in brackets or as marks.
+CHOICE_LINES = "\n        ".join(
+    f"UNION ALL SELECT book, page, 20 * k + {6 + c}, 'text', concat(CASE WHEN z % 2 = 0 THEN '({c + 1}) ' ELSE '{mark}' END, a), x, CASE WHEN z % 8 = 3 THEN NULL ELSE y + {40 + 10 * c} END FROM n WHERE z % 3 = 0"
+    for c, mark in enumerate("①②③④")
+)
+
 DOMAIN = {
     "students": "SELECT c_custkey AS student_id, c_name AS name, c_nationkey AS class_id, c_mktsegment AS segment, CAST(floor(c_acctbal / 10) AS BIGINT) AS xp FROM {customer}",
     "classes": "SELECT n_nationkey AS class_id, n_name AS title, n_regionkey AS organization_id FROM {nation}",
@@ -62,6 +68,50 @@ DOMAIN = {
         UNION ALL SELECT book, page_number, 10 * k + 1, CASE z % 5 WHEN 0 THEN '유제' WHEN 1 THEN '예제' WHEN 2 THEN 'Level 1 기초 연습' WHEN 3 THEN 'Level 2' ELSE 'Level 3' END FROM k WHERE k % 25 = 3
         UNION ALL SELECT book, page_number, 10 * k + 2, CASE z % 4 WHEN 0 THEN concat(CAST(1 + k % 25 AS STRING), ' ③ ', CAST(2 + k % 25 AS STRING), ' ', CAST(z AS STRING)) WHEN 1 THEN concat(CAST(1 + k % 25 AS STRING), '①', CAST(2 + k % 25 AS STRING), '⑤')
             WHEN 2 THEN concat(CAST(1 + k % 25 AS STRING), ' -', CAST(z AS STRING), '.5') ELSE concat('풀이 ', stem) END FROM k""",
+    # pages that show the answers of a book at a glance: chapters, sections by label, by a level's word and in tables, answers in every form
+    "overview_lines": """WITH k AS (SELECT CAST(floor(p_partkey / 200) AS BIGINT) AS book, CAST(p_partkey % 200 AS BIGINT) AS k, CAST(floor((p_partkey % 200) / 20) AS BIGINT) + 1 AS page_number, CAST(p_size AS INT) AS z, p_name AS stem FROM {part}),
+        n AS (SELECT *, CAST(1 + k % 12 AS STRING) AS n, CAST(z AS STRING) AS a, k % 20 = 1 AS opens FROM k)
+        SELECT book, page_number, 10 * k AS line_number, 'text' AS line_type, concat('0', CAST(1 + z % 9 AS STRING), ' ', stem) AS text FROM n WHERE k % 40 = 0
+        UNION ALL SELECT book, page_number, 10 * k + 1, CASE z % 6 WHEN 4 THEN 'table' ELSE 'text' END, CASE z % 6 WHEN 0 THEN '유제' WHEN 1 THEN 'Level' WHEN 2 THEN 'Level 1 기초 연습 11 ④' WHEN 3 THEN ' Level 3 '
+            WHEN 4 THEN concat(chr(92), 'begin{{tabular}}{{|l|l|}} ', chr(92), 'hline ', CASE WHEN z % 4 = 0 THEN 'Level 2 ' ELSE concat('Level ', chr(92), 'mathbf{{3}} 실력 완성') END, ' & 4 (2) & 12 (', a, ') ', chr(92), chr(92), ' ', chr(92), 'hline ', chr(92), 'end{{tabular}}') ELSE 'Level' END FROM n WHERE opens
+        UNION ALL SELECT book, page_number, 10 * k + 2, 'text', CASE WHEN z % 6 = 5 THEN 'Level' WHEN z % 3 = 0 THEN '2 기본 연습' WHEN z % 3 = 1 THEN '기초' ELSE '7 ②' END FROM n WHERE opens AND z % 6 IN (1, 5)
+        UNION ALL SELECT book, page_number, 10 * k + 3, 'text', '3 실력 완성' FROM n WHERE opens AND z % 12 = 5
+        UNION ALL SELECT book, page_number, 10 * k + 4, CASE z % 10 WHEN 6 THEN 'table' ELSE 'simple_cell' END, CASE z % 10 WHEN 0 THEN concat(n, ' ① ', CAST(2 + k % 12 AS STRING), ' ', a) WHEN 1 THEN concat(n, ' (5) 12(3) 4 ①') WHEN 2 THEN concat(CAST(1 + k % 9 AS STRING), a)
+            WHEN 3 THEN 'www.example.org 1 ①' WHEN 4 THEN '본문 3 4' WHEN 5 THEN concat(chr(92), 'hline 1 ②') WHEN 6 THEN concat(chr(92), 'begin{{tabular}}{{|c|}}$', n, '$ & ', chr(92), 'multicolumn{{2}}{{|c|}}{{③}}', chr(92), 'end{{tabular}}')
+            WHEN 7 THEN concat('풀이 ', stem) WHEN 8 THEN concat('  ', n, '  ', a, '  ') ELSE '5' END FROM n WHERE NOT opens""",
+    # solutions of books: heads as text, as a level's word and garbled in tables, summaries, numbers in every form, answers, page furniture
+    "solution_pages": """WITH k AS (SELECT CAST(floor(p_partkey / 200) AS BIGINT) AS book, CAST(p_partkey % 200 AS BIGINT) AS k, CAST(floor((p_partkey % 200) / 20) AS BIGINT) + 1 AS page_number, CAST(p_size AS INT) AS z, p_name AS stem FROM {part}),
+        n AS (SELECT *, CAST(1 + k % 12 AS STRING) AS n, CAST(z AS STRING) AS a, k % 20 = 1 AS opens FROM k)
+        SELECT book, page_number, 10 * k AS line_number, 'text' AS line_type, concat('0', CAST(1 + z % 9 AS STRING), ' ', stem) AS text FROM n WHERE k % 40 = 0
+        UNION ALL SELECT book, page_number, 10 * k + 1, CASE WHEN z % 6 IN (3, 5) THEN 'table' ELSE 'text' END, CASE z % 6 WHEN 0 THEN '유제' WHEN 1 THEN 'Level' WHEN 2 THEN ' Level 2 기본 연습' WHEN 3 THEN concat(chr(92), 'begin{{tabular}}{{|c|}} ', chr(92), 'hline ㄱovel & 3 실력 완성 ', chr(92), 'end{{tabular}}')
+            WHEN 4 THEN '대표 기출 문제' ELSE concat(chr(92), 'begin{{tabular}}{{|c|}} Level ', chr(92), 'mathbf{{1}} ', chr(92), 'end{{tabular}}') END FROM n WHERE opens
+        UNION ALL SELECT book, page_number, 10 * k + 2, 'text', CASE z % 3 WHEN 0 THEN '1 기초 연습' WHEN 1 THEN '기본 연습' ELSE '7 content of it' END FROM n WHERE opens AND z % 6 = 1
+        UNION ALL SELECT book, page_number, 10 * k + 3, 'text', '1 (4) 2 ③' FROM n WHERE opens AND z % 5 <> 0
+        UNION ALL SELECT book, page_number, 10 * k + 4, 'text', CASE z % 4 WHEN 0 THEN '본문 4~7쪽' WHEN 1 THEN '(1) ①' WHEN 2 THEN '3125' ELSE '3 (2)' END FROM n WHERE opens AND z % 5 <> 0
+        UNION ALL SELECT book, page_number, 10 * k + 5, 'text', CASE WHEN z % 2 = 0 THEN '1' ELSE '2 1' END FROM n WHERE opens AND z % 7 < 4
+        UNION ALL SELECT book, page_number, 10 * k + 6, CASE z % 13 WHEN 5 THEN 'page_info' WHEN 6 THEN 'page_info' WHEN 9 THEN 'page_footer' ELSE 'text' END, CASE z % 13 WHEN 0 THEN concat('$', n, ' ', stem) WHEN 1 THEN n WHEN 2 THEN concat(n, ' ab') WHEN 3 THEN concat(n, '(', stem) WHEN 4 THEN '답 (3)' WHEN 5 THEN concat('뎝 ', a, ' ', a)
+            WHEN 6 THEN stem WHEN 7 THEN concat(CAST(1 + (k + 11) % 12 AS STRING), ' ', stem) WHEN 8 THEN concat(stem, ' 답 1') WHEN 9 THEN '답 9' WHEN 10 THEN concat('45 ', stem) WHEN 11 THEN concat('$', n) ELSE concat(n, '  ', stem, ' ') END FROM n WHERE NOT opens
+        UNION ALL SELECT book, page_number, 10 * k + 7, 'text', CASE WHEN z % 4 = 0 THEN 'so' ELSE concat('so ', stem) END FROM n WHERE NOT opens AND z % 2 = 0
+        UNION ALL SELECT book, page_number, 10 * k + 8, 'text', concat('달 ', a) FROM n WHERE NOT opens AND z % 3 = 0""",
+    # textbook pages with places: every start, head and layout, questions without a number behind full choices, sub-problems, furniture
+    "textbook_lines": """WITH k AS (SELECT CAST(floor(p_partkey / 200) AS BIGINT) AS book, CAST(p_partkey % 200 AS BIGINT) AS k, CAST(floor((p_partkey % 200) / 6) AS BIGINT) + 1 AS page, CAST(p_size AS INT) AS z, p_name AS stem FROM {part}),
+        n AS (SELECT *, CAST(z AS STRING) AS a, CASE WHEN z % 9 = 0 THEN NULL ELSE CAST(100 + 1000 * (z % 2) AS DOUBLE) END AS x, CAST(300 * (k % 6) + 100 AS DOUBLE) AS y FROM k)
+        SELECT book, page, 20 * k AS line_number, 'text' AS line_type, CASE z % 4 WHEN 0 THEN concat('제 ', a, ' 장 ', stem) WHEN 1 THEN concat('Section ', a) WHEN 2 THEN concat('[유형 ', a, '] ', stem) ELSE concat(a, '단원 ', stem) END AS text, x AS bbox_x, y AS bbox_y FROM n WHERE z % 11 = 0
+        UNION ALL SELECT book, page, 20 * k + 1, 'text', concat(CASE z % 3 WHEN 0 THEN '[개념] ' WHEN 1 THEN 'note ' ELSE '공식 정리 ' END, stem), x, y FROM n WHERE z % 13 = 0
+        UNION ALL SELECT book, page, 20 * k + 2, 'text', concat('about ', stem), x, y FROM n WHERE z % 13 = 0
+        UNION ALL SELECT book, page, 20 * k + 3, 'page_header', concat('head ', stem), x, y FROM n WHERE k % 6 = 0
+        UNION ALL SELECT book, page, 20 * k + 4, CASE WHEN z % 10 = 5 THEN 'page_info' ELSE 'text' END, CASE z % 10 WHEN 0 THEN concat('예제 ', a, ' ', stem) WHEN 1 THEN concat('0', lpad(a, 3, '0'), ' ', stem) WHEN 2 THEN concat(a, '. ', stem) WHEN 3 THEN concat('⑬ ', stem) WHEN 4 THEN concat('[', a, '] ', stem)
+            WHEN 5 THEN concat(lpad(a, 3, '0'), '★★☆ 20', CAST(10 + z % 13 AS STRING), '학년도 경찰대 ', CAST(1 + z % 30 AS STRING), '번', CASE WHEN z % 3 = 0 THEN concat('(고3) ', stem) ELSE '' END) WHEN 6 THEN concat(a, '.5 ', stem) WHEN 7 THEN concat('  문제 ', a) WHEN 8 THEN concat('Q', a, ' ', stem) ELSE a END, x, y FROM n WHERE z % 7 <> 6
+        UNION ALL SELECT book, page, 20 * k + 5, 'text', concat(stem, CASE z % 3 WHEN 0 THEN '의 값은? ' WHEN 1 THEN ' (3점)' ELSE ' 서술하' END), x, y + 20 FROM n WHERE z % 4 < 3
+        """ + CHOICE_LINES + """
+        UNION ALL SELECT book, page, 20 * k + 11, 'text', concat('then ', stem, CASE WHEN z % 5 < 3 THEN ' 구하시오' ELSE '' END), CASE WHEN z % 5 = 0 THEN 1900 - x ELSE x END, CASE z % 5 WHEN 1 THEN y - 400 WHEN 2 THEN y + 400 ELSE y + 60 END FROM n WHERE z % 3 = 0
+        UNION ALL SELECT book, page, 20 * k + 12, 'text', concat('(1) ', stem), x, y FROM n WHERE z % 5 = 1
+        UNION ALL SELECT book, page, 20 * k + 13, 'text', concat('more of ', a), x, y FROM n WHERE z % 5 = 1
+        UNION ALL SELECT book, page, 20 * k + 14, 'text', concat('2) ', stem), x, y FROM n WHERE z % 10 = 1""",
+    # heads of past exam questions: two sources in one line, forms and audiences before and behind the item, lines that are none
+    "exam_heads": """SELECT p_partkey AS line_number, concat(CAST(p_size AS STRING), CASE p_size % 4 WHEN 0 THEN ' ★☆☆ ' WHEN 1 THEN '★★★ ' WHEN 2 THEN ' ' ELSE ' 하 · ' END, CASE WHEN p_size % 9 = 0 THEN '19' ELSE '20' END, CAST(10 + p_size % 13 AS STRING), CASE WHEN p_size % 2 = 0 THEN '학년도 ' ELSE '년  ' END,
+        CASE CAST(floor(p_partkey / 7) AS BIGINT) % 9 WHEN 0 THEN '경찰대 수능 대비' WHEN 1 THEN '사관 학교' WHEN 2 THEN '수능' WHEN 3 THEN '6월학평 A형' WHEN 4 THEN '9월  모의평가' WHEN 5 THEN '교육청 학평' WHEN 6 THEN '모평 경찰' WHEN 7 THEN '' ELSE '견본' END,
+        CASE p_partkey % 7 WHEN 0 THEN ' 12번(고3)' WHEN 1 THEN ' 7번' WHEN 2 THEN ' 21 문항 가' WHEN 3 THEN ' 30번 B형 ' WHEN 4 THEN ' 15나' WHEN 5 THEN '' ELSE ' A형 3번(고2)' END, CASE WHEN p_size % 3 = 0 THEN '' ELSE concat('  ', p_name) END) AS text FROM {part}""",
     # the lines of a problem with their places: stems without box, with a view in one or two columns, with conditions, with both, and choices after them
     "stem_lines": """WITH p AS (SELECT p_partkey AS problem_id, p_name AS stem, CAST(p_size % 6 AS INT) AS z, CAST(20 + p_size % 3 AS DOUBLE) AS h FROM {part})
         SELECT problem_id, 0 AS line_number, concat('next ', stem) AS text, CAST(0 AS DOUBLE) AS bbox_y, h AS bbox_h FROM p

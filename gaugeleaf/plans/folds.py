@@ -54,8 +54,11 @@ def k4(t: Tables):
     return K.ability_profile(each).select("student_id", "score", "level", "next_low", "next_high", (F.col("n") >= 25).alias("done"))
 
 
-@query("K5_daily_streak", """WITH d AS (SELECT DISTINCT student_id, CAST(client_ts AS DATE) AS day FROM learning_events), g AS (SELECT *, day - CAST(row_number() OVER (PARTITION BY student_id ORDER BY day) AS INTEGER) AS island FROM d),
-  r AS (SELECT student_id, island, count(*) AS run, max(day) AS last FROM g GROUP BY 1, 2) SELECT student_id, max_by(run, last) AS current, max(run) AS longest FROM r GROUP BY 1""")
+STREAKS = """WITH d AS (SELECT DISTINCT student_id, CAST(client_ts AS DATE) AS day FROM learning_events), g AS (SELECT *, day - CAST(row_number() OVER (PARTITION BY student_id ORDER BY day) AS INTEGER) AS island FROM d),
+  r AS (SELECT student_id, island, count(*) AS run, max(day) AS last FROM g GROUP BY 1, 2) SELECT student_id, max_by(run, last) AS current, max(run) AS longest FROM r GROUP BY 1"""
+
+
+@query("K5_daily_streak", STREAKS)
 def k5(t: Tables):
     return K.daily_streaks(t.learning_events.withColumn("day", F.to_date("client_ts")), "student_id", "day")
 

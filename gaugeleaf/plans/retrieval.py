@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numerics as N
@@ -253,20 +253,28 @@ def chosen_assignments(t: Tables):
     return t.assignments.groupBy("class_id").agg(F.coalesce(nearest, F.max_by("assignment_id", F.struct("created_at", "assignment_id"))).alias("assignment_id"))
 
 
-@query("J18_class_monitor", f"""WITH c AS ({CHOSEN}), n AS (SELECT submission_id, count(*) AS answered FROM answers GROUP BY 1), l AS (SELECT *, row_number() OVER (PARTITION BY student_id, assignment_id ORDER BY submitted_at DESC, submission_id DESC) AS k FROM submissions)
+MONITOR = f"""WITH c AS ({CHOSEN}), n AS (SELECT submission_id, count(*) AS answered FROM answers GROUP BY 1), l AS (SELECT *, row_number() OVER (PARTITION BY student_id, assignment_id ORDER BY submitted_at DESC, submission_id DESC) AS k FROM submissions)
   SELECT u.student_id, u.class_id, c.assignment_id, coalesce(n.answered, 0) AS submitted, l.score, CASE WHEN l.submission_id IS NULL THEN 'not_started' WHEN l.status IN ('graded', 'returned') THEN 'completed' ELSE 'in_progress' END AS status,
     l.submission_id IS NOT NULL AND l.status NOT IN ('graded', 'returned') AND l.submitted_at < TIMESTAMP '1998-07-30' - INTERVAL 10 MINUTE AS stuck
-  FROM students u LEFT JOIN c USING (class_id) LEFT JOIN l ON l.student_id = u.student_id AND l.assignment_id = c.assignment_id AND l.k = 1 LEFT JOIN n USING (submission_id)""")
-def j18(t: Tables):
-    latest = O.latest_per(t.submissions.select("submission_id", "student_id", "assignment_id", "status", "score", "submitted_at"), ["student_id", "assignment_id"], F.desc("submitted_at"), F.desc("submission_id"))
-    counts = t.answers.groupBy("submission_id").agg(F.count("*").alias("submitted"))
-    rows = t.students.select("student_id", "class_id").join(chosen_assignments(t), "class_id", "left").join(latest, ["student_id", "assignment_id"], "left").join(counts, "submission_id", "left")
+  FROM students u LEFT JOIN c USING (class_id) LEFT JOIN l ON l.student_id = u.student_id AND l.assignment_id = c.assignment_id AND l.k = 1 LEFT JOIN n USING (submission_id)"""
+
+
+def class_board(rows: DataFrame) -> DataFrame:
+    """The status of students, one row each, from their latest submission (nulls: none) to the assignment their class shows."""
     done = F.col("status").isin("graded", "returned")
     status = F.when(F.col("submission_id").isNull(), "not_started").when(done, "completed").otherwise("in_progress")
     stuck = F.coalesce(~done & (F.col("submitted_at") < F.lit("1998-07-29 23:50:00").cast("timestamp")), F.lit(False))
     return rows.select("student_id", "class_id", "assignment_id", F.coalesce("submitted", F.lit(0)).cast("long").alias("submitted"), "score", status.alias("status"), stuck.alias("stuck"))
 
 
+@query("J18_class_monitor", MONITOR)
+def j18(t: Tables):
+    latest = O.latest_per(t.submissions.select("submission_id", "student_id", "assignment_id", "status", "score", "submitted_at"), ["student_id", "assignment_id"], F.desc("submitted_at"), F.desc("submission_id"))
+    counts = t.answers.groupBy("submission_id").agg(F.count("*").alias("submitted"))
+    rows = t.students.select("student_id", "class_id").join(chosen_assignments(t), "class_id", "left").join(latest, ["student_id", "assignment_id"], "left").join(counts, "submission_id", "left")
+    return class_board(rows)
+
+
 @query("J19_achievements", "WITH m AS (SELECT student_id, count(*) AS n, count(*) FILTER (WHERE score >= 90) AS top FROM submissions GROUP BY 1) SELECT student_id, unnest(list_filter([CASE WHEN n >= 5 THEN 'busy' END, CASE WHEN n >= 15 THEN 'tireless' END, CASE WHEN top >= 1 THEN 'excellent' END], lambda x: x IS NOT NULL)) AS achievement FROM m WHERE student_id NOT IN (SELECT student_id FROM students WHERE segment = 'BUILDING')")
 def j19(t: Tables):
     m = t.submissions.groupBy("student_id").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= 90).alias("top"))

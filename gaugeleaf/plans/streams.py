@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import documents as D
@@ -11,8 +11,11 @@ from ..sources.domain import DOMAIN, Tables
 from ..sources.store import fresh_path
 from ..streaming import events as E
 from ..streaming import jobs as G
+from ..streaming import stateful as T
 from .aggregates import ROLL_UP
+from .folds import STREAKS
 from .registry import query
+from .retrieval import CHOSEN, MONITOR, chosen_assignments, class_board
 
 
 def event_stream(t: Tables):
@@ -71,19 +74,42 @@ def a12(t: Tables):
     return appended(log, "read").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("student_id").alias("students"))
 
 
+def in_chunks(t: Tables, rows: DataFrame, chunks: list, start) -> None:
+    """Appends the rows of each condition to a log and lets the job that start makes of it go on from its checkpoint."""
+    path, checkpoint = fresh_path(t.spark, "log"), fresh_path(t.spark, "progress")
+    for chunk in chunks:
+        (rows.where(chunk) if isinstance(chunk, str) else chunk).write.mode("append").parquet(path)
+        job = start(store.log_source(t.spark, path, rows.schema))
+        job.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+#: Learning events in four chunks, one after the other in time.
+QUARTERS = [f"hash_part = {k}" for k in range(4)]
+
+
+def by_quarter(events: DataFrame) -> DataFrame:
+    """Events with the quarter of their time span."""
+    first, last = F.min(F.unix_micros("client_ts")).alias("low"), (F.max(F.unix_micros("client_ts")) + 1).alias("high")
+    ends = events.agg(first, last).first()
+    at = F.unix_micros("client_ts")
+    return events.withColumn("hash_part", F.floor(4 * (at - F.lit(ends.low)) / F.lit((ends.high or 1) - (ends.low or 0))))
+
+
 @query("A13_stream_log_sink", "SELECT event_id, event_type FROM learning_events ORDER BY client_ts DESC, event_id DESC LIMIT 10000")
 def a13(t: Tables):
-    out = fresh_path(t.spark, "copy")
-    store.log_sink(event_stream(t).select("event_id", "event_type", "client_ts"), out, fresh_path(t.spark, "progress")).awaitTermination()
+    """The log is cut as it is written: segments behind the last 10,000 rows are gone."""
+    out = fresh_path(t.spark, "kept")
+    events = by_quarter(t.learning_events.select("event_id", "event_type", F.col("client_ts").cast("timestamp").alias("client_ts")))
+    in_chunks(t, events, QUARTERS, lambda log: log.drop("hash_part").writeStream.foreachBatch(G.bounded_log(out, 10_000)))
     return G.newest(t.spark.read.parquet(out), ["client_ts", "event_id"], 10_000).select("event_id", "event_type")
 
 
-@query("A15_dead_letters", "SELECT event_id, 'dead' AS log, n FROM (SELECT event_id, client_ts, count(*) OVER () AS n FROM learning_events WHERE value < 5) ORDER BY client_ts DESC, event_id DESC LIMIT 1000")
+@query("A15_dead_letters", "SELECT event_id, 'dead' AS log FROM learning_events WHERE value < 5 ORDER BY client_ts DESC, event_id DESC LIMIT 1000")
 def a15(t: Tables):
     good, bad = fresh_path(t.spark, "good"), fresh_path(t.spark, "dead")
-    run_to_end(event_stream(t).select("event_id", "client_ts", "value").writeStream.foreachBatch(G.with_dead_letters(good, bad, F.col("value") >= 5)), t.spark)
-    total = t.learning_events.count() - t.spark.read.parquet(good).count()
-    return G.newest(t.spark.read.parquet(bad), ["client_ts", "event_id"], 1000).select("event_id", F.lit("dead").alias("log"), F.lit(total).cast("long").alias("n"))
+    events = by_quarter(t.learning_events.select("event_id", "value", F.col("client_ts").cast("timestamp").alias("client_ts")))
+    in_chunks(t, events, QUARTERS, lambda log: log.drop("hash_part").writeStream.foreachBatch(G.with_dead_letters(good, bad, F.col("value") >= 5)))
+    return G.newest(t.spark.read.parquet(bad), ["client_ts", "event_id"], 1000).select("event_id", F.lit("dead").alias("log"))
 
 
 def job_events(t: Tables) -> DataFrame:
@@ -195,24 +221,107 @@ def l9(t: Tables):
     return appended(G.progress(log, "job_id"), "counters")
 
 
-@query("L10_fan_out_fan_in", "SELECT CAST(floor(problem_id / 50) AS BIGINT) AS batch, count(*) AS n, count(*) FILTER (WHERE length(stem) > 9) AS long, CAST(sum(length(stem)) AS BIGINT) AS chars FROM problems GROUP BY 1")
+JOBS = """SELECT *, ceil(count(*) OVER (PARTITION BY subject) / 50.0) AS expected, floor((row_number() OVER (PARTITION BY subject ORDER BY problem_id) - 1) / 50) AS batch, CAST(substring(subject, 7) AS INT) AS brand FROM problems"""
+
+
+@query("L10_fan_out_fan_in", f"""WITH b AS (SELECT subject, batch, any_value(expected) AS expected, count(*) AS n, sum(length(stem)) AS total FROM ({JOBS}) WHERE NOT (brand % 5 = 2 AND expected > 1 AND batch = expected - 1) GROUP BY 1, 2)
+  SELECT subject AS job_id, CASE WHEN count(*) = any_value(expected) THEN 'complete' ELSE 'timed out' END AS outcome, CAST(count(*) AS INTEGER) AS arrived, CAST(any_value(expected) - count(*) AS INTEGER) AS missing, CAST(sum(n) AS BIGINT) AS n, CAST(sum(total) AS BIGINT) AS total FROM b GROUP BY 1""")
 def l10(t: Tables):
-    """Batches of fifty are worked on apart and each is finished once, when all of its results are there."""
+    """Batches of fifty problems are worked on apart.  First batches come twice, some last ones are lost: each job is finished once, complete or an hour later without them."""
 
     def work(rows):
-        return rows.assign(size=rows["stem"].str.len())[["batch", "problem_id", "size"]]
+        return rows.assign(size=rows["stem"].str.len())[["job_id", "batch", "expected", "size"]]
+
+    in_job = Window.partitionBy("subject")
+    numbered = t.problems.withColumns({"expected": F.ceil(F.count("*").over(in_job) / 50).cast("int"), "batch": F.floor((F.row_number().over(in_job.orderBy("problem_id")) - 1) / 50)})
+    results = D.batches_of(numbered.select(F.col("subject").alias("job_id"), "batch", "expected", "stem"), work, "job_id string, batch long, expected int, size long", 8)
+    each = results.groupBy("job_id", "batch", "expected").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    lost = (F.substring("job_id", 7, 9).cast("int") % 5 == 2) & (F.col("expected") > 1) & (F.col("batch") == F.col("expected") - 1)
+    arrived = each.where(~lost).withColumn("at", F.timestamp_seconds(F.lit(DAY) + 60 * F.col("batch")))
+    again = arrived.where("batch = 0").withColumn("at", F.col("at") + F.expr("interval 20 minutes"))
+    done = fresh_path(t.spark, "jobs")
+    with T.with_timers(t.spark):
+        in_chunks(t, arrived, [arrived, again, tick(again, job_id=F.lit("tick"), expected=F.lit(1))], lambda log: T.finished_jobs(log).writeStream.format("parquet").option("path", done).outputMode("append"))
+    return t.spark.read.parquet(done).where("job_id <> 'tick'")
+
 
-    batches = t.problems.select(F.floor(F.col("problem_id") / 50).alias("batch"), "problem_id", "stem")
-    results = D.batches_of(batches, work, "batch long, problem_id long, size long", 8)
-    return results.groupBy("batch").agg(F.count("*").alias("n"), F.count_if(F.col("size") > 9).alias("long"), F.sum("size").alias("chars"))
+#: Where the clock of the made streams begins, and a time after all events (2100), in seconds since 1970.
+DAY, LATER = 1_704_067_200, 4_102_444_800
 
 
-FAILURES = "CAST(CASE WHEN time_sec % 70 = 0 THEN time_sec ELSE time_sec % 37 END AS INTEGER)"
+def tick(like: DataFrame, **values) -> DataFrame:
+    """One row long after a stream's last event, by which all that waits for a time is due."""
+    row = {f.name: F.lit(0).cast(f.dataType) if f.dataType.typeName() not in ("timestamp", "string", "boolean") else F.lit(None).cast(f.dataType) for f in like.schema}
+    row |= {f.name: F.timestamp_seconds(F.lit(LATER)) for f in like.schema if f.dataType.typeName() == "timestamp"} | values
+    return like.sparkSession.range(1).select(*(row[f.name].cast(f.dataType).alias(f.name) for f in like.schema))
 
 
-@query("L11_retry_backoff", f"""WITH p AS (SELECT problem_id, CASE WHEN problem_type = 'essay' THEN 'textbook' ELSE 'exam' END AS kind, {FAILURES} AS failures FROM problems), m AS (SELECT *, CASE kind WHEN 'exam' THEN 60 ELSE 120 END AS most FROM p)
-  SELECT problem_id, CASE WHEN failures <= most THEN failures + 1 ELSE most END AS attempts, CAST((SELECT coalesce(sum(CASE WHEN a < 10 THEN 30 WHEN a < 20 THEN 60 ELSE 120 END), 0) FROM unnest(range(least(failures, most))) u(a)) AS INTEGER) AS waited, CASE WHEN failures <= most THEN 'done' ELSE 'dead' END AS outcome FROM m""")
+TASKS = "SELECT problem_id, CASE WHEN problem_type = 'essay' THEN 'textbook' ELSE 'exam' END AS kind, problem_id % 500 * 60 AS sent, CASE WHEN time_sec % 70 <> 0 THEN problem_id % 500 * 60 + time_sec * 17 END AS done, CASE WHEN time_sec % 90 = 0 THEN problem_id % 500 * 60 + time_sec * 4 END AS error FROM problems"
+
+
+@query("L11_retry_backoff", f"""WITH RECURSIVE p AS ({TASKS}), f AS (
+    SELECT problem_id, kind, done, error, 0 AS attempt, CAST(sent AS BIGINT) AS due, CASE WHEN done <= sent THEN 'done' WHEN error <= sent THEN 'error' ELSE 'waiting' END AS outcome FROM p
+    UNION ALL SELECT problem_id, kind, done, error, attempt, due, CASE WHEN done <= due THEN 'done' WHEN error <= due THEN 'error' WHEN attempt >= CASE kind WHEN 'exam' THEN 60 ELSE 120 END THEN 'dead' ELSE 'waiting' END FROM (
+      SELECT problem_id, kind, done, error, attempt + 1 AS attempt, due + CASE WHEN attempt < 10 THEN 30 WHEN attempt < 20 THEN 60 ELSE 120 END AS due FROM f WHERE outcome = 'waiting') q)
+  SELECT problem_id AS task_id, attempt, due AS at, outcome FROM f""")
 def l11(t: Tables):
-    kind = F.when(F.col("problem_type") == "essay", "textbook").otherwise("exam")
-    failures = F.when(F.col("time_sec") % 70 == 0, F.col("time_sec")).otherwise(F.col("time_sec") % 37).cast("int")
-    return G.retried(t.problems.select("problem_id", kind.alias("kind"), failures.alias("failures")), "failures", "kind").select("problem_id", "attempts", "waited", "outcome")
+    """Tasks are polled until a done or error event has happened; the delays and the number of polls are those of their kind."""
+    p = t.problems
+    sent = F.col("problem_id") % 500 * 60
+    at = lambda seconds: F.timestamp_seconds(F.lit(DAY) + seconds)
+    tasks = p.select(F.col("problem_id").cast("long").alias("task_id"), F.when(F.col("problem_type") == "essay", "textbook").otherwise("exam").alias("kind"), "time_sec", sent.alias("sent"))
+    submitted = tasks.select("task_id", "kind", F.lit("submitted").alias("event"), at(F.col("sent")).alias("at"))
+    done = tasks.where("time_sec % 70 <> 0").select("task_id", "kind", F.lit("done").alias("event"), at(F.col("sent") + F.col("time_sec") * 17).alias("at"))
+    error = tasks.where("time_sec % 90 = 0").select("task_id", "kind", F.lit("error").alias("event"), at(F.col("sent") + F.col("time_sec") * 4).alias("at"))
+    events = submitted.union(done).union(error)
+    early = F.col("at") < at(F.lit(6 * 3600))
+    polls = fresh_path(t.spark, "polls")
+    with T.with_timers(t.spark):
+        in_chunks(t, events, [events.where(early), events.where(~early), tick(events, task_id=F.lit(-1), event=F.lit("tick"))], lambda log: T.retried(log).writeStream.format("parquet").option("path", polls).outputMode("append"))
+    return t.spark.read.parquet(polls).select("task_id", "attempt", (F.unix_seconds("at") - DAY).alias("at"), "outcome")
+
+
+@query("K1_streaming_mastery", """WITH o AS (SELECT s.student_id, n.submission_id, n.answer_no, n.is_correct, n.answered_at FROM numbered_answers n JOIN submissions s USING (submission_id) WHERE n.is_correct IS NOT NULL),
+  a AS (SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY answered_at, submission_id, answer_no) AS attempt FROM o),
+  s AS (SELECT *, attempt - coalesce(max(CASE WHEN NOT is_correct THEN attempt END) OVER (PARTITION BY student_id ORDER BY attempt), 0) AS streak FROM a)
+  SELECT student_id, submission_id, answer_no, CAST(attempt AS INTEGER) AS attempt, CAST(streak AS INTEGER) AS streak, CASE WHEN streak >= 3 THEN 'mastered' WHEN attempt >= 3 THEN 'practicing' ELSE 'learning' END AS state FROM s""")
+def k1_streaming(t: Tables):
+    """Answers of two days before the first chunk ends come with the second: they still take their place in time."""
+    answers = t.numbered_answers.join(t.submissions.select("submission_id", "student_id"), "submission_id")
+    answers = answers.select(*(F.col(c).cast("long").alias(c) for c in ("student_id", "submission_id")), F.col("answer_no").cast("int").alias("answer_no"), "is_correct", F.col("answered_at").cast("timestamp").alias("answered_at"))
+    cut = F.lit("1996-01-01").cast("timestamp")
+    first = (F.col("answered_at") < cut) & ((F.col("answered_at") < cut - F.expr("interval 2 days")) | (F.col("submission_id") % 2 == 0))
+    out = fresh_path(t.spark, "states")
+    closing = tick(answers, student_id=F.lit(-1), is_correct=F.lit(True))
+    with T.with_timers(t.spark):
+        in_chunks(t, answers, [answers.where(first), answers.where(~first), closing], lambda log: T.streaming_mastery(log, delay="3 days").writeStream.format("parquet").option("path", out).outputMode("append"))
+    return t.spark.read.parquet(out).where("student_id >= 0")
+
+
+@query("K5_streaming_streak", STREAKS)
+def k5_streaming(t: Tables):
+    """The state after a student's last event."""
+    events = t.learning_events.select(F.col("student_id").cast("long").alias("student_id"), F.col("client_ts").cast("timestamp").alias("client_ts"))
+    out = fresh_path(t.spark, "streaks")
+    with T.with_timers(t.spark):
+        in_chunks(t, events, [events, tick(events, student_id=F.lit(-1))], lambda log: T.streaming_streaks(log, "client_ts").writeStream.format("parquet").option("path", out).outputMode("append"))
+    last = F.max_by(F.struct("current", "longest"), F.struct("day", "longest"))
+    return t.spark.read.parquet(out).where("student_id >= 0").groupBy("student_id").agg(last.alias("s")).select("student_id", "s.*")
+
+
+@query("L8_live_class_monitor", f"SELECT * FROM ({MONITOR}) WHERE class_id IN (SELECT s.class_id FROM submissions s JOIN ({CHOSEN}) c ON c.class_id = s.class_id AND c.assignment_id = s.assignment_id)")
+def l8_monitor(t: Tables):
+    """The last board sent of each class that had a submission, with the students who are not on it."""
+    log = written(t.submissions.select("submission_id", F.col("student_id").cast("long").alias("student_id"), F.col("class_id").cast("long").alias("class_id"), "assignment_id", F.col("status").alias("state"), "score", F.col("submitted_at").cast("timestamp").alias("submitted_at")).repartition(4), "submissions")
+    stream = store.log_source(t.spark, log, t.spark.read.parquet(log).schema, files_per_trigger=1)
+    chosen = chosen_assignments(t).withColumn("class_id", F.col("class_id").cast("long"))
+    counts = t.answers.groupBy("submission_id").agg(F.count("*").alias("submitted"))
+    sent = fresh_path(t.spark, "boards")
+    with T.with_timers(t.spark):
+        boards = T.live_boards(stream, chosen, counts).writeStream.outputMode("update")
+        run_to_end(boards.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{sent}/batch={n}")), t.spark)
+    boards = t.spark.read.parquet(sent).drop("batch")
+    last = boards.join(boards.groupBy("class_id").agg(F.max("push").alias("push")), ["class_id", "push"])
+    roster = t.students.select("student_id", "class_id").join(chosen, "class_id").join(last.select("class_id").distinct(), "class_id")
+    return class_board(roster.join(last.drop("class_id", "push"), "student_id", "left").withColumnsRenamed({"state": "status", "at": "submitted_at"}))
+

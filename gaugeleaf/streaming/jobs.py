@@ -1,13 +1,11 @@
-"""Jobs over event streams: job status, dead letters, retries, counters, live status, mastery."""
+"""Jobs over event streams: job status, bounded logs and dead letters, counters, running class counts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def fresh_events(events: DataFrame, delay: str = "30 seconds") -> DataFrame:
@@ -48,61 +46,55 @@ def class_status(submissions: DataFrame) -> DataFrame:
     return submissions.groupBy("class_id").agg(F.count("*").alias("submitted"), F.count_if(F.col("status") == "graded").alias("graded"), F.max("submitted_at").alias("last"))
 
 
-def with_dead_letters(good_path: str, bad_path: str, is_good: Column) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that parts each batch in two logs; the batch number names the files, so a rerun replaces them."""
+def bounded_log(path: str, most: int) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that appends each batch to a log as a segment and drops the segments behind the last most rows.
+
+    A segment is named by its batch and its rows, so that a rerun replaces it and dropping needs no read.  The
+    log holds its last most rows at least, and less than a segment more: newest() reads it exactly.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        marked = batch.withColumn("__good", F.coalesce(is_good, F.lit(False))).persist()
-        for path, keep in ((good_path, F.col("__good")), (bad_path, ~F.col("__good"))):
-            marked.where(keep).drop("__good").write.mode("overwrite").parquet(f"{path}/batch={number}")
-        marked.unpersist()
+        batch = batch.persist()
+        rows = batch.count()
+        if rows:
+            for _, same, _ in (s for s in segments(batch.sparkSession, path) if s[0] == number):
+                drop(batch.sparkSession, same)
+            batch.write.mode("overwrite").parquet(f"{path}/segment={number}/rows={rows}")
+        batch.unpersist()
+        newer = 0
+        for _, folder, held in sorted(segments(batch.sparkSession, path), reverse=True):
+            if newer >= most:
+                drop(batch.sparkSession, folder)
+            newer += held
 
     return write
 
 
-def newest(log: DataFrame, order: list[str], most: int) -> DataFrame:
-    """What a log of a bounded length still holds: its last rows (1,000 dead letters, some 10,000 events)."""
-    return log.orderBy(*(F.desc(c) for c in order)).limit(most)
-
-
-# Seconds to the next poll up to an attempt, and the attempts of an exam and of a textbook.
-POLL_DELAYS = ((10, 30), (20, 60), (120, 120))
-MOST_POLLS = {"exam": 60, "textbook": 120}
+def segments(spark: SparkSession, path: str) -> list[tuple[int, str, int]]:
+    """Number, folder and rows of the finished segments of a bounded log."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/segment=*/rows=*/_SUCCESS")
+    found = [f.getPath().getParent() for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder) or []]
+    return [(int(p.getParent().getName().split("=")[1]), p.getParent().toString(), int(p.getName().split("=")[1])) for p in found]
 
 
-def poll_delay(attempt: Column) -> Column:
-    """Seconds before the next attempt, by the number of attempts made (from 0)."""
-    delay = F.lit(POLL_DELAYS[-1][1])
-    for below, seconds in reversed(POLL_DELAYS):
-        delay = F.when(attempt < below, seconds).otherwise(delay)
-    return delay
+def drop(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def retried(tasks: DataFrame, failures: str, kind: str) -> DataFrame:
-    """tasks with attempts, waited (seconds of delays) and outcome: done, or dead when the attempts of its kind are used up."""
-    most = F.lit(MOST_POLLS["exam"])
-    for name, n in MOST_POLLS.items():
-        most = F.when(F.col(kind) == name, n).otherwise(most)
-    retries = F.least(F.col(failures), most)
-    waited = F.lit(0)
-    low = 0
-    for below, seconds in POLL_DELAYS:
-        waited = waited + seconds * F.greatest(F.lit(0), F.least(retries, F.lit(below)) - low)
-        low = below
-    return tasks.withColumns({"attempts": retries + F.when(F.col(failures) <= most, 1).otherwise(0), "waited": waited, "outcome": F.when(F.col(failures) <= most, "done").otherwise("dead")})
+def with_dead_letters(good_path: str, bad_path: str, is_good: Column, most: int = 1000) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that parts each batch in two: good rows in files named by the batch, so that a rerun replaces them, and a bounded log of the others."""
+    keep_bad = bounded_log(bad_path, most)
 
+    def write(batch: DataFrame, number: int) -> None:
+        marked = batch.withColumn("__good", F.coalesce(is_good, F.lit(False))).persist()
+        marked.where("__good").drop("__good").write.mode("overwrite").parquet(f"{good_path}/batch={number}")
+        keep_bad(marked.where("NOT __good").drop("__good"), number)
+        marked.unpersist()
 
-def streaming_mastery(answers: DataFrame, run: int = 3) -> DataFrame:
-    """student_id, attempts, streak and state after each batch.  Answers of a batch are taken in the order of answered_at."""
+    return write
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        attempts, streak = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(batches)).sort_values(["answered_at", "answer_id"])
-        for right in rows["is_correct"]:
-            attempts, streak = attempts + 1, streak + 1 if right else 0
-        state.update((attempts, streak))
-        name = "mastered" if streak >= run else "practicing" if attempts >= 3 else "learning"
-        yield pd.DataFrame({"student_id": [key[0]], "attempts": [attempts], "streak": [streak], "state": [name]})
 
-    graded = answers.where("is_correct is not null")
-    return graded.groupBy("student_id").applyInPandasWithState(fold, "student_id long, attempts long, streak long, state string", "attempts long, streak long", "update", GroupStateTimeout.NoTimeout)
+def newest(log: DataFrame, order: list[str], most: int) -> DataFrame:
+    """What a log of a bounded length still holds: its last rows (1,000 dead letters, some 10,000 events)."""
+    return log.orderBy(*(F.desc(c) for c in order)).limit(most)

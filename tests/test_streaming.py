@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from gaugeleaf.sources import store
-from gaugeleaf.streaming import events, jobs
+from gaugeleaf.streaming import events, jobs, stateful
 
 AT = dt.datetime(2024, 1, 1)
 
@@ -47,12 +47,90 @@ def test_log_round_trip_and_progress(spark, tmp_path):
     assert sorted((r.job, r.done) for r in got) == [("a", 1), ("a", 2), ("b", 1)]  # c is still open
 
 
-def test_streaming_mastery(spark, tmp_path):
-    rows = [(i, 7, c, AT + dt.timedelta(minutes=i)) for i, c in enumerate((True, True, True, False, True, None))]
-    df = spark.createDataFrame(rows, "answer_id long, student_id long, is_correct boolean, answered_at timestamp")
-    df.write.parquet(str(tmp_path / "log"))
-    got = finish(jobs.streaming_mastery(store.log_source(spark, str(tmp_path / "log"), df.schema)), tmp_path, "update")
-    assert [(r.student_id, r.attempts, r.streak, r.state) for r in got] == [(7, 5, 1, "practicing")]
+LATER = dt.datetime(2030, 1, 1)
+
+
+def staged(spark, tmp_path, schema, start, *chunks):
+    """The rows a job has emitted after each chunk of its log."""
+    path, out = str(tmp_path / "log"), str(tmp_path / "out")
+    got = []
+    with stateful.with_timers(spark):
+        for chunk in chunks:
+            spark.createDataFrame(chunk, schema).coalesce(1).write.mode("append").parquet(path)
+            stream = start(store.log_source(spark, path, spark.createDataFrame([], schema).schema))
+            job = stream.writeStream.outputMode("update" if "push" in stream.columns else "append")
+            job = job.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}"))
+            job.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(180)
+            got.append(sorted(tuple(r) for r in spark.read.schema(stream.schema).parquet(f"{out}/batch=*").collect()))
+    return got
+
+
+def test_mastery_in_event_time_with_late_answers_and_forgetting(spark, tmp_path):
+    day = lambda n: AT + dt.timedelta(days=n)
+    schema = "student_id long, submission_id long, answer_no int, is_correct boolean, answered_at timestamp"
+    first = [(7, 1, 1, True, day(0)), (7, 1, 3, True, day(2)), (7, 1, 4, None, day(2)), (8, 5, 1, True, day(2))]
+    second = [(7, 1, 2, False, day(1.5)), (7, 0, 9, True, day(-9)), (7, 2, 1, True, day(60))]  # late, too late, after the forgetting
+    run = lambda log: stateful.streaming_mastery(log, delay="1 day", forget="30 days")
+    early, _, end = staged(spark, tmp_path, schema, run, first, second, [(-1, 0, 0, True, LATER)])
+    assert early == [(7, 1, 1, 1, 1, "learning")]
+    assert [r for r in end if r[0] > 0] == [(7, 1, 1, 1, 1, "learning"), (7, 1, 2, 2, 0, "learning"), (7, 1, 3, 3, 1, "practicing"), (7, 2, 1, 1, 1, "learning"), (8, 5, 1, 1, 1, "learning")]
+
+
+def test_retries_wait_longer_and_end(spark, tmp_path):
+    at = lambda s: AT + dt.timedelta(seconds=s)
+    schema = "task_id long, kind string, event string, at timestamp"
+    sent = [(k, "textbook" if k == 4 else "exam", "submitted", at(0)) for k in (1, 2, 3, 4, 6)]
+    told = [(1, "exam", "done", at(75)), (2, "exam", "error", at(0)), (6, "exam", "done", at(331)), (5, "exam", "done", at(9)), (1, "exam", "submitted", at(80))]
+    _, end = staged(spark, tmp_path, schema, lambda log: stateful.retried(log), sent + told, [(-1, "", "tick", LATER)])
+    by = {}
+    for task, attempt, when, outcome in end:
+        by.setdefault(task, []).append((attempt, (when - AT).total_seconds(), outcome))
+    assert by[1] == [(0, 0, "waiting"), (1, 30, "waiting"), (2, 60, "waiting"), (3, 90, "done")]
+    assert by[2] == [(0, 0, "error")] and 5 not in by
+    assert by[6][-2:] == [(10, 300, "waiting"), (11, 360, "done")]
+    assert by[3][-1] == (60, 30 * 10 + 60 * 10 + 120 * 40, "dead") and by[4][-1] == (120, 30 * 10 + 60 * 10 + 120 * 100, "dead")
+    assert [len(by[k]) for k in (3, 4)] == [61, 121]
+
+
+def test_jobs_finish_once(spark, tmp_path):
+    at = lambda m: AT + dt.timedelta(minutes=m)
+    schema = "job_id string, batch long, expected int, n long, total long, at timestamp"
+    rows = lambda *r: [(j, b, e, 1, 10, at(m)) for j, b, e, m in r]
+    first = rows(("a", 0, 2, 0), ("a", 0, 2, 1), ("b", 0, 3, 0), ("b", 2, 3, 5), ("c", 0, 1, 0))
+    second = rows(("a", 1, 2, 8), ("a", 1, 2, 9), ("c", 0, 1, 30))  # doubled, after the end
+    third = rows(("b", 1, 3, 90), ("z", 0, 1, 70))  # behind the patience of b
+    fourth = rows(("c", 0, 1, 500))  # forgotten by then: a new job
+    early, done, _, late = staged(spark, tmp_path, schema, lambda log: stateful.finished_jobs(log), first, second, third, fourth)
+    assert early == [("c", "complete", 1, 0, 1, 10)]
+    assert done == [("a", "complete", 2, 0, 2, 20), ("c", "complete", 1, 0, 1, 10)]
+    assert [r for r in late if r[0] == "b"] == [("b", "timed out", 2, 1, 2, 20)] and len([r for r in late if r[0] == "c"]) == 2
+
+
+def test_boards_are_sent_for_touched_classes(spark, tmp_path):
+    schema = "submission_id long, student_id long, class_id long, assignment_id string, state string, score double, submitted_at timestamp"
+    at = lambda m: AT + dt.timedelta(minutes=m)
+    chosen = spark.createDataFrame([(1, "x"), (2, "y")], "class_id long, assignment_id string")
+    counts = spark.createDataFrame([(10, 4)], "submission_id long, submitted long")
+    first = [(10, 100, 1, "x", "submitted", None, at(0)), (11, 101, 1, "x", "graded", 9.0, at(0)), (12, 102, 2, "other", "graded", 9.0, at(0))]
+    second = [(13, 100, 1, "x", "graded", 7.0, at(-5)), (14, 102, 2, "y", "submitted", None, at(5))]  # an older one changes nothing
+    third = [(15, 100, 1, "x", "graded", 8.0, at(9))]
+    boards = staged(spark, tmp_path, schema, lambda log: stateful.live_boards(log, chosen, counts), first, second, third)
+    pushes = [sorted({r[:2] for r in b}) for b in boards]
+    assert pushes == [[(1, 1)], [(1, 1), (2, 1)], [(1, 1), (1, 2), (2, 1)]]
+    assert [(r[2], r[4], r[5], r[6], r[7]) for r in boards[2] if r[:2] == (1, 2)] == [(100, 15, 0, 8.0, "graded"), (101, 11, 0, 9.0, "graded")]
+
+
+def test_bounded_log_drops_segments(spark, tmp_path):
+    path = str(tmp_path / "kept")
+    write = jobs.bounded_log(path, 10)
+    batch = lambda lo, hi: spark.range(lo, hi).toDF("id")
+    for n in range(30):
+        write(batch(4 * n, 4 * n + 4), n)
+        held = sum(rows for _, _, rows in jobs.segments(spark, path))
+        assert min(10, 4 * n + 4) <= held < 14
+    write(batch(116, 119), 29)  # run again with fewer rows
+    write(batch(0, 0), 30)
+    assert sorted(r.id for r in jobs.newest(spark.read.parquet(path), ["id"], 10).collect()) == list(range(109, 119))
 
 
 def test_replace_children(spark, tmp_path):
@@ -72,9 +150,3 @@ def test_upserts_touch_one_day(spark, tmp_path):
     write(rows((1, "mon", 5)), 1)  # run again
     assert sorted(tuple(r) for r in events.current(spark, path, "day").select("id", "day", "n").collect()) == [(1, "mon", 5), (1, "tue", 1), (2, "mon", 1)]
     assert sorted(p.name for p in (tmp_path / "days" / "version=1").glob("day=*")) == ["day=mon"]
-
-
-def test_polls_back_off(spark):
-    df = spark.createDataFrame([(0, "exam"), (12, "exam"), (60, "exam"), (61, "exam"), (61, "textbook"), (500, "textbook")], "failures int, kind string")
-    got = [(r.attempts, r.waited, r.outcome) for r in jobs.retried(df, "failures", "kind").collect()]
-    assert got == [(1, 0, "done"), (13, 420, "done"), (61, 5700, "done"), (60, 5700, "dead"), (62, 5820, "done"), (120, 12900, "dead")]

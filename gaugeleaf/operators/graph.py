@@ -10,24 +10,39 @@ from pyspark.sql import functions as F
 from ..sources.store import staged
 
 
-def subtree(nodes: DataFrame, root: str, depth: int = 4) -> DataFrame:
-    """node_id of root and its descendants; the tree has a fixed depth, so the levels are unrolled."""
-    found = level = nodes.where(F.col("node_id") == root).select("node_id")
-    for _ in range(depth - 1):
-        level = nodes.join(level.select(F.col("node_id").alias("parent_id")), "parent_id", "left_semi").select("node_id")
-        found = found.union(level)
+def climbed(nodes: DataFrame, label: str) -> DataFrame:
+    """node_id, top (the node without a parent above it), path of labels from there, and stray: its line ends at a parent that is not there.
+
+    Every node holds an ancestor and the path to it, and takes over its ancestor's in each round: the rounds are
+    the logarithm of the depth, which may be any.  Nodes that still have an ancestor when more steps are made than
+    there are nodes are on a cycle, or below one: an error.
+    """
+    rows = nodes.select("node_id", F.col("parent_id").alias("up"), F.col("node_id").alias("top"), F.col(label).cast("string").alias("path"), F.lit(False).alias("stray"))
+    rows, steps = staged(rows, "climbing"), 1
+    while not rows.where("up is not null").isEmpty():
+        if steps > 1 and steps > 2 * rows.count():
+            raise ValueError("the parents have a cycle")
+        above = rows.select(F.col("node_id").alias("up"), F.col("up").alias("next"), F.col("top").alias("above_top"), F.col("path").alias("above"), F.col("stray").alias("above_stray"), F.lit(True).alias("there"))
+        joined = rows.join(above, "up", "left")
+        stray = F.col("stray") | F.coalesce("above_stray", F.lit(False)) | (F.col("up").isNotNull() & F.col("there").isNull())
+        rows = staged(joined.select("node_id", F.col("next").alias("up"), F.coalesce("above_top", "top").alias("top"), F.concat_ws("/", "above", "path").alias("path"), stray.alias("stray")), "climbing")
+        steps *= 2
+    return rows.drop("up")
+
+
+def subtree(nodes: DataFrame, root: str) -> DataFrame:
+    """node_id of root and its descendants, of any depth; a root among its own descendants is an error."""
+    cut = nodes.select("node_id", F.when(F.col("node_id") != root, F.col("parent_id")).alias("parent_id"))
+    found = climbed(cut, "node_id").where((F.col("top") == root) & ~F.col("stray")).select("node_id")
+    own = nodes.where((F.col("node_id") == root) & F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("node_id"))
+    if not own.join(found, "node_id", "left_semi").isEmpty():
+        raise ValueError("the parents have a cycle")
     return found
 
 
-def paths(nodes: DataFrame, depth: int = 4) -> DataFrame:
-    """node_id, level and the path of labels from the top."""
-    level = nodes.where("parent_id is null").select("node_id", "level", F.col("label").alias("path"))
-    out = level
-    for _ in range(depth - 1):
-        above = level.select(F.col("node_id").alias("parent_id"), F.col("path").alias("above"))
-        level = nodes.join(above, "parent_id").select("node_id", "level", F.concat_ws("/", "above", "label").alias("path"))
-        out = out.union(level)
-    return out
+def paths(nodes: DataFrame) -> DataFrame:
+    """node_id, level and the path of labels from the top, of any depth; nodes below a parent that is not there have none."""
+    return climbed(nodes, "label").where("not stray").select("node_id", "path").join(nodes.select("node_id", "level"), "node_id").select("node_id", "level", "path")
 
 
 def layers(edges: DataFrame) -> DataFrame:

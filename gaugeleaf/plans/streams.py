@@ -49,7 +49,7 @@ def l2(t: Tables):
     out = fresh_path(t.spark, "daily")
     stream = E.daily_windows(event_stream(t)).writeStream.outputMode("update")
     run_to_end(stream.foreachBatch(E.upsert_batches(out, "day", E.keyed_replacement(["student_id", "day"]))), t.spark)
-    return E.current(t.spark, out, "day")
+    return E.current(t.spark, out)
 
 
 @query("L7_event_dedup", "SELECT event_type, count(DISTINCT event_id) AS n FROM learning_events GROUP BY event_type")
@@ -129,7 +129,7 @@ def k10(t: Tables):
     upsert = E.upsert_batches(out, "part", lambda old, new: G.merged_status(old, new).withColumn("part", part))
     fresh = G.fresh_events(log.union(log))
     run_to_end(fresh.writeStream.foreachBatch(lambda batch, n: upsert(G.job_status(batch).withColumn("part", part), n)), t.spark)
-    return E.current(t.spark, out, "part").select("job_id", "stage", "status", "n_events")
+    return E.current(t.spark, out).select("job_id", "stage", "status", "n_events")
 
 
 LATEST = "(SELECT max(client_ts) FROM learning_events WHERE event_id % 3 <> 0)"
@@ -146,7 +146,7 @@ def l3(t: Tables):
         days = store.log_source(t.spark, path, rows.schema).withWatermark("client_ts", "7 days").groupBy(F.window("client_ts", "1 day"), "student_id").agg(F.count("*").alias("n"))
         updates = days.select("student_id", F.to_date("window.start").alias("day"), "n").writeStream.outputMode("update").option("checkpointLocation", checkpoint)
         updates.foreachBatch(upsert).trigger(availableNow=True).start().awaitTermination()
-    return E.current(t.spark, out, "day")
+    return E.current(t.spark, out)
 
 
 @query("L5_at_least_once", "SELECT event_type, count(*) AS n FROM learning_events GROUP BY event_type")

@@ -278,6 +278,20 @@ def r9(t: Tables):
     return t.problems.select("problem_id", F.concat(F.lit("n"), F.col("node_id").cast("string")).alias("key")).join(topics, "key").drop("key")
 
 
+#: Prerequisites as a tree of many levels: each unit below half its number.
+CHAIN = "SELECT CAST(n_nationkey AS STRING) AS node_id, CASE WHEN n_nationkey > 0 THEN CAST(CAST(CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey - 1 ELSE floor(n_nationkey / 2) END AS BIGINT) AS STRING) END AS parent_id, n_name AS label, 0 AS level FROM {nation}"
+
+
+@query("R1_deep_subtree", f"WITH RECURSIVE c AS ({CHAIN.format(nation='nation')}), tree AS (SELECT node_id FROM c WHERE node_id = '2' UNION ALL SELECT c.node_id FROM c JOIN tree t ON c.parent_id = t.node_id) SELECT node_id FROM tree")
+def r1_deep(t: Tables):
+    return G.subtree(t.spark.sql(CHAIN, nation=t.nation), "2")
+
+
+@query("R10_deep_flatten", f"WITH RECURSIVE c AS ({CHAIN.format(nation='nation')}), tree AS (SELECT node_id, label AS path FROM c WHERE parent_id IS NULL UNION ALL SELECT c.node_id, concat_ws('/', t.path, c.label) FROM c JOIN tree t ON c.parent_id = t.node_id) SELECT node_id, path FROM tree")
+def r10_deep(t: Tables):
+    return G.paths(t.spark.sql(CHAIN, nation=t.nation)).select("node_id", "path")
+
+
 @query("R10_tree_flatten", "SELECT n.node_id, concat_ws('/', r.label, n.label) AS path FROM nodes n JOIN nodes r ON r.node_id = n.parent_id WHERE n.level = 2 UNION ALL SELECT node_id, label FROM nodes WHERE level = 1 UNION ALL SELECT c.node_id, concat_ws('/', r.label, n.label, c.label) FROM nodes c JOIN nodes n ON n.node_id = c.parent_id JOIN nodes r ON r.node_id = n.parent_id WHERE c.level = 3")
 def r10(t: Tables):
     return G.paths(t.nodes).select("node_id", "path")

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numerics as N
+from ..sources.store import staged
 
 EVENT_TYPES = ("session_started", "answer_submitted", "session_ended")
 
@@ -42,46 +43,34 @@ def daily_windows(events: DataFrame) -> DataFrame:
     return counted.select("student_id", F.to_date("window.start").alias("day"), "viewed", "solved", "correct", "duration_ms", F.size("sessions").cast("long").alias("n_sessions"))
 
 
-def versions(spark, path: str) -> list[int]:
-    """Numbers of the finished versions of a table kept by upsert_batches."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not store.exists(folder):
-        return []
-    found = [f.getPath() for f in store.listStatus(folder)]
-    return sorted(int(f.getName().split("=")[1]) for f in found if store.exists(spark._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS")))
-
-
-def current(spark, path: str, part: str, before: int | None = None) -> DataFrame | None:
-    """The table kept by upsert_batches (as it was before a batch): of each value of part, the newest version."""
-    found = [v for v in versions(spark, path) if before is None or v < before]
-    if not found:
-        return None
-    rows = spark.read.option("basePath", path).parquet(*(f"{path}/version={v}" for v in found))
-    newest = rows.groupBy(part).agg(F.max("version").alias("version"))
-    return rows.join(F.broadcast(newest), [part, "version"], "left_semi").drop("version")  # one row for each value of part
-
-
 def keyed_replacement(keys: list[str]) -> Callable[[DataFrame, DataFrame], DataFrame]:
     return lambda old, new: old.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The table kept by upsert_batches."""
+    return spark.read.parquet(path).drop("as_of")
+
+
 def upsert_batches(path: str, part: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that merges each batch into a table partitioned by part.
 
-    Only the partitions that a batch touches are written again, beside the old ones.  A version is named by
-    its batch, so a batch that is run again writes the same folder and sees only what was before it.
+    Only the partitions that a batch touches are read and written: merged aside first, then put in place of
+    the old ones.  Each has the number of its last batch (as_of), so a batch that is run again leaves those
+    alone that it had reached.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()
-        old = current(spark, path, part, number)
-        merged = batch
-        if old is not None:
-            touched = batch.select(part).distinct()
-            merged = merge(old.join(F.broadcast(touched), part, "left_semi").select(*batch.columns), batch)
-        merged.write.mode("overwrite").partitionBy(part).parquet(f"{path}/version={number}")
+        batch = batch.withColumn("as_of", F.lit(number).cast("long")).persist()
+        into = lambda df, mode: df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+        into(batch.limit(0), "append")  # the table is there from the first batch on
+        table = spark.read.schema(batch.schema).parquet(path)
+        old = table.join(F.broadcast(batch.select(part).distinct()), part, "left_semi").select(*batch.columns)  # one row for each value of part
+        had = old.groupBy(part).agg(F.max("as_of").alias("as_of")).where(F.col("as_of") >= number)
+        fresh = batch.join(F.broadcast(had), part, "left_anti").drop("as_of")
+        kept = old.join(F.broadcast(had), part, "left_anti").drop("as_of")
+        into(staged(merge(kept, fresh).withColumn("as_of", F.lit(number).cast("long")), "merged"), "overwrite")
         batch.unpersist()
 
     return write

@@ -331,3 +331,17 @@ def test_global_rank(spark):
     got = O.global_rank(df, [F.desc("x")])
     assert all(r.x + r["rank"] == 1000 for r in got.collect())
     assert O.global_rank(df.limit(0), [F.col("x")]).collect() == []
+
+
+def test_trees_of_any_depth(spark):
+    chain = [(str(i), str(i - 1) if i else None, f"l{i}", i) for i in range(8)] + [("x", "gone", "lx", 0), ("y", "x", "ly", 0), ("z", None, "lz", 0)]
+    nodes = lambda rows: spark.createDataFrame(rows, "node_id string, parent_id string, label string, level int")
+    assert sorted(r.node_id for r in G.subtree(nodes(chain), "2").collect()) == ["2", "3", "4", "5", "6", "7"]
+    assert len(G.subtree(nodes(chain), "0").collect()) == 8 and G.subtree(nodes(chain), "none").count() == 0
+    found = {r.node_id: r.path for r in G.paths(nodes(chain)).collect()}
+    assert found["7"] == "/".join(f"l{i}" for i in range(8)) and sorted(found) == [*"01234567", "z"]
+    loop = [("a", "c", "a", 0), ("b", "a", "b", 0), ("c", "b", "c", 0), ("d", "c", "d", 0)]
+    for walk in (lambda: G.paths(nodes(loop)), lambda: G.subtree(nodes(loop), "b"), lambda: G.subtree(nodes([*loop, *chain]), "2")):
+        with pytest.raises(ValueError, match="cycle"):
+            walk()
+    assert G.paths(nodes([])).count() == 0

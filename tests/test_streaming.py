@@ -143,10 +143,12 @@ def test_replace_children(spark, tmp_path):
 
 def test_upserts_touch_one_day(spark, tmp_path):
     path = str(tmp_path / "days")
-    write = events.upsert_batches(path, "day", events.keyed_replacement(["id", "day"]))
+    write = events.upsert_batches(path, "day", lambda old, new: old.unionByName(new).groupBy("id", "day").agg(F.sum("n").cast("int").alias("n")))
     rows = lambda *r: spark.createDataFrame(r, "id int, day string, n int")
     write(rows((1, "mon", 1), (2, "mon", 1), (1, "tue", 1)), 0)
-    write(rows((1, "mon", 5)), 1)
-    write(rows((1, "mon", 5)), 1)  # run again
-    assert sorted(tuple(r) for r in events.current(spark, path, "day").select("id", "day", "n").collect()) == [(1, "mon", 5), (1, "tue", 1), (2, "mon", 1)]
-    assert sorted(p.name for p in (tmp_path / "days" / "version=1").glob("day=*")) == ["day=mon"]
+    tuesday = sorted(p.name for p in (tmp_path / "days" / "day=tue").glob("part-*"))
+    for _ in range(2):  # the second is a rerun
+        write(rows((1, "mon", 5)), 1)
+    write(rows((1, "mon", 2), (9, "wed", 4)), 2)
+    assert sorted(tuple(r) for r in events.current(spark, path).select("id", "day", "n").collect()) == [(1, "mon", 8), (1, "tue", 1), (2, "mon", 1), (9, "wed", 4)]
+    assert sorted(p.name for p in (tmp_path / "days" / "day=tue").glob("part-*")) == tuesday

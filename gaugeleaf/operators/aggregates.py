@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numerics as N
+from .tables import group_ranks
 
 UNCLASSIFIED = "unclassified"
 
@@ -53,14 +54,8 @@ def discrimination(answers: DataFrame, submissions: DataFrame, share: float = 0.
     own = joined.groupBy("problem_id", "student_id").agg(F.count_if("is_correct").alias("c"), F.count("*").alias("n"))
     rates = own.groupBy("student_id").agg((F.sum("c") / F.sum("n")).alias("rate"))
     each = own.withColumn("own", F.col("c") / F.col("n")).join(rates, "student_id")
-    per = Window.partitionBy("problem_id")
-    ranked = each.select(
-        "problem_id",
-        "own",
-        F.count("*").over(per).alias("n_students"),
-        F.row_number().over(per.orderBy(F.desc("rate"), "student_id")).alias("hi"),
-    )
-    # the worst are the last in the one order that is sorted for
+    ranked = group_ranks(each.select("problem_id", "student_id", "own", "rate"), ["problem_id"], [F.desc("rate"), F.col("student_id")], "hi", "n_students")
+    # the worst are the last in the one order
     cut = F.greatest(F.lit(1).cast("long"), F.floor(F.col("n_students") * share))
     best, worst = F.col("hi") <= cut, F.col("hi") > F.col("n_students") - cut
     grouped = ranked.groupBy("problem_id", "n_students").agg((F.avg(F.when(best, F.col("own"))) - F.avg(F.when(worst, F.col("own")))).alias("d"))

@@ -111,6 +111,24 @@ def reachable(problems: DataFrame, cell: list[str], seats: int) -> DataFrame:
     return turn.withColumn("__n", F.row_number().over(Window.partitionBy(*cell).orderBy("__turn", "problem_id"))).where(F.col("__n") <= seats).select(CANDIDATE)
 
 
+def with_available(slots: DataFrame, problems: DataFrame) -> DataFrame:
+    """slots with available, the number of problems that suit each.
+
+    Problems are counted for every place a slot can ask for (a unit, a subject, any), each kind and any, and
+    each difficulty; a slot finds its counts by equality and adds up those of its difficulties.
+    """
+    level = F.coalesce("difficulty", F.lit(NO_LEVEL)).alias("level")
+    place = lambda by, at: F.struct(F.lit(by).alias("by"), at.alias("place"))
+    places = F.array(place("unit", F.col("unit")), place("subject", F.col("subject")), place("any", F.lit("")))
+    kinds = F.array(*(F.struct(F.lit(asked).alias("asked"), of.alias("of")) for asked, of in ((True, F.col("kind")), (False, F.lit("")))))
+    cells = problems.groupBy("unit", "subject", "kind", level).agg(F.count("*").alias("n"))
+    cube = cells.select(F.explode(places).alias("p"), "kind", "level", "n").where("p.place is not null").select("p.by", "p.place", F.explode(kinds).alias("k"), "level", "n").where("k.of is not null").groupBy("by", "place", "k.asked", "k.of", "level").agg(F.sum("n").alias("n"))
+    by = F.when(F.col("unit").isNotNull(), "unit").when(F.col("subject").isNotNull(), "subject").otherwise("any")
+    wanted = slots.withColumns({"by": by, "place": F.coalesce("unit", "subject", F.lit("")), "asked": F.col("kind").isNotNull(), "of": F.coalesce("kind", F.lit(""))})
+    fits = F.when(F.col("level").between(F.col("low"), F.col("high")), F.col("n"))
+    return wanted.join(cube, ["by", "place", "asked", "of"], "left").groupBy(*slots.columns).agg(F.coalesce(F.sum(fits), F.lit(0)).alias("available"))
+
+
 def compose_exam(slots: DataFrame, problems: DataFrame, seats: int) -> DataFrame:
     """exam, slot, problem_id (null if unfilled), relaxed, match_score.
 
@@ -119,12 +137,7 @@ def compose_exam(slots: DataFrame, problems: DataFrame, seats: int) -> DataFrame
     slot is counted before the cut.
     """
     problems = problems.select(CANDIDATE)
-    level = F.coalesce("difficulty", F.lit(NO_LEVEL))
-    cells = problems.groupBy(F.col("subject").alias("s"), F.col("unit").alias("u"), F.col("kind").alias("k"), level.alias("d")).agg(F.count("*").alias("n"))
-    placed = F.when(F.col("unit").isNotNull(), F.col("u") == F.col("unit")).otherwise(F.col("subject").isNull() | (F.col("s") == F.col("subject")))
-    suited = placed & F.col("d").between(F.col("low"), F.col("high")) & (F.col("kind").isNull() | (F.col("k") == F.col("kind")))
-    # cells of units, kinds and difficulties, not problems
-    counted = slots.join(cells, (F.col("u").eqNullSafe(F.col("unit")) | F.col("unit").isNull()) & suited, "left").groupBy(*slots.columns).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("available"))
+    counted = with_available(slots, problems)
     own = reachable(problems, ["subject", "unit", "kind", "difficulty"], seats)
     anywhere = reachable(problems, ["kind", "difficulty"], seats)
     exams = slots.select("exam", "subject").distinct()

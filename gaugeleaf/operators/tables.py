@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,19 +68,25 @@ def latest_per(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return ranked.where("__n = 1").drop("__n")
 
 
-def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    """Adds the place of every row in one order, without bringing the rows together.
+def group_ranks(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank", total: str = "total") -> DataFrame:
+    """Adds the place of every row in its group and the group's size, for groups of any size.
 
-    Rows are range-partitioned and written once (a second sampling could draw other borders); a row's
-    place is the size of the earlier partitions and its place in its own.  The order must be total.
+    Rows are range-partitioned by group and order and written once (a second sampling could draw other
+    borders), so that a large group lies in several parts; a row's place is the size of the group's earlier
+    parts and its place in its own.  The order must be total in a group; null keys are a group.
     """
-    parted = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    parted = staged(parted, "ranked")
-    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parted.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    local = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    # one row for each partition
-    return parted.join(F.broadcast(offsets), "__part").withColumn(name, local + F.col("__before")).drop("__part", "__before")
+    parted = staged(df.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()), "ranked")
+    sizes = parted.groupBy(*keys, "__part").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__part").alias("__own"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy(*keys)).alias(total))
+    same = functools.reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(f"__{k}")), keys, F.col("__part") == F.col("__own"))
+    local = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order))
+    return parted.withColumn("__place", local).join(offsets, same).withColumn(name, F.col("__place") + F.col("__before")).drop("__part", "__own", "__place", "__before", *(f"__{k}" for k in keys))
+
+
+def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """Adds the place of every row in one total order, without bringing the rows together."""
+    return group_ranks(df, [], order, name, "__total").drop("__total")
 
 
 def page(df: DataFrame, order: list[Column], number: int, size: int, most: int = 100) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import numerics as N
 from ..operators import aggregates as A
 from ..operators import graph as G
 from ..operators import retrieval as J
+from ..operators import tables as O
 from ..sources.domain import Tables
 from .registry import query
 
@@ -55,10 +56,9 @@ def e7(t: Tables):
 
 @query("E8_top_and_bottom_share", """SELECT class_id, student_id, CASE WHEN hi <= k THEN 'top' ELSE 'bottom' END AS part FROM (SELECT class_id, student_id, greatest(1, floor(count(*) OVER (PARTITION BY class_id) * 0.27)) AS k, row_number() OVER (PARTITION BY class_id ORDER BY xp DESC, student_id) AS hi, row_number() OVER (PARTITION BY class_id ORDER BY xp, student_id DESC) AS lo FROM students) WHERE hi <= k OR lo <= k""")
 def e8(t: Tables):
-    per = Window.partitionBy("class_id")
-    n, hi = F.count("*").over(per), F.row_number().over(per.orderBy(F.desc("xp"), "student_id"))
-    ranked = t.students.select("class_id", "student_id", hi.alias("hi"), n.alias("n")).withColumn("k", F.greatest(F.lit(1).cast("long"), F.floor(F.col("n") * 0.27)))
-    part = F.when(F.col("hi") <= F.col("k"), "top").when(F.col("hi") > F.col("n") - F.col("k"), "bottom")
+    ranked = O.group_ranks(t.students.select("class_id", "student_id", "xp"), ["class_id"], [F.desc("xp"), F.col("student_id")], "hi", "n")
+    k = F.greatest(F.lit(1).cast("long"), F.floor(F.col("n") * 0.27))
+    part = F.when(F.col("hi") <= k, "top").when(F.col("hi") > F.col("n") - k, "bottom")
     return ranked.select("class_id", "student_id", part.alias("part")).where("part is not null")
 
 

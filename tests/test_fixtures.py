@@ -16,6 +16,7 @@ from gaugeleaf.operators import graph as G
 from gaugeleaf.operators import retrieval as J
 from gaugeleaf.operators import review as R
 from gaugeleaf.operators import tables as O
+from gaugeleaf.plans import catalog
 from gaugeleaf.plans.retrieval import exam_plan
 from gaugeleaf.sources.domain import Tables
 from gaugeleaf.streaming import events as E
@@ -215,7 +216,8 @@ def test_composition_reaches_all_it_needs(spark):
     pool = [r.asDict() for r in usable.collect()]
     for seats in (10, 4):
         mine = slots.where(F.col("slot") < seats)
-        got = {(r.exam, r.slot): (r.problem_id, r.relaxed, r.match_score) for r in C.compose_exam(mine, usable, seats).collect()}
+        composed = catalog.queries()["J15_exam_composition"](spark, "/root/testdata/sf0.001") if seats == 10 else C.compose_exam(mine, usable, seats)
+        got = {(r.exam, r.slot): (r.problem_id, r.relaxed, r.match_score) for r in composed.collect()}
         assert len(got) == mine.count()
         for exam, own in itertools.groupby(sorted((r.asDict() for r in mine.collect()), key=lambda s: s["exam"]), key=lambda s: s["exam"]):
             own = list(own)
@@ -225,6 +227,27 @@ def test_composition_reaches_all_it_needs(spark):
             assert [got[exam, s["slot"]] for s, _, _ in filled] == [(c["problem_id"] if c else None, name, score) for _, c, name in filled]
 
 
+def test_slots_find_their_counts_without_a_nested_loop(spark):
+    pool = [(i, *r) for i, r in enumerate(itertools.product(("s", "t", None), ("u", "v", None), ("k", None), (1, 3, None)))]
+    problems = spark.createDataFrame([(*r, 0) for r in pool], "problem_id long, subject string, unit string, kind string, difficulty int, source int")
+    asked = [("e", n, *a) for n, a in enumerate(itertools.product(("s", None), ("u", "w", None), ("k", "z", None), ((1, 2), (3, 3), (5, 4))))]
+    slots = spark.createDataFrame([(e, n, s, u, k, lo, hi) for e, n, s, u, k, (lo, hi) in asked], "exam string, slot int, subject string, unit string, kind string, low int, high int")
+    got = C.with_available(slots, problems)
+    for r in got.collect():
+        assert r.available == sum(C.suits(c.asDict(), r.asDict()) for c in problems.collect()), r
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_group_ranks_of_a_hot_group(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 9 == 0, None).otherwise(F.concat(F.lit("g"), F.col("id") % 7)).alias("g"), F.xxhash64("id").alias("v"))
+    ranked = O.group_ranks(rows, ["g"], [F.desc("v")])
+    by = {}
+    for r in sorted(ranked.collect(), key=lambda r: -r.v):
+        by.setdefault(r.g, []).append((r["rank"], r.total))
+    assert {g: len(x) for g, x in by.items()} == {r.g: r["count"] for r in rows.groupBy("g").count().collect()} and None in by
+    assert all(x == [(i, len(x)) for i in range(1, len(x) + 1)] for x in by.values())
+
+
 def test_knn_index_recall(spark):
     """Cells of 64 vectors, a third of them in one cluster: ids divisible by 100 against brute force."""
     draw = np.random.default_rng(4)

@@ -14,9 +14,14 @@ from pyspark.sql import functions as F
 from ..functions import numerics as N
 
 
+def words_of(text: Column) -> Column:
+    """Lower-case runs of letters and digits, in order."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
+
+
 def tokens(text: Column) -> Column:
     """Distinct lower-case runs of letters and digits."""
-    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", -1), lambda w: w != ""))
+    return F.array_distinct(words_of(text))
 
 
 def keyword_matches(docs: DataFrame, text: str, query: list[str]) -> DataFrame:
@@ -31,7 +36,7 @@ def _same(word: str):
 
 def bm25(docs: DataFrame, key: str, text: str, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """key and score of documents with any query word.  Only counts of query words are shuffled."""
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
+    words = words_of(F.col(text))
     counted = docs.select(key, F.size(words).alias("length"), *(F.size(F.array_compact(F.transform(words, _same(q)))).alias(f"q{i}") for i, q in enumerate(query)))
     stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"q{i}") > 0).alias(f"d{i}") for i in range(len(query))))
     joined = counted.crossJoin(F.broadcast(stats))  # one row

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..operators import compose as C
 from ..operators import retrieval as J
 from ..operators import review as R
 from ..operators import tables as O
+from ..operators.search import SearchIndex
 from ..sources.domain import Tables
 from .registry import query
 
@@ -21,16 +24,52 @@ def j1(t: Tables):
     return t.problems.select("problem_id", F.array_join(F.array_sort(J.tokens(F.col("stem"))), " ").alias("tokens"))
 
 
+@functools.cache
+def index_at(app: str, spark, files: tuple, sf_dir: str) -> SearchIndex:
+    return SearchIndex.build(Tables(spark, sf_dir).problems.select("problem_id", "stem"), "problem_id", "stem")
+
+
+def problem_index(t: Tables) -> SearchIndex:
+    """The index of the problems' stems: built once for the files of a table, read by every search."""
+    return index_at(t.spark.sparkContext.applicationId, t.spark, tuple(t.part.inputFiles()), t.sf_dir)
+
+
 @query("J2_keyword_match", f"SELECT problem_id FROM problems WHERE list_contains({TOKENS}, 'red') AND list_contains({TOKENS}, 'ring')")
 def j2(t: Tables):
-    return J.keyword_matches(t.problems, "stem", ["red", "ring"]).select("problem_id")
+    return problem_index(t).holding(["red", "ring"]).select("problem_id")
+
+
+@query("J2_scanned_match", f"SELECT problem_id FROM problems WHERE list_contains({TOKENS}, 'old') AND list_contains({TOKENS}, 'gear')")
+def j2_scanned(t: Tables):
+    """Without an index: for texts that are searched once."""
+    return J.keyword_matches(t.problems, "stem", ["old", "gear"]).select("problem_id")
+
+
+@query("J2_phrase_match", f"SELECT problem_id FROM problems WHERE contains(concat(' ', array_to_string({TOKENS}, ' '), ' '), ' hot gear ')")
+def j2_phrase(t: Tables):
+    return problem_index(t).phrase(["hot", "gear"])
+
+
+RANKED = f"""WITH w AS (SELECT problem_id, {TOKENS} AS ws FROM problems), c AS (SELECT problem_id, len(ws) AS l, len(list_filter(ws, lambda x: x = 'hot')) AS a, len(list_filter(ws, lambda x: x = 'ring')) AS b FROM w),
+  s AS (SELECT count(*) AS n, avg(l) AS m, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db FROM c)
+  SELECT problem_id, floor((ln(1 + (n - da + 0.5::DOUBLE) / (da + 0.5::DOUBLE)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * l / m)) + ln(1 + (n - db + 0.5::DOUBLE) / (db + 0.5::DOUBLE)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * l / m))) * 1000000 + 0.5) / 1000000 AS score FROM c, s"""
+
+
+@query("J3_keyword_top", f"SELECT * FROM ({RANKED}) WHERE score > 0 ORDER BY score DESC, problem_id LIMIT 25")
+def j3_top(t: Tables):
+    return problem_index(t).best(["hot", "ring"], 25).select("problem_id", N.js_round_n(F.col("score"), 6).alias("score"))
+
+
+@query("J3_scanned_rank", f"SELECT * FROM ({RANKED}) WHERE score > 0")
+def j3_scanned(t: Tables):
+    return J.bm25(t.problems, "problem_id", "stem", ["hot", "ring"]).withColumn("score", N.js_round_n(F.col("score"), 6))
 
 
 @query("J3_keyword_rank", f"""WITH w AS (SELECT problem_id, {TOKENS} AS ws FROM problems), c AS (SELECT problem_id, len(ws) AS l, len(list_filter(ws, lambda x: x = 'red')) AS a, len(list_filter(ws, lambda x: x = 'small')) AS b FROM w),
   s AS (SELECT count(*) AS n, avg(l) AS m, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db FROM c)
   SELECT * FROM (SELECT problem_id, floor((ln(1 + (n - da + 0.5::DOUBLE) / (da + 0.5::DOUBLE)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * l / m)) + ln(1 + (n - db + 0.5::DOUBLE) / (db + 0.5::DOUBLE)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * l / m))) * 1000000 + 0.5) / 1000000 AS score FROM c, s) WHERE score > 0""")
 def j3(t: Tables):
-    return J.bm25(t.problems, "problem_id", "stem", ["red", "small"]).withColumn("score", N.js_round_n(F.col("score"), 6))
+    return problem_index(t).scored(["red", "small"]).withColumn("score", N.js_round_n(F.col("score"), 6))
 
 
 QUERY_VECTOR = "SELECT embedding FROM embeddings WHERE vec_id = 7"
@@ -58,7 +97,7 @@ def j6(t: Tables):
   sem AS (SELECT vec_id AS id, row_number() OVER (ORDER BY round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(({QUERY_VECTOR}) AS DOUBLE[])), 12) DESC, vec_id) AS rank FROM embeddings)
   SELECT id, floor((coalesce(1.0 / (60 + kw.rank), 0) + coalesce(1.0 / (60 + sem.rank), 0)) * 1000000000 + 0.5) / 1000000000 AS score, count(*) OVER () AS total FROM kw FULL JOIN sem USING (id) ORDER BY coalesce(1.0 / (60 + kw.rank), 0) + coalesce(1.0 / (60 + sem.rank), 0) DESC, id LIMIT 20""")
 def j7(t: Tables):
-    hits = J.keyword_matches(t.problems, "stem", ["red"]).select(F.col("problem_id").alias("id"), (-F.size(J.tokens(F.col("stem")))).cast("double").alias("score"))
+    hits = problem_index(t).holding(["red"]).select(F.col("problem_id").alias("id"), (-F.col("length")).cast("double").alias("score"))
     q = t.embeddings.where("vec_id = 7").select(F.col("embedding").alias("q"))
     scored = t.embeddings.crossJoin(F.broadcast(q)).select(F.col("vec_id").alias("id"), F.round(N.cosine(F.col("embedding"), F.col("q")), 12).alias("score"))
     page = J.fused_page([hits, scored], "id", 20)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numerics as N
+from ..sources.store import staged
 
 
 def words_of(text: Column) -> Column:
@@ -60,14 +61,10 @@ def unit_rows(rows: pd.Series) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def centers_of(items: DataFrame, key: str, vector: str, cells: int, a_cell: int = 32, rounds: int = 8) -> np.ndarray:
-    """Unit centers of about cells clusters, fitted on cells * a_cell items: those with the smallest hash of their key."""
-    sample = items.where(F.col(vector).isNotNull()).select(vector).orderBy(F.xxhash64(key)).limit(cells * a_cell).toPandas()
-    if cells == 1 or len(sample) <= cells:
-        return unit_rows(sample[vector])[:1] if len(sample) else np.zeros((1, 1))
-    x = unit_rows(sample[vector])
-    centers = x[np.random.default_rng(5).choice(len(x), cells, replace=False)]
-    for _ in range(rounds):
+def lloyd(x: np.ndarray, k: int, rounds: int = 6, seed: int = 5) -> np.ndarray:
+    """k unit centers (fewer if x has fewer rows) of unit rows."""
+    centers = x[np.random.default_rng(seed).permutation(len(x))[:k]]
+    for _ in range(rounds if k < len(x) else 0):
         nearest = np.concatenate([(x[a : a + 4096] @ centers.T).argmax(axis=1) for a in range(0, len(x), 4096)])
         sums = np.zeros_like(centers)
         np.add.at(sums, nearest, x)
@@ -76,38 +73,104 @@ def centers_of(items: DataFrame, key: str, vector: str, cells: int, a_cell: int
     return centers
 
 
-def knn_all_pairs(items: DataFrame, key: str, vector: str, k: int = 10, least: float = 0.5, cell_rows: int = 4096, probes: int = 24, most_cells: int = 8192) -> DataFrame:
+def upper_centers(sample: DataFrame, key: str, vector: str, k: int, rounds: int = 6) -> np.ndarray:
+    """k unit centers of a sample: its tasks add up their rows for each center, only the sums come to the driver."""
+    first = sample.orderBy(F.xxhash64(F.col(key), F.lit(1))).limit(k).toPandas()  # k rows
+    if k == 1 or len(first) < k:
+        return unit_rows(first[vector]) if len(first) else np.zeros((1, 1))
+    centers = unit_rows(first[vector])
+    for _ in range(rounds):
+
+        def partial(batches: Iterator[pd.DataFrame], centers=centers) -> Iterator[pd.DataFrame]:
+            sums = np.zeros_like(centers)
+            for batch in batches:
+                x = unit_rows(batch[vector])
+                np.add.at(sums, (x @ centers.T).argmax(axis=1), x)
+            at, place = np.nonzero(sums)
+            yield pd.DataFrame({"center": at, "place": place, "part": sums[at, place]})
+
+        rows = sample.select(vector).mapInPandas(partial, "center int, place int, part double").groupBy("center", "place").agg(F.sum("part").alias("part")).toPandas()  # k times the dimension
+        sums = np.zeros_like(centers)
+        sums[rows["center"], rows["place"]] = rows["part"]
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        centers = np.where(norms > 0, sums / np.maximum(norms, 1e-12), centers)
+    return centers
+
+
+#: Sampled vectors for each cell, and the most of one upper cell that one task fits its cells on.
+SAMPLE_A_CELL, MOST_SAMPLE = 32, 32_768
+
+
+def nearest_cells(items: DataFrame, key: str, vector: str, cells: int, probes: int, upper_probes: int = 8, task_rows: int = 16_384) -> DataFrame:
+    """key and cells, the numbers of its ``probes`` nearest cells from the nearest on, of every item, of about ``cells`` in all.
+
+    Two levels: upper centers, as many as the root of the cells, are fitted on a sample and broadcast; those of the
+    cells below each are fitted in a task for each upper cell, on at most 32,768 sampled rows.  Every item meets the
+    cells below its 8 nearest upper centers; an upper cell of any size is dealt over tasks of about task_rows.
+    So what is sent for an item and what a task holds do not grow with the number of items.
+    """
+    if cells == 1:
+        return items.select(key, F.array(F.lit(0).cast("long")).alias("cells"))
+    uppers = max(1, int(np.ceil(np.sqrt(cells))))
+    share = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1_000_000)) < F.lit(int(1 + 1_000_000 * min(1.0, cells * SAMPLE_A_CELL / max(1, items.count()))))
+    sample = staged(items.where(share), "vector-sample")
+    sent = items.sparkSession.sparkContext.broadcast(upper_centers(sample, key, vector, uppers))
+    kind = {c: items.schema[c].dataType.simpleString() for c in (key, vector)}
+
+    def above(count: int):
+        def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if not batch.empty:
+                    scores = unit_rows(batch[vector]) @ sent.value.T
+                    yield pd.DataFrame({key: batch[key], vector: batch[vector], "upper": list(np.argsort(-scores, axis=1, kind="stable")[:, :count].astype(np.int32))})
+
+        return lambda df: df.select(key, vector).mapInPandas(near, f"{key} {kind[key]}, {vector} {kind[vector]}, upper array<int>").select(key, vector, F.explode("upper").alias("upper"))
+
+    looking = staged(above(min(upper_probes, uppers))(items), "upper-cells")
+    sizes = above(1)(sample).groupBy("upper").agg(F.count("*").alias("n"))
+    drawn = above(1)(sample).join(sizes, "upper").withColumn("nth", F.row_number().over(Window.partitionBy("upper").orderBy(F.xxhash64(key)))).where(F.col("nth") <= MOST_SAMPLE)
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        x = unit_rows(rows[vector])
+        centers = lloyd(x, int(max(1, min(len(x), -(-int(rows["n"].iloc[0]) // SAMPLE_A_CELL), 1024))))
+        return pd.DataFrame({"upper": np.int32(rows["upper"].iloc[0]), "child": np.arange(len(centers), dtype=np.int32), "center": list(centers)})
+
+    below = staged(drawn.groupBy("upper").applyInPandas(fit, "upper int, child int, center array<double>"), "centers")
+    tasks = staged(looking.groupBy("upper").agg(F.ceil(F.count("*") / task_rows).alias("tasks")), "upper-sizes")  # a row for each upper cell
+    dealt = looking.join(tasks, "upper").withColumn("task", F.pmod(F.xxhash64(key), F.col("tasks"))).drop("tasks")
+    copies = tasks.withColumn("task", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1))).drop("tasks").join(below, "upper")
+
+    def place(x: pd.DataFrame, centers: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or centers.empty:
+            return pd.DataFrame({key: [], "cell": [], "score": []})
+        scores = unit_rows(x[vector]) @ np.stack(centers["center"].to_numpy()).T
+        count = min(probes, scores.shape[1])
+        order = np.argsort(-scores, axis=1, kind="stable")[:, :count]
+        number = centers["upper"].to_numpy(np.int64) * 1024 + centers["child"].to_numpy(np.int64)
+        return pd.DataFrame({key: np.repeat(x[key].to_numpy(), count), "cell": number[order].ravel(), "score": np.take_along_axis(scores, order, axis=1).ravel()})
+
+    scored = dealt.groupBy("upper", "task").cogroup(copies.groupBy("upper", "task")).applyInPandas(place, f"{key} {kind[key]}, cell long, score double")
+    ranked = F.slice(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "cell"))), lambda c: c["cell"]), 1, probes)
+    return scored.groupBy(key).agg(ranked.alias("cells"))  # at most 8 times probes for an item
+
+
+def knn_all_pairs(items: DataFrame, key: str, vector: str, k: int = 10, least: float = 0.5, cell_rows: int = 4096, probes: int = 24) -> DataFrame:
     """key, neighbour, score, rank: for every item its k nearest others, then those of least or more.
 
     Every item is put into the cell of its nearest center and looks for neighbours in its ``probes`` nearest
-    cells; with no more cells than probes that is exact, and probes = most_cells makes it so at any size.
-    A cell's items and the items that look into it are dealt into blocks of about cell_rows; a task multiplies
-    two blocks and keeps the k best of each row, so that what is shuffled and held is bounded, however many
-    items share a cell.  The centers are fitted on a bounded sample (most_cells * 32 items) and broadcast
-    (most_cells vectors at most); all items are indexed.
+    cells (nearest_cells); there is a cell for each cell_rows items, and with no more cells than probes all are
+    searched, which is exact.  A cell's items and the items that look into it are dealt into blocks of about
+    cell_rows; a task multiplies two blocks and keeps the k best of each row, so that what is shuffled and held
+    is bounded, however many items share a cell.  Items without a vector have no neighbours; keys are distinct.
     """
-    cells = max(1, min(most_cells, -(-items.count() // cell_rows)))
-    probes = min(probes, cells)
-    sent = items.sparkSession.sparkContext.broadcast(centers_of(items, key, vector, cells))
-
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
-            centers = sent.value
-            if len(centers) == 1:
-                order = np.zeros((len(batch), 1), dtype=np.int32)
-            else:
-                scores = unit_rows(batch[vector]) @ centers.T
-                top = np.argpartition(-scores, min(probes, scores.shape[1]) - 1, axis=1)[:, :probes]
-                order = np.take_along_axis(top, np.argsort(-np.take_along_axis(scores, top, axis=1), axis=1), axis=1).astype(np.int32)
-            yield pd.DataFrame({key: batch[key], vector: batch[vector], "cells": list(order)})
-
-    kind = {c: items.schema[c].dataType.simpleString() for c in (key, vector)}
-    placed = items.where(F.col(vector).isNotNull()).select(key, vector).mapInPandas(near, f"{key} {kind[key]}, {vector} {kind[vector]}, cells array<int>")
+    items = staged(items.where(F.col(vector).isNotNull()).select(key, vector), "vectors")
+    cells = max(1, -(-items.count() // cell_rows))
+    everywhere = cells <= probes  # one cell then holds all, in blocks
+    nearest = nearest_cells(items, key, vector, 1 if everywhere else cells, probes)
+    placed = staged(items.join(nearest, key), "placed")
     own, looking = placed.select(key, vector, F.col("cells")[0].alias("cell")), placed.select(key, vector, F.explode("cells").alias("cell"))
     blocks = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") / cell_rows).alias(name))
-    counts = F.broadcast(blocks(own, "rows").join(blocks(looking, "lookers"), "cell"))  # one row for each of most_cells cells
+    counts = blocks(own, "rows").join(blocks(looking, "lookers"), "cell")  # one row for each cell
     part = lambda n: F.pmod(F.xxhash64(key), F.col(n))
     all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = looking.join(counts, "cell").withColumn("a", part("lookers")).withColumn("b", all_of("rows")).select("cell", "a", "b", key, vector)
@@ -134,6 +197,33 @@ def knn_all_pairs(items: DataFrame, key: str, vector: str, k: int = 10, least: f
     return ranked.where(F.col("score") >= least).select(F.col("id").alias(key), "neighbour", N.js_round_n(F.col("score"), 4).alias("score"), "rank")
 
 
+def nearest_of_each(asked: DataFrame, others: DataFrame, key: str, vector: str, k: int, block: int = 256) -> DataFrame:
+    """key and neighbour: the k items of others (neighbour, other) nearest to each asked one, by brute force over all.
+
+    The asked ones are sent to the tasks of others in blocks; a task keeps the k best of each for its rows.
+    """
+    blocks = -(-asked.count() // block)
+    packed = asked.select(key, vector).withColumn("block", F.pmod(F.xxhash64(key), F.lit(max(1, blocks)))).groupBy("block").agg(F.collect_list(F.struct(key, vector)).alias("asked"))
+    out = None
+    for sent in packed.toLocalIterator():
+        ids, against = np.array([r[key] for r in sent.asked]), unit_rows(pd.Series([np.array(r[vector]) for r in sent.asked])).T
+
+        def best(batches: Iterator[pd.DataFrame], ids=ids, against=against) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if not batch.empty:
+                    scores = (unit_rows(batch["other"]) @ against).T
+                    scores[ids[:, None] == batch["neighbour"].to_numpy()[None, :]] = -np.inf
+                    order = np.argsort(-np.round(scores, 12), axis=1, kind="stable")[:, :k]
+                    yield pd.DataFrame({key: np.repeat(ids, order.shape[1]), "neighbour": batch["neighbour"].to_numpy()[order].ravel(), "score": np.take_along_axis(scores, order, axis=1).ravel()})
+
+        part = others.mapInPandas(best, f"{key} long, neighbour long, score double")
+        out = part if out is None else out.union(part)
+    if out is None:
+        return others.sparkSession.createDataFrame([], f"{key} long, neighbour long")
+    ranked = out.where("score > -2").withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.round("score", 12)), "neighbour")))
+    return ranked.where(F.col("n") <= k).select(key, "neighbour")
+
+
 def counted_ranks(rows: DataFrame, key: str, wanted: list) -> dict:
     """Ranks of the wanted keys, as far as a list of (key, score) has them, in the order of falling score and rising key.
 

@@ -9,7 +9,9 @@ come.  The search then takes the emptiest bin again and again and fills others
 from it: it moves a piece, exchanges one for one, two for one or one for two,
 choosing the change that fills the other bin most, as long as the sum of squared
 fills grows.  Every underfull bin takes part; the search ends when the bins are
-as few as their total length allows or no bin has an improving change left.
+as few as their total length allows or no bin has an improving change left.  If
+they are not as few as that, the search is made from best fit decreasing too, and
+the fewer bins count.  Pieces of one length are one to it, however many there are.
 
 Bins that are not nearly full afterwards are taken apart and packed once more
 with those of other groups, in as many groups as they then need, until one group
@@ -30,7 +32,8 @@ from __future__ import annotations
 import functools
 import heapq
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -46,99 +49,154 @@ from .tokens import encoder_for, tokenizer_path
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, place long"
 
 
+def next_fit(lengths: list[int], capacity: int) -> list[Counter]:
+    """Bins filled in the order in which the lengths come."""
+    bins: list[Counter] = []
+    fill = capacity
+    for n in lengths:
+        if fill + n > capacity:
+            bins.append(Counter())
+            fill = 0
+        bins[-1][n] += 1
+        fill += n
+    return bins
+
+
+def best_fit(lengths: list[int], capacity: int) -> list[Counter]:
+    """Bins filled from the greatest length on, each into the bin with the least room for it."""
+    bins: list[Counter] = []
+    with_room: list[list[int]] = [[] for _ in range(capacity + 1)]
+    open_rooms = np.zeros(capacity + 1, dtype=bool)
+    for n in sorted(lengths, reverse=True):
+        ahead = int(np.argmax(open_rooms[n:])) + n
+        if open_rooms[ahead]:
+            b = with_room[ahead].pop()
+            open_rooms[ahead] = bool(with_room[ahead])
+        else:
+            b, ahead = len(bins), capacity
+            bins.append(Counter())
+        bins[b][n] += 1
+        with_room[ahead - n].append(b)
+        open_rooms[ahead - n] = True
+    return bins
+
+
+class Held:
+    """Values of all bins end to end, in which those of one bin can be replaced."""
+
+    def __init__(self, groups: list[np.ndarray]):
+        self.sizes = np.array([len(g) for g in groups], dtype=np.int64)
+        self.value, self.owner = np.concatenate([*groups, np.zeros(0, np.int64)]), np.repeat(np.arange(len(groups)), self.sizes)
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        self.used = len(self.value)
+
+    def replace(self, b: int, values: np.ndarray) -> None:
+        self.owner[self.begin[b] : self.begin[b] + self.sizes[b]] = -1
+        if self.used + len(values) > len(self.value):
+            live = np.flatnonzero(self.owner[: self.used] >= 0)  # drop what was replaced, and make room
+            value, owner = self.value[live], self.owner[live]
+            order = np.argsort(owner, kind="stable")
+            value, owner = value[order], owner[order]
+            self.begin = np.searchsorted(owner, np.arange(len(self.sizes)))
+            self.used = len(value)
+            spare = max(len(values), self.used // 2 + 1024)
+            self.value, self.owner = np.concatenate([value, np.zeros(spare, np.int64)]), np.concatenate([owner, np.full(spare, -1)])
+        self.begin[b], self.sizes[b] = self.used, len(values)
+        self.value[self.used : self.used + len(values)] = values
+        self.owner[self.used : self.used + len(values)] = b
+        self.used += len(values)
+
+
 class Search:
-    """Bins of pieces, and the changes between them; counts moves, exchanges and emptied bins."""
-
-    def __init__(self, lengths: np.ndarray, capacity: int):
-        self.size = lengths.astype(np.int64)
-        self.capacity = capacity
-        self.bin = np.zeros(len(lengths), dtype=np.int64)
-        fills: list[int] = []
-        for k, n in enumerate(self.size.tolist()):  # next fit
-            if not fills or fills[-1] + n > capacity:
-                fills.append(0)
-            fills[-1] += n
-            self.bin[k] = len(fills) - 1
-        self.fill = np.array(fills, dtype=np.int64)
-        self.members: list[set[int]] = [set() for _ in fills]
-        for k, b in enumerate(self.bin.tolist()):
-            self.members[b].add(k)
-        self.least = -(-int(self.size.sum()) // capacity)
+    """Bins of lengths, and the changes between them; counts moves, exchanges and emptied bins.
+
+    Pieces of one length are one: a bin knows how many it has of each.  A bin of 4,096 has 90 different
+    lengths at most, whatever the number of its pieces, so that what it can give or take is short.
+    """
+
+    def __init__(self, lengths: np.ndarray, capacity: int, start: Callable = next_fit):
+        self.lengths, self.capacity = lengths.astype(np.int64), capacity
+        self.bins = start(self.lengths.tolist(), capacity)
+        self.fill = np.array([sum(n * c for n, c in b.items()) for b in self.bins], dtype=np.int64)
+        self.singles = [np.array(sorted(b), dtype=np.int64) for b in self.bins]
+        self.held = Held(self.singles)
+        self.held_pairs: Held | None = None  # made when it is first asked for
+        self.least = -(-int(self.lengths.sum()) // capacity)
         self.count = {"move": 0, "one_for_one": 0, "two_for_one": 0, "one_for_two": 0, "emptied": 0}
 
-    def put(self, pieces: tuple[int, ...], source: int, target: int) -> None:
-        for k in pieces:
-            self.members[source].discard(k)
-            self.members[target].add(k)
-            self.bin[k] = target
-        moved = int(self.size[list(pieces)].sum())
-        self.fill[source] -= moved
-        self.fill[target] += moved
-
-    def pairs_in(self, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs of pieces of a bin, for each of the bins."""
-        inside = np.isin(self.bin, bins)
-        piece = np.flatnonzero(inside)
-        piece = piece[np.argsort(self.bin[piece], kind="stable")]
-        owner = self.bin[piece]
-        ends = np.searchsorted(owner, owner, side="right")
-        after = ends - np.arange(len(piece)) - 1
-        left = np.repeat(np.arange(len(piece)), after)
-        return piece[left], piece[left + 1 + K.ragged(after)]
+    def put(self, given: tuple[int, ...], source: int, target: int) -> None:
+        for n in given:
+            self.bins[target][n] += 1
+            self.bins[source][n] -= 1
+            if not self.bins[source][n]:
+                del self.bins[source][n]
+        for b, sign in ((source, -1), (target, 1)):
+            self.fill[b] += sign * sum(given)
+            self.singles[b] = np.array(sorted(self.bins[b]), dtype=np.int64)
+            self.held.replace(b, self.singles[b])
+            if self.held_pairs:
+                self.held_pairs.replace(b, self.pairs(b))
+
+    def pairs(self, b: int) -> np.ndarray:
+        """The lengths that two pieces of a bin can have together."""
+        x = self.singles[b]
+        i, j = np.triu_indices(len(x), 1)
+        twice = x[[self.bins[b][n] > 1 for n in x.tolist()]] * 2
+        return np.unique(np.concatenate([x[i] + x[j], twice]))
+
+    def pair_of(self, b: int, total: int) -> tuple[int, int]:
+        return next((n, total - n) for n in self.singles[b].tolist() if self.bins[b].get(total - n, 0) > (n == total - n))
+
+    def offer(self, gives: np.ndarray, held: Held, low: int) -> tuple[int, int, int] | None:
+        """(give, take, bin) by which another bin gains most: give - take, no more than its room, and enough to raise the sum of squares."""
+        if not len(gives):
+            return None
+        take, owner = held.value[: held.used], held.owner[: held.used]
+        near = np.flatnonzero((take < gives[-1]) & (owner >= 0))
+        take, owner = take[near], owner[near]
+        room = self.capacity - self.fill[owner]
+        at = np.searchsorted(gives, take + room, side="right") - 1
+        gain = np.where(at >= 0, gives[at], 0) - take
+        gain[(gain + self.fill[owner] <= self.fill[low]) | (owner == low)] = 0
+        if not len(gain) or gain.max() <= 0:
+            return None
+        q = int(np.argmax(gain))
+        return int(gives[at[q]]), int(take[q]), int(owner[q])
 
     def change(self, low: int) -> bool:
         """Fills another bin from bin low, if that increases the sum of squared fills."""
+        mine = self.singles[low]
         room = self.capacity - self.fill
-        room[low] = -1
-        mine = sorted(self.members[low], key=lambda k: (-self.size[k], k))
-        for k in mine:  # the fullest bin with room for it
-            fits = np.flatnonzero((room >= self.size[k]) & (self.fill + self.size[k] > self.fill[low]) & (self.fill > 0))
-            if len(fits):
-                self.put((k,), low, int(fits[np.argmin(room[fits])]))
-                self.count["move"] += 1
-                return True
-        # exchanges: gain is what the other bin gets more than it gives
-        slack, ahead = room[self.bin], self.fill[self.bin] - self.fill[low]
-        best: tuple[int, str, tuple[int, ...], tuple[int, ...]] | None = None
-
-        def offer(kind: str, give: tuple[int, ...]) -> None:
-            nonlocal best
-            gain = int(self.size[list(give)].sum()) - self.size
-            good = np.flatnonzero((gain > 0) & (gain <= slack) & (gain + ahead > 0))
-            if len(good):
-                q = int(good[np.argmax(gain[good])])
-                if best is None or gain[q] > best[0]:
-                    best = (int(gain[q]), kind, give, (q,))
-
-        for k in mine:
-            offer("one_for_one", (k,))
-        if best is None:
-            for x, k in enumerate(mine):
-                for j in mine[x + 1 :]:
-                    offer("two_for_one", (k, j))
-        if best is None and mine:
-            largest = int(self.size[mine[0]])
-            some = np.flatnonzero((room > 0) & (self.fill > 0))
-            a, b = self.pairs_in(some)
-            taken = self.size[a] + self.size[b]
-            near = np.flatnonzero((taken < largest) & (taken + room[self.bin[a]] > 0))
-            a, b, taken = a[near], b[near], taken[near]
-            for k in mine:
-                gain = self.size[k] - taken
-                good = np.flatnonzero((gain > 0) & (gain <= slack[a]) & (gain + ahead[a] > 0))
-                if len(good):
-                    q = int(good[np.argmax(gain[good])])
-                    if best is None or gain[q] > best[0]:
-                        best = (int(gain[q]), "one_for_two", (k,), (int(a[q]), int(b[q])))
-        if best is None:
+        others = np.flatnonzero((room > 0) & (self.fill > 0))
+        others = others[others != low]
+        if not len(others):
             return False
-        _, kind, give, take = best
-        other = int(self.bin[take[0]])
-        self.put(give, low, other)
-        self.put(take, other, low)
+        others = others[np.argsort(room[others], kind="stable")]
+        at = np.searchsorted(room[others], mine)  # the fullest bin with room for each
+        fits = np.flatnonzero(at < len(others))
+        fits = fits[self.fill[others[at[fits]]] + mine[fits] > self.fill[low]]
+        if len(fits):
+            self.put((int(mine[fits[-1]]),), low, int(others[at[fits[-1]]]))
+            self.count["move"] += 1
+            return True
+        if found := self.offer(mine, self.held, low):
+            kind, give, take = "one_for_one", (found[0],), (found[1],)
+        elif found := self.offer(self.pairs(low), self.held, low):
+            kind, give, take = "two_for_one", self.pair_of(low, found[0]), (found[1],)
+        elif found := self.offer(mine, self.all_pairs(), low):
+            kind, give, take = "one_for_two", (found[0],), self.pair_of(found[2], found[1])
+        else:
+            return False
+        self.put(give, low, found[2])
+        self.put(take, found[2], low)
         self.count[kind] += 1
         return True
 
+    def all_pairs(self) -> Held:
+        if self.held_pairs is None:
+            self.held_pairs = Held([self.pairs(b) for b in range(len(self.bins))])
+        return self.held_pairs
+
     def run(self) -> list[list[int]]:
         """The bins, each a list of pieces, when no change is left or they are as few as can be."""
         used = int((self.fill > 0).sum())
@@ -158,7 +216,27 @@ class Search:
                 if not self.fill[low]:
                     used -= 1
                     self.count["emptied"] += 1
-        return [sorted(m) for m in self.members if m]
+        order = np.argsort(self.lengths, kind="stable")
+        first = dict(zip(*(x.tolist() for x in np.unique(self.lengths[order], return_index=True)), strict=True))
+        out = []
+        for b in self.bins:
+            mine = []
+            for n, c in b.items():
+                mine += order[first[n] : first[n] + c].tolist()
+                first[n] += c
+            if mine:
+                out.append(sorted(mine))
+        return out
+
+
+def fewest(lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """The bins of the search from a loose start, or from best fit decreasing where the first are not as few as can be and the second are fewer."""
+    loose = Search(lengths, capacity)
+    found = loose.run()
+    if len(found) > loose.least:
+        tight = Search(lengths, capacity, best_fit).run()
+        found = min(found, tight, key=len)
+    return found
 
 
 def pieces(docs: DataFrame, capacity: int = 4096, end_id: int = 1, path: str | None = None) -> DataFrame:
@@ -200,7 +278,7 @@ def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 1, path: str | Non
         def fill(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("place", kind="stable").reset_index(drop=True)
             lengths = pdf["length"].to_numpy()
-            bins = Search(lengths, capacity).run()
+            bins = fewest(lengths, capacity)
             order = np.concatenate([np.array(b) for b in bins])
             sizes = np.array([len(b) for b in bins])
             placed = lengths[order]

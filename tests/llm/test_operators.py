@@ -4,6 +4,7 @@ import functools
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -241,6 +242,28 @@ def test_local_search_against_brute_force():
     assert len(Search(np.array(lengths), 100).run()) <= best_fit_decreasing(lengths, 100)
 
 
+def test_search_over_lengths_not_pieces():
+    from gaugeleaf.llm.packing import Search, best_fit, fewest
+
+    began = time.perf_counter()
+    assert len(fewest(np.full(8192, 3), 4096)) == 7  # 1,365 pieces a bin: the bound of 6 is out of reach
+    assert time.perf_counter() - began < 1
+    draw = np.random.default_rng(0)
+    for lengths in (draw.choice([411, 820, 1366, 1367, 2049], 1500), draw.integers(1, 4096, 600), draw.integers(1000, 1800, 600), np.clip(draw.lognormal(6, 1.2, 4000).astype(int), 1, 4095)):
+        bins = fewest(lengths, 4096)
+        assert sorted(k for b in bins for k in b) == list(range(len(lengths)))
+        assert max(int(lengths[b].sum()) for b in bins) <= 4096
+        assert -(-int(lengths.sum()) // 4096) <= len(bins) <= min(len(best_fit(lengths.tolist(), 4096)), best_fit_decreasing(lengths.tolist(), 4096))
+    search = Search(draw.integers(1, 60, 300), 100)
+    search.all_pairs()
+    for _ in range(400):  # what is held of each bin is what the bin has
+        if not any(search.change(int(b)) for b in np.argsort(search.fill) if search.fill[b]):
+            break
+        for held, own in ((search.held, lambda b: search.singles[b]), (search.held_pairs, search.pairs)):
+            live = np.flatnonzero(held.owner[: held.used] >= 0)
+            assert sorted(zip(held.owner[live].tolist(), held.value[live].tolist())) == sorted((b, v) for b in range(len(search.bins)) for v in own(b).tolist())
+
+
 @pytest.mark.parametrize("group_pieces", [8192, 8])
 def test_remainders_of_groups_are_packed_together(spark, group_pieces):
     from gaugeleaf.llm.packing import pack

@@ -6,12 +6,13 @@ positions that can start a match, and binary-searches every benchmark suffix
 in it.  A hit is extended to the longest verbatim match, and a document with a
 match of a whole window is contaminated.
 
-Scale: documents are mapped where they are read, without a shuffle.  The
-benchmark is the stated query set; it is sent to the tasks in blocks of at most
-``block_bytes`` of text, one pass over the documents for each block, so that
-what is broadcast is bounded whatever the benchmark's size.  The driver holds one
-block at a time; a longer item is sent in pieces that overlap by a window less a word.
-A task's shard is indexed in slices of some megabytes of text.
+Scale: documents are mapped where they are read, in one pass and without a shuffle.
+The benchmark is the stated query set.  It is written as blocks of at most
+``block_bytes`` of text into the shared folder; a task gathers a shard of some
+megabytes of text, holds it against one block after the other, and hands it on, so
+that neither the driver nor a task ever holds more of the benchmark than a block.
+An item longer than a block lies in several, in pieces that overlap by a window less
+a word; its matches are put together again.
 
 Edge cases: a null or empty text has no words, is never contaminated and is
 returned with zeros; a text of any length is one slice; an empty benchmark leaves all
@@ -28,12 +29,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import kernels as K
+from .tables import materialize, open_shared
 
 MATCH = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
@@ -52,29 +55,32 @@ class SuffixQueries:
         _, _, hashes, first = K.words(data, offsets, K.NOT_ALNUM)
         self.window = window
         self.vocabulary = np.unique(hashes)
-        numbers = np.searchsorted(self.vocabulary, hashes) + 1
-        rows: list[np.ndarray] = []
-        owners: list[tuple[int, int, int]] = []
-        for k, (item_id, before, _) in enumerate(items):
-            own = numbers[first[k] : first[k + 1]]
-            size = min(window, len(own))
-            for at in range(len(own) - size + 1 if size else 0):
-                rows.append(own[at : at + size])
-                owners.append((item_id, before + at, size))
-        self.sizes = np.array([len(r) for r in rows], dtype=np.int64)
-        self.least = int(self.sizes.min()) if rows else 0
-        padded = np.zeros((len(rows), window), dtype=">u4")
-        for k, r in enumerate(rows):
-            padded[k, : len(r)] = r
+        numbers = np.append(np.searchsorted(self.vocabulary, hashes) + 1, np.zeros(window, dtype=np.int64))
+        words = np.diff(first)
+        sizes = np.minimum(words, window)
+        counts = np.where(sizes > 0, words - sizes + 1, 0)
+        item, at = np.repeat(np.arange(len(items)), counts), K.ragged(counts)
+        self.sizes = sizes[item]
+        self.least = int(self.sizes.min()) if len(item) else 0
+        padded = np.zeros((len(item), window), dtype=">u4")
+        for k in range(window):
+            padded[:, k] = np.where(self.sizes > k, numbers[first[item] + at + k], 0)
         self.keys = keys_of(padded)
-        self.items = np.array([NO_ID if o[0] is None else o[0] for o in owners], dtype=np.int64)
-        self.at = np.array([o[1] for o in owners], dtype=np.int64)
+        self.items = np.array([NO_ID if i is None else i for i, _, _ in items], dtype=np.int64)[item]
+        self.at = np.array([before for _, before, _ in items], dtype=np.int64)[item] + at
 
-    def matches(self, numbers: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Longest matches in texts of numbered words: text, item, first word, length."""
+    def numbered(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word in the block's vocabulary, 0 for others."""
+        if not len(self.vocabulary):
+            return np.zeros(len(hashes), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == hashes, at + 1, 0)
+
+    def matches(self, numbers: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Longest matches in texts of numbered words: text, item, first word, length, and the first word's place in the item."""
         none = np.zeros(0, dtype=np.int64)
         if not len(numbers) or not len(self.keys):
-            return none, none, none, none
+            return none, none, none, none, none
         stops = first[1:][K.rows_of(first)]
         unknown = np.flatnonzero(numbers == 0)
         place = np.arange(len(numbers))
@@ -82,7 +88,7 @@ class SuffixQueries:
         reach = np.minimum(upcoming, stops) - place
         starts = np.flatnonzero(reach >= self.least)
         if not len(starts):
-            return none, none, none, none
+            return none, none, none, none, none
         grid = np.zeros((len(starts), self.window), dtype=">u4")
         padded = np.append(numbers, np.zeros(self.window, dtype=numbers.dtype))
         for k in range(self.window):
@@ -106,7 +112,7 @@ class SuffixQueries:
         query = np.concatenate([q for q, _ in found])
         at = np.concatenate([p for _, p in found])
         if not len(query):
-            return none, none, none, none
+            return none, none, none, none, none
         text = np.searchsorted(first, at, side="right") - 1
         item, shift = self.items[query], at - self.at[query]
         order = np.lexsort((at, shift, item, text))
@@ -115,7 +121,7 @@ class SuffixQueries:
         fresh[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (shift[1:] != shift[:-1]) | (at[1:] != at[:-1] + 1)
         begin = np.flatnonzero(fresh)
         last = np.append(begin[1:], len(at)) - 1
-        return text[begin], item[begin], at[begin] - first[text[begin]], at[last] + size[last] - at[begin]
+        return text[begin], item[begin], at[begin] - first[text[begin]], at[last] + size[last] - at[begin], at[begin] - shift[begin]
 
 
 def keys_of(grid: np.ndarray) -> np.ndarray:
@@ -150,67 +156,109 @@ def pieces_of(text: str, window: int, most: int) -> Iterator[tuple[int, str]]:
         at = stop - window + 1
 
 
-def blocks_of(benchmark: DataFrame, block_bytes: int, window: int) -> Iterator[list[tuple[int, int, str]]]:
-    """The items (item_id, first word, text) in runs of at most block_bytes (one piece at least), one run on the driver at a time."""
-    run: list[tuple[int, int, str]] = []
-    size = 0
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        for first, text in pieces_of(row["text"] or "", window, block_bytes):
-            n = len(text.encode())
-            if run and size + n > block_bytes:
-                yield run
-                run, size = [], 0
-            run.append((row["item_id"], first, text))
-            size += n
-    if run:
-        yield run
+BLOCK = T.StructType([T.StructField("items", T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("first", T.LongType()), T.StructField("text", T.StringType())])))])
+
+
+def write_blocks(benchmark: DataFrame, block_bytes: int, window: int) -> list[str]:
+    """Writes the items in blocks of at most block_bytes (one piece at least), a row each; returns the files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = to_arrow_type(BLOCK["items"].dataType)
+        block: list[dict] = []
+        size = 0
+        for batch in batches:
+            for item_id, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for first, text in pieces_of(whole or "", window, block_bytes):
+                    n = len(text.encode())
+                    if block and size + n > block_bytes:
+                        yield pa.RecordBatch.from_arrays([pa.array([block], kind)], names=["items"])
+                        block, size = [], 0
+                    block.append({"item_id": item_id, "first": first, "text": text})
+                    size += n
+        if block:
+            yield pa.RecordBatch.from_arrays([pa.array([block], kind)], names=["items"])
+
+    return materialize(benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(run, BLOCK), "benchmark").inputFiles()
+
+
+class Blocks:
+    """The blocks of a benchmark one after the other; one alone is kept."""
+
+    def __init__(self, files: list[str], window: int):
+        self.files, self.window = files, window
+        self.only: list[SuffixQueries] | None = None
+
+    def __iter__(self) -> Iterator[SuffixQueries]:
+        if self.only is not None:
+            yield from self.only
+            return
+        seen, last = 0, None
+        for name in self.files:
+            with open_shared(name) as file:
+                for batch in pq.ParquetFile(file).iter_batches(batch_size=1):
+                    for items in batch.column(0).to_pylist():
+                        last = SuffixQueries([(i["item_id"], i["first"], i["text"]) for i in items], self.window)
+                        seen += 1
+                        yield last
+        if seen <= 1:
+            self.only = [last] if seen else []
+
 
+def joined(found: list[np.ndarray]) -> np.ndarray:
+    """Rows (text, item, start, length, place in item) with those of one item that overlap at one shift as one: pieces of an item meet again."""
+    rows = np.concatenate([np.zeros((0, 5), dtype=np.int64), *found])
+    text, item, start, length, place = rows.T
+    order = np.lexsort((start, start - place, item, text))
+    rows = rows[order]
+    out: list[list[int]] = []
+    for row in rows.tolist():
+        if out and row[:2] == out[-1][:2] and row[2] - row[4] == out[-1][2] - out[-1][4] and row[2] <= out[-1][2] + out[-1][3]:
+            out[-1][3] = max(out[-1][3], row[2] + row[3] - out[-1][2])
+        else:
+            out.append(row)
+    return np.array(out, dtype=np.int64).reshape(-1, 5)
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8 << 20, columns: tuple[str, ...] | None = None) -> DataFrame:
+
+def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8 << 20, columns: tuple[str, ...] | None = None, shard_bytes: int = 16 << 20) -> DataFrame:
     """docs (or the named columns of it) with n_words, spans (merged word ranges) and matches (item, first word, length).
 
     Needs a column text in docs and item_id, text in benchmark.
     """
     kept = [c for c in (columns or docs.columns) if c not in ("n_words", "spans", "matches")]
-    extra = [] if "text" in kept else ["text"]
-    base = T.StructType([docs.schema[c] for c in [*kept, *extra]])
-    schema = T.StructType([*base.fields, T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(SPAN)), T.StructField("matches", T.ArrayType(MATCH))])
-    out = docs.select(*kept, *extra).withColumns({"n_words": F.lit(None).cast("long"), "spans": F.array().cast(T.ArrayType(SPAN)), "matches": F.array().cast(T.ArrayType(MATCH))})
-    blocks = blocks_of(benchmark, block_bytes, window)
-    block = next(blocks, [])
-    while block is not None:
-        sent = docs.sparkSession.sparkContext.broadcast((block, window))
-        block = next(blocks, None)
-        lean = block is None
-        last = T.StructType([f for f in schema.fields if not (lean and f.name in extra)])
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, last=last) -> Iterator[pa.RecordBatch]:
-            queries = SuffixQueries(*sent.value)
-            names = last.fieldNames()
-            span_type, match_type = to_arrow_type(T.ArrayType(SPAN)), to_arrow_type(T.ArrayType(MATCH))
-            for batch in batches:
-                for i, n, data, offsets in K.text_slices(batch):
-                    _, _, hashes, first = K.words(data, offsets, K.NOT_ALNUM)
-                    if len(queries.vocabulary):
-                        at = np.minimum(np.searchsorted(queries.vocabulary, hashes), len(queries.vocabulary) - 1)
-                        numbers = np.where(queries.vocabulary[at] == hashes, at + 1, 0)
-                    else:
-                        numbers = np.zeros(len(hashes), dtype=np.int64)
-                    part = batch.slice(i, n)
-                    spans = part.column(part.schema.get_field_index("spans")).to_pylist()
-                    matches = part.column(part.schema.get_field_index("matches")).to_pylist()
-                    touched = set()
-                    for text, item, start, length in zip(*(x.tolist() for x in queries.matches(numbers, first)), strict=True):
-                        matches[text].append({"item_id": None if item == NO_ID else item, "start": start, "length": length})
-                        touched.add(text)
-                    for text in touched:
-                        found = [(m["start"], m["start"] + m["length"]) for m in matches[text]]
-                        spans[text] = [{"start": a, "end": b} for a, b in merged(found)]
-                    made = {"n_words": pa.array(np.diff(first), pa.int64()), "spans": pa.array(spans, span_type), "matches": pa.array(matches, match_type)}
-                    yield pa.RecordBatch.from_arrays([made.get(c) if c in made else part.column(part.schema.get_field_index(c)) for c in names], names=names)
-
-        out = out.mapInArrow(run, last)
-    return out
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(SPAN)), T.StructField("matches", T.ArrayType(MATCH))])
+    files = write_blocks(benchmark, block_bytes, window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = Blocks(files, window)
+        span_type, match_type = to_arrow_type(T.ArrayType(SPAN)), to_arrow_type(T.ArrayType(MATCH))
+
+        def judged(shard: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            found: list[list[np.ndarray]] = [[] for _ in shard]
+            for queries in blocks:
+                for own, (_, hashes, first) in zip(found, shard, strict=True):
+                    own.append(np.stack(queries.matches(queries.numbered(hashes), first), axis=1))
+            for own, (part, _, first) in zip(found, shard, strict=True):
+                matches: list[list[dict]] = [[] for _ in range(part.num_rows)]
+                for text, item, start, length, _ in joined(own).tolist():
+                    matches[text].append({"item_id": None if item == NO_ID else item, "start": start, "length": length})
+                spans = [[{"start": a, "end": b} for a, b in merged([(m["start"], m["start"] + m["length"]) for m in own])] for own in matches]
+                made = [pa.array(np.diff(first), pa.int64()), pa.array(spans, span_type), pa.array(matches, match_type)]
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), *made], names=schema.fieldNames())
+
+        shard, size = [], 0
+        for batch in batches:
+            for i, n, data, offsets in K.text_slices(batch):
+                _, _, hashes, first = K.words(data, offsets, K.NOT_ALNUM)
+                shard.append((batch.slice(i, n), hashes, first))
+                size += len(data)
+                if size >= shard_bytes:
+                    yield from judged(shard)
+                    shard, size = [], 0
+        if shard:
+            yield from judged(shard)
+
+    wanted = [*kept, *([] if "text" in kept else ["text"])]
+    return docs.select(*wanted).mapInArrow(run, schema)
 
 
 def with_hits(matched: DataFrame) -> DataFrame:

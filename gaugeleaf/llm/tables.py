@@ -3,13 +3,26 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from urllib.parse import unquote
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 
+def open_shared(uri: str) -> pa.NativeFile:
+    """A file of a shared folder for reading at any place in a task: a local or mounted path, or a store that Arrow knows (HDFS, S3, GCS, Azure)."""
+    scheme, found, rest = uri.partition(":")
+    if not found or scheme == "file":
+        return pyarrow.fs.LocalFileSystem().open_input_file(re.sub("^/+", "/", unquote(rest) if found else uri))
+    system, path = pyarrow.fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
+    return system.open_input_file(path)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -33,11 +33,10 @@ from datetime import datetime, timezone
 from typing import NamedTuple
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import fresh_path, materialize
+from .tables import fresh_path, materialize, open_shared
 
 GZIP = 31  # zlib's number for a gzip member
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -99,15 +98,6 @@ def parsed(data: bytes) -> tuple[Header, bytes]:
     return Header(inside("warc-record-id"), fields["warc-type"], fields.get("warc-target-uri"), fields.get("x-page-id"), fields["warc-payload-digest"].partition(":")[2], inside("warc-refers-to")), payload
 
 
-def open_archive(uri: str) -> pa.NativeFile:
-    """A file of a shared folder for reading at any place."""
-    scheme, found, rest = uri.partition(":")
-    if not found or scheme == "file":
-        return pa.fs.LocalFileSystem().open_input_file(re.sub("^/+", "/", rest if found else uri))
-    system, path = pa.fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
-    return system.open_input_file(path)
-
-
 def members(chunks: Iterable[bytes], offset: int = 0) -> Iterator[tuple[int, int, bytes]]:
     """(offset, length, content) of each record in bytes that begin at offset; an empty member belongs to the one before."""
     pending, at, unzip, content = None, offset, zlib.decompressobj(GZIP), []
@@ -187,7 +177,7 @@ def index_archives(spark: SparkSession, path: str) -> DataFrame:
         kinds = [pa.int64() if c.endswith("long") else pa.string() for c in INDEX.split(", ")]
         for batch in batches:
             for archive in batch.column(0).to_pylist():
-                with open_archive(archive) as file:
+                with open_shared(archive) as file:
                     rows = []
                     for offset, length, data in members(iter(lambda file=file: file.read(CHUNK), b"")):
                         h, _ = parsed(data)
@@ -221,7 +211,7 @@ def read_records(selected: DataFrame, with_payload: bool = True, gap: int = 64 <
                 if file:
                     file.close()
                 archive = ranges[0][0]
-                file = open_archive(archive)
+                file = open_shared(archive)
             begin = ranges[0][1]
             data = file.read_at(ranges[-1][1] + ranges[-1][2] - begin, begin)
             rows, held = [], 0

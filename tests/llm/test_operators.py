@@ -498,6 +498,10 @@ def test_decontamination(spark, docs, nothing, block_bytes):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = with_hits(find_matches(docs.drop("n_words"), bench, block_bytes=block_bytes, columns=("doc_id",))).collect()
     assert sorted((r.doc_id, r.n_words, r.n_hit, r.items) for r in got) == sorted(want)
+    again = find_matches(docs.drop("n_words"), bench, block_bytes=block_bytes, columns=("doc_id",), shard_bytes=5000)
+    assert sorted(map(str, again.collect())) == sorted(map(str, find_matches(docs.drop("n_words"), bench, columns=("doc_id",)).collect()))  # blocks and shards change nothing
+    many = spark.createDataFrame([(i, f"{ITEM} no {i}") for i in range(40)], "item_id long, text string")
+    assert find_matches(docs, many, block_bytes=100)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
     clean = decontaminate(docs, bench)
     assert clean.columns == docs.columns
     assert sorted(r.doc_id for r in clean.collect()) == sorted(i for i, _, h, _ in want if not h)

@@ -391,6 +391,24 @@ def test_quality_rules(docs, nothing):
     assert Q.verdicts(nothing).collect() == []
 
 
+def test_rules_are_ordered_by_rejections_per_cost(spark, docs, nothing):
+    from gaugeleaf.llm import quality_rules as Q
+
+    read = {}
+    for rule, condition in Q.rules(lambda n: F.col(f"m_{n}")).items():
+        read[rule] = set(re.findall(r"m_(\w+)", str(condition)))
+    assert read == Q.READS  # what a rule is charged for is what it reads
+    assert set(Q.COSTS) == set(Q.measures())
+    symbols = spark.createDataFrame([("## " * 30,)] * 30 + [("word and other " * 10 + str(i),) for i in range(10)], "text string")
+    order = Q.ordered_rules(symbols)
+    assert order == Q.ordered_rules(symbols) and sorted(order) == sorted(Q.READS)
+    assert order.index("symbols") < order.index("repeated_words") and order.index("few_words") > order.index("symbols")
+    assert Q.ordered_rules(nothing) == sorted(Q.READS)
+    judged = Q.verdicts(symbols, measures_too=False)
+    spent = Q.evaluations(Q.verdicts(symbols, order, measures_too=False), order)
+    assert sum(spent.values()) < len(order) * judged.count() / 2  # evaluations saved
+
+
 def test_cascade_skips_rules(docs):
     from gaugeleaf.llm import quality_rules as Q
 

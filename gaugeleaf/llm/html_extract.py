@@ -298,23 +298,24 @@ def main_text(page: str, skeleton: set[int], repeated: set[int]) -> str:
 def extract(pages: DataFrame, salts: int = 16, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """pages with text (main text, '' if none); needs page_id, url and html.  A column text is replaced."""
     pages = pages.drop("text")
-    hosted = pages.withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", HOST, 1), F.lit(""))))
-    found = materialize(templates(hosted.select("page_id", "host", "html")), "templates")
+    names = {n: f"in_{i}" for i, n in enumerate(pages.columns)}  # whatever they are called, they clash with none of the columns below
+    plain = pages.toDF(*names.values())
+    hosted = plain.withColumn("host", F.lower(F.coalesce(F.regexp_extract(names["url"], HOST, 1), F.lit(""))))
+    found = materialize(templates(hosted.select(F.col(names["page_id"]).alias("page_id"), "host", F.col(names["html"]).alias("html"))), "templates")
     size = found.agg(F.sum(F.length("host") + 8 * F.size("skeleton") + 8 * F.size("repeated") + 100)).first()[0] or 0
     if size <= broadcast_bytes:  # measured; larger sets of templates meet their pages in a shuffle
         joined = hosted.join(F.broadcast(found), "host", "left")
     else:
         salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        hosted = hosted.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
+        hosted = hosted.withColumn("salt", F.pmod(F.xxhash64(names["page_id"], names["url"]), F.lit(salts)).cast("int"))
         joined = hosted.join(salted, ["host", "salt"], "left")
-    joined = joined.select(*pages.columns, "skeleton", "repeated")
-    columns_in = pages.columns
+    joined = joined.select(*names.values(), "skeleton", "repeated")
     schema = T.StructType([*pages.schema.fields, T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bodies, skeletons, repeated = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("html", "skeleton", "repeated"))
+            bodies, skeletons, repeated = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (names["html"], "skeleton", "repeated"))
             texts = [main_text(b or "", set(s or ()), set(r or ())) for b, s, r in zip(bodies, skeletons, repeated, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in columns_in), pa.array(texts, pa.string())], names=schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names.values()), pa.array(texts, pa.string())], names=schema.fieldNames())
 
     return joined.mapInArrow(run, schema)

@@ -25,8 +25,9 @@ text without repeats comes back unchanged, byte for byte; a text of any length
 is handled in its row; rows that share doc_id and text are one document and get the same
 ranges, while one doc_id on several texts is several documents, ordered by a hash of the text
 where their places tie; rows without doc_id are never compared with others and stay as they
-are; an empty table gives no row; extra columns are kept, and ``text`` is
-replaced by what is left.
+are; an empty table gives no row; extra columns are kept, whatever they are called, but
+for those named n_bytes, n_removed, removed and __units, which are replaced, and ``text``
+is replaced by what is left.  ``without_repeats`` keeps these too.
 """
 
 from __future__ import annotations
@@ -78,9 +79,9 @@ def units(data: np.ndarray, offsets: np.ndarray, radius: int = 3):
     return begins, digest(begins), starts, ends, np.searchsorted(begins, first), first, lines, whole
 
 
-def tag() -> Column:
+def tag(text: str = "text") -> Column:
     """Tells apart texts of one doc_id."""
-    return F.xxhash64("text").bitwiseAND(0xFFFFFFFF)
+    return F.xxhash64(text).bitwiseAND(0xFFFFFFFF)
 
 
 def repeated_units(docs: DataFrame, min_words: int = 20, radius: int = 3) -> DataFrame:
@@ -116,8 +117,9 @@ def repeated_units(docs: DataFrame, min_words: int = 20, radius: int = 3) -> Dat
 def remove_repeats(docs: DataFrame, min_words: int = 20, radius: int = 3) -> DataFrame:
     """docs with text reduced, and n_bytes, n_removed and removed (byte ranges of the original text)."""
     docs = docs.drop("n_bytes", "n_removed", "removed", "__units")
-    repeats = repeated_units(docs, min_words, radius).withColumnsRenamed({"doc_id": "__id", "tag": "__tag"})
-    joined = docs.join(repeats, (docs["doc_id"] == F.col("__id")) & (tag() == F.col("__tag")), "left").drop("__id", "__tag")
+    repeats = repeated_units(docs, min_words, radius)
+    same = (F.col("d.doc_id") == F.col("r.doc_id")) & (tag("d.text") == F.col("r.tag"))
+    joined = docs.alias("d").join(repeats.alias("r"), same, "left").select("d.*", "r.__units")
     columns_in = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(RANGE))])
 

@@ -729,3 +729,28 @@ def test_pipeline(spark, tmp_path):
     final = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in final.select("doc_id").distinct().collect()} == kept[3]
     assert final.where(F.col("length") > 4096).isEmpty()
+
+
+def test_columns_of_any_name_come_through(spark):
+    from gaugeleaf.llm.html_extract import extract
+    from gaugeleaf.llm.line_dedup import remove_repeats, without_repeats
+    from gaugeleaf.llm.sharding import shuffle_into_shards
+
+    names = ("host", "skeleton", "salt", "repeated", "in_0")
+    rows = [(i, f"http://h/{i}", f"<article><p>Words of page {i} that are its own.</p></article>", *(f"{n}{i}" for n in names)) for i in range(6)]
+    pages = spark.createDataFrame(rows, f"page_id long, url string, html string, {', '.join(n + ' string' for n in names)}")
+    for most in (64 << 20, 0):
+        got = extract(pages, broadcast_bytes=most)
+        assert got.columns == [*pages.columns, "text"]
+        assert sorted(tuple(r)[:-1] for r in got.collect()) == rows
+        assert {r.page_id: r.text for r in got.collect()} == {i: f"Words of page {i} that are its own." for i in range(6)}
+    names = ("__id", "__tag", "tag", "r", "d", "n_bytes", "removed")
+    rows = [(i, "a line that stands in every text\n" + f"own {i}", *(f"{n}{i}" for n in names)) for i in range(4)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, {', '.join(n + ' string' for n in names)}")
+    reduced = {r.doc_id: r for r in remove_repeats(docs).collect()}
+    assert [reduced[i].text for i in range(4)] == [rows[0][1], *(f"own {i}" for i in (1, 2, 3))]
+    assert all(reduced[i][n] == f"{n}{i}" for i in range(4) for n in names[:5]) and reduced[1].n_bytes == len(rows[1][1])
+    kept = without_repeats(docs)
+    assert kept.columns == docs.columns and all(r[n] == f"{n}{r.doc_id}" for r in kept.collect() for n in names)
+    with pytest.raises(ValueError, match="__cell"):
+        shuffle_into_shards(docs.withColumn("__cell", F.lit(1)), shards=2)

@@ -238,6 +238,53 @@ def with_curriculum_node(df: DataFrame, nodes: DataFrame, year: int, subject: st
     return df.join(own, [subject, unit], "left")
 
 
+# The least area of a figure, and the types of lines that are figures.
+LEAST_FIGURE = 5000
+FIGURE_TYPES = ("image", "figure")
+
+
+def figure_boxes(lines: DataFrame, least: float = LEAST_FIGURE) -> DataFrame:
+    """Boxes (x, y, w, h) of figures, with the other columns of their lines: the box of a line of a figure's type, and the image box its raw data has.
+
+    lines: line_type, bbox_x, bbox_y, bbox_w, bbox_h, data_type and data_box (struct<x, y, w, h>, null for none).  Missing
+    widths and heights are nothing; a line without a place has no box of its own, one of both kinds two.
+    """
+    own = F.struct(F.col("bbox_x").alias("x"), F.col("bbox_y").alias("y"), F.col("bbox_w").alias("w"), F.col("bbox_h").alias("h"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    raw = F.struct(*(zero(F.col(f"data_box.{f}")).alias(f) for f in "xywh"))
+    boxes = F.array(F.when(F.col("line_type").isin(*FIGURE_TYPES) & F.col("bbox_x").isNotNull(), own), F.when((F.col("data_type") == "image") & F.col("data_box").isNotNull(), raw))
+    kept = [c for c in lines.columns if c not in ("line_type", "bbox_x", "bbox_y", "bbox_w", "bbox_h", "data_type", "data_box")]
+    each = lines.select(*kept, F.explode(F.array_compact(boxes)).alias("box"))
+    return each.where(zero(F.col("box.w")) * zero(F.col("box.h")) >= least).select(*kept, "box.*")
+
+
+def merged_layout(current: Column, incoming: Column) -> Column:
+    """struct<layout, replaced> of two layouts as JSON objects: an incoming one replaces the current, unless it is none, is equal, or is flat where the current has boxed blocks."""
+    is_object = lambda c: F.coalesce(F.ltrim(c).startswith("{"), F.lit(False))
+    boxed = lambda c: F.coalesce(is_object(c) & F.get_json_object(c, "$.boxed_blocks[0]").isNotNull(), F.lit(False))
+    replaced = is_object(incoming) & ~(~boxed(incoming) & boxed(current)) & ~current.eqNullSafe(incoming)
+    return F.struct(F.when(replaced, incoming).otherwise(current).alias("layout"), replaced.alias("replaced"))
+
+
+def with_page_image(problems: DataFrame, pages: DataFrame, key: str) -> DataFrame:
+    """problems with image, that of the page (key, page_number, image) on which they start; null where there is none."""
+    images = pages.select(key, F.col("page_number").alias("start_page"), "image")
+    return problems.join(images, [key, "start_page"], "left")
+
+
+def classified(subject: Column, allowed: list[str], units: dict[str, Column], confidence: Column) -> Column:
+    """struct of subject, units and confidence: units of an unknown subject are unknown too, the confidence has three digits."""
+    known = F.coalesce(subject.isin(*allowed), F.lit(False))
+    return F.struct(F.when(known, subject).alias("subject"), *(F.when(known, u).alias(n) for n, u in units.items()), F.bround(confidence, 3).alias("confidence"))
+
+
+def refined(subject: Column, allowed: list[str], difficulty: Column, common: list[str], confidence: Column) -> Column:
+    """struct of a refined result: an unknown subject becomes the first, the difficulty stays in 1 to 5 (3 if missing) with one digit, the confidence is 0.5 if missing."""
+    named = F.when(F.coalesce(subject.isin(*allowed), F.lit(False)), subject).otherwise(allowed[0])
+    level = F.bround(F.greatest(F.lit(1.0), F.least(F.lit(5.0), F.coalesce(difficulty, F.lit(3.0)))), 1)
+    return F.struct(named.alias("subject"), level.alias("difficulty"), named.isin(*common).alias("is_common"), F.coalesce(confidence, F.lit(0.5)).alias("confidence"))
+
+
 def fingerprints(df: DataFrame, *columns: str) -> Column:
     return F.sha2(F.concat_ws("\u0001", *(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) for c in columns)), 256)
 

@@ -75,28 +75,6 @@ def coded_items(lines: DataFrame, key: str) -> DataFrame:
     return counted.drop("__run", "given")
 
 
-def own_answer(solution: Column) -> Column:
-    """The last 'answer …' line of a solution, without blanks."""
-    found = F.regexp_extract_all(solution, F.lit(rf"(?m){ANSWER_HEAD}\s+(.+)$"), F.lit(1))
-    return F.regexp_replace(F.try_element_at(found, F.lit(-1)), r"\s+", "")
-
-
-def fix_misattribution(solutions: DataFrame, quick: DataFrame) -> DataFrame:
-    """Solutions moved to the section whose quick answer they give, when their own section's differs and the target is free.
-
-    Keys are chapter, section, number.
-    """
-    keys = ["chapter", "section", "number"]
-    rank = F.array_position(F.array(*(F.lit(name) for _, name in SECTIONS)), F.col("other"))
-    stated = solutions.withColumn("stated", own_answer(F.col("solution"))).join(quick.select(*keys, F.regexp_replace("answer", r"\s+", "").alias("expected")), keys, "left")
-    wrong = stated.where(F.col("stated").isNotNull() & F.col("expected").isNotNull() & (F.col("stated") != F.col("expected")))
-    others = quick.select("chapter", F.col("section").alias("other"), "number", F.regexp_replace("answer", r"\s+", "").alias("other_answer"))
-    taken = solutions.select("chapter", F.col("section").alias("other"), "number")
-    targets = wrong.join(others, ["chapter", "number"]).where("other_answer = stated and other <> section").join(taken, ["chapter", "other", "number"], "left_anti")
-    first = targets.groupBy(*keys).agg(F.min_by("other", rank).alias("moved_to"))
-    return solutions.join(first, keys, "left").withColumn("moved", F.col("moved_to").isNotNull()).withColumn("section", F.coalesce("moved_to", "section")).drop("moved_to")
-
-
 def answer_value(x: Column) -> Column:
     """A mathematical answer without wrappers, delimiters, blanks and closing punctuation."""
     steps = ((r"\\(?:text|mathrm|operatorname|boxed)\{([^{}]+)\}", "$1"), (r"\\(?:left|right)|\$|\\[()\[\]]|[{}]|\s+|[.。,]", ""))

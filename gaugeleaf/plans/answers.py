@@ -83,13 +83,22 @@ BOOK_PROBLEMS = """SELECT p_partkey AS problem_id, CAST(floor(p_partkey / 200) A
 QUICK = "SELECT DISTINCT book, problem_number AS number, CASE WHEN CAST(problem_number AS INT) % 4 = 0 THEN '②' WHEN CAST(problem_number AS INT) % 4 = 2 THEN '' ELSE concat('-', problem_number, '.5') END AS answer FROM {p} WHERE book BETWEEN 1000 AND 4999 AND CAST(problem_number AS INT) % 3 <> 0"
 ENTRIES = "SELECT DISTINCT book, problem_number AS number, CASE WHEN CAST(problem_number AS INT) % 6 <> 0 THEN concat('e', problem_number) END AS answer, concat('why ', problem_number) AS solution FROM {p} WHERE book BETWEEN 1000 AND 4999 AND CAST(problem_number AS INT) % 2 = 0"
 
-MATCHED = rf"""WITH p AS ({BOOK_PROBLEMS.format(part="part")}), q AS ({QUICK.format(p="p")}), e AS ({ENTRIES.format(p="p")}), ov AS ({OVERVIEW}),
+FIX = rf"""ov AS ({OVERVIEW}),
   so AS (WITH RECURSIVE {SOLVED}, z AS (SELECT book, place, chapter, section, number, min(place) OVER (PARTITION BY book, chapter, section, number) AS first FROM g WHERE worked)
     SELECT s.*, (SELECT min(first) FROM z WHERE z.book = s.book AND z.chapter = s.chapter AND z.section = s.section AND z.number = s.number) AS first, replace(trim(list_extract(regexp_extract_all(solution, '(?m)[답뎝달뎔][^\S\n]+(.+)$', 1), -1)), ' ', '') AS stated FROM solved s),
   w AS (SELECT so.*, x.answer AS expected FROM so JOIN ov x USING (book, chapter, section, number) WHERE replace(x.answer, ' ', '') <> stated),
   t AS (SELECT w.book, w.chapter, w.section, w.number, arg_min(o.section, CASE o.section WHEN 'practice' THEN 1 WHEN 'level1' THEN 2 WHEN 'level2' THEN 3 WHEN 'level3' THEN 4 ELSE 5 END) AS target FROM w JOIN ov o ON o.book = w.book AND o.chapter = w.chapter AND o.number = w.number AND o.section <> w.section AND replace(o.answer, ' ', '') = w.stated
     WHERE NOT EXISTS (SELECT 1 FROM so k WHERE k.book = o.book AND k.chapter = o.chapter AND k.section = o.section AND k.number = o.number) GROUP BY ALL),
-  fixed AS (SELECT so.book, so.chapter, coalesce(t.target, so.section) AS section, so.number, arg_max(so.solution, so.first) AS solution FROM so LEFT JOIN t USING (book, chapter, section, number) GROUP BY ALL),
+  fixed AS (SELECT so.book, so.chapter, coalesce(t.target, so.section) AS section, so.number, arg_max(so.solution, so.first) AS solution FROM so LEFT JOIN t USING (book, chapter, section, number) GROUP BY ALL)"""
+
+
+@query("I13_misattribution_fix", f"WITH {FIX} SELECT book, chapter, section, number, sha256(solution) AS solution FROM fixed")
+def misattribution(t: Tables):
+    moved = A.in_section_of_answer(A.book_solutions(t.solution_pages, "book"), A.overview_answers(t.overview_lines, "book"), "book")
+    return moved.select("book", "chapter", "section", "number", F.sha2("solution", 256).alias("solution"))
+
+
+MATCHED = rf"""WITH p AS ({BOOK_PROBLEMS.format(part="part")}), q AS ({QUICK.format(p="p")}), e AS ({ENTRIES.format(p="p")}), {FIX},
   j AS (SELECT p.*, ov.answer AS shown, fixed.solution AS worked, q.answer AS quick, e.answer AS entry, e.solution AS why, e.number IS NOT NULL AS has_entry, p.book IN (SELECT book FROM ov) AS has_overview, p.book IN (SELECT book FROM ov) OR p.book BETWEEN 1000 AND 4999 AS has_answers
     FROM p LEFT JOIN ov ON ov.book = p.book AND ov.chapter = p.chapter[:2] AND ov.section = p.section AND ov.number = p.local_number LEFT JOIN fixed ON fixed.book = p.book AND fixed.chapter = p.chapter[:2] AND fixed.section = p.section AND fixed.number = p.local_number
     LEFT JOIN q ON q.book = p.book AND q.number = p.problem_number LEFT JOIN e ON e.book = p.book AND e.number = p.problem_number),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import numerics as N
 from ..operators import documents as D
 from ..sources.domain import Tables
 from .registry import query
@@ -118,9 +119,16 @@ def i11(t: Tables):
     return blocks.select("subject", "number", F.sha2("text", 256).alias("block"))
 
 
-@query("I15_figure_filter", "SELECT problem_id, time_sec * difficulty * 10 AS area FROM problems WHERE time_sec * difficulty * 10 >= 5000")
+FIGURES = """SELECT p_partkey AS line_id, CASE p_size % 5 WHEN 0 THEN 'image' WHEN 1 THEN 'figure' WHEN 2 THEN 'text' WHEN 3 THEN 'diagram' END AS line_type, CASE WHEN p_size % 7 <> 0 THEN CAST(p_size AS DOUBLE) END AS bbox_x, CAST(p_size + 1 AS DOUBLE) AS bbox_y,
+  CASE WHEN p_size % 11 <> 0 THEN CAST(p_size * 4 AS DOUBLE) END AS bbox_w, CAST(50 AS DOUBLE) AS bbox_h, CASE p_size % 3 WHEN 0 THEN 'image' WHEN 1 THEN 'text' END AS data_type, CASE WHEN p_size % 4 <> 0 THEN CAST(p_size * 3 AS DOUBLE) END AS data_w, p_size % 9 <> 0 AS has_box FROM {part}"""
+
+
+@query("I15_figure_filter", f"""WITH f AS ({FIGURES.format(part="part")}), b AS (SELECT line_id, bbox_x AS x, bbox_y AS y, bbox_w AS w, bbox_h AS h FROM f WHERE line_type IN ('image', 'figure') AND bbox_x IS NOT NULL
+  UNION ALL SELECT line_id, 5, 0, coalesce(data_w, 0), 60 FROM f WHERE data_type = 'image' AND has_box) SELECT line_id, x, y, w, h FROM b WHERE coalesce(w, 0) * coalesce(h, 0) >= 5000""")
 def i15(t: Tables):
-    return t.problems.select("problem_id", (F.col("time_sec") * F.col("difficulty") * 10).alias("area")).where("area >= 5000")
+    lines = t.spark.sql(FIGURES, part=t.part)
+    box = F.struct(F.lit(5.0).alias("x"), F.lit(None).cast("double").alias("y"), F.col("data_w").alias("w"), F.lit(60.0).alias("h"))
+    return D.figure_boxes(lines.withColumn("data_box", F.when(F.col("has_box"), box)).drop("data_w", "has_box"))
 
 
 @query("I17_fingerprint_dedup", "SELECT min(doc_id) AS doc_id FROM documents WHERE source <> 'src3' AND trim(text, ' ') NOT IN (SELECT trim(text, ' ') FROM documents WHERE source = 'src3') GROUP BY trim(text, ' ')")
@@ -129,24 +137,30 @@ def i17(t: Tables):
     return D.new_only(docs.where("source <> 'src3'"), docs.where("source = 'src3'"), ["text"], ["doc_id"]).select("doc_id")
 
 
-@query("I18_layout_merge", "SELECT problem_id, CASE WHEN difficulty > 3 THEN subject ELSE coalesce(unit, subject) END AS layout, difficulty <= 3 AND unit IS NOT NULL AS replaced FROM problems")
+FLAT, BOXED = "concat('{{\"x\": ', CAST(p_size % 2 AS STRING), '}}')", "concat('{{\"boxed_blocks\": [{{\"kind\": \"', p_brand, '\"}}], \"x\": 1}}')"
+LAYOUTS = f"""SELECT p_partkey AS problem_id, CASE p_size % 4 WHEN 0 THEN {FLAT} WHEN 1 THEN {BOXED} WHEN 2 THEN '{{{{"boxed_blocks": []}}}}' END AS now,
+  CASE p_partkey % 6 WHEN 0 THEN {FLAT} WHEN 1 THEN {BOXED} WHEN 2 THEN '[1, 2]' WHEN 3 THEN '"text"' WHEN 4 THEN '{{{{"boxed_blocks": []}}}}' END AS next FROM {{part}}"""
+
+
+@query("I18_layout_merge", f"""WITH l AS ({LAYOUTS.format(part="part")}), r AS (SELECT *, coalesce(prefix(next, '{{'), false) AND NOT (NOT contains(next, '"kind"') AND contains(coalesce(now, ''), '"kind"')) AND now IS DISTINCT FROM next AS replaced FROM l)
+  SELECT problem_id, CASE WHEN replaced THEN next ELSE now END AS layout, replaced FROM r""")
 def i18(t: Tables):
-    structured = F.col("difficulty") > 3
-    replaced = ~structured & F.col("unit").isNotNull()
-    return t.problems.select("problem_id", F.when(replaced, F.col("unit")).otherwise(F.col("subject")).alias("layout"), replaced.alias("replaced"))
+    return t.spark.sql(LAYOUTS, part=t.part).select("problem_id", D.merged_layout(F.col("now"), F.col("next")).alias("m")).select("problem_id", "m.*")
 
 
-@query("I19_page_image_lookup", "SELECT p.problem_id, n.label AS image FROM problems p LEFT JOIN nodes n ON n.node_id = concat('n', p.difficulty * 5)")
+@query("I19_page_image_lookup", "SELECT p.problem_id, g.label AS image FROM problems p LEFT JOIN (SELECT DISTINCT subject, difficulty * 5 AS page_number, concat(subject, '/', difficulty) AS label FROM problems WHERE difficulty % 4 <> 0) g ON g.subject = p.subject AND g.page_number = time_sec // 30")
 def i19(t: Tables):
-    images = t.nodes.select(F.col("node_id").alias("key"), F.col("label").alias("image"))
-    return t.problems.select("problem_id", F.concat(F.lit("n"), (F.col("difficulty") * 5).cast("string")).alias("key")).join(images, "key", "left").drop("key")
+    pages = t.problems.where("difficulty % 4 <> 0").select("subject", (F.col("difficulty") * 5).alias("page_number"), F.concat_ws("/", "subject", "difficulty").alias("image")).distinct()
+    problems = t.problems.select("problem_id", "subject", F.expr("cast(time_sec div 30 as int)").alias("start_page"))
+    return D.with_page_image(problems, pages, "subject").select("problem_id", "image")
 
 
-@query("I21_result_whitelist", "SELECT problem_id, CASE WHEN subject IN ('Brand#1', 'Brand#2', 'Brand#3') THEN subject END AS subject, greatest(1, least(6, time_sec // 50)) AS difficulty, array_to_string(list_filter(string_split(stem, ' '), lambda w: w IN ('red', 'small', 'ring')), ',') AS tags FROM problems")
+@query("I21_result_whitelist", """SELECT problem_id, CASE WHEN known THEN subject END AS subject, CASE WHEN known THEN unit END AS unit, CASE WHEN known THEN stem END AS minor, round_even(time_sec / 64.0::DOUBLE, 3) AS confidence, greatest(1, least(6, time_sec / 40.0::DOUBLE)) AS difficulty,
+  array_to_string(list_filter(string_split(stem, ' '), lambda w: w IN ('red', 'small', 'ring')), ',') AS tags FROM (SELECT *, subject IN ('Brand#1', 'Brand#2', 'Brand#3') AS known FROM problems)""")
 def i21(t: Tables):
     tags = F.filter(F.split("stem", " "), lambda w: w.isin("red", "small", "ring"))
-    level = F.greatest(F.lit(1), F.least(F.lit(6), F.expr("cast(time_sec div 50 as int)")))
-    return t.problems.select("problem_id", F.when(F.col("subject").isin("Brand#1", "Brand#2", "Brand#3"), F.col("subject")).alias("subject"), level.alias("difficulty"), F.array_join(tags, ",").alias("tags"))
+    found = D.classified(F.col("subject"), ["Brand#1", "Brand#2", "Brand#3"], {"unit": F.col("unit"), "minor": F.col("stem")}, F.col("time_sec") / 64.0)
+    return t.problems.select("problem_id", found.alias("c"), N.clamp(F.col("time_sec") / 40.0, 1.0, 6.0).alias("difficulty"), F.array_join(tags, ",").alias("tags")).select("problem_id", "c.*", "difficulty", "tags")
 
 
 @query("I22_partial_merge", "SELECT problem_id, CASE WHEN problem_id % 2 = 0 THEN 'new' ELSE unit END AS unit, CASE WHEN problem_id % 3 = 0 THEN 'x' ELSE stem END AS stem FROM problems")
@@ -211,9 +225,13 @@ def i23(t: Tables):
     return out.select("problem_id", "position_type", "point_value", "question_format", "answer_text", "answer_latex", "node_2015", "node_2022")
 
 
-@query("I24_refined_result", "SELECT problem_id, CASE WHEN unit IS NULL THEN 'Brand#1' ELSE subject END AS subject, greatest(1, least(5, difficulty)) AS difficulty FROM problems")
+@query("I24_refined_result", """SELECT problem_id, subject, difficulty, subject IN ('Brand#2', 'Brand#4') AS is_common, CASE WHEN time_sec % 3 = 0 THEN 0.5 ELSE time_sec / 512.0::DOUBLE END AS confidence FROM (
+  SELECT problem_id, time_sec, CASE WHEN unit IS NOT NULL AND subject IN ('Brand#1', 'Brand#2', 'Brand#4') THEN subject ELSE 'Brand#1' END AS subject, round_even(greatest(1, least(5, CASE WHEN time_sec % 7 = 0 THEN 3.0 ELSE difficulty - 0.75 END::DOUBLE)), 1) AS difficulty FROM problems)""")
 def i24(t: Tables):
-    return t.problems.select("problem_id", F.when(F.col("unit").isNull(), "Brand#1").otherwise(F.col("subject")).alias("subject"), F.greatest(F.lit(1), F.least(F.lit(5), F.col("difficulty"))).alias("difficulty"))
+    subject = F.when(F.col("unit").isNotNull(), F.col("subject"))
+    level = F.when(F.col("time_sec") % 7 != 0, F.col("difficulty") - 0.75)
+    confidence = F.when(F.col("time_sec") % 3 != 0, F.col("time_sec") / 512.0)
+    return t.problems.select("problem_id", D.refined(subject, ["Brand#1", "Brand#2", "Brand#4"], level, ["Brand#2", "Brand#4"], confidence).alias("r")).select("problem_id", "r.*")
 
 
 @query("K8_revision_log", "SELECT problem_id, CAST(row_number() OVER (PARTITION BY problem_id ORDER BY submission_id, answer_no) AS INTEGER) AS revision, CASE WHEN lag(seconds) OVER w IS DISTINCT FROM seconds AND row_number() OVER w > 1 THEN 'seconds' ELSE '' END AS changed FROM numbered_answers WINDOW w AS (PARTITION BY problem_id ORDER BY submission_id, answer_no)")

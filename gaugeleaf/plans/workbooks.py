@@ -39,15 +39,6 @@ def i9(t: Tables):
     return D.boxed_layout(t.stem_lines, "problem_id")
 
 
-@query("I13_misattribution_fix", "SELECT problem_id, CASE WHEN problem_id % 2 = 0 THEN 'level1' ELSE 'practice' END AS section, problem_id % 2 = 0 AS moved FROM problems")
-def i13(t: Tables):
-    p = t.problems.select(F.col("problem_id").cast("string").alias("chapter"), "problem_id", F.lit(1).alias("number"))
-    stated = F.when(F.col("problem_id") % 2 == 0, "③").otherwise("①")
-    solutions = p.select("chapter", F.lit("practice").alias("section"), "number", "problem_id", F.concat(F.lit("풀이\n답 "), stated).alias("solution"))
-    quick = p.select("chapter", F.lit("practice").alias("section"), "number", F.lit("①").alias("answer")).union(p.select("chapter", F.lit("level1"), "number", F.lit("③")))
-    return B.fix_misattribution(solutions, quick).select("problem_id", "section", "moved")
-
-
 @query("I16_problem_normalise", "SELECT problem_id, CASE WHEN difficulty > 3 THEN 4 WHEN difficulty = 3 THEN 5 ELSE 0 END AS n_choices FROM problems")
 def i16(t: Tables):
     existing = F.when(F.col("difficulty") > 3, F.array(*[F.col("stem")] * 4)).otherwise(F.array("stem"))

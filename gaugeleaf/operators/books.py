@@ -5,6 +5,8 @@ Lines are (book, page, line_number, text); a book's lines are one window, which
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,16 +14,41 @@ from pyspark.sql import functions as F
 ANSWER_HEAD = r"^\s*(?:정답\s*(?:및|과)?\s*해설|정답\s*(?:및|과)?\s*풀이|해설|풀이|정답|해답|답|빠른\s*정답|(?i:answers?\s*(?:and)?\s*solutions?|solutions?|answers?))\s*$"
 QUICK_HEAD = r"빠른\s*정답"
 OVERVIEW_HEAD = r"한눈에\s*보는\s*정답"
-PAGE_REFERENCE = r"p\.\s*\d{1,4}"
-ANSWER_PAIR = r"\d{1,3}\s*(?:\([1-5]\)|[①②③④⑤])|\d{1,3}\s+\d{1,4}"
-TABLE_HINT = r"\\begin\{tabular\}|문번|답\s*란|문제편\s*p\."
+WORD = r"[\p{L}\p{N}_]"
+PAGE_REFERENCE = rf"(?i)(?<!{WORD})p\.\s*\d{{1,4}}(?!{WORD})"
+ANSWER_PAIR = rf"(?<!{WORD})\d{{1,3}}\s*(?:\([1-5]\)(?={WORD})|[①②③④⑤](?!{WORD})|\d{{1,4}}(?!{WORD}))"
+TABLE_HINT = r"(?i)\\begin\{tabular\}|문번|답\s*란|문제편\s*p\."
+IMAGE_LINE = r"cdn\.mathpix\.com/cropped"
 QUESTION_HINT = r"값은[？?]|구하시오|옳은 것을|고른 것은|최댓값|최솟값|개수|나머지|합은|적당한 것은"
 CHOICE_LINE = r"^\s*(?:[①②③④⑤⑥⑦⑧⑨⑩]|\(\s*[1-5]\s*\)|（\s*[1-5]\s*）)"
 HEADER_LINE = r"^\s*\d{1,4}\s*.*20\d{2}.*(?:학평|모평|수능|경찰|사관)"
+# The length of a short and of a long line, how far down a page heads are looked for, and what pages look like:
+# a page looks so if all limits (feature, least or most, number) of any row hold.
+SHORT_LINE, LONG_LINE = 24, 40
+HEAD_LINES, QUICK_LINES = 5, 10
+LOOKS = {
+    "is_table": (
+        (("pairs", "least", 25), ("long", "most", 2)),
+        (("hints", "least", 1), ("pairs", "least", 6)),
+        (("references", "least", 4), ("short", "least", 6), ("long", "most", 3)),
+    ),
+    "is_contents": (
+        (("references", "least", 6),),
+        (("references", "least", 3), ("short", "least", 8)),
+        (("boxes", "least", 4),),
+        (("images", "least", 2), ("references", "least", 2)),
+    ),
+    "is_problems": (
+        (("questions", "least", 1),),
+        (("choices", "least", 4), ("headers", "least", 1)),
+        (("headers", "least", 2),),
+        (("headers", "least", 1), ("lines", "least", 2)),
+    ),
+}
 LEAST_SECTION_PAGES = 5
 ANSWERS_FROM = 0.7
 
-# What opens a problem, in the order of precedence, after an exam header.
+# What opens a problem on the first page of a book's contents.
 LABELS = "예제|유제|대표문제|확인문제|기본문제|심화문제|연습문제|문제"
 STARTS = (
     ("label", rf"^\s*(?:{LABELS})\s*(\d{{1,3}})"),
@@ -30,46 +57,32 @@ STARTS = (
     ("circled", r"^\s*([①②③④⑤⑥⑦⑧⑨⑩])"),
     ("bracket", r"^\s*\[(\d{1,3})\]"),
 )
-CIRCLED_NUMBERS = "①②③④⑤⑥⑦⑧⑨⑩"
-MOST_NUMBER = 3000
 
 
 def hits(pattern: str) -> Column:
     return F.regexp_count("text", F.lit(pattern)).cast("long")
 
 
-def problem_start(text: Column) -> tuple[Column, Column]:
-    """Kind and number of the problem that a line opens; nulls if none.  Two or more choice marks make a line of choices."""
-    kind, number = F.lit(None).cast("string"), F.lit(None).cast("int")
-    for name, pattern in reversed(STARTS):
-        found = F.regexp_extract(text, pattern, 1)
-        value = (F.instr(F.lit(CIRCLED_NUMBERS), found) if name == "circled" else found.try_cast("int")).cast("int")
-        fits = (found != "") & value.between(1, MOST_NUMBER)
-        if name == "circled":
-            fits = fits & (F.regexp_count(text, F.lit(f"[{CIRCLED_NUMBERS}]")) < 2)
-        kind, number = F.when(fits, name).otherwise(kind), F.when(fits, value).otherwise(number)
-    header = text.rlike(HEADER_LINE)
-    first = F.regexp_extract(text, r"^\s*(\d{1,4})", 1).try_cast("int")
-    return F.when(header, "header").otherwise(kind), F.when(header, first).otherwise(number)
+def looks(name: str) -> Column:
+    """Whether a page's features look like what LOOKS calls so."""
+    limit = {"least": lambda feature, n: F.col(feature) >= n, "most": lambda feature, n: F.col(feature) <= n}
+    rows = [functools.reduce(Column.__and__, (limit[kind](feature, n) for feature, kind, n in row)) for row in LOOKS[name]]
+    return functools.reduce(Column.__or__, rows)
 
 
 def page_features(lines: DataFrame, key: str) -> DataFrame:
     """What the lines of each page show, and how the page looks: as an answer table, a table of contents, a page of problems."""
-    text = F.trim(F.col("text"))
-    rows = lines.where(text != "").withColumn("text", text).withColumn("row", F.row_number().over(Window.partitionBy(key, "page").orderBy("line_number")))
-    near_top = F.col("row") <= 5
-    kind, _ = problem_start(F.col("text"))
+    text = F.regexp_replace("text", r"^\s+|\s+$", "")
+    rows = lines.withColumn("text", text).where("text <> ''").withColumn("row", F.row_number().over(Window.partitionBy(key, "page").orderBy("line_number")))
+    found = {"references": PAGE_REFERENCE, "pairs": ANSWER_PAIR, "boxes": "□"}
+    marked = {"hints": TABLE_HINT, "questions": QUESTION_HINT, "choices": CHOICE_LINE, "headers": HEADER_LINE, "images": IMAGE_LINE}
+    heads = {"answer_head": (ANSWER_HEAD, HEAD_LINES), "overview": (OVERVIEW_HEAD, HEAD_LINES), "quick": (QUICK_HEAD, QUICK_LINES)}
     counts = rows.groupBy(key, "page").agg(
-        F.count("*").alias("n"), F.sum(hits(PAGE_REFERENCE)).alias("references"), F.sum(hits(ANSWER_PAIR)).alias("pairs"), F.count_if(F.col("text").rlike(TABLE_HINT)).alias("hints"),
-        F.count_if(F.length("text") <= 24).alias("short"), F.count_if(F.length("text") >= 40).alias("long"), F.count_if(F.col("text").rlike(QUESTION_HINT)).alias("questions"),
-        F.count_if(F.col("text").rlike(CHOICE_LINE)).alias("choices"), F.count_if(F.col("text").rlike(HEADER_LINE)).alias("headers"), F.sum(hits("□")).alias("boxes"),
-        F.max(near_top & F.col("text").rlike(ANSWER_HEAD)).alias("answer_head"), F.max(near_top & F.col("text").rlike(OVERVIEW_HEAD)).alias("overview"),
-        F.max((F.col("row") <= 10) & F.col("text").rlike(QUICK_HEAD)).alias("quick"), F.max(kind.isNotNull() & (kind != "header")).alias("starts"),
+        F.count("*").alias("lines"), F.count_if(F.length("text") <= SHORT_LINE).alias("short"), F.count_if(F.length("text") >= LONG_LINE).alias("long"),
+        *(F.sum(hits(p)).alias(n) for n, p in found.items()), *(F.count_if(F.col("text").rlike(p)).alias(n) for n, p in marked.items()),
+        *(F.max((F.col("row") <= most) & F.col("text").rlike(p)).alias(n) for n, (p, most) in heads.items()), F.max(functools.reduce(Column.__or__, (F.col("text").rlike(p) for _, p in STARTS))).alias("starts"),
     )
-    table = ((F.col("pairs") >= 25) & (F.col("long") <= 2)) | ((F.col("hints") >= 1) & (F.col("pairs") >= 6)) | ((F.col("references") >= 4) & (F.col("short") >= 6) & (F.col("long") <= 3))
-    contents = (F.col("references") >= 6) | ((F.col("references") >= 3) & (F.col("short") >= 8)) | (F.col("boxes") >= 4)
-    problems = (F.col("questions") >= 1) | ((F.col("choices") >= 4) & (F.col("headers") >= 1)) | (F.col("headers") >= 2) | ((F.col("headers") >= 1) & (F.col("n") >= 2))
-    return counts.withColumns({"is_table": table, "is_contents": contents, "is_problems": problems})
+    return counts.withColumns({name: looks(name) for name in LOOKS})
 
 
 def sections(lines: DataFrame, key: str) -> DataFrame:

@@ -125,19 +125,23 @@ ERROR_WORDS = (
     ("calculation_error", r"\bcalculation_error\b|계산\s*실수|연산\s*실수|전개\s*실수|부호\s*계산|산술"),
     ("careless_mistake", r"\bcareless_mistake\b|부주의|조건을?\s*놓|잘못\s*읽|단순\s*실수|기호를?\s*빼먹"),
 )
+# Words of confusion, the confidence of a signal with and without an image and what is added to it for confusion, for a
+# kind of error and for its name, the least and the most confidence, and the length of the evidence.
 CONFUSION = r"모르겠|헷갈|어려|막혔|이해가 안|왜 안|잘 안|도와줘|힌트"
+WITH_IMAGE, WITHOUT_IMAGE, FOR_CONFUSION, FOR_ERROR, FOR_NAME = 0.8, 0.38, 0.08, 0.08, 0.06
+LEAST_CONFIDENCE, MOST_CONFIDENCE, EVIDENCE_LENGTH = 0.2, 0.95, 500
 SIGNAL = T.StructType([T.StructField(n, T.StringType()) for n in ("source", "problem_id", "error_type")] + [T.StructField("confidence", T.DoubleType()), T.StructField("evidence", T.StringType())])
 
 
 def inferred_signal(student: Column, tutor: Column, has_image: Column) -> Column:
-    """source, error_type, confidence and evidence (500 characters at most) of one exchange."""
+    """source, error_type, confidence and evidence (its beginning) of one exchange."""
     both = F.concat(F.lower(student), F.lit("\n"), F.lower(tutor))
     kind = reduce(lambda out, e: F.when(both.rlike(e[1]), e[0]).otherwise(out), reversed(ERROR_WORDS), F.lit(None).cast("string"))
     named = both.rlike("|".join(rf"\b{name}\b" for name, _ in ERROR_WORDS))
     bonus = lambda c, x: F.when(c, x).otherwise(0.0)
-    confidence = F.when(has_image, 0.8).otherwise(0.38) + bonus(student.rlike(CONFUSION), 0.08) + bonus(kind.isNotNull(), 0.08) + bonus(named, 0.06)
-    evidence = F.substring(F.concat_ws("\n\n", F.nullif(F.trim(student), F.lit("")), F.nullif(F.trim(tutor), F.lit(""))), 1, 500)
-    return F.struct(F.when(has_image, "worked_solution").otherwise("tutor_message").alias("source"), kind.alias("error_type"), N.clamp(confidence, 0.2, 0.95).alias("confidence"), evidence.alias("evidence"))
+    confidence = F.when(has_image, WITH_IMAGE).otherwise(WITHOUT_IMAGE) + bonus(student.rlike(CONFUSION), FOR_CONFUSION) + bonus(kind.isNotNull(), FOR_ERROR) + bonus(named, FOR_NAME)
+    evidence = F.substring(F.concat_ws("\n\n", F.nullif(F.trim(student), F.lit("")), F.nullif(F.trim(tutor), F.lit(""))), 1, EVIDENCE_LENGTH)
+    return F.struct(F.when(has_image, "worked_solution").otherwise("tutor_message").alias("source"), kind.alias("error_type"), N.clamp(confidence, LEAST_CONFIDENCE, MOST_CONFIDENCE).alias("confidence"), evidence.alias("evidence"))
 
 
 def stored_signal(metadata: Column) -> Column:

@@ -23,19 +23,20 @@ def extract(pattern: str, group: int = 1) -> str:
     return f"regexp_extract(text, '{pattern}', {group})"
 
 
-CIRCLED = f"[{B.CIRCLED_NUMBERS}]"
-START_VALUES = {name: f"instr('{B.CIRCLED_NUMBERS}', {extract(p)})" if name == "circled" else f"TRY_CAST({extract(p)} AS INTEGER)" for name, p in B.STARTS}
-START_FITS = {name: f"{extract(p)} <> '' AND {START_VALUES[name]} BETWEEN 1 AND {B.MOST_NUMBER}" + (f" AND {count_of(CIRCLED)} < 2" if name == "circled" else "") for name, p in B.STARTS}
-KIND = f"CASE WHEN {has(B.HEADER_LINE)} THEN 'header' " + " ".join(f"WHEN {START_FITS[n]} THEN '{n}'" for n in START_FITS) + " END"
-NUMBER = f"CASE WHEN {has(B.HEADER_LINE)} THEN TRY_CAST({extract('^\\s*(\\d{1,4})')} AS INTEGER) " + " ".join(f"WHEN {START_FITS[n]} THEN {START_VALUES[n]}" for n in START_FITS) + " END"
+# The checking database knows no look-around: every character that is none of a word's stands twice, so that a match can take one on either side.
+TWICE = r"concat('  ', regexp_replace(text, '([^\p{L}\p{N}_])', '\1\1', 'g'), '  ')"
+OUT, IN = r"[^\p{L}\p{N}_]", r"[\p{L}\p{N}_]"
+PAIRS = rf"len(regexp_extract_all({TWICE}, '{OUT}\d{{1,3}}\s*(?:\(\([1-5]\)\){IN}|[①②③④⑤]{OUT}|\d{{1,4}}{OUT})'))"
+REFERENCES = rf"len(regexp_extract_all({TWICE}, '(?i){OUT}p\.\.\s*\d{{1,4}}{OUT}'))"
+STARTS = "(" + " OR ".join(has(p) for _, p in B.STARTS) + ")"
 LINES = "SELECT book, page, line_number, trim(text) AS text FROM book_lines WHERE trim(text) <> ''"
 
 SECTIONS = f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY book, page ORDER BY line_number) AS row FROM ({LINES})),
-  c AS (SELECT book, page, count(*) AS n, sum({count_of(B.PAGE_REFERENCE)}) AS refs, sum({count_of(B.ANSWER_PAIR)}) AS pairs, count(*) FILTER (WHERE {has(B.TABLE_HINT)}) AS hints, count(*) FILTER (WHERE length(text) <= 24) AS short,
+  c AS (SELECT book, page, count(*) AS n, sum({REFERENCES}) AS refs, sum({PAIRS}) AS pairs, count(*) FILTER (WHERE {has(B.TABLE_HINT)}) AS hints, count(*) FILTER (WHERE length(text) <= 24) AS short,
     count(*) FILTER (WHERE length(text) >= 40) AS long, count(*) FILTER (WHERE {has(B.QUESTION_HINT)}) AS questions, count(*) FILTER (WHERE {has(B.CHOICE_LINE)}) AS choices, count(*) FILTER (WHERE {has(B.HEADER_LINE)}) AS headers,
     sum({count_of('□')}) AS boxes, bool_or(row <= 5 AND {has(B.ANSWER_HEAD)}) AS answer_head, bool_or(row <= 5 AND {has(B.OVERVIEW_HEAD)}) AS overview, bool_or(row <= 10 AND {has(B.QUICK_HEAD)}) AS quick,
-    bool_or(({KIND}) IS NOT NULL AND ({KIND}) <> 'header') AS starts FROM l GROUP BY book, page),
-  p AS (SELECT *, (pairs >= 25 AND long <= 2) OR (hints >= 1 AND pairs >= 6) OR (refs >= 4 AND short >= 6 AND long <= 3) AS is_table, refs >= 6 OR (refs >= 3 AND short >= 8) OR boxes >= 4 AS is_contents,
+    count(*) FILTER (WHERE {has(B.IMAGE_LINE)}) AS images, bool_or({STARTS}) AS starts FROM l GROUP BY book, page),
+  p AS (SELECT *, (pairs >= 25 AND long <= 2) OR (hints >= 1 AND pairs >= 6) OR (refs >= 4 AND short >= 6 AND long <= 3) AS is_table, refs >= 6 OR (refs >= 3 AND short >= 8) OR boxes >= 4 OR (images >= 2 AND refs >= 2) AS is_contents,
     questions >= 1 OR (choices >= 4 AND headers >= 1) OR headers >= 2 OR (headers >= 1 AND n >= 2) AS is_problems, row_number() OVER (PARTITION BY book ORDER BY page) > floor(0.7 * count(*) OVER (PARTITION BY book)) AS late,
     max(page) OVER (PARTITION BY book) AS last FROM c),
   s AS (SELECT book, coalesce(min(page) FILTER (WHERE starts AND is_problems AND NOT is_table AND NOT is_contents), min(page)) AS content_start, min(page) FILTER (WHERE late AND last - page + 1 >= 5 AND (is_table OR answer_head)) AS answer_start,

@@ -39,11 +39,13 @@ def i9(t: Tables):
     return D.boxed_layout(t.stem_lines, "problem_id")
 
 
-@query("I16_problem_normalise", "SELECT problem_id, CASE WHEN difficulty > 3 THEN 4 WHEN difficulty = 3 THEN 5 ELSE 0 END AS n_choices FROM problems")
+@query("I16_problem_normalise", """WITH c AS (SELECT *, CASE WHEN problem_id % 7 <> 0 THEN list_transform(range(difficulty), lambda i: concat('old', i)) END AS had, CASE WHEN time_sec % 3 <> 0 THEN list_transform(range(time_sec // 10 % 7), lambda i: concat('new', i)) END AS found FROM problems)
+  SELECT problem_id, array_to_string(CASE WHEN len(had) >= 4 THEN had WHEN len(found) >= 4 THEN found ELSE [] END, ',') AS choices FROM c""")
 def i16(t: Tables):
-    existing = F.when(F.col("difficulty") > 3, F.array(*[F.col("stem")] * 4)).otherwise(F.array("stem"))
-    derived = F.when(F.col("difficulty") == 3, F.array(*[F.col("stem")] * 5)).otherwise(F.array().cast("array<string>"))
-    return t.problems.select("problem_id", F.size(B.normalised_choices(existing, derived)).alias("n_choices"))
+    some = lambda name, n: F.transform(F.slice(F.sequence(F.lit(0), F.lit(9)), F.lit(1), n.cast("int")), lambda i: F.concat(F.lit(name), i.cast("string")))
+    existing = F.when(F.col("problem_id") % 7 != 0, some("old", F.col("difficulty")))
+    derived = F.when(F.col("time_sec") % 3 != 0, some("new", F.floor(F.col("time_sec") / 10) % 7))
+    return t.problems.select("problem_id", F.array_join(B.normalised_choices(existing, derived), ",").alias("choices"))
 
 
 @query("I20_consistency_check", "SELECT problem_id, CASE WHEN problem_id % 3 = 0 THEN true WHEN problem_id % 3 = 1 THEN false ELSE difficulty % 5 = 2 END AS consistent FROM problems")
@@ -88,10 +90,20 @@ def h39(t: Tables):
     return found.select("event_id", "s.confidence", "s.error_type")
 
 
-@query("H40_inferred_signal", "SELECT conv_id, turn, CASE WHEN turn % 4 = 1 THEN 'concept_gap' WHEN turn % 4 = 2 THEN 'calculation_error' END AS error_type, CASE turn % 4 WHEN 0 THEN 0.46 WHEN 1 THEN 0.52 WHEN 2 THEN 0.46 ELSE 0.8 END::DOUBLE AS confidence FROM tutor_messages")
+STUDENT = ["잘 모르겠어요 헷갈려", "정의가 뭐야", "유형을 몰라", "부호 계산이 어려워", "조건을 놓쳤다", "this careless_mistake", "개념 오류 도와줘", "", "Plain"]
+TUTOR = ["네", "a CONCEPT_GAP here", "풀이 방향을 보자", "산술 전개 실수", "", "concept_gaps"]
+EXCHANGES = f"""SELECT conv_id, turn, [{", ".join(f"'{w}'" for w in STUDENT)}][1 + (conv_id + turn) % {len(STUDENT)}] AS student, concat([{", ".join(f"'{w}'" for w in TUTOR)}][1 + (conv_id * 7 + turn) % {len(TUTOR)}], ' ', CASE WHEN turn % 2 = 0 THEN text ELSE '' END) AS tutor, conv_id % 4 = 0 AS has_image FROM tutor_messages"""
+KINDS = "CASE " + " ".join(f"WHEN regexp_matches(words, '{p}') THEN '{n}'" for n, p in B.ERROR_WORDS) + " END"
+NAMED = "regexp_matches(words, '" + "|".join(rf"\b{n}\b" for n, _ in B.ERROR_WORDS) + "')"
+
+
+@query("H40_inferred_signal", f"""WITH x AS (SELECT *, concat(lower(student), chr(10), lower(tutor)) AS words FROM ({EXCHANGES})), k AS (SELECT *, {KINDS} AS kind FROM x)
+  SELECT conv_id, turn, CASE WHEN has_image THEN 'worked_solution' ELSE 'tutor_message' END AS source, kind AS error_type, round(greatest(0.2, least(0.95, CASE WHEN has_image THEN 0.8 ELSE 0.38 END + CASE WHEN regexp_matches(student, '{B.CONFUSION}') THEN 0.08 ELSE 0 END
+    + CASE WHEN kind IS NOT NULL THEN 0.08 ELSE 0 END + CASE WHEN {NAMED} THEN 0.06 ELSE 0 END))::DOUBLE, 6) AS confidence, sha256(substring(concat_ws(chr(10) || chr(10), nullif(trim(student), ''), nullif(trim(tutor), '')), 1, 500)) AS evidence FROM k""")
 def h40(t: Tables):
-    n = F.col("turn") % 4
-    student = F.when(n == 0, "잘 모르겠어요").when(n == 1, "공식").when(n == 2, "계산 실수").otherwise("사진")
-    tutor = F.when(n == 1, "this is a concept_gap").otherwise("네")
-    signal = B.inferred_signal(student, tutor, n == 3)
-    return t.tutor_messages.select("conv_id", "turn", signal.alias("s")).select("conv_id", "turn", "s.error_type", N.js_round_n(F.col("s.confidence"), 6).alias("confidence"))
+    pick = lambda words, n: F.get(F.array(*map(F.lit, words)), (n % len(words)).cast("int"))
+    student = pick(STUDENT, F.col("conv_id") + F.col("turn"))
+    tutor = F.concat(pick(TUTOR, F.col("conv_id") * 7 + F.col("turn")), F.lit(" "), F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(""))
+    signal = B.inferred_signal(student, tutor, F.col("conv_id") % 4 == 0)
+    return t.tutor_messages.select("conv_id", "turn", signal.alias("s")).select("conv_id", "turn", "s.source", "s.error_type", N.js_round_n(F.col("s.confidence"), 6).alias("confidence"), F.sha2("s.evidence", 256).alias("evidence"))
+

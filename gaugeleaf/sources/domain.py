@@ -46,7 +46,8 @@ DOMAIN = {
     # books of two hundred problems on some thirty pages: contents, chapters, concepts, problems of every kind of start, answers in some
     "book_lines": """WITH k AS (SELECT CAST(floor(p_partkey / 200) AS BIGINT) AS book, CAST(p_partkey % 200 AS BIGINT) AS k, CAST(floor((p_partkey % 200) / 6) AS BIGINT) + 1 AS page, CAST(p_size AS INT) AS z, p_name AS stem FROM {part}),
         b AS (SELECT *, k >= 150 AND book % 3 <> 0 AS answers FROM k)
-        SELECT book, page, 10 * k AS line_number, concat(stem, ' ..... p. ', CAST(z AS STRING)) AS text FROM b WHERE k < 6
+        SELECT book, page, 10 * k AS line_number, concat(stem, CASE WHEN book % 4 = 0 AND k > 1 THEN ' ..... 3' ELSE ' ..... P. ' END, CAST(z AS STRING)) AS text FROM b WHERE k < 6
+        UNION ALL SELECT book, page, 10 * k + 9, concat('![](https://cdn.mathpix.com/cropped/', CAST(z AS STRING), ')') FROM b WHERE k < 3 AND book % 2 = 0
         UNION ALL SELECT book, page, 10 * k + 1, concat('0', CAST(1 + z % 9 AS STRING), ' ', stem) FROM b WHERE z % 17 = 0 AND NOT answers
         UNION ALL SELECT book, page, 10 * k + 2, concat(CASE WHEN z % 2 = 0 THEN 'Concept ' ELSE '개념 ' END, stem) FROM b WHERE z % 13 = 0 AND NOT answers
         UNION ALL SELECT book, page, 10 * k + 3, concat('about ', stem) FROM b WHERE z % 13 = 0 AND NOT answers
@@ -59,7 +60,7 @@ DOMAIN = {
         UNION ALL SELECT book, page, 10 * k + 7, concat('(1) ', stem) FROM b WHERE NOT answers AND z % 5 = 0
         UNION ALL SELECT book, page, 10 * k + 8, concat('(2) more of ', stem) FROM b WHERE NOT answers AND z % 5 = 0
         UNION ALL SELECT book, page, 10 * k, CASE WHEN book % 2 = 0 THEN '정답 및 해설' ELSE '빠른 정답' END FROM b WHERE answers AND k % 6 = 0 AND book % 3 = 1
-        UNION ALL SELECT book, page, 10 * k + 1, concat('1 ① 2 ③ 3 ', CAST(z AS STRING), ' 4 ④ 5 ⑤') FROM b WHERE answers AND book % 3 = 2
+        UNION ALL SELECT book, page, 10 * k + 1, concat('1 ① 2③ 3 ', CAST(z AS STRING), ' 4 ④ 5⑤ 3125 7 (5) 8(2)') FROM b WHERE answers AND book % 3 = 2
         UNION ALL SELECT book, page, 10 * k + 2, concat('풀이 ', stem, ' 답 ', CAST(z AS STRING)) FROM b WHERE answers AND book % 3 = 1
         UNION ALL SELECT book, page, 10 * k + 3, '한눈에 보는 정답' FROM b WHERE answers AND k = 174 AND book % 3 = 2""",
     # answer pages of books: chapter and section heads, answers in cells, alone and run together, and solutions

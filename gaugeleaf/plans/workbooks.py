@@ -21,6 +21,27 @@ def i6(t: Tables):
     return B.coded_items(lines, "subject").select("subject", "number", "section", "code", "stem", "answer")
 
 
+HEAD = "CASE " + " ".join(f"WHEN starts_with(t, '{word}') THEN '{name}'" for word, name in B.SECTIONS) + " END"
+BLOCK = f"CASE WHEN starts_with(t, '{B.HINT_HEAD}') THEN 'hint' WHEN t = '{B.SOLUTION_HEAD}' THEN 'solution' WHEN regexp_matches(t, '^{B.ANSWER_HEAD}\\s+\\S') THEN 'answer' END"
+PART = lambda name: f"nullif(string_agg(CASE WHEN block = '{name}' AND opened IS NULL AND body <> '' THEN body END, chr(10) ORDER BY rn), '') AS {name}"
+
+
+@query("I6_workbook_items", rf"""WITH l AS (SELECT *, trim(text) AS t, row_number() OVER (PARTITION BY book ORDER BY page_number, line_number) AS rn FROM workbook_lines WHERE trim(text) <> ''),
+  m AS (SELECT *, {HEAD} AS head, nullif(regexp_extract(t, '^\[(\d{{4,6}}-\d{{3,5}})\]', 1), '') AS code, TRY_CAST(regexp_extract(t, '^예제\s*(\d+)', 1) AS INTEGER) AS example, nullif(regexp_extract(t, '^(\d{{2}}\s+[^\d\s].*)$', 1), '') AS chapter_head FROM l),
+  c AS (SELECT *, last_value(head IGNORE NULLS) OVER w AS section, last_value(chapter_head IGNORE NULLS) OVER w AS chapter, bool_or(starts_with(t, '한눈에 보는 정답') OR starts_with(t, '정답과 풀이')) OVER w AS stopped, code IS NOT NULL OR example IS NOT NULL AS opens FROM m WINDOW w AS (PARTITION BY book ORDER BY rn)),
+  i AS (SELECT *, count(*) FILTER (WHERE opens OR chapter_head IS NOT NULL OR head IS NOT NULL) OVER (PARTITION BY book ORDER BY rn) AS item FROM c WHERE NOT stopped),
+  b AS (SELECT *, {BLOCK} AS opened, first_value(opens) OVER w AS inside, row_number() OVER w AS nth FROM i WINDOW w AS (PARTITION BY book, item ORDER BY rn)),
+  d AS (SELECT *, coalesce(last_value(opened IGNORE NULLS) OVER (PARTITION BY book, item ORDER BY rn), 'stem') AS block FROM b WHERE inside),
+  e AS (SELECT *, coalesce(example, CASE WHEN nth = 2 AND block = 'stem' THEN TRY_CAST(regexp_extract(t, '^(\d{{1,3}})$', 1) AS INTEGER) END) AS number FROM d),
+  f AS (SELECT *, CASE WHEN code IS NOT NULL OR (number IS NOT NULL AND example IS NULL) THEN NULL WHEN example IS NOT NULL THEN trim(regexp_replace(text, '^\s*예제\s*\d+', '')) ELSE t END AS body FROM e),
+  g AS (SELECT book, item, arg_min(section, rn) AS section, arg_min(chapter, rn) FILTER (WHERE chapter IS NOT NULL) AS chapter, max(code) AS code, min(number) AS given, min(page_number) AS start_page, {PART("stem")}, {PART("hint")}, {PART("solution")}, max(CASE WHEN opened = 'answer' THEN regexp_extract(t, '^답\s+(.+)$', 1) END) AS answer FROM f GROUP BY 1, 2),
+  r AS (SELECT *, count(given) OVER (PARTITION BY book, chapter[:2], section ORDER BY item) AS run FROM g WHERE stem IS NOT NULL),
+  s AS (SELECT *, first_value(given) OVER w AS since, row_number() OVER w AS k FROM r WINDOW w AS (PARTITION BY book, chapter[:2], section, run ORDER BY item))
+  SELECT book, section, chapter, code, CAST(coalesce(given, coalesce(since, 0) + k - CASE WHEN since IS NULL THEN 0 ELSE 1 END) AS INTEGER) AS number, start_page, stem, hint, solution, answer FROM s""")
+def i6_items(t: Tables):
+    return B.coded_items(t.workbook_lines, "book").select("book", "section", "chapter", "code", F.col("number").cast("int").alias("number"), "start_page", "stem", "hint", "solution", "answer")
+
+
 HEIGHT = "greatest(18.0, 0.85 * median(bbox_h) FILTER (WHERE boxed AND kind <> 'head') OVER (PARTITION BY problem_id, block))"
 
 

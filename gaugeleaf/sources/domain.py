@@ -109,6 +109,21 @@ DOMAIN = {
         UNION ALL SELECT book, page, 20 * k + 12, 'text', concat('(1) ', stem), x, y FROM n WHERE z % 5 = 1
         UNION ALL SELECT book, page, 20 * k + 13, 'text', concat('more of ', a), x, y FROM n WHERE z % 5 = 1
         UNION ALL SELECT book, page, 20 * k + 14, 'text', concat('2) ', stem), x, y FROM n WHERE z % 10 = 1""",
+    # workbook pages: chapters, sections, items by code and by example number, numbers given or not, hints, solutions and answers in them, and the answer pages at the end
+    "workbook_lines": """WITH k AS (SELECT CAST(floor(p_partkey / 200) AS BIGINT) AS book, CAST(p_partkey % 200 AS BIGINT) AS k, CAST(floor((p_partkey % 200) / 8) AS BIGINT) + 1 AS page_number, CAST(p_size AS INT) AS z, p_name AS stem FROM {part}),
+        n AS (SELECT *, CAST(z AS STRING) AS a FROM k)
+        SELECT book, page_number, 20 * k AS line_number, concat('0', CAST(1 + z % 9 AS STRING), ' ', stem) AS text FROM n WHERE k % 31 = 0
+        UNION ALL SELECT book, page_number, 20 * k + 1, CASE z % 6 WHEN 0 THEN '유제' WHEN 1 THEN ' Level 1 기초 연습' WHEN 2 THEN 'Level 2' WHEN 3 THEN 'Level 3 실력 완성' WHEN 4 THEN '대표기출문제' ELSE concat('예제 ', a, ' ', stem) END FROM n WHERE k % 9 = 1
+        UNION ALL SELECT book, page_number, 20 * k + 2, CASE z % 5 WHEN 0 THEN concat('예제 ', a, ' with ', stem) WHEN 1 THEN concat('[', lpad(CAST(k AS STRING), 5, '0'), '-0001] ') WHEN 2 THEN concat('[26008-', lpad(a, 4, '0'), '] of ', stem) WHEN 3 THEN concat('[', a, '-1] is no code') ELSE concat('예제', a) END FROM n WHERE z % 7 <> 3
+        UNION ALL SELECT book, page_number, 20 * k + 3, a FROM n WHERE z % 3 = 0
+        UNION ALL SELECT book, page_number, 20 * k + 4, concat(stem, ' ') FROM n WHERE z % 8 <> 5
+        UNION ALL SELECT book, page_number, 20 * k + 5, concat('  more of ', a) FROM n WHERE z % 4 = 2
+        UNION ALL SELECT book, page_number, 20 * k + 6, CASE WHEN z % 2 = 0 THEN '잠깐' ELSE '잠깐이 hint' END FROM n WHERE z % 6 = 4
+        UNION ALL SELECT book, page_number, 20 * k + 7, concat('hint ', stem) FROM n WHERE z % 6 = 4
+        UNION ALL SELECT book, page_number, 20 * k + 8, CASE WHEN z % 10 = 0 THEN '풀이 in line' ELSE '풀이' END FROM n WHERE z % 5 < 2
+        UNION ALL SELECT book, page_number, 20 * k + 9, concat('so ', stem) FROM n WHERE z % 5 < 2
+        UNION ALL SELECT book, page_number, 20 * k + 10, CASE WHEN z % 9 = 0 THEN '답' ELSE concat('답 ', a) END FROM n WHERE z % 4 < 2
+        UNION ALL SELECT book, page_number, 20 * k + 11, CASE WHEN book % 2 = 0 THEN '한눈에 보는 정답' ELSE '정답과 풀이 2쪽' END FROM n WHERE k = 180 AND book % 3 <> 2""",
     # heads of past exam questions: two sources in one line, forms and audiences before and behind the item, lines that are none
     "exam_heads": """SELECT p_partkey AS line_number, concat(CAST(p_size AS STRING), CASE p_size % 4 WHEN 0 THEN ' ★☆☆ ' WHEN 1 THEN '★★★ ' WHEN 2 THEN ' ' ELSE ' 하 · ' END, CASE WHEN p_size % 9 = 0 THEN '19' ELSE '20' END, CAST(10 + p_size % 13 AS STRING), CASE WHEN p_size % 2 = 0 THEN '학년도 ' ELSE '년  ' END,
         CASE CAST(floor(p_partkey / 7) AS BIGINT) % 9 WHEN 0 THEN '경찰대 수능 대비' WHEN 1 THEN '사관 학교' WHEN 2 THEN '수능' WHEN 3 THEN '6월학평 A형' WHEN 4 THEN '9월  모의평가' WHEN 5 THEN '교육청 학평' WHEN 6 THEN '모평 경찰' WHEN 7 THEN '' ELSE '견본' END,

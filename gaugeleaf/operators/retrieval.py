@@ -109,8 +109,6 @@ def nearest_cells(items: DataFrame, key: str, vector: str, cells: int, probes: i
     cells below its 8 nearest upper centers; an upper cell of any size is dealt over tasks of about task_rows.
     So what is sent for an item and what a task holds do not grow with the number of items.
     """
-    if cells == 1:
-        return items.select(key, F.array(F.lit(0).cast("long")).alias("cells"))
     uppers = max(1, int(np.ceil(np.sqrt(cells))))
     share = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1_000_000)) < F.lit(int(1 + 1_000_000 * min(1.0, cells * SAMPLE_A_CELL / max(1, items.count()))))
     sample = staged(items.where(share), "vector-sample")
@@ -165,9 +163,10 @@ def knn_all_pairs(items: DataFrame, key: str, vector: str, k: int = 10, least: f
     """
     items = staged(items.where(F.col(vector).isNotNull()).select(key, vector), "vectors")
     cells = max(1, -(-items.count() // cell_rows))
-    everywhere = cells <= probes  # one cell then holds all, in blocks
-    nearest = nearest_cells(items, key, vector, 1 if everywhere else cells, probes)
-    placed = staged(items.join(nearest, key), "placed")
+    if cells <= probes:  # one cell holds all, in blocks
+        placed = items.withColumn("cells", F.array(F.lit(0).cast("long")))
+    else:
+        placed = staged(items.join(nearest_cells(items, key, vector, cells, probes), key), "placed")
     own, looking = placed.select(key, vector, F.col("cells")[0].alias("cell")), placed.select(key, vector, F.explode("cells").alias("cell"))
     blocks = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") / cell_rows).alias(name))
     counts = blocks(own, "rows").join(blocks(looking, "lookers"), "cell")  # one row for each cell

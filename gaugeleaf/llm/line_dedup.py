@@ -12,11 +12,10 @@ among its neighbours, so that a passage has the same inner units wherever it
 stands.  Units are hashed and grouped like lines, and a run of neighbouring
 repeats of ``min_words`` words or more inside a line is removed; shorter runs
 are stock phrases and stay.  A unit of a few words that happens to occur earlier and
-stands beside a repeat goes with it.  ``min_words`` bounds these inner runs only.  A long
-line, which consists of such units, is left to them.  Removed ranges are given
-as byte offsets of the original text.
+stands beside a repeat goes with it.  ``min_words`` bounds these inner runs only.
+Removed ranges are given as byte offsets of the original text.
 
-Scale: one narrow row for each unit and short line, aggregated before the shuffle; the join
+Scale: one narrow row for each unit and line, aggregated before the shuffle; the join
 back is on the digest, of which adaptive execution splits frequent ones.  Texts
 are shuffled once, to meet the repeats found in them.
 
@@ -84,24 +83,20 @@ def tag(text: str = "text") -> Column:
     return F.xxhash64(text).bitwiseAND(0xFFFFFFFF)
 
 
-def repeated_units(docs: DataFrame, min_words: int = 20, radius: int = 3) -> DataFrame:
-    """doc_id, tag and the numbers of the document's units and lines (from LINES on) that occur earlier in the corpus.
-
-    Lines of min_words words or more are left to their units.
-    """
+def repeated_units(docs: DataFrame, radius: int = 3) -> DataFrame:
+    """doc_id, tag and the numbers of the document's units and lines (from LINES on) that occur earlier in the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, tags = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "tag"))
             for i, n, data, offsets in K.text_slices(batch):
                 own = tags.slice(i, n).to_numpy()
-                _, digests, starts, _, first, word, lines, whole = units(data, offsets, radius)
+                _, digests, _, _, first, word, lines, whole = units(data, offsets, radius)
                 counts, of_text = np.diff(first), np.diff(np.searchsorted(lines, word))
-                short = np.diff(np.append(lines, len(starts))) < min_words
-                owner = np.concatenate([np.repeat(np.arange(n), counts), np.repeat(np.arange(n), of_text)[short]])
-                number = np.concatenate([K.ragged(counts), LINES + K.ragged(of_text)[short]])
+                owner = np.concatenate([np.repeat(np.arange(n), counts), np.repeat(np.arange(n), of_text)])
+                number = np.concatenate([K.ragged(counts), LINES + K.ragged(of_text)])
                 yield pa.RecordBatch.from_arrays(
-                    [names.slice(i, n).take(pa.array(owner)), pa.array(number * (1 << 32) + own[owner]), pa.array(np.concatenate([digests, whole[short]]).view(np.int64))],
+                    [names.slice(i, n).take(pa.array(owner)), pa.array(number * (1 << 32) + own[owner]), pa.array(np.concatenate([digests, whole]).view(np.int64))],
                     names=["doc_id", "place", "digest"],
                 )
 
@@ -117,7 +112,7 @@ def repeated_units(docs: DataFrame, min_words: int = 20, radius: int = 3) -> Dat
 def remove_repeats(docs: DataFrame, min_words: int = 20, radius: int = 3) -> DataFrame:
     """docs with text reduced, and n_bytes, n_removed and removed (byte ranges of the original text)."""
     docs = docs.drop("n_bytes", "n_removed", "removed", "__units")
-    repeats = repeated_units(docs, min_words, radius)
+    repeats = repeated_units(docs, radius)
     same = (F.col("d.doc_id") == F.col("r.doc_id")) & (tag("d.text") == F.col("r.tag"))
     joined = docs.alias("d").join(repeats.alias("r"), same, "left").select("d.*", "r.__units")
     columns_in = docs.columns

@@ -21,6 +21,7 @@ from .workbook import plain_table
 # Heads of sections in the order they are tried, words of the levels, signs of an answer
 # as scanned, what a summary line and an answer consist of, and numbers a problem can have.
 SECTION_HEADS = {"유제": "practice", "Level 1": "level1", "Level 2": "level2", "Level 3": "level3"}
+LONG_HEADS = ("Level 1 기초 연습", "Level 2 기본 연습", "Level 3 실력 완성")
 SOLUTION_HEADS = SECTION_HEADS | {"대표 기출": "past_exam", "대표기출": "past_exam"}
 LEVEL_WORDS = {"기초": "level1", "기본": "level2", "실력": "level3"}
 TABLE_WORDS = {"기초": "연습", "기본": "연습", "실력": "완성"}
@@ -29,10 +30,13 @@ ANSWER_SIGN = r"^[답뎝달뎔]\s+(.+)$"
 SUMMARY_LINE = rf"^[\d\s()\[\]{CIRCLED}]+$"
 SKIPPED_TYPES = ("page_header", "page_footer")
 REFERENCE_HEAD = "본문"
+SUMMARY_NUMBER, OPENING, NUMBER_ALONE, DIGIT_TOUCHING = r"^(\d{1,2})", r"^\$?(\d{1,2})\s+(.*)$", r"^\$?(\d{1,2})$", r"^\$?(\d)(.+)$"
 MOST_NUMBER = 30
 LONG_CONTENT = 3
 SUMMARY_TOP = 3
 CONFIDENCE = {"inline": 1.0, "table and solution": 0.95, "table": 0.9, "solution": 0.7}
+SKIPPED_LINE = rf"^(?:www\.|{REFERENCE_HEAD}|\\)"
+WORDED_LEVEL = rf"Level\s*\d\s*({'|'.join(LEVEL_WORDS)})"
 PAREN_CELL, SPACED_CELL, JOINED_CELL = r"\d{1,2}\s*\(\d\)", rf"\d{{1,2}}\s+(?:[{CIRCLED}]|\d+)", r"^(\d)(\d+)$"
 
 
@@ -67,7 +71,7 @@ def overview_answers(lines: DataFrame, key: str) -> DataFrame:
     """
     order = Window.partitionBy(key).orderBy("page_number", "line_number")
     shown = lines.withColumn("text", stripped()).withColumn("is_table", F.coalesce(F.col("line_type") == "table", F.lit(False)) & F.col("text").contains("\\begin{tabular}"))
-    shown = shown.where((F.col("text") != "") & (F.col("is_table") | ~F.col("text").rlike(rf"^(?:www\.|{REFERENCE_HEAD}|\\)")))
+    shown = shown.where((F.col("text") != "") & (F.col("is_table") | ~F.col("text").rlike(SKIPPED_LINE)))
     shown = shown.withColumn("cells_text", F.when(F.col("is_table"), plain_table(F.col("text"))).otherwise(F.col("text")))
     chapter = F.when(~F.col("is_table"), F.nullif(F.regexp_extract("text", CHAPTER_HEAD, 1), F.lit("")))
     plain = shown.withColumn("chapter_head", chapter).withColumn("alone", ~F.col("is_table") & F.col("chapter_head").isNull() & (F.col("text") == "Level"))
@@ -78,7 +82,7 @@ def overview_answers(lines: DataFrame, key: str) -> DataFrame:
     waits = F.col("alone") & (F.col("nth") % 2 == 1)
     counted = counted.withColumn("waits", waits).withColumn("answers_level", ~F.col("is_table") & F.col("chapter_head").isNull() & F.coalesce(F.lag("waits").over(own), F.lit(False)))
     inside = first_of([(F.col("cells_text").contains(head), name) for head, name in reversed(SECTION_HEADS.items())])
-    worded = first_of([(F.regexp_extract("cells_text", rf"Level\s*\d\s*({'|'.join(LEVEL_WORDS)})", 1) == word, name) for word, name in LEVEL_WORDS.items()])
+    worded = first_of([(F.regexp_extract("cells_text", WORDED_LEVEL, 1) == word, name) for word, name in LEVEL_WORDS.items()])
     opened = first_of([(F.col("text").startswith(head), name) for head, name in SECTION_HEADS.items()])
     event = (
         F.when(F.col("is_table"), F.coalesce(worded, inside))
@@ -86,8 +90,7 @@ def overview_answers(lines: DataFrame, key: str) -> DataFrame:
         .when(F.col("answers_level"), level_word(F.col("text")))
         .when(~F.col("alone"), opened)
     )
-    heads = [*SECTION_HEADS, "Level 1 기초 연습", "Level 2 기본 연습", "Level 3 실력 완성"]
-    silent = ~F.col("is_table") & (F.col("chapter_head").isNotNull() | F.col("answers_level") | F.col("alone") | F.col("text").isin(heads))
+    silent = ~F.col("is_table") & (F.col("chapter_head").isNotNull() | F.col("answers_level") | F.col("alone") | F.col("text").isin(*SECTION_HEADS, *LONG_HEADS))
     marked = counted.withColumns({"event": event, "silent": silent})
     placed = marked.withColumns({"chapter": F.last("chapter_head", ignorenulls=True).over(order), "section": F.nullif(F.last("event", ignorenulls=True).over(order), F.lit(""))})
     each = placed.where(~F.col("silent") & F.col("chapter").isNotNull() & F.col("section").isNotNull()).select(key, "chapter", "section", "page_number", "line_number", F.posexplode(cells(F.col("cells_text"))).alias("nth", "cell"))
@@ -164,16 +167,15 @@ def solution_lines(lines: DataFrame, key: str) -> DataFrame:
     inside = Window.partitionBy(key, "part").orderBy("page_number", "line_number")
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     short = body & F.col("text").rlike(SUMMARY_LINE)
-    first = F.when(short, F.regexp_extract("text", r"^(\d{1,2})", 1).try_cast("int"))
+    first = F.when(short, F.regexp_extract("text", SUMMARY_NUMBER, 1).try_cast("int"))
     summed = placed.withColumn("first", first).withColumn("top", F.coalesce(F.max("first").over(before), F.lit(0)))
     falls = (F.col("top") >= SUMMARY_TOP) & (F.col("first") < F.col("top"))
     summary = (short & ~F.coalesce(falls, F.lit(False))) | F.col("text").startswith(REFERENCE_HEAD)
     kept = summed.withColumn("begun", F.max(body & ~summary).over(inside)).where(~body | F.col("begun"))
 
-    number = F.regexp_extract("text", r"^\$?(\d{1,2})\s+", 1).try_cast("int")
-    behind = F.regexp_extract("text", r"^\$?\d{1,2}\s+(.*)$", 1)
-    alone = F.regexp_extract("text", r"^\$?(\d{1,2})$", 1).try_cast("int")
-    digit = F.regexp_extract("text", r"^\$?(\d)(.+)$", 1).try_cast("int")
+    number, behind = F.regexp_extract("text", OPENING, 1).try_cast("int"), F.regexp_extract("text", OPENING, 2)
+    alone = F.regexp_extract("text", NUMBER_ALONE, 1).try_cast("int")
+    digit, touching = F.regexp_extract("text", DIGIT_TOUCHING, 1).try_cast("int"), F.regexp_extract("text", DIGIT_TOUCHING, 2)
     can = lambda n: F.when(n.between(1, MOST_NUMBER), n)
     much = F.length(behind) > LONG_CONTENT
     shaped = kept.withColumns(
@@ -181,7 +183,7 @@ def solution_lines(lines: DataFrame, key: str) -> DataFrame:
             "long": F.length("text") > LONG_CONTENT,
             "opens": can(F.when(much, number)),
             "defers": F.coalesce(can(F.when(~much, number)), can(alone)),
-            "loose": can(F.when(F.length(F.regexp_extract("text", r"^\$?\d(.+)$", 1)) > LONG_CONTENT, digit)),
+            "loose": can(F.when(F.length(touching) > LONG_CONTENT, digit)),
         }
     )
     slim = [key, "page_number", "line_number", "text", "answers", "long", "opens", "defers", "loose", "head", "chapter", "section", *(["latex"] if "latex" in lines.columns else [])]

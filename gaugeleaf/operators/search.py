@@ -7,6 +7,7 @@ adds to a score before the weight of its term: the best k documents are often kn
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
@@ -55,15 +56,23 @@ class SearchIndex:
         counted.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
         return cls(spark, path, key, buckets, totals.documents, float(mean), placed.schema)
 
+    @functools.cached_property
+    def table(self) -> DataFrame:
+        """All postings; the folders are listed once."""
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/postings")
+
+    @functools.cached_property
+    def terms(self) -> DataFrame:
+        return self.spark.read.schema("term string, documents long").parquet(f"{self.path}/terms")
+
     def postings(self, words: list[str], tiers: list[int] | None = None) -> DataFrame:
         """The postings of words: a scan of their partitions and row groups."""
-        rows = self.spark.read.schema(self.schema).parquet(f"{self.path}/postings")
-        found = rows.where(F.col("bucket").isin(*(bucket_of(F.lit(w), self.buckets) for w in words)) & F.col("term").isin(words))
+        found = self.table.where(F.col("bucket").isin(*(bucket_of(F.lit(w), self.buckets) for w in words)) & F.col("term").isin(words))
         return found if tiers is None else found.where(F.col("tier").isin(tiers))
 
     def weights(self, words: list[str]) -> dict[str, float]:
         """The weight of each word that occurs: the rarer, the more."""
-        found = self.spark.read.schema("term string, documents long").parquet(f"{self.path}/terms").where(F.col("term").isin(words)).collect()  # a row for each word
+        found = self.terms.where(F.col("term").isin(words)).collect()  # a row for each word
         return {r.term: math.log(1 + (self.documents - r.documents + 0.5) / (r.documents + 0.5)) for r in found}
 
     def holding(self, words: list[str]) -> DataFrame:

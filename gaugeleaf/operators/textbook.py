@@ -25,7 +25,7 @@ EXAM_ITEMS = (
 EXAM_SOURCES = ((r"경찰\s*대?", "경찰대"), (r"사관\s*학교", "사관학교"), (r"수능", "수능"), (r"학평", "학평"), (r"모평|모의평가|교육청", "모평"))
 FORM = r"([AB]형|[가나다라마바사])"
 
-# What opens a problem, in the order it is tried, and the category of each label.
+# What opens a problem, in the order it is tried, the category of each label, and what numbers a first line.
 LABELS = {
     "예제": "example", "유제": "practice", "대표문제": "representative", "확인문제": "check", "기본문제": "basic", "심화문제": "advanced", "연습문제": "exercise",
     "문제": "problem", "Exercise": "exercise", "Problem": "problem", "Q": "problem",
@@ -34,6 +34,7 @@ LABEL = "|".join(LABELS)
 MANY_CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳"
 LABELLED, DIGITS, POINTED, RINGED, BRACKETED = rf"^({LABEL})\s*(\d{{1,3}})", r"^(\d{3,4})\s*[.\s]", r"^(\d{1,3})\s*\.(?:\D|$)", rf"^([{MANY_CIRCLED}])", r"^\[(\d{1,3})\]"
 MOST_NUMBER = 2000
+NUMBERED = (rf"^(?:{LABEL})\s*\d{{1,3}}\s*(.*)$", r"^\d{1,3}$", r"^\d{3,4}\s*[.\s]+\s*(.*)$", r"^\d{1,3}\s*\.(?!\d)\s*(.*)$", rf"^[{MANY_CIRCLED}]\s*(.*)$", r"^\[\d{1,3}\]\s*(.*)$")
 
 # Heads of concepts, sections and chapters, sub-problems, choices, questions, and layout.
 CONCEPT = r"(?i)^\[?\s*(?:정리|정의|공식|참고|NOTE|개념|성질|증명|보기|공식\s*정리)\s*\]?"
@@ -177,8 +178,7 @@ def problem_lines(lines: DataFrame, key: str) -> DataFrame:
 
 def without_number(text: Column, source: Column) -> Column:
     """A problem's first line without what numbers it."""
-    patterns = (rf"^(?:{LABEL})\s*\d{{1,3}}\s*(.*)$", r"^\d{1,3}$", r"^\d{3,4}\s*[.\s]+\s*(.*)$", r"^\d{1,3}\s*\.(?!\d)\s*(.*)$", rf"^[{MANY_CIRCLED}]\s*(.*)$", r"^\[\d{1,3}\]\s*(.*)$")
-    rest = reduce(lambda out, p: F.when(text.rlike(p), F.regexp_extract(text, p, 1) if "(.*)" in p else F.lit("")).otherwise(out), reversed(patterns), text)
+    rest = reduce(lambda out, p: F.when(text.rlike(p), F.regexp_extract(text, p, 1) if "(.*)" in p else F.lit("")).otherwise(out), reversed(NUMBERED), text)
     return F.when(source.isNotNull(), source["rest"]).otherwise(let(F.trim(rest), lambda r: F.coalesce(exam_source(r)["rest"], r)))
 
 

@@ -32,6 +32,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import materialize
+
 # The measures' character classes and the base rule's limits.
 WHITE = r"[\x20\x09-\x0D]+"
 WHITE_CHARACTERS = " \t\n\x0b\x0c\r"
@@ -153,8 +155,11 @@ COSTS = {
 
 
 def sampled(docs: DataFrame, sample_rows: int = 400, text: str = "text") -> list[tuple[dict[str, float], set[str]]]:
-    """For each of sample_rows random documents the cost of every measure and the rules that reject it: one pass, one job."""
-    drawn = docs.select(text, F.rand(3).alias("__draw")).orderBy("__draw").limit(sample_rows)
+    """For each of sample_rows random documents the cost of every measure and the rules that reject it: one pass over the documents.
+
+    The drawn ones are written, as Spark sorts all documents for them if measures follow the limit in one plan.
+    """
+    drawn = materialize(docs.select(text, F.rand(3).alias("__draw")).orderBy("__draw").limit(sample_rows).select(text), "rule-sample")
     found = measures()
     size = F.struct(F.length("__body").alias("chars"), F.size("__words").alias("words"), F.size("__lines").alias("lines"))
     rejects = F.array_compact(F.array(*(F.when(c, n) for n, c in rules(found.__getitem__).items())))

@@ -155,4 +155,4 @@ def l4(t: Tables):
     stale = best.withColumn("best", F.lit(-1.0))
     for number, batch in enumerate((stale.where("student_id % 2 = 0"), best.where("student_id % 2 = 0"), best.where("student_id % 2 = 0"), best.where("student_id % 2 = 1"))):
         write(batch, number)
-    return E.current(t.spark, out, "day").select("student_id", "day", "best")
+    return E.current(t.spark, out).select("student_id", "day", "best")

@@ -82,14 +82,20 @@ def drop(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def with_dead_letters(good_path: str, bad_path: str, is_good: Column, most: int = 1000) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that parts each batch in two: good rows in files named by the batch, so that a rerun replaces them, and a bounded log of the others."""
+def with_dead_letters(good_path: str, bad_path: str, is_good: Column, most: int = 1000, counts_path: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that parts each batch in two: good rows in files named by the batch, so that a rerun replaces them, and a bounded log of the others.
+
+    counts_path, if given, gets a row n for each batch: the others in it, which the log forgets.
+    """
     keep_bad = bounded_log(bad_path, most)
 
     def write(batch: DataFrame, number: int) -> None:
         marked = batch.withColumn("__good", F.coalesce(is_good, F.lit(False))).persist()
         marked.where("__good").drop("__good").write.mode("overwrite").parquet(f"{good_path}/batch={number}")
-        keep_bad(marked.where("NOT __good").drop("__good"), number)
+        others = marked.where("NOT __good").drop("__good")
+        if counts_path is not None:
+            others.agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{counts_path}/batch={number}")
+        keep_bad(others, number)
         marked.unpersist()
 
     return write

@@ -160,3 +160,20 @@ def test_jobs_of_many_batches_are_complete(spark, tmp_path):
     spark.range(1, 6802).selectExpr("id AS p_partkey", "concat('Brand#1', CAST(1 + id % 2 AS STRING)) AS p_brand", "'a b' AS p_name", "'T' AS p_type", "CAST(1 AS INT) AS p_size", "1.0D AS p_retailprice").repartition(3).write.parquet(str(tmp_path / "part.parquet"))
     got = streams.l10(Tables(spark, str(tmp_path))).collect()
     assert sorted((r.job_id, r.outcome, r.arrived, r.missing, r.n, r.total) for r in got) == [("Brand#11", "complete", 68, 0, 3400, 10200), ("Brand#12", "timed out", 68, 1, 3400, 10200)]
+
+
+def test_dead_letters_are_counted_beyond_the_log(spark, tmp_path):
+    good, bad, counts = (str(tmp_path / name) for name in ("good", "bad", "counts"))
+    write = jobs.with_dead_letters(good, bad, F.col("id") % 2 == 0, most=10, counts_path=counts)
+    for n in range(4):
+        write(spark.range(40 * n, 40 * n + 40), n)
+    write(spark.range(120, 158), 3)  # run again with fewer rows
+    assert spark.read.schema("n long").parquet(counts).agg(F.sum("n")).first()[0] == 79
+    assert spark.read.parquet(bad).count() < 79
+
+
+def test_dead_letters_query_counts_all(spark, tmp_path):
+    at = "timestamp_seconds(1704067200 + id) AS ts"
+    events = spark.range(3000).selectExpr("id AS event_id", "id % 7 AS user_id", at, "'click' AS event_type", "CASE WHEN id % 5 <> 0 THEN CAST(1 + 5 * (id % 2) AS DOUBLE) END AS value", "'' AS props")
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    assert {r.n for r in streams.a15(Tables(spark, str(tmp_path))).collect()} == {1200}

@@ -206,22 +206,29 @@ def question_number(raw: Column) -> Column:
     return F.regexp_extract(F.trim(raw), r"^[Qq#]*(\d+)\.*$", 1).try_cast("int")
 
 
+MOST_RULED = max(last for _, last, *_ in EXAM_RULES)
+
+
+def rule_of(number: int) -> Column:
+    """struct<position, points, form> of a question number, null without a rule."""
+    kind = "struct<position: string, points: int, form: string>"
+    found = [rule for first, last, *rule in EXAM_RULES if first <= number <= last]
+    return F.struct(*map(F.lit, found[0])).cast(kind) if found else F.lit(None).cast(kind)
+
+
 def apply_exam_rules(problems: DataFrame) -> DataFrame:
     """Adds position_type and point_value, fills question_format, and stores ai_answer.
 
     Exam problems take the rule of their number, else estimates from their difficulty, and the answer goes
     to answer_text.  Textbook problems keep no rule; their answer goes to answer_latex, as answer_text has the book's.
     """
-    number = question_number(F.col("problem_number"))
-    position, points, form = (F.lit(None).cast(kind) for kind in ("string", "int", "string"))
-    for first, last, p, n, f in EXAM_RULES:
-        inside = number.between(first, last)
-        position, points, form = F.when(inside, p).otherwise(position), F.when(inside, n).otherwise(points), F.when(inside, f).otherwise(form)
+    ruled = problems.withColumn("__rule", F.get(F.array(*map(rule_of, range(MOST_RULED + 1))), question_number(F.col("problem_number"))))
+    position, points, form = (F.col(f"__rule.{name}") for name in ("position", "points", "form"))
     level = F.col("difficulty").cast("double")
     by_level = F.coalesce(F.get(F.array(*map(F.lit, DIFFICULTY_POINTS)), F.bround(level).cast("int") - 1), F.lit(3))
     place = F.when(level >= 4.5, "killer").when(level >= 3.5, "semi_killer").otherwise("normal")
     exam = ~F.col("is_textbook")
-    return problems.withColumns(
+    filled = ruled.withColumns(
         {
             "position_type": F.when(exam, F.coalesce(position, place)),
             "point_value": F.when(exam, F.coalesce(points, by_level)),
@@ -230,6 +237,7 @@ def apply_exam_rules(problems: DataFrame) -> DataFrame:
             "answer_latex": F.when(~exam, F.col("ai_answer")),
         }
     )
+    return filled.drop("__rule")
 
 
 def with_curriculum_node(df: DataFrame, nodes: DataFrame, year: int, subject: str, unit: str, name: str) -> DataFrame:

@@ -368,3 +368,13 @@ def test_trees_of_any_depth(spark):
         with pytest.raises(ValueError, match="cycle"):
             walk()
     assert G.paths(nodes([])).count() == 0
+
+
+def test_exam_rules_read_the_number_a_few_times(spark):
+    rows = spark.range(32).selectExpr("id AS problem_id", "false AS is_textbook", "concat('Q', id) AS problem_number", "2.0D AS difficulty", "CAST(NULL AS STRING) AS question_format", "'a' AS ai_answer", "'b' AS answer_text")
+    out = D.apply_exam_rules(rows)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") <= 3
+    got = {r.problem_id: (r.position_type, r.point_value, r.question_format) for r in out.collect()}
+    for k in range(32):
+        want = next((rule for first, last, *rule in D.EXAM_RULES if first <= k <= last), ["normal", 2, None])
+        assert got[k] == tuple(want)

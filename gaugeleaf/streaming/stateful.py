@@ -2,14 +2,18 @@
 
 Each keeps, for a key, a bounded state in the state store and acts when the watermark has passed a time.
 Times come in and go out as microseconds since 1970 (at_us), so that no session time zone enters.  They
-need a watermark on the stream's event time and the RocksDB state store (with_timers).
+need a watermark on the stream's event time and the RocksDB state store (with_timers).  A call of the state
+store costs far more than a step, so keys share theirs in buckets of some hundred, given by their hash.
 """
 
 from __future__ import annotations
 
 import contextlib
+import itertools
+import pickle
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,52 +44,70 @@ def after(at_us: int) -> int:
     return at_us // 1000 + 1
 
 
+#: Keys of a bucket where their number is known, and the number of buckets where it is not.
+KEYS_A_BUCKET, BUCKETS = 256, 1024
+
+
+def buckets_for(keys: int) -> int:
+    """The number of buckets for so many keys; a running stream must keep its own."""
+    return max(64, -(-keys // KEYS_A_BUCKET))
+
+
+def in_buckets(rows: DataFrame, key: str, buckets: int) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+
+
 class EventTimeFold(StatefulProcessor):
-    """Folds the rows of a key in the order of their event time, however they arrive.
+    """Folds the rows of each key of a bucket in the order of their event time, however they arrive.
 
     Rows wait until the watermark has passed them; then fold(state, row) gives the next state and a row to
     emit.  Rows later than the watermark allows never reach it.  A state that has had no row for forget_us
     is dropped, and the key begins anew.
     """
 
-    def __init__(self, key: str, reads: list[str], kinds: str, begin: tuple, state: str, fold: Callable, emits: list[str], forget_us: int | None = None):
-        self.key, self.reads, self.kinds, self.begin, self.state, self.fold, self.emits, self.forget_us = key, reads, kinds, begin, state, fold, emits, forget_us
+    def __init__(self, key: str, reads: list[str], begin: tuple, fold: Callable, emits: list[str], forget_us: int | None = None):
+        self.key, self.reads, self.begin, self.fold, self.emits, self.forget_us = key, reads, begin, fold, emits, forget_us
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.kinds)
-        self.folded = handle.getValueState("folded", f"last_us long, {self.state}")
+        self.waiting = handle.getListState("waiting", "rows binary")  # (key, at_us, ...) of all arrivals
+        self.folded = handle.getValueState("folded", "states binary")  # (last_us, state) by key
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        arrived = tuples(rows, self.reads)
-        self.waiting.appendList(arrived)
-        self.handle.registerTimer(after(min(r[0] for r in arrived)))
+        arrived = tuples(rows, [self.key, *self.reads])
+        self.waiting.appendValue((pickle.dumps(arrived),))
+        self.handle.registerTimer(after(min(r[1] for r in arrived)))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        due, later = sorted(r for r in held if r[0] <= now), [r for r in held if r[0] > now]
-        last, *state = tuple(self.folded.get()) if self.folded.exists() else (NEVER, *self.begin)
-        out, state = [], tuple(state)
-        for row in due:
-            if self.forget_us is not None and last != NEVER and row[0] - last >= self.forget_us:
-                state = self.begin
-            state, made = self.fold(state, row)
-            last = row[0]
-            out.append((key[0], *made))
-        if due:
-            self.folded.update((last, *state))
-            if self.forget_us is not None:
-                self.handle.registerTimer(after(last + self.forget_us))
-            if later:
-                self.waiting.put(later)
-                self.handle.registerTimer(after(min(r[0] for r in later)))
-            else:
-                self.waiting.clear()
-            yield pd.DataFrame(out, columns=[self.key, *self.emits])
-        elif not held and self.forget_us is not None and last != NEVER and last + self.forget_us <= now:
-            self.folded.clear()
+        held = [row for r in self.waiting.get() for row in pickle.loads(r[0])] if self.waiting.exists() else []
+        due, later = sorted(r for r in held if r[1] <= now), [r for r in held if r[1] > now]
+        states = pickle.loads(self.folded.get()[0]) if self.folded.exists() else {}
+        out = []
+        for own, rows in itertools.groupby(due, key=lambda r: r[0]):
+            last, state = states.get(own, (NEVER, self.begin))
+            for _, *row in rows:
+                if self.forget_us is not None and last != NEVER and row[0] - last >= self.forget_us:
+                    state = self.begin
+                state, made = self.fold(state, row)
+                last = row[0]
+                out.append((own, *made))
+            states[own] = last, state
+        forgotten = [own for own, (last, _) in states.items() if self.forget_us is not None and last + self.forget_us <= now]
+        for own in forgotten:
+            del states[own]
+        if due or forgotten:
+            self.folded.update((pickle.dumps(states),)) if states else self.folded.clear()
+            if states and self.forget_us is not None:
+                self.handle.registerTimer(after(min(last for last, _ in states.values()) + self.forget_us))
+        if due and later:
+            self.waiting.put([(pickle.dumps(later),)])
+            self.handle.registerTimer(after(min(r[1] for r in later)))
+        elif due:
+            self.waiting.clear()
+        for at in range(0, len(out), 100_000):
+            yield pd.DataFrame(out[at : at + 100_000], columns=[self.key, *self.emits])
 
     def close(self) -> None:
         pass
@@ -101,7 +123,7 @@ def mastery_step(run: int) -> Callable:
     return step
 
 
-def streaming_mastery(answers: DataFrame, delay: str = "1 day", run: int = 3, forget: str | None = None) -> DataFrame:
+def streaming_mastery(answers: DataFrame, delay: str = "1 day", run: int = 3, forget: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """submission_id, answer_no, attempt, streak and state after each answer of a student, in the order of answered_at.
 
     Needs student_id, submission_id, answer_no, is_correct (null: not graded, passed over) and answered_at.
@@ -109,9 +131,9 @@ def streaming_mastery(answers: DataFrame, delay: str = "1 day", run: int = 3, fo
     """
     timed = answers.where("is_correct is not null").withWatermark("answered_at", delay).withColumn("at_us", F.unix_micros("answered_at"))
     idle = None if forget is None else micros(answers.sparkSession, forget)
-    fold = EventTimeFold("student_id", ["at_us", "submission_id", "answer_no", "is_correct"], "at_us long, submission_id long, answer_no int, is_correct boolean", (0, 0), "attempts int, streak int", mastery_step(run), ["submission_id", "answer_no", "attempt", "streak", "state"], idle)
+    fold = EventTimeFold("student_id", ["at_us", "submission_id", "answer_no", "is_correct"], (0, 0), mastery_step(run), ["submission_id", "answer_no", "attempt", "streak", "state"], idle)
     schema = "student_id long, submission_id long, answer_no int, attempt int, streak int, state string"
-    return timed.groupBy("student_id").transformWithStateInPandas(fold, schema, "Append", "EventTime")
+    return in_buckets(timed, "student_id", buckets).groupBy("bucket").transformWithStateInPandas(fold, schema, "Append", "EventTime")
 
 
 def streak_step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
@@ -123,11 +145,11 @@ def streak_step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
     return (current, longest, day), (day, current, longest)
 
 
-def streaming_streaks(events: DataFrame, at: str, delay: str = "1 day") -> DataFrame:
+def streaming_streaks(events: DataFrame, at: str, delay: str = "1 day", buckets: int = BUCKETS) -> DataFrame:
     """student_id, day (days since 1970), current and longest run of days after each event of a student, in the order of event time."""
     timed = events.withWatermark(at, delay).select("student_id", at, F.unix_micros(at).alias("at_us"), F.datediff(F.col(at), F.lit("1970-01-01")).cast("long").alias("day"))
-    fold = EventTimeFold("student_id", ["at_us", "day"], "at_us long, day long", (0, 0, -2), "current long, longest long, last long", streak_step, ["day", "current", "longest"])
-    return timed.groupBy("student_id").transformWithStateInPandas(fold, "student_id long, day long, current long, longest long", "Append", "EventTime")
+    fold = EventTimeFold("student_id", ["at_us", "day"], (0, 0, -2), streak_step, ["day", "current", "longest"])
+    return in_buckets(timed, "student_id", buckets).groupBy("bucket").transformWithStateInPandas(fold, "student_id long, day long, current long, longest long", "Append", "EventTime")
 
 
 def micros(spark: SparkSession, interval: str) -> int:

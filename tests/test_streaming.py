@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from gaugeleaf.plans import streams
@@ -177,3 +178,81 @@ def test_dead_letters_query_counts_all(spark, tmp_path):
     events = spark.range(3000).selectExpr("id AS event_id", "id % 7 AS user_id", at, "'click' AS event_type", "CASE WHEN id % 5 <> 0 THEN CAST(1 + 5 * (id % 2) AS DOUBLE) END AS value", "'' AS props")
     events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
     assert {r.n for r in streams.a15(Tables(spark, str(tmp_path))).collect()} == {1200}
+
+
+class CountedState:
+    """Stands for a state of any kind; counts its calls."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def call(self, result=None):
+        self.calls += 1
+        return result
+
+    def exists(self):
+        return self.call(bool(self.held))
+
+    def clear(self):
+        self.held = self.call({})
+
+    def get(self):
+        return self.call(self.held.get("value", self.held.get("list")))
+
+    def update(self, value):
+        self.held = self.call({"value": value})
+
+    def put(self, rows):
+        self.held = self.call({"list": list(rows)})
+
+    def appendValue(self, row):
+        self.call(self.held.setdefault("list", []).append(row))
+
+    def containsKey(self, key):
+        return self.call(key in self.held)
+
+    def getValue(self, key):
+        return self.call(self.held[key])
+
+    def updateValue(self, key, value):
+        self.call(self.held.update({key: value}))
+
+    def iterator(self):
+        return self.call(iter(list(self.held.items())))
+
+
+class CountedHandle:
+    def __init__(self):
+        self.states, self.timers = [], []
+
+    def state(self, *_):
+        self.states.append(CountedState())
+        return self.states[-1]
+
+    getListState = getValueState = getMapState = state
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def calls(self):
+        return sum(s.calls for s in self.states) + len(self.timers)
+
+
+class Watermark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_mastery_calls_the_state_once_for_a_bucket():
+    fold = stateful.EventTimeFold("student_id", ["at_us", "submission_id", "answer_no", "is_correct"], (0, 0), stateful.mastery_step(3), ["submission_id", "answer_no", "attempt", "streak", "state"])
+    handle = CountedHandle()
+    fold.init(handle)
+    rows = pd.DataFrame([(s, 1000 * (5 - n), s, n, s % 2 == 0) for s in range(500) for n in range(5)], columns=["student_id", "at_us", "submission_id", "answer_no", "is_correct"])
+    list(fold.handleInputRows((0,), iter([rows]), None))
+    early = pd.concat(fold.handleExpiredTimer((0,), Watermark(3), None))
+    late = pd.concat(fold.handleExpiredTimer((0,), Watermark(9), None))
+    assert (len(early), len(late)) == (1500, 1000) and handle.calls() < 20
+    assert late[late["student_id"] == 4][["answer_no", "attempt", "streak", "state"]].values.tolist() == [[1, 4, 4, "mastered"], [0, 5, 5, "mastered"]]

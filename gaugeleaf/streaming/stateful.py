@@ -159,7 +159,7 @@ def micros(spark: SparkSession, interval: str) -> int:
 
 
 class Retries(StatefulProcessor):
-    """Asks for the outcome of a task again and again, later each time, until it is there or the attempts are used up.
+    """Asks for the outcome of the tasks of a bucket again and again, later each time, until it is there or the attempts are used up.
 
     An attempt is made at submission and after each delay; at its time it sees the events that have
     happened by then.  Emits a row for each attempt: waiting, done, error, or dead at the last one.
@@ -167,49 +167,78 @@ class Retries(StatefulProcessor):
     """
 
     def __init__(self, delays: tuple[tuple[int, int], ...], most: dict[str, int], keep_us: int):
-        self.delays, self.most, self.keep_us = delays, most, keep_us
+        self.most, self.keep_us = most, keep_us
+        each = [next((seconds for below, seconds in delays if k < below), delays[-1][1]) for k in range(max(most.values()) + 1)]
+        self.passed = 1_000_000 * np.cumsum([0, *each])  # from submission to the attempt of each number
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.task = handle.getValueState("task", "kind string, attempt int, due_us long, done_us long, error_us long")
+        self.tasks = handle.getValueState("tasks", "tasks binary")  # kind, attempt, due_us, done_us, error_us and until_us by task
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        kind, attempt, due, done, error = tuple(self.task.get()) if self.task.exists() else ("", 0, NEVER, NEVER, NEVER)
-        for event, name, at in tuples(rows, ["event", "kind", "at_us"]):
+        tasks = pickle.loads(self.tasks.get()[0]) if self.tasks.exists() else {}
+        first = None
+        for task, event, name, at in tuples(rows, ["task_id", "event", "kind", "at_us"]):
+            kind, attempt, due, done, error, until = tasks.get(task, ("", 0, NEVER, NEVER, NEVER, NEVER))
+            wake = None
             if event == "submitted" and due == NEVER:
-                kind, due = name, at
-                self.handle.registerTimer(after(at))
+                kind, due, wake = name, at, at
             elif event == "done":
                 done = at if done == NEVER else min(done, at)
             elif event == "error":
                 error = at if error == NEVER else min(error, at)
             if due == NEVER:
-                self.handle.registerTimer(after(at + self.keep_us))
-        self.task.update((kind, attempt, due, done, error))
+                until = wake = at + self.keep_us if until == NEVER else min(until, at + self.keep_us)
+            tasks[task] = kind, attempt, due, done, error, until
+            first = wake if first is None else first if wake is None else min(first, wake)
+        if first is not None:
+            self.handle.registerTimer(after(first))
+        self.tasks.update((pickle.dumps(tasks),))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.task.exists():
+        if not self.tasks.exists():
             return
-        kind, attempt, due, done, error = tuple(self.task.get())
-        now, out, outcome = timerValues.getCurrentWatermarkInMs() * 1000, [], "waiting"
-        if due == NEVER:
-            self.task.clear()
-            return
-        while outcome == "waiting" and due <= now:
-            happened = lambda at, due=due: at != NEVER and at <= due
-            outcome = "done" if happened(done) else "error" if happened(error) else "dead" if attempt >= self.most.get(kind, min(self.most.values())) else "waiting"
-            out.append((key[0], attempt, due, outcome))
-            if outcome == "waiting":
-                due += 1_000_000 * next((seconds for below, seconds in self.delays if attempt < below), self.delays[-1][1])
-                attempt += 1
-        if out and outcome != "waiting":
-            self.task.clear()
-        elif out:
-            self.task.update((kind, attempt, due, done, error))
-            self.handle.registerTimer(after(due))
-        if out:
-            yield pd.DataFrame(out, columns=["task_id", "attempt", "at_us", "outcome"])
+        tasks = pickle.loads(self.tasks.get()[0])
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        gone = [task for task, (_, _, due, _, _, until) in tasks.items() if due == NEVER and after(until) * 1000 <= now]
+        for task in gone:
+            del tasks[task]
+        asked = [(task, *state) for task, state in tasks.items() if NEVER != state[2] <= now]
+        if asked:
+            yield self.attempts(asked, tasks, now)
+        if asked or gone:
+            self.tasks.update((pickle.dumps(tasks),)) if tasks else self.tasks.clear()
+        if tasks:
+            self.handle.registerTimer(after(max(now, min(until if due == NEVER else due for _, _, due, _, _, until in tasks.values()))))
+
+    def attempts(self, asked: list[tuple], tasks: dict, now: int) -> pd.DataFrame:
+        """The attempts of the asked tasks until now; tasks gets what is left of them."""
+        ids, kinds, *numbers = zip(*asked, strict=True)
+        attempt, due, done, error, _ = (np.array(n, dtype=np.int64) for n in numbers)
+        begun, never = due - self.passed[attempt], np.iinfo(np.int64).max
+        done, error = (np.where(at == NEVER, never, at) for at in (done, error))
+        told = np.minimum(done, error)
+        fewest = min(self.most.values())
+        dead = np.maximum(attempt, [self.most.get(kind, fewest) for kind in kinds])
+        heard = np.where(told == never, len(self.passed), np.searchsorted(self.passed, np.where(told == never, 0, told - begun)))
+        end = np.minimum(np.maximum(heard, attempt), dead)
+        last = np.minimum(end, np.searchsorted(self.passed, now - begun, side="right") - 1)
+        n = last - attempt + 1
+        row = np.repeat(np.arange(len(n)), n)
+        number = attempt[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        at = begun[row] + self.passed[number]
+        outcome = np.full(len(row), "waiting", dtype=object)
+        closing = number == end[row]
+        outcome[closing] = np.select([done[row] <= at, error[row] <= at], ["done", "error"], "dead")[closing]
+        for k, task in enumerate(ids):
+            if last[k] == end[k]:
+                del tasks[task]
+            else:
+                kind, _, _, *known = tasks[task]
+                following = int(last[k]) + 1
+                tasks[task] = (kind, following, int(begun[k] + self.passed[following]), *known)
+        return pd.DataFrame({"task_id": np.array(ids)[row], "attempt": number.astype(np.int32), "at_us": at, "outcome": outcome})
 
     def close(self) -> None:
         pass
@@ -220,14 +249,14 @@ POLL_DELAYS = ((10, 30), (20, 60), (120, 120))
 MOST_POLLS = {"exam": 60, "textbook": 120}
 
 
-def retried(events: DataFrame, delay: str = "1 minute", keep: str = "1 day") -> DataFrame:
+def retried(events: DataFrame, delay: str = "1 minute", keep: str = "1 day", buckets: int = BUCKETS) -> DataFrame:
     """task_id, attempt, at and outcome of every attempt at a task, from events (task_id, kind, event: submitted, done or error, at).
 
     done and error count from the moment they happen; an error is not tried again.
     """
     timed = events.withWatermark("at", delay).withColumn("at_us", F.unix_micros("at"))
     processor = Retries(POLL_DELAYS, MOST_POLLS, micros(events.sparkSession, keep))
-    out = timed.groupBy("task_id").transformWithStateInPandas(processor, "task_id long, attempt int, at_us long, outcome string", "Append", "EventTime")
+    out = in_buckets(timed, "task_id", buckets).groupBy("bucket").transformWithStateInPandas(processor, "task_id long, attempt int, at_us long, outcome string", "Append", "EventTime")
     return out.select("task_id", "attempt", F.timestamp_micros("at_us").alias("at"), "outcome")
 
 

@@ -256,3 +256,16 @@ def test_mastery_calls_the_state_once_for_a_bucket():
     late = pd.concat(fold.handleExpiredTimer((0,), Watermark(9), None))
     assert (len(early), len(late)) == (1500, 1000) and handle.calls() < 20
     assert late[late["student_id"] == 4][["answer_no", "attempt", "streak", "state"]].values.tolist() == [[1, 4, 4, "mastered"], [0, 5, 5, "mastered"]]
+
+
+def test_retries_call_the_state_once_for_a_bucket():
+    handle, retries = CountedHandle(), stateful.Retries(stateful.POLL_DELAYS, stateful.MOST_POLLS, 86_400_000_000)
+    retries.init(handle)
+    rows = [(k, "submitted", "exam", 1_000_000) for k in range(400)] + [(k, "done", "exam", 62_000_000) for k in range(0, 400, 2)]
+    list(retries.handleInputRows((0,), iter([pd.DataFrame(rows, columns=["task_id", "event", "kind", "at_us"])]), None))
+    first = pd.concat(retries.handleExpiredTimer((0,), Watermark(40_000), None))
+    rest = pd.concat(retries.handleExpiredTimer((0,), Watermark(10**9), None))
+    assert len(first) == 800 and handle.calls() < 20
+    assert rest[rest["task_id"] == 6].values.tolist() == [[6, 2, 61_000_000, "waiting"], [6, 3, 91_000_000, "done"]]
+    assert rest[rest["task_id"] == 7].values.tolist()[-1] == [7, 60, 1_000_000 + 1_000_000 * (300 + 600 + 4800), "dead"]
+    assert len(rest) == 200 * 2 + 200 * 59 and not handle.states[0].held

@@ -322,25 +322,36 @@ def finished_jobs(results: DataFrame, patience: str = "1 hour", keep: str = "1 h
     return timed.groupBy("job_id").transformWithStateInPandas(processor, "job_id string, outcome string, arrived int, missing int, n long, total long", "Append", "EventTime")
 
 
+#: Parts of a class's board, each an entry of the state that is read and written whole.
+BOARD_PARTS = 64
+
+
 class Board(StatefulProcessor):
     """The latest submission of each student of a class, sent whole whenever one of them changes."""
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.latest = handle.getMapState("latest", "student_id long", "at_us long, submission_id long, submitted long, score double, state string")
+        self.latest = handle.getMapState("latest", "part long", "rows binary")  # (at_us, submission_id, submitted, score, state) by student
         self.pushes = handle.getValueState("pushes", "n long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        changed = False
+        newest, changed = {}, False
         for student, *row in tuples(rows, ["student_id", "at_us", "submission_id", "submitted", "score", "state"]):
             row[3] = None if pd.isna(row[3]) else row[3]
-            if not self.latest.containsKey((student,)) or tuple(row[:2]) > tuple(self.latest.getValue((student,)))[:2]:
-                self.latest.updateValue((student,), tuple(row))
+            held = newest.setdefault(student % BOARD_PARTS, {})
+            if student not in held or tuple(row[:2]) > held[student][:2]:
+                held[student] = tuple(row)
+        for part, arrived in newest.items():
+            held = pickle.loads(self.latest.getValue((part,))[0]) if self.latest.containsKey((part,)) else {}
+            later = {student: row for student, row in arrived.items() if student not in held or row[:2] > held[student][:2]}
+            if later:
+                self.latest.updateValue((part,), (pickle.dumps(held | later),))
                 changed = True
         if changed:
             push = (self.pushes.get()[0] if self.pushes.exists() else 0) + 1
             self.pushes.update((push,))
-            yield pd.DataFrame([(key[0], push, *student, *row) for student, row in self.latest.iterator()], columns=["class_id", "push", "student_id", "at_us", "submission_id", "submitted", "score", "state"])
+            for _, held in self.latest.iterator():
+                yield pd.DataFrame([(key[0], push, student, *row) for student, row in pickle.loads(held[0]).items()], columns=["class_id", "push", "student_id", "at_us", "submission_id", "submitted", "score", "state"])
 
     def close(self) -> None:
         pass

@@ -269,3 +269,12 @@ def test_retries_call_the_state_once_for_a_bucket():
     assert rest[rest["task_id"] == 6].values.tolist() == [[6, 2, 61_000_000, "waiting"], [6, 3, 91_000_000, "done"]]
     assert rest[rest["task_id"] == 7].values.tolist()[-1] == [7, 60, 1_000_000 + 1_000_000 * (300 + 600 + 4800), "dead"]
     assert len(rest) == 200 * 2 + 200 * 59 and not handle.states[0].held
+
+
+def test_a_board_calls_the_state_for_its_parts():
+    handle, board = CountedHandle(), stateful.Board()
+    board.init(handle)
+    rows = pd.DataFrame([(s, 10 * n, s + n, n, None, "graded") for s in range(1000) for n in range(3)], columns=["student_id", "at_us", "submission_id", "submitted", "score", "state"])
+    sent = pd.concat(board.handleInputRows((1,), iter([rows]), None))
+    assert len(sent) == 1000 and set(sent["at_us"]) == {20} and handle.calls() <= 2 * stateful.BOARD_PARTS + 5
+    assert not list(board.handleInputRows((1,), iter([rows]), None))  # nothing new

@@ -100,12 +100,13 @@ def j6_recall(t: Tables):
     These vectors have next to no clusters, so that most cells must be searched: a test holds the recall of clustered ones at a quarter.
     """
     rows = t.embeddings.select("vec_id", "embedding")
-    found = J.knn_all_pairs(rows, "vec_id", "embedding", least=-1.0, cell_rows=-(-rows.count() // 32), probes=24).select("vec_id", "neighbour")
+    index = J.vector_index(rows, "vec_id", "embedding", cell_rows=max(1, -(-rows.count() // 32)), probes=24)
+    found = J.search_index(index, index.where("vec_id % 100 = 0"), "vec_id", "embedding", 10).select("vec_id", "neighbour")
     asked = rows.where("vec_id % 100 = 0")
     others = rows.select(F.col("vec_id").alias("neighbour"), F.col("embedding").alias("other"))
     exact = J.nearest_of_each(asked, others, "vec_id", "embedding", 10)
     counted = exact.join(found.withColumn("hit", F.lit(1)), ["vec_id", "neighbour"], "left").agg(F.countDistinct("vec_id").alias("queries"), (F.sum(F.coalesce("hit", F.lit(0))) >= 0.9 * F.count("*")).alias("recalled"))
-    indexed = found.agg(F.countDistinct("vec_id").alias("indexed"))
+    indexed = index.agg(F.countDistinct("vec_id").alias("indexed"))
     return counted.join(F.broadcast(indexed), how="cross").select("queries", "indexed", "recalled")  # one row each
 
 

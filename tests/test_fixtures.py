@@ -398,3 +398,17 @@ def test_nearest_in_block_is_exact_with_ties():
     x[699] = np.nan
     row, near, _ = J.nearest_in_block(others, x, others, x, 5)
     assert np.bincount(row, minlength=700).tolist() == [5] * 699 + [0] and 3 * 699 not in near
+
+
+def test_index_is_searched_for_the_asked_alone(spark):
+    draw = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, [float(v) for v in draw.normal(size=8)]) for i in range(400)], "id long, v array<double>")
+    index = J.vector_index(df, "id", "v", cell_rows=20, probes=15)
+    assert index.count() == 400 and {len(r.cells) for r in index.collect()} == {15}
+    asked = index.where("id % 100 = 0")
+    got = J.search_index(index, asked, "id", "v", 5, 50).collect()
+    assert sorted(r.rank for r in got) == sorted([1, 2, 3, 4, 5] * 4)
+    exact = {(r.id, r.neighbour) for r in J.nearest_of_each(df.where("id % 100 = 0"), df.selectExpr("id AS neighbour", "v AS other"), "id", "v", 5, block=60).collect()}
+    x = {r.id: np.array(r.v) / np.linalg.norm(r.v) for r in df.collect()}
+    assert exact == {(i, j) for i in (0, 100, 200, 300) for j in sorted((j for j in x if j != i), key=lambda j: -(x[i] @ x[j]))[:5]}
+    assert len(exact & {(r.id, r.neighbour) for r in got}) >= 16

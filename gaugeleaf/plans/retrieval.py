@@ -125,7 +125,7 @@ def j7(t: Tables):
   r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(c, 12) DESC, neighbour) AS rank FROM s), n AS (SELECT vec_id, sum(CASE WHEN own = theirs THEN floor(c * 10000 + 0.5) / 10000 ELSE 0 END) / sum(floor(c * 10000 + 0.5) / 10000) AS agreement FROM r WHERE rank <= 5 AND c >= 0.2 GROUP BY 1)
   SELECT vec_id, floor(coalesce(agreement, 0.5) * 1000 + 0.5) / 1000 AS agreement FROM e LEFT JOIN n USING (vec_id)""")
 def j8(t: Tables):
-    near = J.knn_all_pairs(t.embeddings, "vec_id", "embedding", least=0.2)
+    near = J.knn_all_pairs(t.embeddings, "vec_id", "embedding", k=5, least=0.2)
     out = J.similar_agreement(near, t.embeddings.select("vec_id", F.col("label").alias("subject")), "vec_id")
     return out.withColumn("agreement", N.js_round_n(F.col("agreement"), 3))
 

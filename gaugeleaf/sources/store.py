@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from urllib.parse import unquote
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -33,6 +37,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def open_shared(uri: str) -> pa.NativeFile:
+    """A file of the shared folder for reading in a task: a local or mounted path, or a store that Arrow knows (HDFS, S3, GCS, Azure)."""
+    scheme, found, rest = uri.partition(":")
+    if not found or scheme == "file":
+        return pyarrow.fs.LocalFileSystem().open_input_file(re.sub("^/+", "/", unquote(rest) if found else uri))
+    system, path = pyarrow.fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
+    return system.open_input_file(path)
+
+
 def log_source(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 100) -> DataFrame:
     """A durable log as a stream: its checkpoint gives replay, at least once."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)

@@ -4,6 +4,7 @@ import datetime as dt
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -412,3 +413,38 @@ def test_index_is_searched_for_the_asked_alone(spark):
     x = {r.id: np.array(r.v) / np.linalg.norm(r.v) for r in df.collect()}
     assert exact == {(i, j) for i in (0, 100, 200, 300) for j in sorted((j for j in x if j != i), key=lambda j: -(x[i] @ x[j]))[:5]}
     assert len(exact & {(r.id, r.neighbour) for r in got}) >= 16
+
+
+def test_knn_misses_no_neighbour_beyond_its_probes(spark):
+    """Vectors without clusters in 40 cells, a cluster, 60 copies of a vector, one without direction and one of none: all equal to brute force."""
+    draw = np.random.default_rng(11)
+    x = draw.normal(size=(800, 12))
+    x[300:420] = x[3] + 0.02 * draw.normal(size=(120, 12))
+    x[500:560] = x[5]
+    x[77] = 0
+    ids = draw.permutation(800) * 3 + 2**60
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)]
+    df = spark.createDataFrame([*rows, (5, None)], "id long, v array<double>")
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    scores = np.round(np.einsum("id,jd->ij", unit, unit), 12)
+    for least in (-1.0, 0.6):
+        got = {(r.id, r["rank"]): (r.neighbour, r.score) for r in J.knn_all_pairs(df, "id", "v", k=10, least=least, cell_rows=20, probes=3).collect()}
+        want = {}
+        for a in range(800):
+            order = [b for b in np.lexsort((ids, -scores[a])) if b != a][:10]
+            want |= {(int(ids[a]), n): (int(ids[b]), pytest.approx(scores[a, b], abs=1e-4)) for n, b in enumerate(order, 1) if scores[a, b] >= least}
+        assert got == want
+
+
+def test_search_of_blocks_leaves_out_those_too_far(tmp_path):
+    """A cluster's items do not read the blocks of the others, whose files are not there."""
+    draw = np.random.default_rng(12)
+    x = np.eye(8)[np.repeat(np.arange(4), 50)] + 0.01 * draw.normal(size=(200, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    balls = [J.ball(x[a : a + 50]) for a in range(0, 200, 50)]
+    file = str(tmp_path / "block.parquet")
+    pd.DataFrame({"ids": [np.arange(50, 100).tobytes()], "rows": [x[50:100].tobytes()]}).to_parquet(file)
+    near, score = J.nearest_in_files(np.arange(50, 100), x[50:100], 5, 0.0, ["gone", file, "gone", "gone"], np.array([c for c, _ in balls]), np.array([r for _, r in balls]))
+    exact = x[50:100] @ x[50:100].T - 2 * np.eye(50)
+    assert near.tolist() == (50 + np.argsort(-exact, axis=1)[:, :5]).tolist()
+    assert np.allclose(score, -np.sort(-exact, axis=1)[:, :5])
